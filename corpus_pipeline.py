@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, mixing, packing
-from quillspark.llm.common import staged
+from quillspark.llm import exact_dedup, langid, mixing, ngram_join, packing
+from quillspark.llm.common import staged, without_ids
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told; pages that show a document add their evidence."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = staged(langid.identify(docs, langid.page_evidence(pages)), "languages")
+    return without_ids(docs, "doc_id", found.filter("not accepted").select("doc_id"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words and a similarity of 0.8, the defaults for near-duplicates."""
+    return ngram_join.keep_one_of_each(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -21,7 +33,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", known_language),
     ("exact_dedup", exact_copies),
+    ("ngram_join", near_copies),
     ("mixing", mixed),
     ("packing", packed),
 ]

@@ -49,3 +49,18 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Ids of at most so many rows (half a megabyte) are broadcast.
+BROADCAST_IDS = 50_000
+
+
+def without_ids(df, id_col: str, ids):
+    """``df`` without the rows whose id is among ``ids`` (one long column): broadcast if few, else a shuffle join."""
+    from pyspark.sql import functions as F
+
+    name = fresh(df, "__dropped_id")
+    gone = ids.toDF(name).distinct()
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, partitions, staged
+from quillspark.llm.common import fresh, partitions, staged, without_ids
 
 FAN_IN = 4
 #: Characters that do not count when texts are compared.
@@ -46,7 +46,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: pa.Table | None = None
     for b in batches:
-        t = pa.Table.from_batches([b])
+        t = pa.Table.from_arrays(b.columns, names=b.schema.names)  # all nullable, whatever the plan says
         if held is not None:
             t = pa.concat_tables([held, t]).combine_chunks()
         if not t.num_rows:
@@ -110,14 +110,12 @@ def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = staged(exact_dedup(df, id_col, text_col), "copies")
     key = F.col(f"`{id_col}`").cast("long")
-    ids = found.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = df.join(ids, key.eqNullSafe(F.col("__kept_id")), "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    # Ids repeat: the text decides too, and rows that repeat both leave one.
-    name = fresh(out, "__text_digest")
+    if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return without_ids(df, id_col, found.filter("not kept").select("doc_id"))
+    # Ids repeat or are null: the text decides too, and rows that repeat both leave one.
+    name = fresh(df, "__text_digest")
     bare = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BLANKS.decode(), "")
     pairs = found.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    out = out.withColumn(name, F.sha2(bare, 256))
+    out = df.withColumn(name, F.sha2(bare, 256))
     out = out.join(pairs, key.eqNullSafe(F.col("__kept_id")) & (F.col(name) == F.col("__kept_sha")), "left_semi")
     return out.dropDuplicates([id_col, name]).drop(name)
