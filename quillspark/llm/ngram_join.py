@@ -7,8 +7,11 @@ rarest shingles (as many as the threshold leaves room to miss, plus one) into in
 lists gives candidates, whose whole sets are then intersected. The boundary between light and heavy is
 the one of least estimated cost over the histogram of set sizes.
 
-* The order "rarest first" comes from a count sketch of fixed size over all sets. Any fixed order gives
-  right results; this one keeps shingles of passages that many documents share out of the lists.
+* Shingles are counted exactly, by ranges of their hashes. A shingle of one class only can be in no overlap,
+  so a class whose unshared shingles alone exceed what the threshold lets it miss is out at once; of the
+  others only shared shingles travel on, rarest first.
+* Very common shingles, found on a bounded sample, skip the counting: they are shared for certain, rank last,
+  and go straight to their class, so that no range holds a third of all documents.
 * A list of n classes gives n - 1 edges to its smallest class, never n * n pairs. Candidates are the
   connected components of these edges; every true link lies inside one component.
 * In a component sets meet in chunks: each task intersects the sets of two chunks with one product of
@@ -17,7 +20,6 @@ the one of least estimated cost over the histogram of set sizes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -30,17 +32,20 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions, staged, without_ids
 from quillspark.llm.components import connected_components
+from quillspark.llm.passing import mixed
 
 SHINGLE, PERCENT = 4, 85
-#: Cells of the count sketch (2 ** 22 bytes on the driver and in each task, whatever the input).
-SKETCH_BITS, SKETCH_CHUNKS = 22, 64
-#: Bits of the filter that keeps sets without candidates out of the shuffle; a full filter only passes more.
-FILTER_BITS = 24
+#: Documents looked at (about) for very common shingles, and the share of them that has one.
+SAMPLE, COMMON = 1000, 0.01
+#: Frequencies from here on rank alike.
+MOST_COUNTED = 255
 #: The light side is at most this large; the cost model chooses within.
 MOST_LIGHT = 24
 #: Sets in a chunk.
 CHUNK = 128
-SETS = "doc_id long, n long, cls long, tok binary"
+SETS = "doc_id long, n long, cls long"
+POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
+KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
 WORDS_KEPT = 1 << 20
 
@@ -55,12 +60,6 @@ class _Words(dict):
         return h
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingles(text: str, width: int, words: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, no words give none."""
     w = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
@@ -70,65 +69,176 @@ def shingles(text: str, width: int, words: dict) -> np.ndarray:
     size = min(width, len(w))
     acc = np.full(len(w) - size + 1, size, dtype=np.uint64)
     for i in range(size):
-        acc = _mix(acc + h[i : len(w) - size + 1 + i])
+        acc = mixed(acc + h[i : len(w) - size + 1 + i])
     return np.unique(acc)
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    """48 bits of each hash."""
-    return np.unique(tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
+    """48-bit shingles."""
     out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
     out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 
+def _class(s: np.ndarray) -> int | None:
+    return int(xxhash.xxh64_intdigest(s.tobytes(), 5)) - (1 << 63) if len(s) else None
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), set()
+        words = _Words()
+        for b in batches:
+            found = [shingles(text.as_py() or "", width, words) for text in b.column(1)]
+            cols = [b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_class(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls"])
+
+    return run
+
+
+def _sampled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, seen = _Words(), [], set()
         for b in batches:
-            n, cls, tok = [], [], []
-            for text in b.column(1):
+            for text in b.column(0):
                 s = shingles(text.as_py() or "", width, words)
-                n.append(len(s))
-                h = int(xxhash.xxh64_intdigest(s.tobytes(), 5)) - (1 << 63) if len(s) else None
-                cls.append(h)
-                tok.append(None if h is None or h in seen else _packed(s))
-                seen.add(h)
-                if len(seen) > WORDS_KEPT:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(tok, pa.binary())], names=["doc_id", "n", "cls", "tok"])
+                if (c := _class(s)) is not None and c not in seen:
+                    seen.add(c)
+                    held.append(np.unique(s >> np.uint64(16)))
+        if held:
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n)], names=["token", "n"])
 
     return run
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def _posts(to: np.ndarray, cls: np.ndarray, n: np.ndarray, tok: np.ndarray, level: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each target: its classes with their sizes, and shingles with level and local class number."""
+    order = np.argsort(to, kind="stable")
+    to, tok, level, who = to[order], tok[order], level[order], who[order]
+    values, at = np.unique(to, return_index=True)
+    rows = []
+    for value, t, v, w in zip(values, *(np.split(x, at[1:]) for x in (tok, level, who))):
+        own, local = np.unique(w, return_inverse=True)
+        rows.append((int(value), cls[own].astype("<i8").tobytes(), n[own].astype("<u4").tobytes(), _packed(t), v.astype(np.uint8).tobytes(), local.astype("<u4").tobytes()))
+        if len(rows) == 500:
+            yield _posted(rows)
+            rows = []
+    if rows:
+        yield _posted(rows)
+
+
+def _posted(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in POSTED.split(", ")])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """cls, n, tok, level of every entry posted here."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for b in batches:
-        held = [_cells(_unpacked(t.as_py())) for t in b.column(0)]
-        for k in range(0, len(held), 500):
-            total += np.bincount(np.concatenate(held[k : k + 500]), minlength=len(total)).astype(np.uint32)
-    if total.any():
-        parts = np.minimum(total, 65535).astype("<u2").reshape(SKETCH_CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])], names=["chunk", "counts"])
+        for c, n, t, v, w in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+            who = np.frombuffer(w, dtype="<u4")
+            for held, x in zip(out, (np.frombuffer(c, dtype="<i8")[who], np.frombuffer(n, dtype="<u4")[who], _unpacked(t), np.frombuffer(v, dtype=np.uint8))):
+                held.append(x)
+    kinds = (np.int64, np.uint32, np.uint64, np.uint8)
+    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=k) for x, k in zip(out, kinds))
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counts; 0 for the common run of cells, the binary logarithm for those well above it."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(zlib.decompress(blob), dtype="<u2").astype(np.int64)
-            total[chunk] = total[chunk] + v if chunk in total else v
-    for chunk, v in total.items():
-        level = np.where(v >= max(48, 3 * v.mean()), np.log2(np.maximum(v, 1)), 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()])], names=["chunk", "levels"])
+def _home(cls: np.ndarray, ranges: int) -> np.ndarray:
+    return ((mixed(cls.astype("<i8").view(np.uint64)) >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
+
+
+def _post_all(width: int, common, ranges: int):
+    """Shingles of each class to their range; very common ones straight to the home of their class.
+
+    Targets below ``ranges`` count, those from ``ranges`` on are homes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen, often = _Words(), set(), common.value
+        for b in batches:
+            cls, n, tok = [], [], []
+            for text in b.column(0):
+                s = shingles(text.as_py() or "", width, words)
+                c = _class(s)
+                if c is None or c in seen:
+                    continue
+                if len(seen) >= WORDS_KEPT:
+                    seen.clear()
+                seen.add(c)
+                cls.append(c)
+                tok.append(np.unique(s >> np.uint64(16)))
+                n.append(len(tok[-1]))
+            if not cls:
+                continue
+            cls, n, t = np.array(cls, dtype=np.int64), np.array(n), np.concatenate(tok)
+            who = np.repeat(np.arange(len(cls)), n)
+            to = ((mixed(t) >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
+            level = np.zeros(len(t), dtype=np.uint8)
+            if len(often):
+                hot = often[np.minimum(np.searchsorted(often, t), len(often) - 1)] == t
+                to[hot] = ranges + _home(cls[who[hot]], ranges)
+                level[hot] = MOST_COUNTED
+            yield from _posts(to, cls, n, t, level, who)
+
+    return run
+
+
+def _count(ranges: int):
+    """Shared shingles of a range go to the homes of their classes, with their number of classes as level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = []
+        for b in batches:
+            straight = np.array(b.column(0).to_pylist(), dtype=np.int64) >= ranges
+            if straight.any():
+                own = b.filter(pa.array(straight))
+                yield own.set_column(0, "part", pa.array(np.array(own.column(0).to_pylist(), dtype=np.int32) - ranges))
+            counted.append(b.filter(pa.array(~straight)))
+        cls, n, tok, _ = _received(iter(counted))
+        if not len(tok):
+            return
+        order = np.lexsort((cls, tok))
+        cls, n, tok = cls[order], n[order], tok[order]
+        new = np.r_[True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]
+        cls, n, tok = cls[new], n[new], tok[new]
+        first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        df = np.repeat(np.diff(np.r_[first, len(tok)]), np.diff(np.r_[first, len(tok)]))
+        keep = df > 1
+        if keep.any():
+            cls, n, tok, level = cls[keep], n[keep], tok[keep], np.minimum(df[keep], MOST_COUNTED - 1)
+            own, at, who = np.unique(cls, return_index=True, return_inverse=True)
+            yield from _posts(_home(own, ranges)[who], own, n[at], tok, level, who)
+
+    return run
+
+
+def _gather(percent: int):
+    """Classes that can have a link, with their shared shingles from the rarest on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, n, tok, level = _received(batches)
+        if not len(tok):
+            return
+        order = np.lexsort((tok, level, cls))
+        cls, n, tok = cls[order], n[order], tok[order]
+        new = np.r_[True, (cls[1:] != cls[:-1]) | (tok[1:] != tok[:-1])]
+        cls, n, tok = cls[new], n[new], tok[new]
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        rows = []
+        for a, z in zip(first, np.r_[first[1:], len(cls)]):
+            size = int(n[a])
+            if size - (z - a) < prefix_length(size, percent):
+                rows.append((int(cls[a]), size, _packed(tok[a:z])))
+        for k in range(0, len(rows), 2000):
+            c = list(zip(*rows[k : k + 2000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["cls", "n", "tok"])
+
+    return run
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -163,12 +273,12 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda most: (total(most), most))
 
 
-def _subset_signatures(tokens: np.ndarray, percent: int, most: int) -> list[int]:
-    """Bit 63 marks light signatures, bit 62 those that want two different sizes."""
-    n, out = len(tokens), []
+def _subset_signatures(tokens: np.ndarray, n: int, percent: int, most: int) -> list[int]:
+    """Subsets of the shared shingles of a set of size n. Bit 63 marks light signatures, bit 62 those that want two different sizes."""
+    out = []
     for m in _partners(n, percent):
         c = least_overlap(n, m, percent)
-        if not m or m > most or c > min(n, m):
+        if not m or m > most or c > min(n, m, len(tokens)):
             continue
         head = np.array([min(n, m), max(n, m)], dtype=np.uint64).tobytes()
         for chosen in combinations(tokens.tolist(), c):
@@ -177,28 +287,28 @@ def _subset_signatures(tokens: np.ndarray, percent: int, most: int) -> list[int]
     return out
 
 
-def _signatures(levels, percent: int, most: int, ranges: int):
+def _signatures(percent: int, most: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, dtype=np.uint8)
         for b in batches:
-            sigs, owner, sizes = [], [], []
-            for k, blob in enumerate(b.column(1)):
+            sigs, owner, sizes = [], [], b.column(1).to_pylist()
+            for k, (n, blob) in enumerate(zip(sizes, b.column(2))):
                 t = _unpacked(blob.as_py())
-                n = len(t)
-                sizes.append(n)
                 if n <= most:
-                    light = _subset_signatures(t, percent, most)
+                    light = _subset_signatures(np.sort(t), n, percent, most)
                     sigs.append(np.array(light, dtype=np.uint64))
                     owner.append(np.full(len(light), k))
                 if 100 * n // percent > most:
-                    order = np.argsort(level[_cells(t)], kind="stable")[: prefix_length(n, percent)]
-                    sigs.append(t[order])
-                    owner.append(np.full(len(order), k))
+                    # Unshared shingles are the rarest: they fill the head of the prefix and find nothing.
+                    head = t[: max(0, prefix_length(n, percent) - (n - len(t)))]
+                    sigs.append(head)
+                    owner.append(np.full(len(head), k))
             if not sigs:
                 continue
             sig, who = np.concatenate(sigs), np.concatenate(owner).astype(np.int64)
             cls, size = b.column(0).to_numpy(), np.array(sizes, dtype=np.uint32)
-            to = (_mix(sig) >> np.uint64(33)) % np.uint64(ranges)
+            if not len(sig):
+                continue
+            to = (mixed(sig) >> np.uint64(33)) % np.uint64(ranges)
             order = np.argsort(to, kind="stable")
             sig, who, to = sig[order], who[order], to[order]
             values, at = np.unique(to, return_index=True)
@@ -238,38 +348,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy()), pa.array(e[:, 2] == 1)], names=["a", "b", "sure"])
 
 
-def _filter_place(h: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(h.astype("<i8").view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _filter_words(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_filter_place(b.column(0).to_numpy(), bits))
-            words, first = np.unique(at >> 5, return_index=True)
-            if len(at):
-                value = np.bitwise_or.reduceat(np.int64(1) << (at & 31), first)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(value)], names=["word", "bits"])
-
-    return run
-
-
-def _probe(passing, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = passing.value
-        for b in batches:
-            at = _filter_place(b.column(0).to_numpy(), bits)
-            yield b.filter(pa.array((table[at >> 5] >> (at & 31)) & 1 == 1))
+def links(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix of linked sets, from products of 0/1 matrices over blocks of shared shingles.
 
-    return run
-
-
-def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Boolean matrix of linked sets, from products of 0/1 matrices over blocks of shared shingles."""
+    ``sets`` hold at least the shingles that two of them share; ``sizes`` count all.
+    """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), sizes)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
     shared = counts[ids] > 1
     column = (np.cumsum(counts > 1) - 1)[ids[shared]]
     owner = owner[shared]
@@ -304,19 +390,20 @@ def _forest(found: np.ndarray, cls: list[int]) -> list[tuple[int, int]]:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls, sets = None, [], []
+        key, cls, sets, sizes = None, [], [], []
 
         def done() -> list[tuple[int, int]]:
-            return _forest(links(sets, percent), cls) if len(cls) > 1 else []
+            return _forest(links(sets, np.array(sizes), percent), cls) if len(cls) > 1 else []
 
         for b in batches:
             out = []
-            for root, i, j, c, tok in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for root, i, j, c, n, tok in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if (root, i, j) != key:
                     out += done()
-                    key, cls, sets = (root, i, j), [], []
+                    key, cls, sets, sizes = (root, i, j), [], [], []
                 cls.append(c)
                 sets.append(_unpacked(tok))
+                sizes.append(n)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
         if out := done():
@@ -327,23 +414,15 @@ def _verify(percent: int):
 
 def _verified(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Edges of a spanning forest of the true links inside each candidate component."""
-    spark = sets.sparkSession
     parts = staged(connected_components(candidates), "candidates")
-    n = parts.count()
-    bits = min(FILTER_BITS, max(12, int(np.ceil(np.log2(16 * n + 1)))))
-    words = parts.select("v").mapInArrow(_filter_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    passing = np.zeros(1 << (bits - 5), dtype=np.int64)
-    passing[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    held = spark.sparkContext.broadcast(passing)
-    few = sets.filter("tok is not null").select("cls", "tok").mapInArrow(_probe(held, bits), "cls long, tok binary")
     size = parts.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     known = parts.join(size, "root").select("root", "v", F.ceil(F.col("m") / CHUNK).cast("int").alias("k"))
-    met = few.dropDuplicates(["cls"]).join(known, F.col("cls") == F.col("v"))
+    met = sets.join(known, F.col("cls") == F.col("v"))
     own = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("int")
     other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, k - 1), x -> x <> own)")))
     dealt = met.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "tok")
-    dealt = dealt.repartition(partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "tok")
+    dealt = dealt.repartition(partitions(sets.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -357,20 +436,22 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ranges = partitions(spark)
     sets = staged(rows.mapInArrow(_sets(shingle), SETS), "sets")
-    tokens = sets.filter("tok is not null").select("tok")
-    sums = tokens.mapInArrow(_count, "chunk int, counts binary").repartitionById(SKETCH_CHUNKS, F.col("chunk"))
-    table = {r["chunk"]: bytes(r["levels"]) for r in sums.mapInArrow(_levels, "chunk int, levels binary").collect()}
-    blank = bytes((1 << SKETCH_BITS) // SKETCH_CHUNKS)
-    levels = spark.sparkContext.broadcast(b"".join(table.get(k, blank) for k in range(SKETCH_CHUNKS)))
+    every = max(1, sets.count() // SAMPLE)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(every)) == 0).select("text")
+    often = sample.mapInArrow(_sampled(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = often.filter(F.col("n") >= max(8, int(COMMON * SAMPLE))).select("token").toArrow().column(0).to_numpy()
+    common = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
+    posted = rows.select("text").mapInArrow(_post_all(shingle, common, ranges), POSTED)
+    shared = posted.repartitionById(ranges, F.col("part") % ranges).mapInArrow(_count(ranges), POSTED)
+    kept = staged(shared.repartitionById(ranges, F.col("part")).mapInArrow(_gather(percent), KEPT), "kept")
     small = F.least("n", F.lit(2 * MOST_LIGHT))
-    histogram = {r["size"]: r["count"] for r in sets.filter("tok is not null").groupBy(small.alias("size")).count().collect()}
-    most = boundary(histogram, percent)
-    ranges = partitions(spark)
-    signed = sets.filter("tok is not null").select("cls", "tok").mapInArrow(_signatures(levels, percent, most, ranges), "part int, cls binary, size binary, sig binary, who binary")
+    most = boundary({r["size"]: r["count"] for r in kept.groupBy(small.alias("size")).count().collect()}, percent)
+    signed = kept.mapInArrow(_signatures(percent, most, ranges), "part int, cls binary, size binary, sig binary, who binary")
     edges = staged(signed.repartitionById(ranges, F.col("part")).mapInArrow(_scan, EDGE), "links")
     sure = edges.filter("sure").select("a", "b")
-    true = sure.unionByName(_verified(sets, edges.filter("not sure").select("a", "b"), percent))
+    true = sure.unionByName(_verified(kept, edges.filter("not sure").select("a", "b"), percent))
     linked = connected_components(true)
     classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = classes.join(linked, F.col("cls") == F.col("v"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
