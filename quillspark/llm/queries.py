@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, langid, mixing, ngram_join, packing
+from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, mixing, ngram_join, packing, pii, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good and not toxic, the background are all."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return lm_score.cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -30,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), with_position=True).drop("rate")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), langid.page_evidence(table(spark, sf_dir, "pages")))
 
@@ -41,10 +60,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
+        op2_lm_scoring,
+        op3_pii,
         op4_ngram_join,
         op5_best_fit_packing,
         op6_chat_formatting,
         op7_mixing,
+        op8_topk,
         op9_language_id,
         op10_exact_dedup,
     )
@@ -86,6 +109,15 @@ ORACLES: dict[str, str] = {
         SELECT d.*, copy::INTEGER AS copy, n_copies::INTEGER AS n_copies, md5('mix-1:at:' || d.doc_id || ':' || copy) AS order_key
         FROM documents d JOIN n USING (doc_id), LATERAL (SELECT unnest(range(n_copies)) AS copy)
     """,
+    "op8_topk": """
+        WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+        q AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS e FROM v),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
+              FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
