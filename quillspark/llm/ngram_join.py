@@ -47,7 +47,9 @@ SETS = "doc_id long, n long, cls long"
 POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
 KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18
+#: Texts whose shingles are held at once.
+SLICE = 2000
 
 
 class _Words(dict):
@@ -92,8 +94,8 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            found = [shingles(text.as_py() or "", width, words) for text in b.column(1)]
-            cols = [b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_class(s) for s in found], pa.int64())]
+            found = [(len(s), _class(s)) for s in (shingles(text.as_py() or "", width, words) for text in b.column(1))]
+            cols = [b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(2))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls"])
 
     return run
@@ -160,7 +162,7 @@ def _post_all(width: int, common, ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, often = _Words(), set(), common.value
-        for b in batches:
+        for b in (part.slice(k, SLICE) for part in batches for k in range(0, part.num_rows, SLICE)):
             cls, n, tok = [], [], []
             for text in b.column(0):
                 s = shingles(text.as_py() or "", width, words)
@@ -436,7 +438,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranges = partitions(spark)
+    ranges = 2 * partitions(spark)
     sets = staged(rows.mapInArrow(_sets(shingle), SETS), "sets")
     every = max(1, sets.count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(every)) == 0).select("text")
