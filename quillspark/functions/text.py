@@ -42,8 +42,10 @@ def word_count(c: Column) -> Column:
 
 def keyword_hits(c: Column, keywords: list[str]) -> Column:
     """How many distinct keywords occur, without regard to case; occurrences are not counted."""
-    low = F.lower(c)
-    return F.size(F.filter(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains(low, k))) if keywords else F.lit(0)
+    low, hits = F.lower(c), F.lit(0)
+    for k in keywords:  # one expression each, so that the lower-cased text is made once
+        hits = hits + F.contains(low, F.lit(k.lower())).cast("int")
+    return hits
 
 
 def law_code(title: Column) -> Column:
@@ -58,16 +60,17 @@ def spans(c: Column, pattern: str) -> Column:
     sum of their lengths gives each start.
     """
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
+    gaps = F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found))
+    # Arrays are zipped first: what a lambda refers to from outside would be evaluated for every element.
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
     empty = F.array().cast("array<struct<start:int,stop:int,match:string>>")
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, F.size(acc["out"]) + 1))
-        stop = start + F.length(m)
-        one = F.struct(start.alias("start"), stop.alias("stop"), m.alias("match"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        stop = start + F.length(x["match"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match")))).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def slug(c: Column, most: int = 60) -> Column:

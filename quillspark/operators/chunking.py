@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import law_code, strip
-from quillspark.operators.segment import articles, strip_leading_noise
+from quillspark.operators.segment import ARTICLE, articles_of, clean_lines, tidy
 from quillspark.operators.tagging import chunk_id, domain_tags, formatted_text
 from quillspark.profiles import Profile
 from quillspark.schemas import CHUNK_COLUMNS
@@ -26,12 +26,6 @@ SOURCE_TYPE = "COLESLAW"
 _BREAK = re.compile(r"[;:]\s+|(?<!\d)\.\s+|\n+")
 
 
-def tidy(s: str) -> str:
-    """Python twin of ``normalize_whitespace``."""
-    s = re.sub("[  \t]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub("\n{3,}", "\n\n", s).strip()
-
-
 def split_long(text: str, most: int) -> list[str]:
     """Cut after the last sentence end in the upper half of each window, else at its last blank, else at its end.
 
@@ -128,18 +122,22 @@ def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, kee
     Articles are split by ``split_body``; a record without articles gives, if ``keep_nonparsed``, parts of its whole
     text. Empty chunks are left out, after their number was counted. Columns: the three ordinals and the chunk fields.
     """
-    clean = records.withColumn("_clean", strip_leading_noise(F.col("text"), profile))
-    parsed = articles(clean, "_clean", profile).filter("article_body <> ''")
-    parsed = parsed.withColumn("_parts", split_column(F.col("article_body"), max_chars, profile)).withColumn("_always", F.lit(False))
-    if keep_nonparsed:
-        from quillspark.operators.segment import article_positions
-
-        none = F.lit(None).cast("string")
-        whole = clean.filter((F.size(article_positions(F.col("_clean"), profile)) == 0) & (F.col("_clean") != ""))
-        whole = whole.withColumn("article_idx", F.lit(0)).withColumn("_parts", split_column(F.col("_clean"), max_chars, None)).withColumn("_always", F.lit(True))
-        for c in ("article_number", "article_label", "article_heading", "article_body", "chapter"):
-            whole = whole.withColumn(c, none)
-        parsed = parsed.drop("article_start").unionByName(whole)
+    whole = {"article_start": 0}
+
+    @F.pandas_udf(f"ARRAY<STRUCT<{ARTICLE}, parts: ARRAY<STRING>, whole: BOOLEAN>>")
+    def read(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            clean = clean_lines(t or "", profile)
+            found = [x | {"parts": split_body(x["article_body"], max_chars, profile), "whole": False} for x in articles_of(clean, profile)]
+            if not found and keep_nonparsed and clean:
+                found = [whole | {"parts": split_long(clean, max_chars), "whole": True}]
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    parsed = records.withColumn("_read", read.asNondeterministic()(F.col("text")))
+    parsed = parsed.select(*records.columns, F.posexplode("_read").alias("article_idx", "_a")).select(*records.columns, "article_idx", "_a.*")
+    parsed = parsed.withColumnRenamed("parts", "_parts").withColumnRenamed("whole", "_always")
     many = F.size("_parts") > 1
     each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode("_parts").alias("part_idx", "_text"))
     index = F.col("part_idx") + 1

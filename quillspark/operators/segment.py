@@ -3,29 +3,23 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import lines, normalize_whitespace, spans, strip
+from quillspark.functions.text import lines, normalize_whitespace, strip
 from quillspark.profiles import Profile
 
 MULTI = "(?miUud)"
 
 
-def java(pattern: str) -> str:
-    """A pattern of a profile with the flags that make it read Unicode text alike here."""
-    m = re.match(r"\(\?([a-z]+)\)", pattern)
-    flags = m[1] if m else ""
-    body = pattern[m.end() :] if m else pattern
-    return f"(?{flags}{'u' if 'i' in flags else ''}Ud){body}"
-
-
-def strip_leading_noise(text: Column, profile: Profile) -> Column:
-    """Stripped lines; before the first article line, empty and noise lines are left out."""
-    own = F.transform(lines(F.coalesce(text, F.lit(""))), strip)
+def with_clean_text(df: DataFrame, text: str, profile: Profile, name: str) -> DataFrame:
+    """Adds the text of stripped lines; before the first article line, empty and noise lines are left out."""
     is_article = lambda x: F.lit(False) if not profile.article_lines else x.rlike("|".join(f"(?:{MULTI}{p})" for p in profile.article_lines))
-    first = F.array_position(F.transform(own, is_article), F.lit(True))
 
     def noise(x: Column) -> Column:
         out = x == ""
@@ -33,72 +27,107 @@ def strip_leading_noise(text: Column, profile: Profile) -> Column:
             out = out | x.startswith(p)
         return out
 
-    rest = F.filter(own, lambda x, i: ((first > 0) & (i + 1 >= first)) | ~noise(x))
-    return normalize_whitespace(F.array_join(rest, "\n"))
+    d = df.withColumn("_own", F.transform(lines(F.coalesce(text, F.lit(""))), strip))
+    d = d.withColumn("_first", F.array_position(F.transform("_own", is_article), F.lit(True)))
+    rest = F.filter("_own", lambda x, i: ((F.col("_first") > 0) & (i + 1 >= F.col("_first"))) | ~noise(x))
+    return d.withColumn(name, normalize_whitespace(F.array_join(rest, "\n"))).drop("_own", "_first")
 
 
-def chapter_positions(text: Column, profile: Profile) -> Column:
-    """array<struct<start, kind, label>> in page order."""
-    found = [F.transform(spans(text, java(p)), lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), strip(m["match"]).alias("label"))) for k, p in enumerate(profile.chapters)]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+def clean_lines(text: str, profile: Profile) -> str:
+    """Python twin of ``with_clean_text``."""
+    own = [x.strip() for x in text.splitlines()]
+    marks = [re.compile(f"(?mi){p}") for p in profile.article_lines]
+    first = next((i for i, x in enumerate(own) if any(m.match(x) for m in marks)), len(own))
+    kept = [x for x in own[:first] if x and not x.startswith(profile.noise_prefixes)]
+    return tidy("\n".join(kept + own[first:]))
 
 
-def article_positions(text: Column, profile: Profile) -> Column:
-    """array<struct<start, priority, stop, match>>, one for each start; the second set of patterns only if the first finds none."""
+def tidy(s: str) -> str:
+    """Python twin of ``normalize_whitespace``."""
+    s = re.sub("[\u00a0 \t]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub("\n{3,}", "\n\n", s).strip()
 
-    def union(patterns: tuple[str, ...]) -> Column:
-        found = [F.transform(spans(text, MULTI + p), lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("priority"), m["stop"].alias("stop"), m["match"].alias("match"))) for k, p in enumerate(patterns)]
-        return F.array_sort(F.concat(*found))
 
-    first = union(profile.articles)
-    every = F.when(F.size(first) > 0, first).otherwise(union(profile.roman_articles)) if profile.roman_articles else first
-    return F.filter(every, lambda m, i: (i == 0) | (F.get(F.transform(every, lambda x: x["start"]), i - 1) != m["start"]))
+@lru_cache(maxsize=32)
+def _compiled(patterns: tuple[str, ...], flags: int = 0) -> tuple[re.Pattern, ...]:
+    return tuple(re.compile(p, flags) for p in patterns)
 
 
-def is_structural_heading(line: Column, profile: Profile) -> Column:
-    out = F.lit(False)
-    for p in (*profile.chapters, profile.numbered_heading):
-        if p:
-            j = java(p)
-            flags = j[: j.index(")") + 1]
-            out = out | line.rlike(rf"{flags}\A(?:{j[len(flags):]})\z")
-    return (line != "") & out
+def _first_by_start(text: str, patterns: tuple[str, ...]) -> dict[int, re.Match]:
+    """Matches by start; where several patterns match, the earlier one counts."""
+    found: dict[int, re.Match] = {}
+    for rx in _compiled(patterns, re.M | re.I):
+        for m in rx.finditer(text):
+            found.setdefault(m.start(), m)
+    return found
 
 
-def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
-    """A row for each article of the column ``text``: article_idx, article_start, article_number, article_label,
-    article_heading, article_body, chapter, beside all columns of ``df``. Rows without articles give none.
+def chapters_of(text: str, profile: Profile) -> tuple[list[int], list[str]]:
+    """Starts and labels of the chapter headings; of headings at one place the last pattern stands last."""
+    found = sorted((m.start(), k, m[0].strip()) for k, rx in enumerate(_compiled(profile.chapters)) for m in rx.finditer(text))
+    return [f[0] for f in found], [f[2] for f in found]
+
+
+def is_structural_heading(line: str, profile: Profile) -> bool:
+    patterns = (*profile.chapters, profile.numbered_heading) if profile.numbered_heading else profile.chapters
+    return bool(line) and any(rx.fullmatch(line) for rx in _compiled(patterns))
+
+
+def articles_of(text: str, profile: Profile) -> list[dict]:
+    """The articles of a text in order, as dicts of the fields of ``ARTICLE``.
 
     Text before the first article is left out; a first line in parentheses is the heading; structural
     headings in the body are dropped; the forward style keeps its first line if that has more than two words.
     """
-    d = df.withColumn("_articles", article_positions(F.col(text), profile)).withColumn("_chapters", chapter_positions(F.col(text), profile))
-    d = d.select("*", F.posexplode("_articles").alias("article_idx", "_a"))
-    start, stop = F.col("_a.start"), F.col("_a.stop")
-    end = F.coalesce(F.try_element_at("_articles", F.col("article_idx") + 2)["start"], F.length(text))
-    piece = lambda a, b: strip(F.substring(F.col(text), a + 1, b - a))
-    d = d.withColumn("_block", piece(start, end)).withColumn("_after", piece(stop, end))
-    # Of the match only the number: its first run of digits, else of roman digits before the dot.
-    number = F.regexp_extract("_a.match", r"(?iUud)^\s*(?:člen\s+)?(\d+|[IVXLCDM]+)", 1)
-    first = strip(F.get(lines(F.col("_block")), 0))
-    forward = F.lower(first).startswith("člen ")
-    words = F.size(F.regexp_extract_all(first, F.lit(r"(?U)\S+"), 0))
-    body = F.when(forward & (words > 2), F.col("_block")).otherwise(F.col("_after"))
-    d = d.withColumn("article_number", number)
-    d = d.withColumn("article_label", F.when(forward, F.concat(F.lit("Člen "), "article_number")).otherwise(F.concat("article_number", F.lit(". člen"))))
-    d = d.withColumn("_lines", F.filter(F.transform(lines(body), strip), lambda x: x != ""))
-    headed = F.coalesce(F.get("_lines", 0).rlike(r"\A\(.+\)\z"), F.lit(False))
-    d = d.withColumn("article_heading", F.when(headed, strip(F.regexp_extract(F.get("_lines", 0), r"\A\((.+)\)\z", 1))))
-    rest = F.filter("_lines", lambda x, i: ~(headed & (i == 0)) & ~is_structural_heading(x, profile))
-    d = d.withColumn("article_body", normalize_whitespace(F.array_join(rest, "\n")))
-    before = F.filter("_chapters", lambda c: c["start"] <= F.col("_a")["start"])
-    d = d.withColumn("chapter", F.try_element_at(before, F.lit(-1))["label"]).withColumn("article_start", start)
-    return d.drop("_articles", "_chapters", "_a", "_block", "_after", "_lines")
+    found = _first_by_start(text, profile.articles) or _first_by_start(text, profile.roman_articles)
+    starts = sorted(found)
+    places, labels = chapters_of(text, profile) if found else ([], [])
+    out = []
+    for start, end in zip(starts, [*starts[1:], len(text)]):
+        m = found[start]
+        block, rest = text[start:end].strip(), text[m.end() : end].strip()
+        if not block:
+            continue
+        head = block.splitlines()[0].strip()
+        forward = head.lower().startswith("člen ")
+        body = [x for x in map(str.strip, (block if forward and len(head.split()) > 2 else rest).splitlines()) if x]
+        heading = None
+        if body and re.fullmatch(r"\(.+\)", body[0]):
+            heading = body.pop(0)[1:-1].strip()
+        k = bisect_right(places, start)
+        out.append(
+            {
+                "article_start": start,
+                "article_number": m[1],
+                "article_label": f"Člen {m[1]}" if forward else f"{m[1]}. člen",
+                "article_heading": heading,
+                "article_body": tidy("\n".join(x for x in body if not is_structural_heading(x, profile))),
+                "chapter": labels[k - 1] if k else None,
+            }
+        )
+    return out
+
+
+ARTICLE = "article_start: INT, article_number: STRING, article_label: STRING, article_heading: STRING, article_body: STRING, chapter: STRING"
+
+
+def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
+    """A row for each article of the column ``text``: article_idx and the fields of ``ARTICLE`` beside all columns of ``df``.
+
+    Matching with offsets and the passage from one article to the next have no built-in; one Arrow function reads
+    each text once. It is declared nondeterministic so that no filter makes it run twice. Rows without
+    articles (or with a null text) give none.
+    """
+
+    @F.pandas_udf(f"ARRAY<STRUCT<{ARTICLE}>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([articles_of(t, profile) if t else [] for t in texts], dtype=object)
+
+    d = df.withColumn("_read", read.asNondeterministic()(F.col(text)))
+    return d.select("*", F.posexplode("_read").alias("article_idx", "_a")).select(*df.columns, "article_idx", "_a.*")
 
 
 def asof_heading(rows: DataFrame, group: str, position: str, label: str, out: str) -> DataFrame:
     """The last non-null label at or before each row of its group: the line-table form of the chapter lookup."""
-    from pyspark.sql import Window as W
-
     frame = W.partitionBy(group).orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn(out, F.last(label, ignorenulls=True).over(frame))
