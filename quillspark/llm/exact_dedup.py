@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, partitions, staged, without_ids
+from quillspark.llm.common import fresh, partitions, staged, trimmed, without_ids
 
 FAN_IN = 4
 #: Characters that do not count when texts are compared.
@@ -79,18 +79,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_chars"))
-    keyed = staged(rows.mapInArrow(_digests, KEYED), "digests")
+    keyed = staged(rows.mapInArrow(trimmed(_digests), KEYED), "digests")
     slots, rounds = FAN_IN, 1
     while slots < partitions(df.sparkSession):
         slots, rounds = slots * FAN_IN, rounds + 1
     entries = keyed.select(F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot"), *DIGEST, "n_chars", "doc_id", "uid", F.lit(1).cast("long").alias("n"))
-    entries = _sorted(entries).mapInArrow(_merge, ENTRY)
+    entries = _sorted(entries).mapInArrow(trimmed(_merge), ENTRY)
     share = F.expr(f"cast(pmod(d0, {slots}) as int)")
     for r in range(rounds):
         unit = FAN_IN**r
         digit = lambda c: F.floor(c / unit).cast("int") % FAN_IN  # noqa: B023, E731
         met = entries.withColumn("slot", (F.col("slot") + (digit(share) - digit(F.col("slot"))) * unit).cast("int"))
-        entries = _sorted(met.repartitionById(slots, F.col("slot"))).mapInArrow(_merge, ENTRY)
+        entries = _sorted(met.repartitionById(slots, F.col("slot"))).mapInArrow(trimmed(_merge), ENTRY)
     kept = entries.filter("n > 1").select(*DIGEST, F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size"))
     joined = keyed.join(kept, list(DIGEST), "left")
     alone = F.col("keep_uid").isNull()

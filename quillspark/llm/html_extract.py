@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged
+from quillspark.llm.common import partitions, staged, trimmed
 from quillspark.llm.dom import BLOCK, Node, parse
 
 #: Counters of a template node; a text is constant from this share of at least so many pages on.
@@ -319,10 +319,10 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     """host, template for each host: partial templates of tasks meet in two rounds, so that a host with very many pages is spread."""
     parts = partitions(pages.sparkSession)
     schema = "host string, template string"
-    first = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(_induce, schema)
+    first = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(trimmed(_induce), schema)
     salted = first.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(max(1, int(parts**0.5)))))
-    once = salted.repartition(parts, "host", "salt").select("host", "template").sortWithinPartitions("host").mapInArrow(_combine, schema)
-    return once.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(_combine, schema)
+    once = salted.repartition(parts, "host", "salt").select("host", "template").sortWithinPartitions("host").mapInArrow(trimmed(_combine), schema)
+    return once.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(trimmed(_combine), schema)
 
 
 def _extract(table):
@@ -363,7 +363,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     size = templates.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         table = spark.sparkContext.broadcast({r["host"]: r["template"] for r in templates.collect()})
-        return rows.mapInArrow(_extract(table), TEXT)
+        return rows.mapInArrow(trimmed(_extract(table)), TEXT)
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     joined = rows.withColumn("host", F.coalesce(host, F.lit(""))).join(templates, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(_extract(None), TEXT)
+    return joined.select("page_id", "url", "html", "template").mapInArrow(trimmed(_extract(None)), TEXT)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged
+from quillspark.llm.common import staged, trimmed
 
 #: Labelled rows that the models are fitted on, the first by a hash of the id.
 SAMPLE = 2000
@@ -67,7 +67,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
     rows = df.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     rows = rows.select(F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(3)).alias("draw"))
     total: dict[str, np.ndarray] = {}
-    for r in rows.orderBy("draw").limit(sample).select("label", "text").mapInArrow(_counts, "label string, counts binary").collect():
+    for r in rows.orderBy("draw").limit(sample).select("label", "text").mapInArrow(trimmed(_counts), "label string, counts binary").collect():
         v = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.int64)
         total[r["label"]] = total.get(r["label"], 0) + v
     langs = sorted(total)
@@ -113,6 +113,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def _conditional(counts: list, n: int) -> np.ndarray:
     """log P(evidence | language), by evidence (0: none) and language; no evidence tells nothing."""
+    if n == 1:
+        return np.zeros((1, 1))
     table = np.full((n, n), 0.5)
     for evidence, guess, k in counts:
         if evidence > 0:
@@ -166,7 +168,7 @@ def identify(
     model = spark.sparkContext.broadcast(table)
     n = len(langs)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), SCORES)
+    scored = rows.mapInArrow(trimmed(_score(model)), SCORES)
     codes = F.array(*(F.lit(x) for x in langs[:-1])) if n > 1 else F.array().cast("array<string>")
     index = lambda c: F.coalesce(F.array_position(codes, c), F.lit(0)).cast("int")
     if evidence is None:
@@ -187,4 +189,4 @@ def identify(
     overall = np.array([x or 0 for x in hosts.agg(*sums).first()], dtype=float) + 1
     domains = hosts.groupBy("domain").agg(F.array(*sums).alias("domain_counts"))
     hosts = hosts.join(domains, "domain").select("host", "host_counts", "domain_counts")
-    return scored.drop("domain").join(hosts, "host").mapInArrow(_fuse(langs, *tables, overall / overall.sum()), FOUND)
+    return scored.drop("domain").join(hosts, "host").mapInArrow(trimmed(_fuse(langs, *tables, overall / overall.sum())), FOUND)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged, without_ids
+from quillspark.llm.common import partitions, staged, trimmed, without_ids
 from quillspark.llm.components import connected_components
 from quillspark.llm.passing import mixed
 
@@ -49,7 +49,7 @@ KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
 WORDS_KEPT = 1 << 18
 #: Texts whose shingles are held at once.
-SLICE = 2000
+SLICE = 1000
 
 
 class _Words(dict):
@@ -425,7 +425,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
     dealt = met.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "tok")
     dealt = dealt.repartition(partitions(sets.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(_verify(percent), "a long, b long")
+    return dealt.mapInArrow(trimmed(_verify(percent)), "a long, b long")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -439,19 +439,19 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ranges = 2 * partitions(spark)
-    sets = staged(rows.mapInArrow(_sets(shingle), SETS), "sets")
+    sets = staged(rows.mapInArrow(trimmed(_sets(shingle)), SETS), "sets")
     every = max(1, sets.count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(every)) == 0).select("text")
-    often = sample.mapInArrow(_sampled(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = sample.mapInArrow(trimmed(_sampled(shingle)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= max(8, int(COMMON * SAMPLE))).select("token").toArrow().column(0).to_numpy()
     common = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
-    posted = rows.select("text").mapInArrow(_post_all(shingle, common, ranges), POSTED)
-    shared = posted.repartitionById(ranges, F.col("part") % ranges).mapInArrow(_count(ranges), POSTED)
-    kept = staged(shared.repartitionById(ranges, F.col("part")).mapInArrow(_gather(percent), KEPT), "kept")
+    posted = rows.select("text").mapInArrow(trimmed(_post_all(shingle, common, ranges)), POSTED)
+    shared = posted.repartitionById(ranges, F.col("part") % ranges).mapInArrow(trimmed(_count(ranges)), POSTED)
+    kept = staged(shared.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_gather(percent)), KEPT), "kept")
     small = F.least("n", F.lit(2 * MOST_LIGHT))
     most = boundary({r["size"]: r["count"] for r in kept.groupBy(small.alias("size")).count().collect()}, percent)
-    signed = kept.mapInArrow(_signatures(percent, most, ranges), "part int, cls binary, size binary, sig binary, who binary")
-    edges = staged(signed.repartitionById(ranges, F.col("part")).mapInArrow(_scan, EDGE), "links")
+    signed = kept.mapInArrow(trimmed(_signatures(percent, most, ranges)), "part int, cls binary, size binary, sig binary, who binary")
+    edges = staged(signed.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_scan), EDGE), "links")
     sure = edges.filter("sure").select("a", "b")
     true = sure.unionByName(_verified(kept, edges.filter("not sure").select("a", "b"), percent))
     linked = connected_components(true)

@@ -3,7 +3,7 @@
 A configuration is a multiset of piece lengths that fits into one sequence. The linear program covers the
 histogram with as few configurations as possible. Multiplicative weights play its dual: each length has a
 weight that shrinks as the length gets covered, and a knapsack dynamic program prices the configuration of
-the largest weight. Amounts are then rounded down, and the few pieces left over are packed best-fit.
+the largest weight. Amounts are then rounded, and the pieces left over are packed best-fit.
 
 Only the histogram (at most ``capacity`` rows) reaches the driver. Each task numbers its own pieces of each
 length, sums of the counts turn that into a rank over the whole table, and the rank alone gives sequence
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged
+from quillspark.llm.common import staged, trimmed
 
 CAPACITY = 2048
 END_ID = 0
@@ -145,13 +145,13 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum(bins.values(), Counter())
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """Configurations with whole multiplicities that hold the histogram exactly."""
-    left = Counter({k: v for k, v in histogram.items() if v})
-    out: Counter = Counter()
-    for config, amount in sorted(configuration_lp(left, capacity).items(), key=lambda x: (-x[1], x[0])):
-        # Down where that loses little, up while the pieces are there: the filling is what counts.
-        k = min([int(np.ceil(amount - 1e-6)), *(left[x] // n for x, n in config)])
+def rounded(amounts: dict[tuple, float], histogram: Counter, capacity: int, up_from: float) -> Counter:
+    """Whole multiplicities: down, but up for configurations filled at least to ``up_from``; what is left goes best-fit."""
+    left, out = Counter(histogram), Counter()
+    for config, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
+        full = sum(x * n for x, n in config) >= up_from
+        k = int(np.ceil(amount - 1e-6) if full else np.floor(amount + 1e-6))
+        k = min([k, *(left[x] // n for x, n in config)])
         if k:
             out[config] += k
             for x, n in config:
@@ -160,6 +160,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """Configurations with whole multiplicities that hold the histogram exactly: the best of three roundings."""
+    demand = Counter({k: v for k, v in histogram.items() if v})
+    amounts = configuration_lp(demand, capacity)
+    return min((rounded(amounts, demand, capacity, up) for up in (np.inf, capacity, 0)), key=lambda c: sum(c.values()))
+
+
 def _slots(configs: Counter) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: first rank, copies a sequence, first sequence, first offset, of each configuration that has it."""
     rows, rank, sequence = defaultdict(list), Counter(), 0
@@ -212,10 +219,10 @@ def pack(
     spark = df.sparkSession
     special = {"<|endoftext|>": 50256} if special is None else special
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = staged(rows.mapInArrow(_tokenise(ranks_path, pattern, special, capacity, end_id), PIECES), "pieces")
+    pieces = staged(rows.mapInArrow(trimmed(_tokenise(ranks_path, pattern, special, capacity, end_id)), PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
     before = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_place(slots), PLACED)
+    return ranked.mapInArrow(trimmed(_place(slots)), PLACED)

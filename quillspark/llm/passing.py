@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import trimmed
+
 #: At most 2 ** 24 bits (2 MB), whatever the input; a full filter passes more rows, never fewer.
 MOST_BITS = 24
 
@@ -42,7 +44,7 @@ class Passing:
     def __init__(self, keys: DataFrame) -> None:
         spark = keys.sparkSession
         self.bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(16 * keys.count() + 1)))))
-        words = keys.mapInArrow(_words(self.bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = keys.mapInArrow(trimmed(_words(self.bits)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         table = np.zeros(1 << (self.bits - 5), dtype=np.uint32)
         table[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
         self.held = spark.sparkContext.broadcast(table)
@@ -61,4 +63,4 @@ class Passing:
             for b in batches:
                 yield b.filter(pa.array(self(b.column(0).to_numpy())))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(trimmed(run), df.schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, staged
+from quillspark.llm.common import fresh, staged, trimmed
 from quillspark.llm.passing import Passing
 
 KINDS = ("email", "ip", "card", "phone")
@@ -196,7 +196,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     contexts are one; null ids are carried; an empty table gives an empty result; other columns are ignored.
     """
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    found = staged(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).mapInArrow(_find, SCHEMA), "spans")
+    found = staged(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).mapInArrow(trimmed(_find), SCHEMA), "spans")
     n_docs = max(2, found.count())
     near = found.filter(F.size("mentions") > 0).select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
     pairs = near.select("entity", "term", "context", "uid").groupBy("entity", "term").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
@@ -208,7 +208,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = pairs.join(exact, ["entity", "term"]).filter(F.col("n_contexts") >= support)
     pairs = staged(pairs.select("entity", "term"), "pairs")
     passing = Passing(pairs.select("term").distinct())
-    in_corpus = df.select(text).mapInArrow(_document_counts(passing), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    in_corpus = df.select(text).mapInArrow(trimmed(_document_counts(passing)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     per_doc = near.select("entity", "term", "uid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     per_entity = near.select("entity", "uid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     known = pairs.join(per_doc, ["entity", "term"]).join(per_entity, "entity").join(in_corpus, "term")
@@ -242,7 +242,7 @@ def sanitised(text: str, spans: str) -> str:
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with the text of each row generalised; ids must be unique and not null."""
-    generalise = F.pandas_udf(lambda t, x: t.combine(x, lambda a, b: None if a is None else sanitised(a, b)), "string")
+    generalise = F.pandas_udf(lambda t, x: t.combine(x, lambda a, b: None if a is None else sanitised(a, b or "")), "string")
     name, key = fresh(df, "__spans"), fresh(df, "__span_id")
     found = find_personal_data(df, id_col, text_col, **options).select(F.col("doc_id").alias(key), F.col("spans").alias(name)).filter(F.col(name) != "")
     out = df.join(found, F.col(f"`{id_col}`").cast("long") == F.col(key), "left")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged
+from quillspark.llm.common import partitions, staged, trimmed
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 #: Rows that give the starting k-th scores and, of them, pivots; neither changes the result.
@@ -229,7 +229,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     width = max((len(r["v"]) for r in first), default=0)
     seen = np.array([np.pad(quantise(r["v"]), (0, width - len(r["v"]))) for r in first]).reshape(len(first), width)
     held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in first], dtype=np.int64), seen))
-    prepared = staged(rows.mapInArrow(_prepare(held, k, PIVOTS, query_every), ROWS), "vectors")
+    prepared = staged(rows.mapInArrow(trimmed(_prepare(held, k, PIVOTS, query_every)), ROWS), "vectors")
     cells = {r["cell"]: r["count"] for r in prepared.groupBy("cell").count().collect()}
     n = sum(cells.values())
     size = max(BLOCK, n // (8 * partitions(spark)))
@@ -247,6 +247,6 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(parts)).cast("int").alias("part"), "vec_id", "v", "floor"
     )
     met = data.unionByName(asked).repartition(max(1, blocks), "block").sortWithinPartitions("block", "query", "part", "vec_id")
-    found = met.mapInArrow(_search(k), FOUND)
+    found = met.mapInArrow(trimmed(_search(k)), FOUND)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
