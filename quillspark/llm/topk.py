@@ -21,7 +21,7 @@ from quillspark.llm.common import partitions, staged, trimmed
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 #: Rows that give the starting k-th scores and, of them, pivots; neither changes the result.
-SAMPLE, PIVOTS = 2048, 64
+SAMPLE, PIVOTS = 8192, 64
 #: Least vectors in a block; query rows in a query block.
 BLOCK, QUERY_BLOCK = 1024, 2048
 #: Child nodes cover their points within the parent's radius divided by this.
