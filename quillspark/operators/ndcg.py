@@ -47,3 +47,19 @@ def ndcg(graded: DataFrame, predicted: str = "predicted", grade: str = "grade",
 def ndcg_summary(values: DataFrame) -> DataFrame:
     """k, mean, std (of the population), n over the values that are there."""
     return values.groupBy("k").agg(F.avg("ndcg").alias("mean"), F.stddev_pop("ndcg").alias("std"), F.count("ndcg").alias("n"))
+
+
+def parse_scores(reply):
+    """The list of whole numbers under "scores" in a grader's reply, null if there is none."""
+    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    return F.from_json(body, "scores ARRAY<INT>")["scores"]
+
+
+def batch_grades(replies: DataFrame, size: int = GRADING_BATCH) -> DataFrame:
+    """query_id, cand_pos, grade from rows with query_id, batch (from 0) and scores: batches put together by position.
+
+    Scores beyond the batch size are cut off; those a batch does not give (all, if it failed) are missing, and
+    ``with_grades`` makes them 0.
+    """
+    each = replies.select("query_id", "batch", F.posexplode("scores").alias("i", "grade")).filter(F.col("i") < size)
+    return each.select("query_id", (F.col("batch") * size + F.col("i") + 1).cast("int").alias("cand_pos"), F.coalesce("grade", F.lit(0)).alias("grade"))

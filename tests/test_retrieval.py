@@ -110,3 +110,10 @@ def test_embedding_of_nothing_is_zero(spark):
     d = embedding.embed(spark.createDataFrame([("a b",), ("",), (None,)], "t string"), F.col("t"))
     v = [r["embedding"] for r in d.collect()]
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-6 and set(v[1]) == set(v[2]) == {0.0}
+
+
+def test_grades_of_batches(spark):
+    rows = [(1, 0, 'Ocene: {"scores": [4, 0, 3]}'), (1, 1, '{"scores": [1,2,3,4]}'), (2, 0, "down"), (3, 0, None)]
+    d = spark.createDataFrame(rows, "query_id long, batch int, reply string").withColumn("scores", ndcg.parse_scores(F.col("reply")))
+    got = sorted(tuple(r) for r in ndcg.batch_grades(d, 3).collect())
+    assert got == [(1, 1, 4), (1, 2, 0), (1, 3, 3), (1, 4, 1), (1, 5, 2), (1, 6, 3)]
