@@ -25,6 +25,9 @@ CLOSES: dict[str, tuple[frozenset, frozenset]] = {
 ENDS_P = BLOCK - {"option", "optgroup", "body", "html"}
 KEEPS_P = frozenset({"td", "th", "table", "button", "object", "caption"})
 
+#: Elements open at once; deeper ones stay where the deepest is, so that no page can exhaust the stack.
+MOST_DEPTH = 200
+
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
 _LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -104,8 +107,6 @@ def parse(page: str) -> Node:
             e = _END_RAW[tag].search(page, at)
             node.children.append(page[at : e.start() if e else size])
             at = e.end() if e else size
-        elif tag not in VOID and not m[2].endswith("/"):
-            stack.append(node)
-        elif m[2].endswith("/") and tag not in VOID:
-            stack.append(node)  # "<div/>" opens a div in HTML
+        elif tag not in VOID and len(stack) < MOST_DEPTH:
+            stack.append(node)  # even "<div/>" opens a div in HTML
     return root

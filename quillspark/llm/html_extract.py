@@ -35,7 +35,7 @@ HOSTS_HELD = 2000
 #: A container is the main one if it holds this share of the text that is left.
 MAIN_SHARE = 0.7
 
-DROPPED_TAGS = frozenset("head script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select textarea input dialog menu search".split())
+DROPPED_TAGS = frozenset("head title textarea noembed noframes script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select textarea input dialog menu search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id that name a part other than content (fixed list).
 DROPPED_WORDS = frozenset(
@@ -45,6 +45,8 @@ DROPPED_WORDS = frozenset(
 )
 CONTAINERS = frozenset({"html", "body", "main", "article", "#root"})
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?:has|have|with|without|no|not|is|hide|show)[-_]", re.I)
 TEXT = "page_id long, url string, text string, n_chars long"
 
 
@@ -68,7 +70,10 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in DROPPED_ROLES and not _holds_article(node):
         return True
-    named = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    names = [x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not _ABOUT.match(x)]
+    if node.tag == "article":  # an article is what one of its whole names says
+        return any(x.lower() in DROPPED_WORDS or x.lower().startswith("comment") for x in names)
+    named = {w.lower() for x in names for w in _WORDS.findall(x)}
     if not inside:
         named = named | ({"nav"} if "header" in named else set())
     return bool(named & DROPPED_WORDS) and not _holds_article(node)

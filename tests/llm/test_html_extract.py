@@ -22,6 +22,12 @@ def test_article_without_its_surroundings():
     assert text(body) == "A & B\nOne two three\nFour five\nsix\nx\ny"
 
 
+def test_names_that_only_tell_about_an_element():
+    assert text("<article class='post ad-free'><p>a</p></article>") == "a"
+    assert text("<div class='content has-sidebar no-ads'><h1>t</h1><p>a b c</p></div><div class='ads'>x</div>") == "t\na b c"
+    assert text("<article><p>long text here</p></article><article class='comment'>c</article>") == "long text here"
+
+
 def test_broken_markup():
     assert text("<article><p><b>Bold.<br><p>Next < 3 & more</p><p title='a>b'>q</article>") == "Bold.\nNext < 3 & more\nq"
     assert text("<main><table><tr><td>a<td>b<tr><td>c</table></main>") == "a\nb\nc"
@@ -32,8 +38,9 @@ def test_broken_markup():
 
 
 def test_deep_nesting_is_read():
-    deep = "<div>" * 400 + "core" + "</div>" * 400
-    assert op.extract(f"<article>{deep}</article>", None) == "core"
+    for n in (100, 400, 5000):
+        assert op.extract(f"<article>{'<div>' * n}core{'</div>' * n}</article>", None) == "core"
+    assert op.extract("<article>" + "<span>x " * 3000, None).split() == ["x"] * 3000
 
 
 def test_slots_of_a_template_are_content():
