@@ -145,12 +145,17 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum(bins.values(), Counter())
 
 
-def rounded(amounts: dict[tuple, float], histogram: Counter, capacity: int, up_from: float) -> Counter:
-    """Whole multiplicities: down, but up for configurations filled at least to ``up_from``; what is left goes best-fit."""
+def rounded(amounts: dict[tuple, float], histogram: Counter, capacity: int, least_fill: int, up_from: float) -> Counter:
+    """Whole multiplicities of the configurations filled at least to ``least_fill``; what is left goes best-fit.
+
+    Amounts are rounded down, but up for configurations filled at least to ``up_from`` while the pieces are there.
+    """
     left, out = Counter(histogram), Counter()
     for config, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        full = sum(x * n for x, n in config) >= up_from
-        k = int(np.ceil(amount - 1e-6) if full else np.floor(amount + 1e-6))
+        fill = sum(x * n for x, n in config)
+        if fill < least_fill:
+            continue
+        k = int(np.ceil(amount - 1e-6) if fill >= up_from else np.floor(amount + 1e-6))
         k = min([k, *(left[x] // n for x, n in config)])
         if k:
             out[config] += k
@@ -161,10 +166,11 @@ def rounded(amounts: dict[tuple, float], histogram: Counter, capacity: int, up_f
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """Configurations with whole multiplicities that hold the histogram exactly: the best of three roundings."""
+    """Configurations with whole multiplicities that hold the histogram exactly: the best of five roundings."""
     demand = Counter({k: v for k, v in histogram.items() if v})
     amounts = configuration_lp(demand, capacity)
-    return min((rounded(amounts, demand, capacity, up) for up in (np.inf, capacity, 0)), key=lambda c: sum(c.values()))
+    ways = ((0, np.inf), (0, capacity), (0, 0), (capacity, np.inf), (capacity, capacity))
+    return min((rounded(amounts, demand, capacity, *way) for way in ways), key=lambda c: sum(c.values()))
 
 
 def _slots(configs: Counter) -> dict[int, tuple[np.ndarray, ...]]:
