@@ -441,7 +441,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ranges = 2 * partitions(spark)
     sets = staged(rows.mapInArrow(trimmed(_sets(shingle)), SETS), "sets")
     every = max(1, sets.count() // SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(every)) == 0).select("text")
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(every)) == 0).select("text")
     often = sample.mapInArrow(trimmed(_sampled(shingle)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= max(8, int(COMMON * SAMPLE))).select("token").toArrow().column(0).to_numpy()
     common = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
