@@ -11,9 +11,11 @@ from quillspark.llm.common import staged
 MOST_STEPS = 60
 
 
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.shiftright(h, 20)), F.lit(0)), F.coalesce(F.bit_xor(h), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex is either a root or a child of one root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return both.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,9 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = staged(e, "edges")
-    mark = _signature(e)
     for _ in range(MOST_STEPS):
-        if not mark[0]:
+        if _settled(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -34,9 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, mark = mark, _signature(e)
-        if mark == before:
-            break
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(e.select("v", F.col("v").alias("root")).distinct())
