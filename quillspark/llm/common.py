@@ -52,6 +52,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def thinned(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About ``size`` rows of ``df``, those whose key hashes lowest; all of them if there are fewer.
+
+    The share follows from the count, so no task orders or gathers more than the sample.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n <= size:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(13)), F.lit(1 << 31)) < int((1 << 31) * size / n))
+
+
 #: Ids of at most so many rows (half a megabyte) are broadcast.
 BROADCAST_IDS = 50_000
 

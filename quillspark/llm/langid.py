@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged, trimmed
+from quillspark.llm.common import staged, thinned, trimmed
 
-#: Labelled rows that the models are fitted on, the first by a hash of the id.
+#: Labelled rows (about) that the models are fitted on, those whose id and text hash lowest.
 SAMPLE = 2000
 BUCKETS = 1 << 15
 #: Overlapping trigrams repeat each other's evidence: each counts for a third, and at most this many count.
@@ -65,9 +65,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages with "und" at the end, and log P(trigram | language) by row."""
     rows = df.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    rows = rows.select(F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(3)).alias("draw"))
+    rows = rows.select(F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("string").alias("id"))
     total: dict[str, np.ndarray] = {}
-    for r in rows.orderBy("draw").limit(sample).select("label", "text").mapInArrow(trimmed(_counts), "label string, counts binary").collect():
+    for r in thinned(rows, sample, "id", "text").select("label", "text").mapInArrow(trimmed(_counts), "label string, counts binary").collect():
         v = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.int64)
         total[r["label"]] = total.get(r["label"], 0) + v
     langs = sorted(total)

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged, trimmed
+from quillspark.llm.common import partitions, staged, thinned, trimmed
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
-#: Rows that give the starting k-th scores and, of them, pivots; neither changes the result.
+#: Rows (about) that give the starting k-th scores and, of them, pivots; neither changes the result.
 SAMPLE, PIVOTS = 8192, 64
 #: Least vectors in a block; query rows in a query block.
 BLOCK, QUERY_BLOCK = 1024, 2048
@@ -225,7 +225,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter("vec_id is not null and size(v) > 0")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    first = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).collect()
+    first = sorted(thinned(rows, sample, "vec_id").collect(), key=lambda r: r["vec_id"])
     width = max((len(r["v"]) for r in first), default=0)
     seen = np.array([np.pad(quantise(r["v"]), (0, width - len(r["v"]))) for r in first]).reshape(len(first), width)
     held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in first], dtype=np.int64), seen))
