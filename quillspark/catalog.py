@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -160,7 +159,7 @@ def _candidates(spark: SparkSession, d: str, metric: str) -> tuple[DataFrame, Da
 def _ndcg_values(spark: SparkSession, d: str, metric: str = "cosine") -> DataFrame:
     found, grades = _candidates(spark, d, metric)
     sign = 1 if metric == "ip" else -1
-    # One decimal: many candidates tie, as the shared gain of ties is part of the measure.
+    # Two decimals: candidates tie, as the shared gain of ties is part of the measure.
     graded = ndcg.with_grades(found, grades).withColumn("predicted", F.round(F.col("score") * sign, 2))
     return ndcg.ndcg(graded, last_k=2 * K)
 

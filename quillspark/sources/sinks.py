@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import slug
+
 METRICS = {"cosine": "ip", "l2": "l2"}
 
 
@@ -15,9 +17,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_store(chunks: DataFrame, path: str) -> None:
-    df = chunks
-    df.write.mode("overwrite").parquet(path)
+def write_store(chunks: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """The canonical store, optionally in a folder for each value of a column (such as law_code), so that scans prune."""
+    writer = chunks.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def index_metric(name: str) -> str:
@@ -47,16 +50,14 @@ def ndcg_document(summary: DataFrame, **about) -> dict:
     return {**about, "average_results": {f"ndcg@{r['k']}": {"mean": r["mean"], "std": r["std"], "n": r["n"]} for r in rows}}
 
 
-def write_query_artifacts(df: DataFrame, slug: str, path: str) -> None:
+def write_query_artifacts(df: DataFrame, slug_name: str, path: str) -> None:
     """Per-query artefacts (prompts, grades) in a folder for each slug."""
-    df.write.mode("overwrite").partitionBy(slug).json(path)
+    df.write.mode("overwrite").partitionBy(slug_name).json(path)
 
 
-def write_text(df: DataFrame, column, path: str) -> None:
+def write_text(df: DataFrame, column: Column, path: str) -> None:
     df.select(column.alias("value")).write.mode("overwrite").text(path)
 
 
-def slug_column(c):
-    from quillspark.functions.text import slug
-
+def slug_column(c: Column) -> Column:
     return F.coalesce(F.nullif(slug(c), F.lit("")), F.lit("query"))
