@@ -48,6 +48,9 @@ POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
 KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
 WORDS_KEPT = 1 << 18
+#: Ranges of shingles, at least; more follow the shuffle partitions. A class is named once in each range, so
+#: the bytes a shingle costs rise with the ranges until each holds one shingle of a class.
+LEAST_RANGES = 64
 #: Texts whose shingles are held at once.
 SLICE = 1000
 
@@ -438,7 +441,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranges = 2 * partitions(spark)
+    ranges = max(LEAST_RANGES, partitions(spark))
     sets = staged(rows.mapInArrow(trimmed(_sets(shingle)), SETS), "sets")
     every = max(1, sets.count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(every)) == 0).select("text")

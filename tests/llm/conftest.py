@@ -42,3 +42,11 @@ def nothing(spark):
 @pytest.fixture(scope="session")
 def small(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").repartition(4).cache()
+
+
+@pytest.fixture(autouse=True)
+def few_ranges(monkeypatch):
+    """Few tasks for small tables."""
+    from quillspark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LEAST_RANGES", 8)
