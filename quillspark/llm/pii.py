@@ -1,13 +1,15 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give them away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Their values are the protected
-entities. Terms near a mention co-occur with its entity; over the corpus the strength of that is
+entities. The terms of a text that holds an entity co-occur with it; over the corpus the strength of that is
 
     disclosure(e, t) = PMI(e; t) / IC(e),   PMI = log(p(e | t) / p(e)),   IC(e) = -log p(e),
 
-which is 1 where t implies e and about 0 where t is unrelated. Terms at or above a threshold, seen with the
-entity in at least two different contexts (copies of a text are one), are added as spans of kind "term".
-p(e | t) counts documents over the whole corpus. ``sanitise`` replaces spans by the name of their kind.
+which is 1 where t implies e and about 0 where t is unrelated. p(e) and p(e | t) count documents over the
+whole corpus, words outside the patterns' spans alike for both. A term at or above a threshold, seen with the
+entity in at least two documents of different text (copies are one), is added as a span of kind "term"
+wherever it stands in the corpus, with the entity or without. ``sanitise`` replaces spans by the name of
+their kind.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -28,13 +31,14 @@ from quillspark.llm.common import fresh, staged, trimmed
 from quillspark.llm.passing import Passing
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that count as its context.
-CONTEXT = 5
-#: Share of an entity's information that a term may give away, and the contexts that must agree.
+#: Share of an entity's information that a term may give away, and the different texts that must agree.
 THRESHOLD, SUPPORT = 0.8, 2
 #: Terms shorter than this are function words or fragments.
 SHORTEST = 3
 
+#: Keys looked up exactly (4 MB); more go through a filter, which lets some others by.
+EXACT_KEYS = 500_000
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -43,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>|*&#%$"
-SCHEMA = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, mentions array<struct<entity:long,context:long,term:long,start:long,stop:long>>"
+SCHEMA = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found array<struct<term:long,start:long,stop:long>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -111,114 +115,203 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, stop) of the terms in the context of each span; terms inside a span don't count."""
-    if not spans:
-        return []
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts, stops = [w[0] for w in words], [w[1] for w in words]
-    taken: set[int] = set()
-    for _, a, b in spans:
-        taken.update(range(bisect_right(stops, a), bisect_left(starts, b)))
-    out = []
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else _digits(text[a:b])
-        lo, hi = bisect_right(stops, a), bisect_left(starts, b)
-        near = []
-        for k in [*range(max(0, lo - CONTEXT), lo), *range(hi, min(len(words), hi + CONTEXT))]:
-            if k not in taken:
-                raw = text[words[k][0] : words[k][1]]
-                term = term_of(raw)
-                if len(term) >= SHORTEST:
-                    start = words[k][0] + raw.index(raw.strip(_EDGE))
-                    near.append((term, start, start + len(raw.strip(_EDGE))))
-        context = _signed("\x1f".join(t for t, _, _ in near).encode())
-        entity = _signed(f"{kind}:{value}".encode())
-        out += [(entity, context, _signed(t.encode()), s, e) for t, s, e in near]
-    return out
-
-
-_MENTION = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "context", "term", "start", "stop")]))
-
-
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 36
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for b in batches:
-        rows = []
-        for doc_id, value in zip(b.column(0).to_pylist(), b.column(1)):
-            text = value.as_py() or ""
-            spans = base_spans(text)
-            n = Counter(k for k, _, _ in spans)
-            base = _joined(spans)
-            near = [dict(zip(("entity", "context", "term", "start", "stop"), m)) for m in mentions(text, spans)]
-            rows.append((uid, doc_id, *(n[k] for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), near))
-            uid += 1
-        cols = list(zip(*rows)) or [()] * 9
-        kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), _MENTION]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """Hashes of the different values found."""
+    values = ((k, text[a:b].lower() if k == "email" else text[a:b] if k == "ip" else _digits(text[a:b])) for k, a, b in spans)
+    return [_signed(f"{k}:{v}".encode()) for k, v in dict.fromkeys(values)]
+
+
+def text_hash(text: str) -> int:
+    """Equal for texts of the same words."""
+    return _signed(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
 
 class _Terms(dict):
-    """Term hashes of raw words, dropped when there are too many."""
+    """Term hashes of raw words (0 for none), dropped when there are too many."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 1 << 20:
             self.clear()
         t = term_of(word)
-        h = self[word] = _signed(t.encode()) if len(t) >= SHORTEST else 0
+        h = self[word] = _signed(t.encode("utf-8", "surrogatepass")) if len(t) >= SHORTEST else 0
         return h
 
 
-def _document_counts(passing: Passing):
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The words of ``text`` that touch no span."""
+    if not spans:
+        return _WORD.findall(text)
+    matches = list(_WORD.finditer(text))
+    starts, stops = [m.start() for m in matches], [m.end() for m in matches]
+    taken: set[int] = set()
+    for _, a, b in spans:
+        taken.update(range(bisect_right(stops, a), bisect_left(starts, b)))
+    return [m[0] for k, m in enumerate(matches) if k not in taken]
+
+
+def _distinct(words: list[str], terms: _Terms) -> np.ndarray:
+    """Hashes of the different terms among ``words``."""
+    once = set(words)
+    h = np.unique(np.fromiter(map(terms.__getitem__, once), dtype=np.int64, count=len(once)))
+    return h[h != 0]
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entity, text hash for each document and entity in it."""
+    for b in batches:
+        entity, where = [], []
+        for value in b.column(0):
+            text = value.as_py() or ""
+            if spans := base_spans(text):
+                held = entities_of(text, spans)
+                entity += held
+                where += [text_hash(text)] * len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(where, pa.int64())], names=["entity", "place"])
+
+
+def _together(passing: _Among):
+    """Text hash, entities that may pass and all terms of each document that has such entities."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        terms = _Terms()
+        for b in batches:
+            rows = []
+            for value in b.column(0):
+                text = value.as_py() or ""
+                if spans := base_spans(text):
+                    held = np.array(entities_of(text, spans), dtype=np.int64)
+                    held = held[passing(held)]
+                    if len(held):
+                        rows.append((text_hash(text), held, _distinct(words_outside(text, spans), terms)))
+            cols = list(zip(*rows)) or [()] * 3
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["place", "entities", "terms"])
+
+    return run
 
+
+def _document_counts(passing: _Among):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()
         for b in batches:
             held = []
             for value in b.column(0):
-                words = set(_WORD.findall(value.as_py() or ""))
-                held.append(np.unique(np.fromiter(map(terms.__getitem__, words), dtype=np.int64, count=len(words))))
+                text = value.as_py() or ""
+                h = _distinct(_WORD.findall(text), terms)
+                h = h[passing(h)]
+                # Spans only take terms away, so texts without a hit need no search for them.
+                if len(h) and (spans := base_spans(text)):
+                    h = np.intersect1d(h, _distinct(words_outside(text, spans), terms), assume_unique=True)
+                held.append(h)
             if held:
-                h = np.concatenate(held)
-                h, n = np.unique(h[passing(h)], return_counts=True)
+                h, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["term", "n"])
 
     return run
 
 
+_FOUND = pa.list_(pa.struct([(n, pa.int64()) for n in ("term", "start", "stop")]))
+
+
+def _find(passing: _Among):
+    """The base spans of each text, and all places of terms that may pass."""
+
+    def places(text: str, spans: list[tuple[str, int, int]], terms: _Terms) -> list[dict]:
+        h = _distinct(_WORD.findall(text), terms)
+        wanted = set(h[passing(h)].tolist())
+        if not wanted:
+            return []
+        matches = list(_WORD.finditer(text))
+        starts, stops = [m.start() for m in matches], [m.end() for m in matches]
+        taken: set[int] = set()
+        for _, a, b in spans:
+            taken.update(range(bisect_right(stops, a), bisect_left(starts, b)))
+        out = []
+        for k, m in enumerate(matches):
+            if k not in taken and (term := terms[m[0]]) in wanted:
+                bare = m[0].strip(_EDGE)
+                start = m.start() + m[0].index(bare)
+                out.append({"term": term, "start": start, "stop": start + len(bare)})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        terms = _Terms()
+        for b in batches:
+            rows = []
+            for doc_id, value in zip(b.column(0).to_pylist(), b.column(1)):
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                n = Counter(k for k, _, _ in spans)
+                base = _joined(spans)
+                rows.append((uid, doc_id, *(n[k] for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), places(text, spans, terms)))
+                uid += 1
+            cols = list(zip(*rows)) or [()] * 9
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), _FOUND]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return run
+
+
+class _Among:
+    """Which hashes are among ``keys`` (one long column): exact for few keys, by a filter for many, where joins decide."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        self.held, self.passing = None, None
+        if keys.count() <= EXACT_KEYS:
+            values = np.sort(keys.toArrow().column(0).to_numpy().astype(np.int64))
+            self.held = keys.sparkSession.sparkContext.broadcast(values)
+        else:
+            self.passing = Passing(keys)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if self.passing is not None:
+            return self.passing(h)
+        values = self.held.value
+        if not len(values):
+            return np.zeros(len(h), dtype=bool)
+        return values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
+
+
+def _supported(df: DataFrame, keys: list[str], support: int, count: str) -> DataFrame:
+    """``keys`` seen at ``support`` different places (text hashes) or more, with the number of their documents."""
+    n = F.count(F.lit(1)).alias(count)
+    if support <= 2:  # two places differ exactly when the least and the greatest do
+        out = df.groupBy(*keys).agg(n, F.min("place").alias("p0"), F.max("place").alias("p1"))
+        return out.filter("p0 <> p1" if support == 2 else "true").select(*keys, count)
+    by_place = df.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n"))
+    out = by_place.groupBy(*keys).agg(F.sum("n").alias(count), F.count(F.lit(1)).alias("places"))
+    return out.filter(F.col("places") >= support).select(*keys, count)
+
+
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     ``spans`` lists kind:start:end, the base kinds in their order and then "term", each by start. A null text
     counts as empty; repeated rows are found alike and count as documents of their own, though their
-    contexts are one; null ids are carried; an empty table gives an empty result; other columns are ignored.
+    text is one; null ids are carried; an empty table gives an empty result; other columns are ignored.
     """
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    found = staged(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).mapInArrow(trimmed(_find), SCHEMA), "spans")
-    n_docs = max(2, found.count())
-    near = found.filter(F.size("mentions") > 0).select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
-    pairs = near.select("entity", "term", "context", "uid").groupBy("entity", "term").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
-    # Two contexts differ exactly when the least and the greatest do; more support needs the exact count.
-    if support <= 2:
-        pairs = pairs.filter("c0 <> c1" if support == 2 else "true")
-    else:
-        exact = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts"))
-        pairs = pairs.join(exact, ["entity", "term"]).filter(F.col("n_contexts") >= support)
-    pairs = staged(pairs.select("entity", "term"), "pairs")
-    passing = Passing(pairs.select("term").distinct())
-    in_corpus = df.select(text).mapInArrow(trimmed(_document_counts(passing)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    per_doc = near.select("entity", "term", "uid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    per_entity = near.select("entity", "uid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    known = pairs.join(per_doc, ["entity", "term"]).join(per_entity, "entity").join(in_corpus, "term")
+    texts = df.select(text)
+    n_docs = max(2, texts.count())
+    # An entity of fewer different texts than the support has no term that reaches it.
+    entities = staged(_supported(texts.mapInArrow(trimmed(_entities), "entity long, place long"), ["entity"], support, "n_entity"), "entities")
+    together = texts.mapInArrow(trimmed(_together(_Among(entities.select("entity")))), "place long, entities array<long>, terms array<long>")
+    pairs = together.select("place", "terms", F.explode("entities").alias("entity")).select("place", "entity", F.explode("terms").alias("term"))
+    pairs = staged(_supported(pairs, ["entity", "term"], support, "n_both").join(entities, "entity"), "pairs")
+    passing = _Among(pairs.select("term").distinct())
+    in_corpus = texts.mapInArrow(trimmed(_document_counts(passing)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    known = pairs.join(in_corpus, "term")
     p_entity = F.col("n_entity") / F.lit(float(n_docs))
-    pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p_entity)
+    pmi = F.log(F.col("n_both") / F.col("n_term") / p_entity)
     told = F.when(p_entity < 1, pmi / -F.log(p_entity)).otherwise(F.lit(0.0))
-    disclosing = known.filter(told >= threshold).select("entity", "term")
-    hits = near.join(disclosing, ["entity", "term"]).select("uid", "start", "stop").distinct()
+    disclosing = staged(known.filter(told >= threshold).select("term").distinct(), "disclosing")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text)
+    found = staged(rows.mapInArrow(trimmed(_find(_Among(disclosing))), SCHEMA), "spans")
+    hits = found.filter(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(disclosing, "term")
     each = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
-    out = found.drop("mentions").join(each, "uid", "left")
+    out = found.drop("found").join(each, "uid", "left")
     added = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["stop"].cast("string"))), ",")
     return out.select(
         "doc_id",
