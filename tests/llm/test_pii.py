@@ -57,3 +57,31 @@ def test_disclosing_terms_are_added(spark):
 
 def test_nothing(spark):
     assert op.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def terms_in(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: {dict(rows)[r["doc_id"]][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"} for r in op.find_personal_data(df).collect()}
+
+
+FILLER = [(100 + k, f"nothing about anyone in number {k}") for k in range(60)]
+
+
+def test_disclosing_terms_are_found_wherever_they_stand(spark):
+    far = " one two six ten out now" * 3
+    rows = [(1, f"Zorblax paid {CARD} early{far} zorblax"), (2, f"later zorblax used {CARD} again"), (3, f"seen with{far} Zorblax, alone"), *FILLER]
+    got = terms_in(spark, [r for r in rows if r[0] != 3])
+    assert got[1] == {"Zorblax", "zorblax"} and got[2] == {"zorblax"}
+    got = terms_in(spark, [*rows, (4, f"zorblax and {CARD} once more")])  # without the entity too: three of four texts have it
+    assert got[3] == {"Zorblax"} and got[1] == {"Zorblax", "zorblax"} and not got[100]
+
+
+def test_terms_count_over_the_whole_text_of_an_entity(spark):
+    gap = "one two six ten out now far off"
+    # Seven words away, and beside the mention in one of two texts only; equal surroundings in different texts are two.
+    rows = [(1, f"first Qwertzy {gap} {CARD}"), (2, f"other {CARD} {gap} qwertzy"), *FILLER]
+    got = terms_in(spark, rows)
+    assert "Qwertzy" in got[1] and "qwertzy" in got[2]
+    rows = [(1, f"dear anna {gap} {gap} call Xandor now {CARD}"), (2, f"dear bert {gap} {gap} call Xandor now {CARD}"), *FILLER]
+    got = terms_in(spark, rows)
+    assert "Xandor" in got[1] and "Xandor" in got[2] and "anna" not in got[1]
