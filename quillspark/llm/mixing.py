@@ -18,8 +18,8 @@ EXPONENT = 0.7
 #: Rates of at most so many sources are broadcast; with more, the rates are joined by salted keys.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
-#: A rate above this is met by whole copies, and the Poisson draw covers the rest, so that exp(-rate) never vanishes.
-LARGEST_RATE = 30.0
+#: The largest rate whose terms are added from 0 copies on; above it exp(-rate) may vanish, and the sum starts below all doubles' reach.
+LARGEST_RATE = 400.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -30,10 +30,18 @@ def uniform(*parts: Column) -> Column:
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """The least k at which the Poisson distribution function of ``rate`` reaches u.
 
-    Terms are added from 0 up to rate + 12 standard deviations + 20, beyond which no double u lies.
+    Terms are added up to rate + 12 standard deviations + 20, beyond which no double u lies. They start at 0, for large
+    rates at 12 standard deviations + 20 below the rate, where the first term follows from Stirling's series.
     """
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
-    steps = F.sequence(F.lit(1), (rate + 12 * F.sqrt(rate) + 20).cast("int"))
+    reach = 12 * F.sqrt(rate) + 20
+    first = F.when(rate > LARGEST_RATE, F.floor(rate - reach)).otherwise(0).cast("int")
+    # log(first! e^first / first^first), and first log(first / rate) - first + rate without cancellation
+    stirling = 0.5 * F.log(2 * F.pi() * first) + 1 / (12 * first) - 1 / (360 * F.pow(first, F.lit(3)))
+    e = (first - rate) / rate
+    apart = rate * ((1 + e) * F.log1p(e) - e)
+    term = F.when(rate > LARGEST_RATE, F.exp(-apart - stirling)).otherwise(F.exp(-rate))
+    start = F.struct(term.alias("term"), term.alias("cdf"), first.alias("k"))
+    steps = F.sequence(first + 1, (rate + reach).cast("int"))
 
     def add(acc: Column, i: Column) -> Column:
         term = acc["term"] * rate / i
@@ -87,8 +95,7 @@ def mix(
         salted = table.withColumn(names["__salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.join(salted, [names["__source"], names["__salt"]]).drop(names["__salt"])
     rate = F.col(names["rate"])
-    whole = F.when(rate > LARGEST_RATE, F.floor(rate - LARGEST_RATE)).otherwise(0).cast("int")
-    drawn = whole + poisson_inverse(uniform(F.lit(seed), F.lit("n"), ident), rate - whole)
+    drawn = poisson_inverse(uniform(F.lit(seed), F.lit("n"), ident), rate)
     rows = rows.withColumn(names["n_copies"], drawn.cast("int")).filter(F.col(names["n_copies"]) > 0)
     rows = rows.withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.col(names["n_copies"]) - 1)))
     rows = rows.withColumn(names["order_key"], F.md5(F.concat_ws(":", F.lit(seed), F.lit("at"), ident, F.col(names["copy"]).cast("string"))))

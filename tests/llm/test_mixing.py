@@ -58,3 +58,27 @@ def test_salted_rates_give_the_same(small, monkeypatch):
     monkeypatch.setattr(op, "BROADCAST_SOURCES", 0)
     b = op.mix(small, with_position=True).select("doc_id", "copy", "order_key").collect()
     assert sorted(a) == sorted(b)
+
+
+def inverse(u, rate):
+    """The least k at which the distribution function reaches u, each term from its logarithm."""
+    k, cdf = 0, math.exp(-rate)
+    while cdf < u:
+        k += 1
+        cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    return k
+
+
+def test_large_rates_are_poisson(spark):
+    rates = [0.0, 0.5, 29.9, 31.0, 100.0, 180.0, 399.0, 401.0, 1000.0, 5000.0]
+    rows = [((i * 7919 % 997 + 0.5) / 997, r) for r in rates for i in range(0, 997, 5)] + [(u, r) for r in rates for u in (1e-9, 1 - 1e-9)]
+    df = spark.createDataFrame(rows, "u double, rate double")
+    for r in df.select("u", "rate", op.poisson_inverse(df.u, df.rate).alias("k")).collect():
+        assert r["k"] == inverse(r["u"], r["rate"]), r
+
+
+def test_copies_of_large_rates_follow_the_inverse(spark):
+    df = spark.createDataFrame([(i, "small", "x") for i in range(200)] + [(1000, "large", "y" * 19_800)], "doc_id long, source string, text string")
+    n = {r["doc_id"]: r["n_copies"] for r in op.mix(df, weights={"small": 1.0, "large": 1.0}, with_position=True).collect()}  # 20000 / 2 / 200 = 50
+    assert {i: n.get(i, 0) for i in range(200)} == {i: inverse(draw(op.SEED, i), 50.0) for i in range(200)}
+    assert min(n[i] for i in range(200)) < 40 and max(n[i] for i in range(200)) > 60
