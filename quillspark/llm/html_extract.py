@@ -5,10 +5,11 @@ one repeated node); trees are aligned by simple tree matching and merged into th
 node. A template node remembers how often each of its texts was seen (a few counters). A node whose text is the same
 on nearly all pages is part of the template; a node whose text varies is a slot, and slots are content.
 
-Extraction aligns a page with its host's template, drops template nodes and nodes whose role is not content
-(menus, headers, footers, side bars, notices, adverts, forms, comments) and takes the main container: the
-article or main element, else the smallest element that holds most of the slots' text. Inside an article
-only roles are dropped, so an article that a host repeats keeps its text.
+Extraction aligns a page with its host's template, drops lines that the page has in common with the template
+and nodes whose role is not content (menus, headers, footers, side bars, notices, adverts, forms, comments)
+and takes the main containers: all articles or main elements in page order, else the smallest element that
+holds most of the slots' text. Where more than half of the containers' text is the template's, the host
+repeats whole articles, and they keep it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BROADCAST_BYTES = 4_000_000
 HOSTS_HELD = 2000
 #: A container is the main one if it holds this share of the text that is left.
 MAIN_SHARE = 0.7
+#: Containers that would lose more than this share of their text to the template are articles that the host repeats.
+REPEATED_SHARE = 0.5
 
 DROPPED_TAGS = frozenset("head title textarea noembed noframes script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select textarea input dialog menu search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -80,23 +83,31 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
 
 
 def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, white space collapsed, boilerplate left out."""
+    """Texts of the blocks below ``node`` in page order, white space collapsed, boilerplate left out.
+
+    With ``use_marks`` a block goes if all its text is the template's; one that varies in part stays whole.
+    """
     out: list[str] = []
     line: list[str] = []
+    varies = False
 
     def flush() -> None:
+        nonlocal varies
         if line:
             text = " ".join("".join(line).split())
-            if text:
+            if text and (varies or not use_marks):
                 out.append(text)
             line.clear()
+        varies = False
 
     def walk(n: Node, inside: bool) -> None:
+        nonlocal varies
         for c in n.children:
             if isinstance(c, str):
                 line.append(html.unescape(c) if "&" in c else c)
+                varies = varies or n.mark != "template" and not c.isspace()
                 continue
-            if is_boilerplate(c, inside) or use_marks and c.mark == "template" and not inside:
+            if is_boilerplate(c, inside):
                 if c.tag in BLOCK:
                     flush()
                 continue
@@ -128,8 +139,10 @@ class Slot:
         return cls(x[0], dict(map(tuple, x[1])), x[2], [cls.load(c) for c in x[3]])
 
     @property
-    def constant(self) -> bool:
-        return self.n >= LEAST_PAGES and max(self.texts.values(), default=0) >= CONSTANT_SHARE * self.n
+    def constant(self) -> str | None:
+        """The hash of the text that nearly all pages have here."""
+        text = max(self.texts, key=self.texts.get, default=None)
+        return text if text and self.n >= LEAST_PAGES and self.texts[text] >= CONSTANT_SHARE * self.n else None
 
 
 def _fewer(texts: dict) -> dict:
@@ -192,10 +205,16 @@ def _label(node: Node) -> str:
     return f"{node.tag}.{name}" if name != "#" else node.tag
 
 
+def _own_text(node: Node) -> str | None:
+    """A hash of the text right below ``node``."""
+    own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
+    return xxhash.xxh64_hexdigest(own)[:12] if own else None
+
+
 def condense(node: Node) -> Slot:
     """The tree of element nodes, neighbouring siblings of one label merged; a leaf's text is its own text."""
-    own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
-    texts = {xxhash.xxh64_hexdigest(own)[:12]: 1} if own else {}
+    own = _own_text(node)
+    texts = {own: 1} if own else {}
     children: list[Slot] = []
     for c in node.children:
         if isinstance(c, Node) and c.tag not in ("script", "style", "head"):
@@ -208,13 +227,12 @@ def condense(node: Node) -> Slot:
 
 
 def mark(page: Slot, template: Slot) -> None:
-    """Set the mark of page nodes that the template holds constant."""
+    """Set the mark of page nodes whose own text is the one that the template holds constant."""
     if page.label != template.label:
         return
-    if template.constant:
-        # One node of a run is constant only with the run's text; runs vary and stay.
+    if constant := template.constant:
         for n in page.nodes:
-            if not any(isinstance(c, Node) and c.tag in BLOCK for c in n.children):
+            if _own_text(n) == constant:
                 n.mark = "template"
     for i, j in _align(page.children, template.children)[1]:
         mark(page.children[i], template.children[j])
@@ -243,12 +261,11 @@ def _size(blocks: list[str]) -> int:
 
 def main_text(root: Node) -> str:
     """The text of a marked page."""
-    held = [blocks_of(c, inside=True) for c in _containers(root)]
-    held = [b for b in held if b]
+    found = _containers(root)
+    held = [x for c in found for x in blocks_of(c, inside=True)]
     if held:
-        largest = max(held, key=_size)
-        total = sum(map(_size, held))
-        return "\n".join(largest if _size(largest) >= total / 2 else [x for b in held for x in b])
+        varying = [x for c in found for x in blocks_of(c, inside=True, use_marks=True)]
+        return "\n".join(varying if _size(varying) >= (1 - REPEATED_SHARE) * _size(held) else held)
     node = root
     blocks = blocks_of(node, use_marks=True)
     whole = _size(blocks)
