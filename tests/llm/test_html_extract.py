@@ -88,3 +88,36 @@ def test_odd_rows(spark, monkeypatch):
         got = [(r["page_id"], r["text"], r["n_chars"]) for r in op.extract_main_text(df).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert op.extract_main_text(df.limit(0)).count() == 0
+
+
+def template_of(pages):
+    tree = None
+    for p in pages:
+        t = op.condense(dom.parse(p))
+        tree = op._bare(t if tree is None else op.merge(tree, t))
+    return tree
+
+
+def test_the_template_decides_inside_articles():
+    def make(k):
+        return page(f"<article><h1>Title {k}</h1><div class='box'>Get our letter every week</div><p>Words of {k} that differ from page to page.</p></article>")
+
+    tree = template_of(make(k) for k in range(8))
+    assert op.extract(make(99), tree) == "Title 99\nWords of 99 that differ from page to page."
+    same = page("<article><h1>One</h1><p>An article that the host repeats.</p></article>")
+    assert op.extract(same, template_of([same] * 8)) == "One\nAn article that the host repeats."
+
+
+def test_all_articles_stay_in_page_order():
+    assert text("<article><p>" + "a" * 60 + "</p></article><article><p>" + "b" * 40 + "</p></article>") == "a" * 60 + "\n" + "b" * 40
+
+
+def test_text_other_than_the_constant_one_stays():
+    def make(k, lead="Nothing new today"):
+        return page(f"<div class='lead'>{lead}</div><div class='body'><h2>T {k}</h2><p>Words of {k}.</p><p>More of {k}.</p></div>")
+
+    tree = template_of(make(k) for k in range(10))
+    assert op.extract(make(99), tree) == "T 99\nWords of 99.\nMore of 99."
+    lead = "A long lead that stands on this page alone and tells what happened"
+    assert op.extract(make(99, lead), tree) == f"{lead}\nT 99\nWords of 99.\nMore of 99."
+    assert op.extract(make(99, "Nothing new today<b>but this</b>"), tree).startswith("Nothing new todaybut this")
