@@ -5,18 +5,24 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a folder of our own is made once per session.
+    Where the setting is absent a session on one machine makes a folder of its own once; a cluster has no
+    folder that we could choose for it, so there it is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("quillspark.own.checkpoint.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="quillspark-")
@@ -24,21 +30,54 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths staged inside each open ``passing_tables`` block, innermost last.
+_open: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
     This cuts the lineage, survives lost executors and freezes values that depend on task layout.
-    The folder is removed when the JVM ends.
+    The folder is removed at the end of the ``passing_tables`` block it is made in, else when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, store = _folder(spark, path)
+    store.deleteOnExit(where)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside the block go at its end; what the yielded function stages outlives it."""
+    mine: list[str] = []
+    outer = _open[-1] if _open else None
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        path = mine.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    _open.append(mine)
+    try:
+        yield lasting
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            where, store = _folder(spark, path)
+            store.delete(where, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -57,27 +96,35 @@ def thinned(df: DataFrame, size: int, *keys: str) -> DataFrame:
 
     The share follows from the count, so no task orders or gathers more than the sample.
     """
-    from pyspark.sql import functions as F
-
     n = df.count()
     if n <= size:
         return df
     return df.filter(F.pmod(F.xxhash64(*keys, F.lit(13)), F.lit(1 << 31)) < int((1 << 31) * size / n))
 
 
-#: Ids of at most so many rows (half a megabyte) are broadcast.
-BROADCAST_IDS = 50_000
+#: Keys of at most so many rows (half a megabyte) are broadcast.
+BROADCAST_KEYS = 50_000
 
 
-def without_ids(df, id_col: str, ids):
-    """``df`` without the rows whose id is among ``ids`` (one long column): broadcast if few, else a shuffle join."""
-    from pyspark.sql import functions as F
+def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``df`` with a long column that tells its rows apart, and the name of that column.
+
+    The id serves where it is never null and never repeats; else the rows are numbered and stored, so that
+    the numbers hold whatever is computed from them later.
+    """
+    name, ident = fresh(df, "__row"), F.col(f"`{id_col}`").cast("long")
+    if df.groupBy(ident.alias("id")).count().filter("count > 1 or id is null").isEmpty():
+        return df.withColumn(name, ident), name
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
 
-    name = fresh(df, "__dropped_id")
-    gone = ids.toDF(name).distinct()
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+def without_keys(table: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose key is not in ``gone`` (one long column): broadcast if few, else a shuffle join."""
+    name = fresh(table, "__gone")
+    gone = gone.toDF(name).distinct()
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    return table.join(gone, F.col(key) == F.col(name), "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def trimmed(run):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged
+from quillspark.llm.common import passing_tables, staged
 
 #: Steps grow with the logarithm of the longest path; beyond this something is wrong.
 MOST_STEPS = 60
@@ -25,7 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     meet its minimum in a join that may be split.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = staged(e, "edges")
+    with passing_tables(edges.sparkSession) as lasting:
+        return lasting(_settle(staged(e, "edges")), "roots")
+
+
+def _settle(e: DataFrame) -> DataFrame:
     for _ in range(MOST_STEPS):
         if _settled(e):
             break

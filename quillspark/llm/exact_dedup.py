@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, partitions, staged, trimmed, without_ids
+from quillspark.llm.common import keyed, partitions, staged, trimmed, without_keys
 
 FAN_IN = 4
 #: Characters that do not count when texts are compared.
@@ -30,11 +30,13 @@ ENTRY = "slot int, d0 long, d1 long, d2 long, d3 long, n_chars long, doc_id long
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests by row; rows that bring no key are numbered."""
     uid = TaskContext.get().partitionId() << 36
     for b in batches:
         sums = [hashlib.sha256(t.as_buffer().to_pybytes().translate(None, BLANKS)).digest() for t in b.column(1)]
         d = np.frombuffer(b"".join(sums), dtype=">i8").reshape(-1, 4).astype("<i8")
-        cols = [b.column(0), pa.array(np.arange(uid, uid + len(sums))), b.column(2), *(pa.array(d[:, i].copy()) for i in range(4))]
+        own = b.column(3) if b.num_columns > 3 else pa.array(np.arange(uid, uid + len(sums)))
+        cols = [b.column(0), own, b.column(2), *(pa.array(d[:, i].copy()) for i in range(4))]
         uid += len(sums)
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "uid", "n_chars", *DIGEST])
 
@@ -69,21 +71,22 @@ def _sorted(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions(*DIGEST, F.desc("n_chars"), F.asc_nulls_last("doc_id"), "uid")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256 (and row_key with ``key_col``).
 
     Texts are equal when they are identical without the characters of ``BLANKS``. Of equal texts the row
     with the most code points stays, then the smallest id, then (for repeated rows) any one row. A null
     text counts as empty, so all empty texts form one group; a null id ranks last; an empty table gives an
-    empty result; other columns are ignored, whatever their names.
+    empty result; other columns are ignored, whatever their names. ``key_col`` names a long column that
+    tells rows apart.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_chars"))
-    keyed = staged(rows.mapInArrow(trimmed(_digests), KEYED), "digests")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_chars"), *([F.col(key_col).alias("uid")] if key_col else []))
+    hashed = staged(rows.mapInArrow(trimmed(_digests), KEYED), "digests")
     slots, rounds = FAN_IN, 1
     while slots < partitions(df.sparkSession):
         slots, rounds = slots * FAN_IN, rounds + 1
-    entries = keyed.select(F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot"), *DIGEST, "n_chars", "doc_id", "uid", F.lit(1).cast("long").alias("n"))
+    entries = hashed.select(F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot"), *DIGEST, "n_chars", "doc_id", "uid", F.lit(1).cast("long").alias("n"))
     entries = _sorted(entries).mapInArrow(trimmed(_merge), ENTRY)
     share = F.expr(f"cast(pmod(d0, {slots}) as int)")
     for r in range(rounds):
@@ -92,7 +95,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         met = entries.withColumn("slot", (F.col("slot") + (digit(share) - digit(F.col("slot"))) * unit).cast("int"))
         entries = _sorted(met.repartitionById(slots, F.col("slot"))).mapInArrow(trimmed(_merge), ENTRY)
     kept = entries.filter("n > 1").select(*DIGEST, F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    joined = keyed.join(kept, list(DIGEST), "left")
+    joined = hashed.join(kept, list(DIGEST), "left")
     alone = F.col("keep_uid").isNull()
     return joined.select(
         "doc_id",
@@ -100,22 +103,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"),
         F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in DIGEST))).alias("text_sha256"),
+        *([F.col("uid").alias("row_key")] if key_col else []),
     )
 
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns, whatever the names.
 
-    Rows that repeat both id and text leave one row.
+    Rows are told apart by a key of their own, so repeated or null ids lose nothing but copies: rows of one id
+    and different texts stay, rows that repeat both leave one. All null and blank texts are one group. An
+    empty table gives an empty result.
     """
-    found = staged(exact_dedup(df, id_col, text_col), "copies")
-    key = F.col(f"`{id_col}`").cast("long")
-    if found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return without_ids(df, id_col, found.filter("not kept").select("doc_id"))
-    # Ids repeat or are null: the text decides too, and rows that repeat both leave one.
-    name = fresh(df, "__text_digest")
-    bare = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BLANKS.decode(), "")
-    pairs = found.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    out = df.withColumn(name, F.sha2(bare, 256))
-    out = out.join(pairs, key.eqNullSafe(F.col("__kept_id")) & (F.col(name) == F.col("__kept_sha")), "left_semi")
-    return out.dropDuplicates([id_col, name]).drop(name)
+    table, key = keyed(df, id_col)
+    found = staged(exact_dedup(table, id_col, text_col, key), "copies")
+    return without_keys(table, key, found.filter("not kept").select("row_key"), df.columns)

@@ -12,10 +12,15 @@ the one of least estimated cost over the histogram of set sizes.
   others only shared shingles travel on, rarest first.
 * Very common shingles, found on a bounded sample, skip the counting: they are shared for certain, rank last,
   and go straight to their class, so that no range holds a third of all documents.
-* A list of n classes gives n - 1 edges to its smallest class, never n * n pairs. Candidates are the
-  connected components of these edges; every true link lies inside one component.
-* In a component sets meet in chunks: each task intersects the sets of two chunks with one product of
-  0/1 matrices. Large components become many such tasks.
+* A list of n classes gives n - 1 edges to its smallest class, never n * n pairs. Every true link lies inside
+  a connected component of these candidate edges. A component that fits into one chunk is intersected at once.
+* In a larger one each class first meets the head of one of its lists, chunk by chunk, which is linear. Where
+  the links found so connect the whole component (as in a group of near copies) nothing is left to find out.
+* Only components that stay apart meet in full: sets are dealt by size classes so wide that a set can only
+  link into its own and the next, and chunks of these meet in pairs, each a product of 0/1 matrices. Pairs of chunks
+  are numbered and dealt in turn, so that a large component is spread evenly.
+* Classes are named by a 64-bit hash, held against a second one; should two sets ever share the first but
+  not the second, the run starts over with another seed.
 """
 
 from __future__ import annotations
@@ -27,10 +32,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged, trimmed, without_ids
+from quillspark.llm.common import keyed, partitions, staged, trimmed, without_keys
 from quillspark.llm.components import connected_components
 from quillspark.llm.passing import mixed
 
@@ -43,7 +49,9 @@ MOST_COUNTED = 255
 MOST_LIGHT = 24
 #: Sets in a chunk.
 CHUNK = 128
-SETS = "doc_id long, n long, cls long"
+#: Seed of the class hash; the check hash has one of its own.
+SEED, CHECK_SEED = 5, 1005
+SETS = "doc_id long, row_key long, n long, cls long, chk long"
 POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
 KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
@@ -89,17 +97,17 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _class(s: np.ndarray) -> int | None:
-    return int(xxhash.xxh64_intdigest(s.tobytes(), 5)) - (1 << 63) if len(s) else None
+def _class(s: np.ndarray, seed: int) -> int | None:
+    return int(xxhash.xxh64_intdigest(s.tobytes(), seed)) - (1 << 63) if len(s) else None
 
 
-def _sets(width: int):
+def _sets(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            found = [(len(s), _class(s)) for s in (shingles(text.as_py() or "", width, words) for text in b.column(1))]
-            cols = [b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(2))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "cls"])
+            found = [(len(s), _class(s, seed), _class(s, CHECK_SEED)) for s in (shingles(text.as_py() or "", width, words) for text in b.column(2))]
+            cols = [b.column(0), b.column(1), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "n", "cls", "chk"])
 
     return run
 
@@ -110,7 +118,7 @@ def _sampled(width: int):
         for b in batches:
             for text in b.column(0):
                 s = shingles(text.as_py() or "", width, words)
-                if (c := _class(s)) is not None and c not in seen:
+                if (c := _class(s, SEED)) is not None and c not in seen:
                     seen.add(c)
                     held.append(np.unique(s >> np.uint64(16)))
         if held:
@@ -157,7 +165,7 @@ def _home(cls: np.ndarray, ranges: int) -> np.ndarray:
     return ((mixed(cls.astype("<i8").view(np.uint64)) >> np.uint64(33)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _post_all(width: int, common, ranges: int):
+def _post_all(width: int, seed: int, common, ranges: int):
     """Shingles of each class to their range; very common ones straight to the home of their class.
 
     Targets below ``ranges`` count, those from ``ranges`` on are homes.
@@ -169,7 +177,7 @@ def _post_all(width: int, common, ranges: int):
             cls, n, tok = [], [], []
             for text in b.column(0):
                 s = shingles(text.as_py() or "", width, words)
-                c = _class(s)
+                c = _class(s, seed)
                 if c is None or c in seen:
                     continue
                 if len(seen) >= WORDS_KEPT:
@@ -402,10 +410,10 @@ def _verify(percent: int):
 
         for b in batches:
             out = []
-            for root, i, j, c, n, tok in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if (root, i, j) != key:
+            for root, pair, c, n, tok in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+                if (root, pair) != key:
                     out += done()
-                    key, cls, sets, sizes = (root, i, j), [], [], []
+                    key, cls, sets, sizes = (root, pair), [], [], []
                 cls.append(c)
                 sets.append(_unpacked(tok))
                 sizes.append(n)
@@ -417,49 +425,119 @@ def _verify(percent: int):
     return run
 
 
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Edges of spanning forests of the links inside each group (root, pair) of ``dealt`` (root, pair, cls, n, tok)."""
+    parts = partitions(dealt.sparkSession)
+    part = F.pmod(F.xxhash64("root") + F.col("pair"), F.lit(parts)).cast("int")
+    dealt = dealt.select(part.alias("part"), "root", "pair", "cls", "n", "tok").repartitionById(parts, F.col("part"))
+    return dealt.sortWithinPartitions("root", "pair").mapInArrow(trimmed(_verify(percent)), "a long, b long")
+
+
+def _with_heads(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes that share a list head, chunk by chunk; the head is in each of its chunks."""
+    led = candidates.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("root"))
+    chunks = led.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / (CHUNK - 1)).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("long")
+    members = sets.join(led, "cls").join(chunks, "root").select("root", own.alias("pair"), "cls", "n", "tok")
+    heads = sets.join(chunks, F.col("cls") == F.col("root")).select("root", F.explode(F.expr("sequence(0L, k - 1L)")).alias("pair"), "cls", "n", "tok")
+    return _compared(members.unionByName(heads), percent)
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that link lie in the same size class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
+
+
+def _in_full(met: DataFrame, percent: int) -> DataFrame:
+    """Links inside each component of ``met`` (root, cls, n, tok): chunks of one size class or of neighbouring ones meet."""
+    met = met.withColumn("b", size_class(F.col("n"), percent))
+    by = met.groupBy("root", "b").agg(F.ceil(F.count(F.lit(1)) / (CHUNK // 2)).cast("long").alias("k"))
+    order = W.partitionBy("root").orderBy("b")  # at most some hundred size classes a component
+    after = F.when(F.lead("b").over(order) == F.col("b") + 1, F.lead("k").over(order)).otherwise(F.lit(0).cast("long"))
+    before = F.when(F.lag("b").over(order) == F.col("b") - 1, F.lag("k").over(order)).otherwise(F.lit(0).cast("long"))
+    by = by.select("root", "b", "k", after.alias("after"), before.alias("before"))
+    # Numbers of a size class: pairs of its chunks, pairs with the next class, a lone chunk with itself.
+    by = by.withColumn("used", F.expr("k * (k - 1) div 2 + k * after + 1"))
+    by = by.withColumn("first", F.sum("used").over(order) - F.col("used")).withColumn("first_before", F.lag("first").over(order))
+    dealt = met.join(by, ["root", "b"]).withColumn("c", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("long"))
+    pairs = F.concat(
+        F.expr("transform(filter(sequence(0L, k - 1), x -> x <> c), x -> first + greatest(x, c) * (greatest(x, c) - 1) div 2 + least(x, c))"),
+        F.expr("if(k = 1, array(first + after), array())"),
+        F.expr("if(after > 0, transform(sequence(0L, after - 1), x -> first + k * (k - 1) div 2 + c * after + x), array())"),
+        F.expr("if(before > 0, transform(sequence(0L, before - 1), x -> first_before + before * (before - 1) div 2 + x * k + c), array())"),
+    )
+    return _compared(dealt.select("root", F.explode(pairs).alias("pair"), "cls", "n", "tok"), percent)
+
+
 def _verified(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Edges of a spanning forest of the true links inside each candidate component."""
+    """Edges that connect exactly what the true links inside the candidate components connect."""
     parts = staged(connected_components(candidates), "candidates")
     size = parts.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    known = parts.join(size, "root").select("root", "v", F.ceil(F.col("m") / CHUNK).cast("int").alias("k"))
-    met = sets.join(known, F.col("cls") == F.col("v"))
-    own = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("int")
-    other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, k - 1), x -> x <> own)")))
-    dealt = met.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "tok")
-    dealt = dealt.repartition(partitions(sets.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(trimmed(_verify(percent)), "a long, b long")
+    known = parts.join(size, "root")
+    small = known.filter(F.col("m") <= CHUNK)
+    met = sets.join(small, F.col("cls") == F.col("v")).select("root", F.lit(0).cast("long").alias("pair"), "cls", "n", "tok")
+    found = _compared(met, percent)
+    large = known.filter(F.col("m") > CHUNK).select("v", "root")
+    if large.isEmpty():
+        return found
+    led = staged(_with_heads(sets, candidates.join(large, F.col("b") == F.col("v"), "left_semi"), percent), "led")
+    joined = connected_components(led).select("v", F.col("root").alias("own"))
+    state = large.join(joined, "v", "left").select("v", "root", F.coalesce("own", "v").alias("own"))
+    apart = state.groupBy("root").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("root")
+    open_ = state.join(apart, "root", "left_semi")
+    met = sets.join(open_, F.col("cls") == F.col("v")).select("root", "cls", "n", "tok")
+    return found.unionByName(led).unionByName(_in_full(met, percent))
+
+
+def candidate_edges(kept: DataFrame, percent: int, most: int, ranges: int) -> DataFrame:
+    """a, b, sure: from each list its smallest class to the others. Lists of light signatures (sets up to ``most``) are links for sure."""
+    signed = kept.mapInArrow(trimmed(_signatures(percent, most, ranges)), "part int, cls binary, size binary, sig binary, who binary")
+    return staged(signed.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_scan), EDGE), "links")
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id (the smallest id reachable by links).
-
-    Words are runs of other than ASCII white space, A-Z lowered; a text of fewer than ``shingle`` words is
-    one shingle. A null, empty or blank text has no shingles and is its own component. Equal sets link;
-    rows with a null id take part and never name a component that has another id; repeated rows give
-    repeated rows; an empty table gives an empty result; other columns are ignored.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranges = max(LEAST_RANGES, partitions(spark))
-    sets = staged(rows.mapInArrow(trimmed(_sets(shingle)), SETS), "sets")
+def _kept_sets(rows: DataFrame, sets: DataFrame, shingle: int, percent: int, seed: int, ranges: int) -> DataFrame:
+    """The classes that can have a link, with size and shared shingles, rarest first."""
     every = max(1, sets.count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(every)) == 0).select("text")
     often = sample.mapInArrow(trimmed(_sampled(shingle)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= max(8, int(COMMON * SAMPLE))).select("token").toArrow().column(0).to_numpy()
-    common = spark.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
-    posted = rows.select("text").mapInArrow(trimmed(_post_all(shingle, common, ranges)), POSTED)
+    common = rows.sparkSession.sparkContext.broadcast(np.sort(often.astype(np.uint64)))
+    posted = rows.select("text").mapInArrow(trimmed(_post_all(shingle, seed, common, ranges)), POSTED)
     shared = posted.repartitionById(ranges, F.col("part") % ranges).mapInArrow(trimmed(_count(ranges)), POSTED)
-    kept = staged(shared.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_gather(percent)), KEPT), "kept")
-    small = F.least("n", F.lit(2 * MOST_LIGHT))
-    most = boundary({r["size"]: r["count"] for r in kept.groupBy(small.alias("size")).count().collect()}, percent)
-    signed = kept.mapInArrow(trimmed(_signatures(percent, most, ranges)), "part int, cls binary, size binary, sig binary, who binary")
-    edges = staged(signed.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_scan), EDGE), "links")
+    return staged(shared.repartitionById(ranges, F.col("part")).mapInArrow(trimmed(_gather(percent)), KEPT), "kept")
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, key: Column, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row_key, n, cls), and the classes with their root: cls, root."""
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key.alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ranges = max(LEAST_RANGES, partitions(spark))
+    for seed in range(SEED, SEED + 20):
+        sets = staged(rows.mapInArrow(trimmed(_sets(shingle, seed)), SETS), "sets")
+        if sets.filter("cls is not null").groupBy("cls").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x <> y").isEmpty():
+            break
+    kept = _kept_sets(rows, sets, shingle, percent, seed, ranges)
+    if most is None:
+        small = F.least("n", F.lit(2 * MOST_LIGHT))
+        most = boundary({r["size"]: r["count"] for r in kept.groupBy(small.alias("size")).count().collect()}, percent)
+    edges = candidate_edges(kept, percent, most, ranges)
     sure = edges.filter("sure").select("a", "b")
-    true = sure.unionByName(_verified(kept, edges.filter("not sure").select("a", "b"), percent))
-    linked = connected_components(true)
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = classes.join(linked, F.col("cls") == F.col("v"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    linked = connected_components(sure.unionByName(_verified(kept, edges.filter("not sure").select("a", "b"), percent)))
+    classes = sets.filter("cls is not null").select("cls").distinct()
+    return sets, classes.join(linked, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, most_light: int | None = None) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Words are runs of other than ASCII white space, A-Z lowered; a text of fewer than ``shingle`` words is
+    one shingle. A null, empty or blank text has no shingles and is its own component. Equal sets link;
+    rows with a null id take part and never name a component that has another id; repeated rows give
+    repeated rows; an empty table gives an empty result; other columns are ignored. ``most_light`` sets the
+    largest light set in place of the cost model, which changes the way only.
+    """
+    sets, roots = _joined(df, id_col, text_col, shingle, percent, F.lit(None).cast("long"), most_light)
+    named = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots, "cls")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select("cls", "component")
     out = sets.select("doc_id", "n", "cls").join(named, "cls", "left")
@@ -467,6 +545,15 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose id names their component; rows with a null id stay."""
-    found = ngram_join(df, id_col, text_col, shingle, percent)
-    return without_ids(df, id_col, found.filter("doc_id <> component_id").select("doc_id"))
+    """The row of smallest id of each component, with all columns of ``df``, whatever their names.
+
+    Rows are told apart by a key of their own: of rows that share the smallest id one stays, and a repeated id costs
+    no other text its row. Null ids come last. Rows without words (null, empty or blank texts) link with nothing
+    and all stay. An empty table gives an empty result.
+    """
+    table, key = keyed(df, id_col)
+    sets, roots = _joined(table, id_col, text_col, shingle, percent, F.col(key), None)
+    sets = sets.filter("cls is not null").select("cls", "row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key").alias("place"))
+    first = sets.groupBy("cls").agg(F.min("place").alias("first")).join(roots, "cls")
+    stays = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
+    return without_keys(table, key, sets.select("row_key").join(stays, "row_key", "left_anti"), df.columns)
