@@ -111,13 +111,13 @@ ORACLES: dict[str, str] = {
         FROM documents d JOIN n USING (doc_id), LATERAL (SELECT unnest(range(n_copies)) AS copy)
     """,
     "op8_topk": """
-        WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
-                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-        q AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS e FROM v),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
-              FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT r, vec_id, list_transform(e, lambda x: floor(64 * x)::HUGEINT) AS e FROM v),
+        s AS (SELECT a.r AS own, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score
+              FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.r <> b.r),
+        o AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
     """,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)

@@ -1,10 +1,18 @@
 """Exact top-k inner-product search with two cover trees.
 
-Vectors are dealt into blocks of near vectors (the nearest of a few pivots, large cells split by a hash).
-A task builds the tree of its block and then takes one query block after the other, builds its tree and
-walks both together: a pair of nodes is left out when centre product plus covering radii cannot reach the
-worst k-th score among the queries below. Each query starts with the k-th score over a bounded sample,
-a lower bound of its true one. Blocks return their best k, and a ranking over these is exact.
+A cover tree is a sequence of nets: each holds the one before, its points lie further apart than its radius,
+and every point lies within that radius of one of them. A walk from each point to the one farthest from all so far
+yields all nets at once. The top of the tree over the table is such a net of a bounded sample; every row is then
+dealt to its nearest net point, and a grouped maximum gives the true covering radius of each cell.
+
+1. Each query first searches a block of its own cell. Its k-th score there is a lower bound of the true one.
+2. A pair of a cell's queries and a cell is left out where centre product and covering radii cannot reach the worst
+   such bound of the group, then single queries by their own bound. Only what is left is shuffled.
+3. A task builds the cover tree of a block and of the queries that reached it, and walks both together: a
+   pair of nodes is left out when its bound falls below the worst k-th score among the queries under it.
+
+Blocks hold a bounded number of rows, so a cell with a very common vector is many blocks. A ranking over the
+best k of each block is exact.
 """
 
 from __future__ import annotations
@@ -13,24 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged, thinned, trimmed
+from quillspark.llm.common import partitions, staged, trimmed
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
-#: Rows (about) that give the starting k-th scores and, of them, pivots; neither changes the result.
-SAMPLE, PIVOTS = 8192, 64
-#: Least vectors in a block; query rows in a query block.
-BLOCK, QUERY_BLOCK = 1024, 2048
-#: Child nodes cover their points within the parent's radius divided by this.
-SHRINK = 1.3
-LEAF = 128
-#: Below every score, and safe to negate.
-LOWEST = -(1 << 62)
-ROWS = "vec_id long, v binary, cell int, floor long, query boolean"
-FOUND = "query_id long, vec_id long, score long"
+#: The net points of the top come from about this many rows, and from this share of them at most; they steer the work, never the result.
+SAMPLE, SAMPLE_SHARE, PIVOTS = 4096, 0.125, 256
+#: Vectors in a block (about); queries that a task holds at once.
+BLOCK, QUERY_BLOCK = 4096, 2048
+#: The radius of each net is that of the one before divided by this.
+BASE = 1.3
+#: Nodes of at most so many points, or whose children would hold fewer than FEW each, have no children.
+LEAF, FEW = 64, 8
+#: Stands for no score; smaller than all, and safe to negate.
+LOWEST = -(1 << 63) + 1
+#: Stands for a null id, which comes after all others.
+NO_ID = (1 << 63) - 1
+ROWS = "uid long, vec_id long, v binary, cell int, gap double, norm double, query boolean"
+MET = "block int, query boolean, cell int, uid long, vec_id long, v binary, floor long"
+FOUND = "uid long, query_id long, vec_id long, score long"
 
 
 def quantise(v: np.ndarray) -> np.ndarray:
@@ -38,106 +51,156 @@ def quantise(v: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in floating point while every sum fits the mantissa, else in integers."""
+    """Exact integer products: in floating point while every sum fits the mantissa, then in 64-bit integers, then in unbounded ones."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if bound < 2**24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+        return (a @ b.T).astype(np.int64)
+    if bound < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda x: np.array([[int(y) for y in row] for row in x], dtype=object).reshape(x.shape)
+    out = whole(a) @ whole(b).T
+    if max(map(abs, out.ravel()), default=0) > NO_ID:
+        raise OverflowError("an inner product exceeds a 64-bit integer")
+    return out.astype(np.int64)
+
+
+def distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(((points - centre) ** 2).sum(axis=1))
+
+
+class Walk:
+    """Farthest-point order over ``points``: chosen points, and for every point the nearest chosen one and its distance."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points
+        self.chosen = [int(distances(points, points.mean(axis=0)).argmin())]
+        self.gap, self.owner = distances(points, points[self.chosen[0]]), np.zeros(len(points), dtype=np.int64)
+
+    def cover(self, radius: float, most: int) -> bool:
+        """Add points until all lie within ``radius`` of a chosen one; False if that takes more than ``most``."""
+        while (far := int(self.gap.argmax())) >= 0 and self.gap[far] > radius:
+            if len(self.chosen) >= most:
+                return False
+            d = distances(self.points, self.points[far])
+            closer = d < self.gap
+            self.gap[closer], self.owner[closer] = d[closer], len(self.chosen)
+            self.chosen.append(far)
+        return True
 
 
 class Node:
-    """Points ``rows`` within ``radius`` of ``centre``; ``low`` is the worst k-th score below a query node."""
-
-    def __init__(self, points: np.ndarray, rows: np.ndarray) -> None:
-        self.rows = rows
-        own = points[rows]
-        self.centre = own.mean(axis=0)
-        gap = np.sqrt(((own - self.centre) ** 2).sum(axis=1))
-        self.radius, self.norm = float(gap.max()), float(np.sqrt(self.centre @ self.centre))
-        self.low = -np.inf
-        self.children: list[Node] = []
-        if len(rows) <= LEAF or self.radius == 0:
-            return
-        # Cover: take the point farthest from all centres so far, until every point is near one.
-        near, nearest = gap.copy(), np.zeros(len(rows), dtype=np.int64)
-        seed, count = int(gap.argmin()), 0
-        near[:] = np.inf
-        while count * 4 < len(rows):
-            d = np.sqrt(((own - own[seed]) ** 2).sum(axis=1))
-            closer = d < near
-            near[closer], nearest[closer] = d[closer], count
-            count += 1
-            seed = int(near.argmax())
-            if near[seed] <= self.radius / SHRINK:
-                break
-        groups = [rows[nearest == c] for c in range(count)]
-        if count > 1 and max(map(len, groups)) < len(rows):
-            # Cells too small to be worth a node of their own share one.
-            small = [g for g in groups if len(g) < LEAF // 8]
-            groups = [g for g in groups if len(g) >= LEAF // 8] + ([np.concatenate(small)] if small else [])
-            if len(groups) > 1:
-                self.children = [Node(points, g) for g in groups]
-
-
-def _bound(q: Node, p: Node) -> float:
-    return float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
+    """The points ``rows`` within ``radius`` of the point ``at``; ``low`` is the worst k-th score below a query node."""
+
+    __slots__ = ("at", "centre", "rows", "radius", "norm", "most", "children", "low", "centres", "radii", "norms", "mosts")
+
+    def __init__(self, points: np.ndarray, at: int, rows: np.ndarray, children: list[Node]) -> None:
+        self.at, self.centre, self.rows = at, points[at], rows
+        self.children = children if len(rows) > LEAF and len(children) > 1 and len(rows) >= FEW * len(children) else []
+        self.radius = float(distances(points[rows], self.centre).max())
+        self.norm = float(np.sqrt(self.centre @ self.centre))
+        self.most = float(np.sqrt((points[rows] ** 2).sum(axis=1).max()))
+        self.low = LOWEST
+        if self.children:
+            self.centres = np.array([c.centre for c in self.children])
+            self.radii, self.norms, self.mosts = (np.array([getattr(c, x) for c in self.children]) for x in ("radius", "norm", "most"))
+
+
+def nets(points: np.ndarray) -> tuple[list[tuple[float, int, np.ndarray]], list[int]]:
+    """(radius, number of net points, nearest net point of every point) of each net, widest first, and the farthest-point order."""
+    walk = Walk(points)
+    radius = float(walk.gap.max())
+    out = [(radius, 1, walk.owner.copy())]
+    while radius > 0 and walk.gap.max() > 0:
+        radius /= BASE
+        if not walk.cover(radius, max(1, len(points) // FEW)):
+            break
+        if len(walk.chosen) > out[-1][1]:
+            out.append((radius, len(walk.chosen), walk.owner.copy()))
+    return out, walk.chosen
+
+
+def cover_tree(points: np.ndarray) -> Node:
+    levels, chosen = nets(points)
+    _, size, owner = levels[-1]
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(1, size))
+    below = [Node(points, chosen[c], rows, []) for c, rows in enumerate(np.split(order, cuts))]
+    for _, size, owner in reversed(levels[:-1]):
+        families: list[list[Node]] = [[] for _ in range(size)]
+        for n in below:
+            families[owner[n.at]].append(n)  # a net point is its own nearest, so nets stay nested
+        below = [f[0] if len(f) == 1 else Node(points, chosen[c], np.concatenate([n.rows for n in f]), f) for c, f in enumerate(families)]
+    return below[0]
+
+
+def bounds(centre: np.ndarray, radius: float, norm: float, most: float, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray, mosts: np.ndarray) -> np.ndarray:
+    """No product of a point of the one ball and a point of another is larger: by the radii around the centres'
+    product, and by the least distance of the balls. A hair is added for the rounding of floating point."""
+    product = centres @ centre
+    by_radius = product + radius * norms + radii * norm + radius * radii
+    apart = np.maximum(0.0, np.sqrt(np.maximum(0.0, norm**2 + norms**2 - 2 * product)) * (1 - 1e-7) - radius - radii - 1e-6 * (norm + norms))
+    by_distance = (most**2 + mosts**2 - apart**2) / 2
+    scale = (norm + radius) * (norms + radii)
+    return np.minimum(by_radius, by_distance) + 1e-9 * (scale + most**2 + mosts**2) + 1e-6
 
 
 class Best:
-    """The best k of each query: scores descending, equal scores by id."""
-
-    def __init__(self, ids: np.ndarray, start: np.ndarray, k: int) -> None:
-        self.ids, self.k = ids, k
-        self.start = start.astype(np.float64)
-        self.score = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def low(self, rows: np.ndarray) -> float:
-        return float(np.maximum(self.score[rows, -1], self.start[rows]).min())
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        score = score.astype(np.float64)
-        score[self.ids[rows][:, None] == ids[None, :]] = -np.inf
-        score[score < np.maximum(self.score[rows, -1], self.start[rows])[:, None]] = -np.inf
-        some = np.flatnonzero((score > -np.inf).any(axis=1))
-        for i in some.tolist():
-            at = np.flatnonzero(score[i] > -np.inf)
-            s = np.concatenate([self.score[rows[i]], score[i, at]])
-            d = np.concatenate([self.found[rows[i]], ids[at]])
+    """The best k of each query: scores descending, equal scores by id. Scores are 64-bit integers."""
+
+    def __init__(self, uids: np.ndarray, floor: np.ndarray, k: int) -> None:
+        self.uids, self.k, self.floor = uids, k, floor.astype(np.int64)
+        self.score = np.full((len(uids), k), LOWEST, dtype=np.int64)
+        self.found = np.full((len(uids), k), NO_ID, dtype=np.int64)
+        self.n = np.zeros(len(uids), dtype=np.int64)
+
+    def low(self, rows: np.ndarray) -> int:
+        return int(np.maximum(self.score[rows, -1], self.floor[rows]).min())
+
+    def add(self, rows: np.ndarray, uids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        fits = score >= np.maximum(self.score[rows, -1], self.floor[rows])[:, None]
+        fits &= self.uids[rows][:, None] != uids[None, :]
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
+            at, r = np.flatnonzero(fits[i]), rows[i]
+            s = np.concatenate([self.score[r, : self.n[r]], score[i, at]])
+            d = np.concatenate([self.found[r, : self.n[r]], ids[at]])
             order = np.lexsort((d, -s))[: self.k]
-            self.score[rows[i]], self.found[rows[i]] = s[order], d[order]
+            self.n[r] = len(order)
+            self.score[r, : len(order)], self.found[r, : len(order)] = s[order], d[order]
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, start: np.ndarray, tree: Node, points: np.ndarray, ids: np.ndarray, k: int) -> Best:
+def dual_search(queries: np.ndarray, best: Best, tree: Node, points: np.ndarray, uids: np.ndarray, ids: np.ndarray) -> None:
     """Walk the trees of queries and points together; pairs of nodes below the worst k-th score are left out."""
-    best = Best(query_ids, start, k)
+    root = cover_tree(queries)
 
-    def walk(q: Node, p: Node) -> None:
-        q.low = max(q.low, best.low(q.rows) if not q.children else min(c.low for c in q.children))
-        if _bound(q, p) < q.low - 1e-6 * (1 + abs(q.low)):
-            return
-        if not q.children and not p.children:
-            best.add(q.rows, ids[p.rows], products(queries[q.rows], points[p.rows]))
-            q.low = best.low(q.rows)
-        elif p.children and (not q.children or p.radius >= q.radius):
-            for c in sorted(p.children, key=lambda c: -_bound(q, c)):
-                walk(q, c)
-        else:
-            for c in q.children:
-                walk(c, p)
-            q.low = min(c.low for c in q.children)
+    def refresh(q: Node) -> None:
+        q.low = min(c.low for c in q.children) if q.children else best.low(q.rows)
 
     def begin(q: Node) -> None:
         for c in q.children:
             begin(c)
-        q.low = best.low(q.rows)
+        refresh(q)
+
+    def walk(q: Node, p: Node) -> None:
+        if not q.children and not p.children:
+            best.add(q.rows, uids[p.rows], ids[p.rows], products(queries[q.rows], points[p.rows]))
+            refresh(q)
+        elif p.children and (not q.children or p.radius >= q.radius):
+            b = bounds(q.centre, q.radius, q.norm, q.most, p.centres, p.radii, p.norms, p.mosts)
+            for k in np.argsort(-b).tolist():
+                if b[k] < q.low:
+                    break
+                walk(q, p.children[k])
+        else:
+            b = bounds(p.centre, p.radius, p.norm, p.most, q.centres, q.radii, q.norms, q.mosts)
+            for k, c in enumerate(q.children):
+                if b[k] >= c.low:
+                    walk(c, p)
+            refresh(q)
 
-    root = Node(queries, np.arange(len(queries)))
     begin(root)
     walk(root, tree)
-    return best
 
 
 def _vectors(blobs: list[bytes]) -> np.ndarray:
@@ -153,100 +216,154 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, w - x.shape[1]))) if x.shape[1] < w else x for x in (a, b))
 
 
-def _prepare(sample, k: int, pivots: int, query_every: int):
+def _deal(top, query_every: int):
+    """Quantised rows with their cell, the distance to its centre and their length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own = sample.value
+        uid = TaskContext.get().partitionId() << 36
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy()
             blobs = [quantise(v.values.to_numpy(zero_copy_only=False)).astype("<f8").tobytes() for v in b.column(1)]
-            points, seen = _same_width(_vectors(blobs), own)
-            cell, low, query = np.zeros(len(ids), dtype=np.int32), np.full(len(ids), LOWEST), ids % query_every == 0
-            if len(seen):
-                lead = seen[:pivots]
-                cell = ((points @ lead.T) - (lead**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
-                if query.any():
-                    s = products(points[query], seen)
-                    s[ids[query][:, None] == own_ids[None, :]] = LOWEST
-                    if s.shape[1] > k:
-                        low[query] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary()), pa.array(cell), pa.array(low), pa.array(query)], names=["vec_id", "v", "cell", "floor", "query"])
+            points, pivots = _same_width(_vectors(blobs), top.value)
+            cell = (points @ pivots.T - (pivots**2).sum(axis=1) / 2).argmax(axis=1)
+            gap = np.sqrt(((points - pivots[cell]) ** 2).sum(axis=1))
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(1).to_numpy()
+            cols = [np.arange(uid, uid + len(ids)), b.column(0), pa.array(blobs, pa.binary()), cell.astype(np.int32), gap, np.sqrt((points**2).sum(axis=1)), known & (ids % query_every == 0)]
+            uid += len(ids)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in ROWS.split(", ")])
+
+    return run
+
+
+def _ask(top, layout):
+    """A row for each query and each block that its bound may reach, but for the block it has searched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, first, parts, radii, mosts = layout.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            queries, pivots = _same_width(_vectors(b.column(2).to_pylist()), top.value)
+            cell, floor, home, norm = (b.column(c).to_numpy() for c in ("cell", "floor", "home", "norm"))
+            norms = np.sqrt((pivots**2).sum(axis=1))
+            row, block = [], []
+            for i in range(len(queries)):
+                near = bounds(queries[i], 0.0, float(norm[i]), float(norm[i]), pivots, radii, norms, mosts) >= floor[i]
+                to = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in np.flatnonzero(near & open_[cell[i]])] or [np.zeros(0, dtype=np.int64)])
+                to = to[to != home[i]]
+                row.append(np.full(len(to), i))
+                block.append(to)
+            for k in range(0, len(row), 64):  # few queries at a time: each may reach very many blocks
+                r, t = np.concatenate(row[k : k + 64]).astype(np.int64), np.concatenate(block[k : k + 64]).astype(np.int32)
+                if len(r):
+                    picked = b.take(pa.array(r))
+                    cols = [pa.array(t), pa.array(np.ones(len(r), dtype=bool)), *(picked.column(c) for c in ("cell", "uid", "vec_id", "v", "floor"))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in MET.split(", ")])
 
     return run
 
 
 def _search(k: int):
+    """Rows come block by block, its vectors before its queries; queries are searched so many at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tree, points, ids = None, None, None, None
+        block, tree, points, uids, ids = None, None, None, None, None
         held: list[tuple] = []
-        key = None
+        asking = False
 
         def finish() -> Iterator[pa.RecordBatch]:
-            nonlocal tree, points, ids
+            nonlocal tree, points, uids, ids
             if not held:
                 return
-            own = np.array([r[0] for r in held], dtype=np.int64)
-            v = _vectors([r[1] for r in held])
-            if not key[1]:
-                points, ids, tree = v, own, Node(v, np.arange(len(v)))
-            elif tree is not None:
+            own, named = np.array([r[0] for r in held], dtype=np.int64), np.array([NO_ID if r[1] is None else r[1] for r in held], dtype=np.int64)
+            v = _vectors([r[2] for r in held])
+            if not asking:
+                points, uids, ids, tree = v, own, named, None
+            elif points is not None:
                 v, p = _same_width(v, points)
-                if p.shape[1] != points.shape[1]:
-                    points, tree = p, Node(p, np.arange(len(p)))
-                best = dual_search(v, own, np.array([r[2] for r in held], dtype=np.float64), tree, points, ids, k)
-                keep = np.isfinite(best.score)
-                q = np.repeat(own, keep.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best.found[keep]), pa.array(best.score[keep].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                if tree is None or p.shape[1] != points.shape[1]:
+                    points, tree = p, cover_tree(p)
+                best = Best(own, np.array([r[3] for r in held]), k)
+                dual_search(v, best, tree, points, uids, ids)
+                keep = np.arange(k)[None, :] < best.n[:, None]
+                found = best.found[keep]
+                cols = [pa.array(np.repeat(own, best.n)), pa.array(np.repeat(named, best.n)), pa.array(found, mask=found == NO_ID), pa.array(best.score[keep])]
+                yield pa.RecordBatch.from_arrays(cols, names=["uid", "query_id", "vec_id", "score"])
+            held.clear()
 
         for b in batches:
-            for blk, query, part, i, v, low in zip(*(b.column(c).to_pylist() for c in ("block", "query", "part", "vec_id", "v", "floor"))):
-                if (blk, query, part) != key:
+            for blk, query, i, d, v, low in zip(*(b.column(c).to_pylist() for c in ("block", "query", "uid", "vec_id", "v", "floor"))):
+                if (blk, query) != (block, asking) or query and len(held) >= QUERY_BLOCK:
                     yield from finish()
-                    if key is None or blk != block:
-                        block, tree = blk, None
-                    key, held = (blk, query, part), []
-                held.append((i, v, low))
+                    if blk != block:
+                        points = tree = None
+                    block, asking = blk, query
+                held.append((i, d, v, low))
         yield from finish()
 
     return run
 
 
+def _met(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    parts = partitions(data.sparkSession)
+    met = data.unionByName(asked).repartitionById(parts, F.col("block") % parts).sortWithinPartitions("block", "query", "cell", "uid")
+    return met.mapInArrow(trimmed(_search(k)), FOUND)
+
+
+def pivots_of(sample: np.ndarray, n: int) -> np.ndarray:
+    """The net points of the top: the first of the farthest-point order over the sample, one for each block of the table at most."""
+    if not len(sample):
+        return np.zeros((1, 1))
+    walk = Walk(sample)
+    walk.cover(0.0, max(1, min(PIVOTS, n // BLOCK)))
+    return sample[walk.chosen]
+
+
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each row whose id divides by ``query_every``.
 
-    Components become floor(64 * x); the score is the integer inner product; equal scores go to the smaller
-    id. Null vectors, vectors with null or non-finite components, empty vectors and rows without id take
-    no part. A shorter vector counts as padded with zeros. A row is never its own neighbour; rows that repeat an id
-    count as one, the one of least vector. An empty table gives an empty result; other columns are ignored.
+    Components become floor(64 * x); the score is the integer inner product, and one beyond 64 bits is an error;
+    equal scores go to the smaller id, null ids last. Null vectors, vectors with null or non-finite components
+    and empty vectors take no part. A row without id is a candidate and no query. Rows that repeat an id are
+    candidates and queries each; only the very row is not its own neighbour. A shorter vector counts as
+    padded with zeros. An empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     vector = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter("vec_id is not null and size(v) > 0")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("v")).filter("size(v) > 0")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    first = sorted(thinned(rows, sample, "vec_id").collect(), key=lambda r: r["vec_id"])
-    width = max((len(r["v"]) for r in first), default=0)
-    seen = np.array([np.pad(quantise(r["v"]), (0, width - len(r["v"]))) for r in first]).reshape(len(first), width)
-    held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in first], dtype=np.int64), seen))
-    prepared = staged(rows.mapInArrow(trimmed(_prepare(held, k, PIVOTS, query_every)), ROWS), "vectors")
-    cells = {r["cell"]: r["count"] for r in prepared.groupBy("cell").count().collect()}
-    n = sum(cells.values())
-    size = max(BLOCK, n // (8 * partitions(spark)))
-    blocks, start, of = 0, [], []
-    for c in sorted(cells):
-        of.append((c, blocks, max(1, round(cells[c] / size))))
-        blocks += of[-1][2]
-    table = spark.createDataFrame(of, "cell int, first int, parts int")
-    data = prepared.join(F.broadcast(table), "cell")
-    block = F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts")).cast("int")
-    data = data.select(block.alias("block"), F.lit(False).alias("query"), F.lit(0).alias("part"), "vec_id", "v", "floor")
-    n_queries = prepared.filter("query").count()
-    parts = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = prepared.filter("query").select(
-        F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"), F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(parts)).cast("int").alias("part"), "vec_id", "v", "floor"
-    )
-    met = data.unionByName(asked).repartition(max(1, blocks), "block").sortWithinPartitions("block", "query", "part", "vec_id")
-    found = met.mapInArrow(trimmed(_search(k)), FOUND)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n = rows.count()
+    seen = rows.sample(min(SAMPLE_SHARE, sample / max(1, n)), 13).select("v").toArrow().column(0).to_pylist()
+    top = spark.sparkContext.broadcast(pivots_of(_vectors([quantise(v).tobytes() for v in seen]), n))
+    dealt = staged(rows.mapInArrow(trimmed(_deal(top, query_every)), ROWS), "vectors")
+
+    cells = len(top.value)
+    radii, mosts, reach, parts, asking = np.zeros(cells), np.zeros(cells), np.zeros(cells), np.ones(cells, dtype=np.int64), np.zeros(cells)
+    own_gap, one = F.when(F.col("query"), F.col("gap")), F.count(F.lit(1))
+    for r in dealt.groupBy("cell").agg(one.alias("n"), F.max("gap").alias("radius"), F.max("norm").alias("most"), F.max(own_gap).alias("reach"), F.max(F.when(F.col("query"), F.col("norm"))).alias("asking")).collect():
+        c = r["cell"]
+        radii[c], mosts[c], reach[c], asking[c], parts[c] = r["radius"], r["most"], r["reach"] or 0.0, r["asking"] or 0.0, -(-r["n"] // BLOCK)
+    first = np.cumsum(parts) - parts
+    table = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(cells)], "cell int, first int, parts int"))
+    block = (F.col("first") + F.pmod(F.xxhash64("uid", F.lit(2)), F.col("parts"))).cast("int")
+    placed = dealt.join(table, "cell").withColumn("home", block)
+    none = F.lit(LOWEST).cast("long")
+    data = placed.select(F.col("home").alias("block"), F.lit(False).alias("query"), "cell", "uid", "vec_id", "v", none.alias("floor"))
+    asked = placed.filter("query")
+    nearest = staged(_met(data, asked.select(F.col("home").alias("block"), "query", "cell", "uid", "vec_id", "v", none.alias("floor")), k), "nearest")
+
+    floors = nearest.groupBy("uid").agg(F.when(one >= k, F.min("score")).otherwise(none).alias("floor"))
+    asked = staged(asked.join(floors, "uid", "left").select("uid", "vec_id", "v", "cell", "norm", "home", F.coalesce("floor", none).alias("floor")), "asked")
+    lows = np.full(cells, np.inf)
+    for r in asked.groupBy("cell").agg(F.min("floor").alias("low")).collect():
+        lows[r["cell"]] = r["low"]
+    pivots = top.value
+    norms = np.sqrt((pivots**2).sum(axis=1))
+    open_ = np.array([bounds(pivots[c], reach[c], norms[c], asking[c], pivots, radii, norms, mosts) >= lows[c] for c in range(cells)])
+    layout = spark.sparkContext.broadcast((open_, first, parts, radii, mosts))
+    reached = asked.mapInArrow(trimmed(_ask(top, layout)), MET)
+    found = nearest.unionByName(_met(data, reached, k))
+    order = W.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
