@@ -127,6 +127,22 @@ def without_keys(table: DataFrame, key: str, gone: DataFrame, columns: list[str]
     return table.join(gone, F.col(key) == F.col(name), "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
+#: Copies of the smaller table in a salted join.
+SALTS = 32
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, salt_by: str, how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` joined with the one row that ``table`` has for their key, which very many rows may share.
+
+    A table of at most ``most`` rows is broadcast; a larger one meets the rows by key and a salt drawn from ``salt_by``.
+    """
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), on, how)
+    salt = fresh(rows, "__salt")
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [on, salt], how).drop(salt)
+
+
 def trimmed(run):
     """An Arrow function that hands freed memory back to the system when its task ends.
 

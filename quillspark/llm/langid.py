@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged, thinned, trimmed
+from quillspark.llm.common import spread_join, staged, thinned, trimmed
 
 #: Labelled rows (about) that the models are fitted on, those whose id and text hash lowest.
 SAMPLE = 2000
@@ -37,7 +37,7 @@ ACCEPT = 0.5
 #: Country suffixes whose language has another code (fixed values).
 SUFFIX_LANGUAGE = {"uk": "en", "us": "en", "at": "de", "mx": "es"}
 #: Tables of at most so many hosts are broadcast; with more, hosts are joined by salted keys.
-BROADCAST_HOSTS, SALTS = 5_000, 32
+BROADCAST_HOSTS = 5_000
 SCORES = "uid long, doc_id long, row_key long, source string, ll array<double>, n_trigrams long, guess int"
 FOUND = "doc_id long, row_key long, lang string, confidence double, accepted boolean, text_lang string, n_trigrams long"
 
@@ -140,11 +140,7 @@ def _with_prior(incidences: DataFrame, overall: list[int], n: int) -> DataFrame:
     hosts = incidences.groupBy("host", "domain").agg(_votes(n).alias("in_host"))
     domains = incidences.select("uid", "guess", "domain").distinct().groupBy("domain").agg(_votes(n).alias("in_domain"))
     table = staged(hosts.join(domains, "domain").drop("domain"), "hosts")
-    if table.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        met = incidences.join(F.broadcast(table), "host")
-    else:
-        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = incidences.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+    met = spread_join(incidences, table, "host", "uid", most=BROADCAST_HOSTS)
     own = [F.when(F.col("guess") == k, 1).otherwise(0) for k in range(n)]
     total = sum(overall)
     met = met.withColumn("p", F.array(*((F.lit(overall[k]) - own[k] + 1) / F.lit(total - 1 + n) for k in range(n))))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed, partitions, staged, trimmed, without_keys
+from quillspark.llm.common import keyed, partitions, spread_join, staged, trimmed, without_keys
 from quillspark.llm.components import connected_components
 from quillspark.llm.passing import mixed
 
@@ -438,7 +438,7 @@ def _with_heads(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFra
     led = candidates.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("root"))
     chunks = led.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / (CHUNK - 1)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("long")
-    members = sets.join(led, "cls").join(chunks, "root").select("root", own.alias("pair"), "cls", "n", "tok")
+    members = spread_join(sets.join(led, "cls"), chunks, "root", "cls").select("root", own.alias("pair"), "cls", "n", "tok")
     heads = sets.join(chunks, F.col("cls") == F.col("root")).select("root", F.explode(F.expr("sequence(0L, k - 1L)")).alias("pair"), "cls", "n", "tok")
     return _compared(members.unionByName(heads), percent)
 
@@ -459,7 +459,9 @@ def _in_full(met: DataFrame, percent: int) -> DataFrame:
     # Numbers of a size class: pairs of its chunks, pairs with the next class, a lone chunk with itself.
     by = by.withColumn("used", F.expr("k * (k - 1) div 2 + k * after + 1"))
     by = by.withColumn("first", F.sum("used").over(order) - F.col("used")).withColumn("first_before", F.lag("first").over(order))
-    dealt = met.join(by, ["root", "b"]).withColumn("c", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("long"))
+    met = met.withColumn("__group", F.struct("root", "b"))
+    by = by.withColumn("__group", F.struct("root", "b")).drop("root", "b")
+    dealt = spread_join(met, by, "__group", "cls").withColumn("c", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("k")).cast("long"))
     pairs = F.concat(
         F.expr("transform(filter(sequence(0L, k - 1), x -> x <> c), x -> first + greatest(x, c) * (greatest(x, c) - 1) div 2 + least(x, c))"),
         F.expr("if(k = 1, array(first + after), array())"),
@@ -473,18 +475,18 @@ def _verified(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
     """Edges that connect exactly what the true links inside the candidate components connect."""
     parts = staged(connected_components(candidates), "candidates")
     size = parts.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    known = parts.join(size, "root")
-    small = known.filter(F.col("m") <= CHUNK)
+    roots = staged(size.filter(F.col("m") > CHUNK).select("root"), "large")
+    small = spread_join(parts, roots, "root", "v", "left_anti")
     met = sets.join(small, F.col("cls") == F.col("v")).select("root", F.lit(0).cast("long").alias("pair"), "cls", "n", "tok")
     found = _compared(met, percent)
-    large = known.filter(F.col("m") > CHUNK).select("v", "root")
-    if large.isEmpty():
+    if roots.isEmpty():
         return found
+    large = spread_join(parts, roots, "root", "v", "left_semi").select("v", "root")
     led = staged(_with_heads(sets, candidates.join(large, F.col("b") == F.col("v"), "left_semi"), percent), "led")
     joined = connected_components(led).select("v", F.col("root").alias("own"))
     state = large.join(joined, "v", "left").select("v", "root", F.coalesce("own", "v").alias("own"))
     apart = state.groupBy("root").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("root")
-    open_ = state.join(apart, "root", "left_semi")
+    open_ = spread_join(state, apart, "root", "v", "left_semi")
     met = sets.join(open_, F.col("cls") == F.col("v")).select("root", "cls", "n", "tok")
     return found.unionByName(led).unionByName(_in_full(met, percent))
 

@@ -2,8 +2,11 @@
 
 A configuration is a multiset of piece lengths that fits into one sequence. The linear program covers the
 histogram with as few configurations as possible. Multiplicative weights play its dual: each length has a
-weight that shrinks as the length gets covered, and a knapsack dynamic program prices the configuration of
-the largest weight. Amounts are then rounded, and the pieces left over are packed best-fit.
+weight that shrinks as the length gets covered. A knapsack dynamic program prices the configuration of the
+largest weight and, from the same table, the best one with each length; all that come near the largest take a
+step, those of the least covered lengths first. Weights over the largest configuration are a dual solution, so every
+round also proves a lower bound. Amounts are then rounded, and the pieces left over are packed best-fit.
+Plain best-fit is a solution of the program too, and stays if no rounding needs fewer sequences.
 
 Only the histogram (at most ``capacity`` rows) reaches the driver. Each task numbers its own pieces of each
 length, sums of the counts turn that into a rank over the whole table, and the rank alone gives sequence
@@ -14,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,12 @@ from quillspark.llm.common import staged, trimmed
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the multiplicative-weights solver; what is not covered by then goes to the rounding.
-ROUNDS = 1200
-ETA = 0.1
+#: Rounds of the multiplicative-weights solver at most; what is not covered by then goes to the rounding.
+ROUNDS = 250
+#: Exponent of the weights, share of the largest weight that a configuration may lack, share of the pieces that a step takes.
+ETA, NEAR, STEP = 1.0, 0.02, 0.5
+#: Size of the random tie-breaking among equal fillers (weights of full sequences are about 1), and its seed.
+TIES, TIE_SEED = 1e-3, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -73,74 +81,120 @@ def _tokenise(ranks_path: str, pattern: str, special: dict[str, int], capacity:
     return run
 
 
-def price(weight: np.ndarray, capacity: int) -> Counter:
-    """The configuration of the largest total weight: an unbounded knapsack by dynamic programming.
+def price(weight: np.ndarray, sizes: np.ndarray, liking: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """An unbounded knapsack by dynamic programming over the room: the largest weight, and an item of (nearly) such a filling.
 
-    weight[l] is the weight of length l, 0 where it may not be used.
+    ``sizes`` rise; rows of ``liking`` are added in turn to choose among near-equal items. -1: nothing fits.
     """
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    sizes = np.flatnonzero(weight > 0)
-    w = weight[sizes]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(sizes, c, side="right")
-        if n:
-            value = w[:n] + best[c - sizes[:n]]
-            k = int(value.argmax())
-            best[c], choice[c] = value[k], sizes[k]
-    found, c = Counter(), capacity
-    while c > 0 and choice[c]:
-        found[int(choice[c])] += 1
-        c -= int(choice[c])
-    return found
-
-
-def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations (sorted tuples of (length, copies)) with fractional amounts that never exceed the histogram."""
-    demand = np.zeros(capacity + 1)
-    for length, n in histogram.items():
-        demand[length] = n
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(int(sizes[0]), capacity + 1):
+        n = fitting[room]
+        value = weight[:n] + best[room - sizes[:n]]
+        best[room] = value.max()
+        value += liking[room % len(liking)][:n]
+        choice[room] = value.argmax()
+    return best, choice
+
+
+def fillings(sizes: np.ndarray, choice: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[list[Counter], np.ndarray]:
+    """For each size the configuration that holds it and fills the rest as ``choice`` says, and its weight."""
+    items, value = [Counter((k,)) for k in range(len(sizes))], weight.copy()
+    room = capacity - sizes
+    live = np.flatnonzero(room >= sizes[0])
+    while len(live):
+        k = choice[room[live]]
+        value[live] += weight[k]
+        room[live] -= sizes[k]
+        for i, j in zip(live.tolist(), k.tolist()):
+            items[i][j] += 1
+        live = live[room[live] >= sizes[0]]
+    return items, value
+
+
+@dataclass
+class Solution:
+    """Configurations (sorted tuples of (length, copies)) with fractional amounts that make up the histogram; no solution's value lies below ``bound``."""
+
+    amounts: dict[tuple, float]
+    value: float
+    bound: float
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Solution:
     amounts: dict[tuple, float] = defaultdict(float)
-    if demand[capacity]:  # a full piece can share its sequence with nothing
-        amounts[((capacity, 1),)] = demand[capacity]
-    left = demand.copy()
-    left[capacity] = 0
-    weight = np.arange(capacity + 1, dtype=float)
+    demand = {x: n for x, n in histogram.items() if n}
+    full = demand.pop(capacity, 0)
+    if full:  # a full piece can share its sequence with nothing
+        amounts[((capacity, 1),)] = float(full)
+    lengths = np.array(sorted(demand), dtype=np.int64)
+    wanted = np.array([demand[x] for x in lengths.tolist()], dtype=float)
+    left, bound, random = wanted.copy(), 0.0, np.random.default_rng(TIE_SEED)
     for _ in range(rounds):
-        open_ = left > 1e-9
-        if not open_.any():
+        open_ = np.flatnonzero(left > 1e-6 * wanted)
+        if not len(open_):
             break
-        config = price(np.where(open_, weight, 0.0), capacity)
-        lengths = np.array(list(config))
-        copies = np.array([config[x] for x in lengths], dtype=float)
-        most = (left[lengths] / copies).min()
-        amount = most if most <= 1 else max(1.0, most / 2)
-        amounts[tuple(sorted(config.items()))] += amount
-        left[lengths] = np.maximum(0.0, left[lengths] - copies * amount)
-        weight[lengths] *= 1 - ETA * np.minimum(1.0, copies * amount / demand[lengths])
-    return amounts
+        sizes, share = lengths[open_], left[open_] / wanted[open_]
+        weight = sizes / capacity * np.exp(ETA * (share - share.mean()))
+        liking = TIES * (0.2 * np.log(left[open_]) + random.gumbel(size=(7, len(sizes))))
+        best, choice = price(weight, sizes, liking, capacity)
+        bound = max(bound, float(wanted[open_] @ weight) / best[capacity])
+        items, value = fillings(sizes, choice, weight, capacity)
+        near = np.flatnonzero(value >= (1 - NEAR) * best[capacity])
+        near = near if len(near) else value.argmax()[None]
+        rest = left[open_]
+        for i in near[np.argsort(-share[near], kind="stable")].tolist():
+            held, copies = np.array(list(items[i])), np.array(list(items[i].values()))
+            most = (rest[held] / copies).min()
+            if most > 1e-9:
+                amount = most if most <= 0.05 else most * STEP
+                rest[held] -= copies * amount
+                amounts[tuple(sorted((int(sizes[k]), int(c)) for k, c in items[i].items()))] += amount
+        left[open_] = np.maximum(0.0, rest)
+    for config, amount in by_itself(lengths, left, capacity):
+        amounts[config] += amount
+    return Solution(dict(amounts), sum(amounts.values()), bound + full)
+
+
+def by_itself(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tuple[tuple, float]]:
+    """What is still left, each length by itself."""
+    for x, amount in zip(lengths.tolist(), left.tolist()):
+        if amount > 0:
+            yield ((x, capacity // x),), amount / (capacity // x)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     """Best-fit decreasing over a histogram, equal bins together: configurations with their multiplicities."""
-    bins: dict[int, Counter] = {capacity: Counter()}
+    bins: dict[int, Counter] = {}
+    rooms: list[int] = []  # of the bins that are not full, sorted
+
+    def put(room: int, config: tuple, times: int) -> None:
+        if room not in bins:
+            bins[room] = Counter()
+            insort(rooms, room)
+        bins[room][config] += times
+
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n:
-            room = min((r for r in bins if r >= length and r < capacity and bins[r]), default=None)
-            if room is None:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
                 per = min(n, capacity // length)
                 times = n // per
-                bins.setdefault(capacity - per * length, Counter())[((length, per),)] += times
+                put(capacity - per * length, ((length, per),), times)
                 n -= per * times
                 continue
+            room = rooms[at]
             held = next(iter(bins[room]))
             k = min(n, bins[room][held])
             bins[room][held] -= k
             if not bins[room][held]:
                 del bins[room][held]
+            if not bins[room]:
+                del bins[room], rooms[at]
             grown = Counter(dict(held))
             grown[length] += 1
-            bins.setdefault(room - length, Counter())[tuple(sorted(grown.items()))] += k
+            put(room - length, tuple(sorted(grown.items())), k)
             n -= k
     return sum(bins.values(), Counter())
 
@@ -166,11 +220,13 @@ def rounded(amounts: dict[tuple, float], histogram: Counter, capacity: int, leas
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """Configurations with whole multiplicities that hold the histogram exactly: the best of five roundings."""
+    """Configurations with whole multiplicities that hold the histogram exactly: the best of three roundings of the
+    program's solution, or plain best-fit where that needs fewer sequences."""
     demand = Counter({k: v for k, v in histogram.items() if v})
-    amounts = configuration_lp(demand, capacity)
-    ways = ((0, np.inf), (0, capacity), (0, 0), (capacity, np.inf), (capacity, capacity))
-    return min((rounded(amounts, demand, capacity, *way) for way in ways), key=lambda c: sum(c.values()))
+    amounts = configuration_lp(demand, capacity).amounts
+    ways = ((capacity, np.inf), (capacity, capacity), (0, capacity))
+    found = [rounded(amounts, demand, capacity, *way) for way in ways]
+    return min([*found, best_fit(demand, capacity)], key=lambda c: sum(c.values()))
 
 
 def _slots(configs: Counter) -> dict[int, tuple[np.ndarray, ...]]:

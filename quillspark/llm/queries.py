@@ -20,10 +20,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are the documents labelled as good and not toxic, the background are all."""
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    # The labels grow with the documents, so they are never broadcast; the one pass over the target shuffles its texts once.
-    return lm_score.cross_entropy_difference(documents, documents.join(good.hint("merge"), "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from quillspark.llm import chat as op
 
 SCHEMA = "conv_id long, turn long, role string, text string, place string"
@@ -28,7 +30,9 @@ ROWS = (
 )
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [op.BROADCAST_KEPT, 0])
+def test_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(op, "BROADCAST_KEPT", most)
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     got = sorted((r["conv_id"], r["n_turns"], r["n_logged"], r["rendered"]) for r in op.format_chats(df).collect())
     assert got == brute(ROWS)

@@ -68,8 +68,15 @@ def test_plan_holds_the_histogram(histogram):
         for a, n in config:
             held[a] += n * times
     assert dict(held) == histogram
-    total = sum(a * n for a, n in histogram.items())
-    assert sum(configs.values()) <= 1.3 * -(-total // 64) + 2 or max(histogram) > 21
+    solution, greedy = op.configuration_lp(histogram, 64), op.best_fit(histogram, 64)
+    covered = defaultdict(float)
+    for config, amount in solution.amounts.items():
+        assert sum(a * n for a, n in config) <= 64
+        for a, n in config:
+            covered[a] += n * amount
+    assert all(abs(covered[a] - n) < 1e-3 * n or covered[a] >= n for a, n in histogram.items())
+    assert solution.bound <= solution.value + 1e-6 and solution.bound <= sum(configs.values()) + 1e-6
+    assert sum(configs.values()) <= sum(greedy.values())
 
 
 def test_large_histogram_is_nearly_full():
@@ -77,3 +84,21 @@ def test_large_histogram_is_nearly_full():
     histogram = dict(zip(*map(list, map(np.ndarray.tolist, np.unique(np.minimum(2048, rng.lognormal(6, 1, 50_000).astype(int) + 1), return_counts=True)))))
     used, total = sum(op.plan(histogram).values()), sum(a * n for a, n in histogram.items())
     assert used <= 1.002 * -(-total // 2048)
+
+
+def test_the_bound_proves_the_program_solved():
+    """Value and bound meet within half a per cent on many lengths, and the value lies no further above the best packing."""
+    rng = np.random.default_rng(3)
+    for size in (3000, 30_000):
+        histogram = dict(zip(*map(list, map(np.ndarray.tolist, np.unique(np.minimum(2047, rng.lognormal(5.8, 1, size).astype(int) + 1), return_counts=True)))))
+        solution = op.configuration_lp(histogram, 2048)
+        assert solution.bound <= solution.value <= 1.005 * solution.bound
+        assert solution.value <= 1.003 * sum(op.plan(histogram).values())
+
+
+def test_the_program_beats_best_fit_where_that_fails():
+    """Thirds and halves that best-fit decreasing pairs wrongly: 44 + 28 + 28 and 36 + 36 + 28 fill a sequence of 100."""
+    histogram = {44: 60, 36: 60, 28: 150}
+    solution = op.configuration_lp(histogram, 100)
+    greedy, found = sum(op.best_fit(histogram, 100).values()), sum(op.plan(histogram, 100).values())
+    assert solution.bound <= 90 + 1e-6 and found < greedy and found <= 1.02 * 90
