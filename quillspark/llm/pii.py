@@ -6,10 +6,11 @@ entities. The terms of a text that holds an entity co-occur with it; over the co
     disclosure(e, t) = PMI(e; t) / IC(e),   PMI = log(p(e | t) / p(e)),   IC(e) = -log p(e),
 
 which is 1 where t implies e and about 0 where t is unrelated. p(e) and p(e | t) count documents over the
-whole corpus, words outside the patterns' spans alike for both. A term at or above a threshold, seen with the
-entity in at least two documents of different text (copies are one), is added as a span of kind "term"
-wherever it stands in the corpus, with the entity or without. ``sanitise`` replaces spans by the name of
-their kind.
+whole corpus, words outside the patterns' spans alike for both; p(e | t) is drawn towards p(e) by some documents'
+worth. An e-mail address stands for its domain too, so that what gives an organisation away counts as well. A term
+at or above a threshold, seen with the entity in at least two documents of different text (copies are one) and
+more often than chance would do for any of the corpus' terms, is added as a span of kind "term" wherever it
+stands in the corpus, with the entity or without. Generalising a text replaces its spans by the name of their kind.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, staged, trimmed
+from quillspark.llm.common import fresh, keyed, staged, trimmed
 from quillspark.llm.passing import Passing
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information that a term may give away, and the different texts that must agree.
 THRESHOLD, SUPPORT = 0.8, 2
+#: Documents' worth of the entity's overall share in the estimate of p(e | t).
+SMOOTHING = 0.5
 #: Terms shorter than this are function words or fragments.
 SHORTEST = 3
 
@@ -47,7 +50,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>|*&#%$"
-SCHEMA = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found array<struct<term:long,start:long,stop:long>>"
+SCHEMA = "uid long, doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found array<struct<term:long,start:long,stop:long>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -116,8 +119,9 @@ def term_of(word: str) -> str:
 
 
 def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
-    """Hashes of the different values found."""
-    values = ((k, text[a:b].lower() if k == "email" else text[a:b] if k == "ip" else _digits(text[a:b])) for k, a, b in spans)
+    """Hashes of the different values found, and of the domains of addresses."""
+    values = [(k, text[a:b].lower() if k == "email" else text[a:b] if k == "ip" else _digits(text[a:b])) for k, a, b in spans]
+    values += [("domain", v.rpartition("@")[2]) for k, v in values if k == "email"]
     return [_signed(f"{k}:{v}".encode()) for k, v in dict.fromkeys(values)]
 
 
@@ -191,10 +195,17 @@ def _together(passing: _Among):
 
 
 def _document_counts(passing: _Among):
+    """Documents of each term that may pass; a task hands its counts on when they are many, and at its end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms()
+        terms, held, size = _Terms(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int64))], names=["term", "n"])
+
         for b in batches:
-            held = []
+            found = []
             for value in b.column(0):
                 text = value.as_py() or ""
                 h = _distinct(_WORD.findall(text), terms)
@@ -202,10 +213,15 @@ def _document_counts(passing: _Among):
                 # Spans only take terms away, so texts without a hit need no search for them.
                 if len(h) and (spans := base_spans(text)):
                     h = np.intersect1d(h, _distinct(words_outside(text, spans), terms), assume_unique=True)
-                held.append(h)
-            if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["term", "n"])
+                found.append(h)
+            if found:
+                held.append(np.unique(np.concatenate(found), return_counts=True))
+                size += len(held[-1][0])
+            if size > 4 * EXACT_KEYS:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
     return run
 
@@ -240,15 +256,15 @@ def _find(passing: _Among):
         terms = _Terms()
         for b in batches:
             rows = []
-            for doc_id, value in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, value, key in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 n = Counter(k for k, _, _ in spans)
                 base = _joined(spans)
-                rows.append((uid, doc_id, *(n[k] for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), places(text, spans, terms)))
+                rows.append((uid, doc_id, key, *(n[k] for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(), places(text, spans, terms)))
                 uid += 1
-            cols = list(zip(*rows)) or [()] * 9
-            kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), _FOUND]
+            cols = list(zip(*rows)) or [()] * 10
+            kinds = [pa.int64()] * 7 + [pa.string(), pa.string(), _FOUND]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return run
@@ -285,29 +301,44 @@ def _supported(df: DataFrame, keys: list[str], support: int, count: str) -> Data
     return out.filter(F.col("places") >= support).select(*keys, count)
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+def disclosure(n_both: Column, n_term: Column, n_entity: Column, n_docs: int, smoothing: float) -> Column:
+    """PMI(e; t) / IC(e); 0 for an entity that all documents have."""
+    p = n_entity / F.lit(float(n_docs))
+    given = (n_both + smoothing * p) / (n_term + smoothing)
+    return F.when(p < 1, F.log(given / p) / -F.log(p)).otherwise(F.lit(0.0))
 
-    ``spans`` lists kind:start:end, the base kinds in their order and then "term", each by start. A null text
-    counts as empty; repeated rows are found alike and count as documents of their own, though their
-    text is one; null ids are carried; an empty table gives an empty result; other columns are ignored.
-    """
-    text = F.col(f"`{text_col}`").cast("string").alias("text")
-    texts = df.select(text)
+
+def disclosing_terms(texts: DataFrame, threshold: float, support: int, smoothing: float) -> DataFrame:
+    """The hashes of the terms of ``texts`` (one column) that give an entity away."""
     n_docs = max(2, texts.count())
     # An entity of fewer different texts than the support has no term that reaches it.
     entities = staged(_supported(texts.mapInArrow(trimmed(_entities), "entity long, place long"), ["entity"], support, "n_entity"), "entities")
-    together = texts.mapInArrow(trimmed(_together(_Among(entities.select("entity")))), "place long, entities array<long>, terms array<long>")
+    together = staged(texts.mapInArrow(trimmed(_together(_Among(entities.select("entity")))), "place long, entities array<long>, terms array<long>"), "together")
     pairs = together.select("place", "terms", F.explode("entities").alias("entity")).select("place", "entity", F.explode("terms").alias("term"))
-    pairs = staged(_supported(pairs, ["entity", "term"], support, "n_both").join(entities, "entity"), "pairs")
+    pairs = _supported(pairs, ["entity", "term"], support, "n_both").join(entities, "entity")
+    # The documents with entities alone bound a term's share from above: what falls below the threshold there needs no count.
+    seen = staged(together.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_seen")), "seen")
+    n_terms = seen.count()
+    told = lambda n_term: disclosure(F.col("n_both"), F.col(n_term), F.col("n_entity"), n_docs, smoothing) >= threshold
+    chance = F.col("n_both") * -F.log(F.col("n_entity") / F.lit(float(n_docs))) > float(np.log(max(1, n_terms)))
+    pairs = staged(pairs.filter(chance).join(seen, "term").filter(told("n_seen")), "pairs")
     passing = _Among(pairs.select("term").distinct())
     in_corpus = texts.mapInArrow(trimmed(_document_counts(passing)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    known = pairs.join(in_corpus, "term")
-    p_entity = F.col("n_entity") / F.lit(float(n_docs))
-    pmi = F.log(F.col("n_both") / F.col("n_term") / p_entity)
-    told = F.when(p_entity < 1, pmi / -F.log(p_entity)).otherwise(F.lit(0.0))
-    disclosing = staged(known.filter(told >= threshold).select("term").distinct(), "disclosing")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text)
+    return pairs.join(in_corpus, "term").filter(told("n_term")).select("term").distinct()
+
+
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT, smoothing: float = SMOOTHING, key_col: str | None = None) -> DataFrame:
+    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term (and row_key with ``key_col``).
+
+    ``spans`` lists kind:start:end, the base kinds in their order and then "term", each by start. A null text
+    counts as empty; repeated rows are found alike and count as documents of their own, though their
+    text is one; null ids are carried; an empty table gives an empty result; other columns are ignored.
+    ``key_col`` names a long column that is handed on.
+    """
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    disclosing = staged(disclosing_terms(df.select(text), threshold, support, smoothing), "disclosing")
+    key = F.col(key_col) if key_col else F.lit(None).cast("long")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, key.alias("row_key"))
     found = staged(rows.mapInArrow(trimmed(_find(_Among(disclosing))), SCHEMA), "spans")
     hits = found.filter(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(disclosing, "term")
     each = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
@@ -319,6 +350,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "base_sha256",
         F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), added).alias("spans"),
         F.coalesce(F.size("terms").cast("long"), F.lit(0).cast("long")).alias("n_term"),
+        *(["row_key"] if key_col else []),
     )
 
 
@@ -334,9 +366,14 @@ def sanitised(text: str, spans: str) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with the text of each row generalised; ids must be unique and not null."""
+    """``df`` with the text of each row generalised, all columns kept.
+
+    Rows are told apart by a key of their own, so repeated and null ids are as good as others. A null text stays null.
+    """
     generalise = F.pandas_udf(lambda t, x: t.combine(x, lambda a, b: None if a is None else sanitised(a, b or "")), "string")
-    name, key = fresh(df, "__spans"), fresh(df, "__span_id")
-    found = find_personal_data(df, id_col, text_col, **options).select(F.col("doc_id").alias(key), F.col("spans").alias(name)).filter(F.col(name) != "")
-    out = df.join(found, F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
-    return out.withColumn(text_col, F.when(F.col(name).isNull(), F.col(f"`{text_col}`")).otherwise(generalise(F.col(f"`{text_col}`"), F.col(name)))).select(*df.columns)
+    table, key = keyed(df, id_col)
+    name, own = fresh(table, "__spans"), fresh(table, "__span_key")
+    found = find_personal_data(table, id_col, text_col, key_col=key, **options).select(F.col("row_key").alias(own), F.col("spans").alias(name)).filter(F.col(name) != "")
+    out = table.join(found, F.col(key) == F.col(own), "left")
+    text = F.col(f"`{text_col}`")
+    return out.withColumn(text_col, F.when(F.col(name).isNull(), text).otherwise(generalise(text, F.col(name)))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+import re
 
 import brute
 from hypothesis import given, settings
@@ -85,3 +88,57 @@ def test_terms_count_over_the_whole_text_of_an_entity(spark):
     rows = [(1, f"dear anna {gap} {gap} call Xandor now {CARD}"), (2, f"dear bert {gap} {gap} call Xandor now {CARD}"), *FILLER]
     got = terms_in(spark, rows)
     assert "Xandor" in got[1] and "Xandor" in got[2] and "anna" not in got[1]
+
+
+def brute_terms(rows, threshold=op.THRESHOLD, support=op.SUPPORT, smoothing=op.SMOOTHING):
+    """The definition of the disclosing terms, over all pairs."""
+    docs = []
+    for _, text in rows:
+        text, spans = text or "", brute.spans(text)
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        outside = {op.term_of(w) for a, z, w in words if not any(a < y and x < z for _, x, y in spans)}
+        held = set()
+        for k, a, b in spans:
+            v = text[a:b].lower() if k == "email" else text[a:b] if k == "ip" else re.sub("[^0-9]", "", text[a:b])
+            held |= {(k, v), *([("domain", v.split("@")[-1])] if k == "email" else [])}
+        docs.append((" ".join(text.split()), held, {t for t in outside if len(t) >= op.SHORTEST}))
+    n, out = max(2, len(docs)), set()
+    near = set().union(*(t for _, held, t in docs if any(len({p for p, h, _ in docs if e in h}) >= support for e in held)), set())
+    for e in set().union(*(h for _, h, _ in docs)):
+        with_e = [d for d in docs if e in d[1]]
+        if len({d[0] for d in with_e}) < support:
+            continue
+        p = len(with_e) / n
+        for t in near:
+            both = [d for d in with_e if t in d[2]]
+            if len({d[0] for d in both}) < support or p >= 1 or len(both) * -math.log(p) <= math.log(max(1, len(near))):
+                continue
+            given_t = (len(both) + smoothing * p) / (sum(t in d[2] for d in docs) + smoothing)
+            if math.log(given_t / p) / -math.log(p) >= threshold:
+                out.add(t)
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark, small):
+    """Given texts with planted names that go with an address, a card and a company's domain."""
+    rng = random.Random(6)
+    rows = [(r["doc_id"], r["text"]) for r in small.orderBy("doc_id").limit(90).collect()]
+    for k in range(8):
+        filler = " ".join(rng.choices("north south east west river stone paper glass".split(), k=9))
+        rows.append((10_000 + k, f"{filler} Quillhart {'wrote' if k % 2 else 'said'} to jane.doe@acme.example.org {rng.random()}"))
+        rows.append((10_100 + k, f"the Brandol works, {filler} {rng.choice('abcdef')}{k}@brandol.example.net"))
+        rows.append((10_200 + k, f"{filler} {'Vexler' if k < 5 else 'nobody'} and {CARD} {k}"))
+    rows += [(10_300, "Quillhart alone"), (None, "Brandol alone"), (10_301, None), rows[-1], rows[-2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_terms(rows)
+    assert {"quillhart", "brandol"} <= want
+    got = {r["term"] for r in op.disclosing_terms(df.select("text"), op.THRESHOLD, op.SUPPORT, op.SMOOTHING).collect()}
+    assert got == {op._signed(t.encode()) for t in want}
+    held = op._Among
+    try:  # many keys go through a filter, and joins decide
+        op._Among = lambda keys: type("F", (), {"__call__": lambda self, h, p=op.Passing(keys): p(h)})()
+        assert {r["term"] for r in op.disclosing_terms(df.select("text"), op.THRESHOLD, op.SUPPORT, op.SMOOTHING).collect()} == got
+    finally:
+        op._Among = held
+    clean = {r["doc_id"]: r["text"] for r in op.sanitise(df).collect()}
+    assert clean[10_300] == "[TERM] alone" and clean[None] == "[TERM] alone" and clean[10_301] is None
