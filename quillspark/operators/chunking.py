@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import law_code, strip
-from quillspark.operators.segment import ARTICLE, articles_of, clean_lines, tidy
+from quillspark.operators.segment import articles, has_no_articles, with_clean_text
 from quillspark.operators.tagging import chunk_id, domain_tags, formatted_text
 from quillspark.profiles import Profile
 from quillspark.schemas import CHUNK_COLUMNS
@@ -23,6 +23,14 @@ MAX_CHARS = 1500
 #: A longer chunk makes its record faulty.
 LONGEST_CHUNK = 20_000
 SOURCE_TYPE = "COLESLAW"
+
+
+def tidy(s: str) -> str:
+    """``normalize_whitespace`` for the Arrow functions of this module."""
+    s = re.sub("[\u00a0 \t]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub("\n{3,}", "\n\n", s).strip()
+
+
 _BREAK = re.compile(r"[;:]\s+|(?<!\d)\.\s+|\n+")
 
 
@@ -102,7 +110,8 @@ def split_body(body: str, most: int, profile: Profile) -> list[str]:
 
 
 def _arrow(function):
-    return F.pandas_udf(lambda s: pd.Series([None if x is None else function(x) for x in s], dtype=object), "array<string>")
+    """Declared nondeterministic, so that no filter above makes it run twice."""
+    return F.pandas_udf(lambda s: pd.Series([None if x is None else function(x) for x in s], dtype=object), "array<string>").asNondeterministic()
 
 
 def split_column(text: Column, most: int, profile: Profile | None) -> Column:
@@ -122,22 +131,16 @@ def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, kee
     Articles are split by ``split_body``; a record without articles gives, if ``keep_nonparsed``, parts of its whole
     text. Empty chunks are left out, after their number was counted. Columns: the three ordinals and the chunk fields.
     """
-    whole = {"article_start": 0}
-
-    @F.pandas_udf(f"ARRAY<STRUCT<{ARTICLE}, parts: ARRAY<STRING>, whole: BOOLEAN>>")
-    def read(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            clean = clean_lines(t or "", profile)
-            found = [x | {"parts": split_body(x["article_body"], max_chars, profile), "whole": False} for x in articles_of(clean, profile)]
-            if not found and keep_nonparsed and clean:
-                found = [whole | {"parts": split_long(clean, max_chars), "whole": True}]
-            out.append(found)
-        return pd.Series(out, dtype=object)
-
-    parsed = records.withColumn("_read", read.asNondeterministic()(F.col("text")))
-    parsed = parsed.select(*records.columns, F.posexplode("_read").alias("article_idx", "_a")).select(*records.columns, "article_idx", "_a.*")
-    parsed = parsed.withColumnRenamed("parts", "_parts").withColumnRenamed("whole", "_always")
+    clean = with_clean_text(records, "text", profile, "_clean")
+    found = articles(clean, "_clean", profile).withColumn("_always", F.lit(False)).withColumn("_parts", split_column(F.col("article_body"), max_chars, profile))
+    if keep_nonparsed:
+        # A record without articles is one article without a number, cut by length alone.
+        bare = clean.filter(has_no_articles(F.col("_clean"), profile) & (F.col("_clean") != ""))
+        nothing = {c: F.lit(None).cast("string") for c in ("article_number", "article_label", "article_heading", "chapter")}
+        bare = bare.withColumns({"article_idx": F.lit(0), "article_start": F.lit(0), "article_body": F.col("_clean"), **nothing})
+        bare = bare.withColumn("_always", F.lit(True)).withColumn("_parts", split_column(F.col("_clean"), max_chars, None))
+        found = found.unionByName(bare)
+    parsed = found.drop("_clean")
     many = F.size("_parts") > 1
     each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode("_parts").alias("part_idx", "_text"))
     index = F.col("part_idx") + 1

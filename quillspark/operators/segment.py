@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import lines, normalize_whitespace, strip
+from quillspark.functions.text import lines, normalize_whitespace, spans, strip, word_count
 from quillspark.profiles import Profile
 
 MULTI = "(?miUud)"
@@ -33,98 +28,85 @@ def with_clean_text(df: DataFrame, text: str, profile: Profile, name: str) -> Da
     return d.withColumn(name, normalize_whitespace(F.array_join(rest, "\n"))).drop("_own", "_first")
 
 
-def clean_lines(text: str, profile: Profile) -> str:
-    """Python twin of ``with_clean_text``."""
-    own = [x.strip() for x in text.splitlines()]
-    marks = [re.compile(f"(?mi){p}") for p in profile.article_lines]
-    first = next((i for i, x in enumerate(own) if any(m.match(x) for m in marks)), len(own))
-    kept = [x for x in own[:first] if x and not x.startswith(profile.noise_prefixes)]
-    return tidy("\n".join(kept + own[first:]))
-
-
-def tidy(s: str) -> str:
-    """Python twin of ``normalize_whitespace``."""
-    s = re.sub("[\u00a0 \t]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub("\n{3,}", "\n\n", s).strip()
-
-
-@lru_cache(maxsize=32)
-def _compiled(patterns: tuple[str, ...], flags: int = 0) -> tuple[re.Pattern, ...]:
-    return tuple(re.compile(p, flags) for p in patterns)
+def headings(text: Column, patterns: tuple[str, ...], flags: str = MULTI) -> Column:
+    """All matches of ``patterns`` as array<struct<start, rank, stop, number, match>>, by start and then rank of the pattern."""
 
+    def of(rank: int, pattern: str) -> Column:
+        number = lambda m: F.regexp_extract(m, f"{flags}{pattern}", 1)
+        return F.transform(spans(text, f"{flags}{pattern}"), lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["stop"], number(s["match"]).alias("number"), s["match"]))
 
-def _first_by_start(text: str, patterns: tuple[str, ...]) -> dict[int, re.Match]:
-    """Matches by start; where several patterns match, the earlier one counts."""
-    found: dict[int, re.Match] = {}
-    for rx in _compiled(patterns, re.M | re.I):
-        for m in rx.finditer(text):
-            found.setdefault(m.start(), m)
-    return found
+    return F.array_sort(F.concat(*(of(k, p) for k, p in enumerate(patterns))))
 
 
-def chapters_of(text: str, profile: Profile) -> tuple[list[int], list[str]]:
-    """Starts and labels of the chapter headings; of headings at one place the last pattern stands last."""
-    found = sorted((m.start(), k, m[0].strip()) for k, rx in enumerate(_compiled(profile.chapters)) for m in rx.finditer(text))
-    return [f[0] for f in found], [f[2] for f in found]
+def has_no_articles(text: Column, profile: Profile) -> Column:
+    """Whether no article heading of any kind stands in ``text``."""
+    out = F.lit(True)
+    for p in (*profile.articles, *profile.roman_articles):
+        out = out & ~text.rlike(f"{MULTI}{p}")
+    return out
 
 
-def is_structural_heading(line: str, profile: Profile) -> bool:
-    patterns = (*profile.chapters, profile.numbered_heading) if profile.numbered_heading else profile.chapters
-    return bool(line) and any(rx.fullmatch(line) for rx in _compiled(patterns))
+def is_structural(line: Column, profile: Profile) -> Column:
+    """Whether a line is nothing but a chapter heading or a numbered one."""
+    out = F.lit(False)
+    for p in (*profile.chapters, profile.numbered_heading):
+        if p:
+            out = out | line.rlike(rf"(?Uud)\A(?:{p})\z")
+    return out
 
 
-def articles_of(text: str, profile: Profile) -> list[dict]:
-    """The articles of a text in order, as dicts of the fields of ``ARTICLE``.
+def with_articles(df: DataFrame, text: str, profile: Profile, name: str) -> DataFrame:
+    """Adds the articles of ``text`` as array<struct<start, number, block, rest, chapter>>, all inside the row.
 
-    Text before the first article is left out; a first line in parentheses is the heading; structural
-    headings in the body are dropped; the forward style keeps its first line if that has more than two words.
+    Headings of all patterns meet by their start, where the first pattern counts; roman ones stand in where there are no
+    others. An article goes to the next start, ``rest`` is what follows its heading; blank ones are left out.
     """
-    found = _first_by_start(text, profile.articles) or _first_by_start(text, profile.roman_articles)
-    starts = sorted(found)
-    places, labels = chapters_of(text, profile) if found else ([], [])
-    out = []
-    for start, end in zip(starts, [*starts[1:], len(text)]):
-        m = found[start]
-        block, rest = text[start:end].strip(), text[m.end() : end].strip()
-        if not block:
-            continue
-        head = block.splitlines()[0].strip()
-        forward = head.lower().startswith("člen ")
-        body = [x for x in map(str.strip, (block if forward and len(head.split()) > 2 else rest).splitlines()) if x]
-        heading = None
-        if body and re.fullmatch(r"\(.+\)", body[0]):
-            heading = body.pop(0)[1:-1].strip()
-        k = bisect_right(places, start)
-        out.append(
-            {
-                "article_start": start,
-                "article_number": m[1],
-                "article_label": f"Člen {m[1]}" if forward else f"{m[1]}. člen",
-                "article_heading": heading,
-                "article_body": tidy("\n".join(x for x in body if not is_structural_heading(x, profile))),
-                "chapter": labels[k - 1] if k else None,
-            }
-        )
-    return out
+    roman = headings(F.col(text), profile.roman_articles) if profile.roman_articles else F.col("_found")
+    d = df.withColumn("_found", headings(F.col(text), profile.articles))
+    d = d.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(roman))
+    d = d.withColumn("_found", F.filter("_found", lambda x, i: (i == 0) | (F.get("_found", i - 1)["start"] != x["start"])))
+    marks = headings(F.col(text), profile.chapters, "(?Uud)") if profile.chapters else F.filter("_found", lambda x: F.lit(False))
+    d = d.withColumn("_chapters", F.when(F.size("_found") > 0, marks))
 
+    def article(x: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_found", i + 1)["start"], F.length(text))
+        cut = lambda a: strip(F.substring(F.col(text), a + 1, F.greatest(end - a, F.lit(0))))
+        governing = F.try_element_at(F.filter("_chapters", lambda c: c["start"] <= x["start"]), F.lit(-1))
+        return F.struct(x["start"].alias("start"), x["number"].alias("number"), cut(x["start"]).alias("block"), cut(x["stop"]).alias("rest"), strip(governing["match"]).alias("chapter"))
 
-ARTICLE = "article_start: INT, article_number: STRING, article_label: STRING, article_heading: STRING, article_body: STRING, chapter: STRING"
+    sliced = F.filter(F.transform("_found", article), lambda x: x["block"] != "")
+    return d.withColumn(name, sliced).drop("_found", "_chapters")
 
 
 def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
-    """A row for each article of the column ``text``: article_idx and the fields of ``ARTICLE`` beside all columns of ``df``.
+    """A row for each article of the column ``text``: article_idx, article_start, article_number, article_label,
+    article_heading, article_body, chapter, beside all columns of ``df``. Expressions only.
 
-    Matching with offsets and the passage from one article to the next have no built-in; one Arrow function reads
-    each text once. It is declared nondeterministic so that no filter makes it run twice. Rows without
-    articles (or with a null text) give none.
+    Text before the first article is left out; a first line in parentheses is the heading; structural headings in the
+    body are dropped; the forward style keeps its first line if that has more than two words. Rows without articles
+    (or with a null text) give none.
     """
-
-    @F.pandas_udf(f"ARRAY<STRUCT<{ARTICLE}>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([articles_of(t, profile) if t else [] for t in texts], dtype=object)
-
-    d = df.withColumn("_read", read.asNondeterministic()(F.col(text)))
-    return d.select("*", F.posexplode("_read").alias("article_idx", "_a")).select(*df.columns, "article_idx", "_a.*")
+    d = with_articles(df, text, profile, "_articles")
+    # The outer form, as the plain one would repeat the whole expression in a filter on its size at the scan.
+    d = d.select(*df.columns, F.posexplode_outer("_articles").alias("article_idx", "_a")).filter("_a is not null")
+    first = strip(F.get(lines(F.col("_a.block")), F.lit(0)))
+    d = d.withColumn("_forward", F.lower(first).startswith("člen ")).withColumn("_long", word_count(first) > 2)
+    shown = F.when(F.col("_forward") & F.col("_long"), F.col("_a.block")).otherwise(F.col("_a.rest"))
+    d = d.withColumn("_lines", F.filter(F.transform(lines(shown), strip), lambda x: x != ""))
+    lead = F.get("_lines", F.lit(0))
+    d = d.withColumn("_headed", F.coalesce(lead.rlike(r"\A\(.+\)\z"), F.lit(False)))
+    body = F.filter("_lines", lambda x, i: ~((i == 0) & F.col("_headed")) & ~is_structural(x, profile))
+    number = F.col("_a.number")
+    return d.select(
+        *df.columns,
+        "article_idx",
+        F.col("_a.start").alias("article_start"),
+        number.alias("article_number"),
+        F.when(F.col("_forward"), F.concat(F.lit("Člen "), number)).otherwise(F.concat(number, F.lit(". člen"))).alias("article_label"),
+        F.when(F.col("_headed"), strip(F.expr("substring(_lines[0], 2, length(_lines[0]) - 2)"))).alias("article_heading"),
+        normalize_whitespace(F.array_join(body, "\n")).alias("article_body"),
+        F.col("_a.chapter").alias("chapter"),
+    )
 
 
 def asof_heading(rows: DataFrame, group: str, position: str, label: str, out: str) -> DataFrame:

@@ -49,3 +49,30 @@ def packed(units, most):
         elif g:
             out.append(norm("\n".join(g)))
     return out
+
+
+def acts(text, profile):
+    """(number, label, heading, body, chapter) of each article, line by line and from the survey's words."""
+    starts = {}
+    for group in (profile.articles, profile.roman_articles):
+        for pattern in reversed(group):
+            starts |= {m.start(): (m.end(), m[1]) for m in W(pattern, re.M | re.I).finditer(text)}
+        if starts:
+            break
+    chapters = sorted((m.start(), k, m[0].strip()) for k, p in enumerate(profile.chapters) for m in W(p).finditer(text))
+    structural = [W(p) for p in (*profile.chapters, profile.numbered_heading)]
+    order, out = sorted(starts), []
+    for start, end in zip(order, order[1:] + [len(text)]):
+        stop, number = starts[start]
+        block = text[start:end].strip()
+        if not block:
+            continue
+        first = block.splitlines()[0].strip()
+        forward = first.lower().startswith("člen ")
+        body = (block if forward and len(first.split()) > 2 else text[stop:end]).strip()
+        own = [x.strip() for x in body.splitlines() if x.strip()]
+        heading = own[0][1:-1].strip() if own and W(r"\(.+\)").fullmatch(own[0]) else None
+        own = [x for x in own[heading is not None :] if not any(rx.fullmatch(x) for rx in structural)]
+        chapter = next((label for at, _, label in reversed(chapters) if at <= start), None)
+        out.append((number, f"Člen {number}" if forward else f"{number}. člen", heading, norm("\n".join(own)), chapter))
+    return out

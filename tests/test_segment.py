@@ -1,46 +1,73 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from plain import long_parts, packed
+from plain import acts, long_parts, packed
 
 from quillspark.functions import text as T
 from quillspark.operators import chunking, segment
 from quillspark.profiles import SLOVENIAN_LAW as P
 
 
-def read(text):
-    return segment.articles_of(text, P)
+@pytest.fixture
+def read(spark):
+    def run(*texts):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "pos int, t string")
+        return [r.asDict() for r in segment.articles(df, "t", P).orderBy("pos", "article_idx").collect()]
+
+    return run
 
 
-def test_basic_articles():
+def test_basic_articles(read):
     a = read("Uvod\n1. člen\n(Namen)\nPrvi odstavek.\n2. ČLEN\nDrugi.")
     assert [(x["article_number"], x["article_label"], x["article_heading"], x["article_body"]) for x in a] == [("1", "1. člen", "Namen", "Prvi odstavek."), ("2", "2. člen", None, "Drugi.")]
 
 
-def test_blank_line_before_a_heading_belongs_to_the_match():
+def test_blank_line_before_a_heading_belongs_to_the_match(read):
     assert read("\n\n1. člen\nx")[0]["article_start"] == 0
 
 
-def test_forward_style():
+def test_forward_style(read):
     assert [x["article_body"] for x in read("Člen 5 abc\nx\nČlen 6\ny")] == ["Člen 5 abc\nx", "y"]
     assert read("Člen 6\ny")[0]["article_label"] == "Člen 6"
 
 
-def test_roman_articles_only_without_arabic_ones():
+def test_roman_articles_only_without_arabic_ones(read):
     assert read("IV. člen\nx")[0]["article_number"] == "IV"
     assert len(read("IV. člen\nx\n1. člen\ny")) == 1
 
 
-def test_chapters_govern_from_their_place_on():
+def test_chapters_govern_from_their_place_on(read):
     a = read("1. člen\na\nI. SPLOŠNE DOLOČBE\n2. člen\nb\n2. poglavje\n3. člen\nc\n4. člen\nd")
     assert [x["chapter"] for x in a] == [None, "I. SPLOŠNE DOLOČBE", "2. poglavje", "2. poglavje"]
     assert [x["article_body"] for x in a] == ["a", "b", "c", "d"]
 
 
-def test_chapter_label_swallows_capital_lines():
-    assert segment.chapters_of("I. SPLOŠNE\n\nABC\nx", P)[1] == ["I. SPLOŠNE\n\nABC"]
+def test_chapter_label_swallows_capital_lines(read):
+    assert read("I. SPLOŠNE\n\nABC\nx\n1. člen\ny")[0]["chapter"] == "I. SPLOŠNE\n\nABC"
+
+
+def test_headings_of_two_patterns_that_overlap(read):
+    """Each pattern finds its own: the number before a line end, and the forward heading after it."""
+    a = read("1.\nčlen 5\nx")
+    assert [(x["article_number"], x["article_label"], x["article_body"]) for x in a] == [("1", "1. člen", ""), ("5", "Člen 5", "x")]
+
+
+PIECES = ["1. člen", "2. ČLEN", "Člen 3", "Člen 4 je nov", "IV. člen", "(Namen)", "(a) b (c)", "I. SPLOŠNE DOLOČBE", "2. poglavje o davkih", "PRVI DEL", "1. Dobiček je razlika", "besedilo odstavka.", "", "  ", "12", "člen", "\x85"]
+
+
+def test_random_acts_equal_the_plain_version(spark):
+    rng = random.Random(11)
+    texts = [rng.choice(["", "\n", " "]) + rng.choice(["\n", "\r\n"]).join(rng.choices(PIECES, k=rng.randint(0, 14))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "pos int, t string").repartition(4)
+    got: dict = {}
+    for r in segment.articles(df, "t", P).orderBy("pos", "article_idx").collect():
+        got.setdefault(r["pos"], []).append((r["article_number"], r["article_label"], r["article_heading"], r["article_body"], r["chapter"]))
+    assert {k: v for k, t in enumerate(texts) if (v := acts(t or "", P))} == got
 
 
-def test_structural_lines_and_heading_misfire():
+def test_structural_lines_and_heading_misfire(read):
     assert read("1. člen\n1. Dobiček je razlika\nx")[0]["article_body"] == "x"
     a = read("1. člen\n(1) text (2)")[0]
     assert a["article_heading"] == "1) text (2" and a["article_body"] == ""
@@ -48,10 +75,9 @@ def test_structural_lines_and_heading_misfire():
 
 def test_leading_noise(spark):
     t = "ZAKON o davku\n\nOpozorilo: x\nUvod\n1. člen\n\nZAKON ostane"
-    assert segment.clean_lines(t, P) == "Uvod\n1. člen\n\nZAKON ostane"
-    rows = [(t,), ("IV. člen\nZAKON x\n\ny",), ("",), (None,), ("a  b \x85c\r\nd",)]
-    df = segment.with_clean_text(spark.createDataFrame(rows, "t string"), "t", P, "clean")
-    assert [r["clean"] for r in df.collect()] == [segment.clean_lines(r[0] or "", P) for r in rows]
+    rows = {t: "Uvod\n1. člen\n\nZAKON ostane", "IV. člen\nZAKON x\n\ny": "IV. člen\ny", "": "", None: "", "a \u00a0b \x85c\r\nd": "a b\nc\nd"}
+    df = segment.with_clean_text(spark.createDataFrame([(k,) for k in rows], "t string"), "t", P, "clean")
+    assert [r["clean"] for r in df.collect()] == list(rows.values())
 
 
 def test_paragraph_split_loses_what_stands_before():
