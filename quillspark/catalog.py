@@ -2,8 +2,8 @@
 
 The given tables stand in for a corpus of acts: ``documents`` for records (source as law code),
 ``embeddings`` for chunk and query vectors, ``benchmark`` for questions, ``labels`` for verdicts and
-``conversations`` for history and answers. Their texts have no article headings, so ``article_segments``
-puts one before each line. ``CORPUS`` holds words of these texts in place of legal terms.
+``conversations`` for history and answers. Their texts have no headings, so ``article_segments`` puts
+articles, titles and chapters before their lines. ``CORPUS`` holds words of these texts in place of legal terms.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging
-from quillspark.plans import index
+from quillspark.plans import evaluate, index
 from quillspark.profiles import SLOVENIAN_LAW
 
 CORPUS = replace(
@@ -118,9 +118,19 @@ def line_asof_heading(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose every line of text is the body of a numbered article."""
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". člen\n"), x))
-    return _records(spark, d).withColumn("text", F.array_join(numbered, "\n"))
+    """Records whose every line of text is the body of a numbered article.
+
+    Every third heading is of the forward style, every fifth article has a title, and a chapter begins before every eleventh.
+    """
+
+    def article(x, i):
+        n = i + 1
+        chapter = F.when(n % 11 == 0, F.concat((n / 11).cast("int").cast("string"), F.lit(". poglavje\n"))).otherwise("")
+        heading = F.when(n % 3 == 0, F.concat(F.lit("Člen "), n.cast("string"))).otherwise(F.concat(n.cast("string"), F.lit(". člen")))
+        title = F.when(n % 5 == 0, F.concat(F.lit("(Naslov "), n.cast("string"), F.lit(")\n"))).otherwise("")
+        return F.concat(chapter, heading, F.lit("\n"), title, x)
+
+    return _records(spark, d).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), article), "\n"))
 
 
 def article_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -184,9 +194,10 @@ def compare_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as questions, with the vector of their number; documents as chunks, with that of theirs."""
+    """Benchmark items as questions, with the vector of their number; all documents as chunks, vectors dealt to them in turn."""
     e = table(spark, d, "embeddings")
-    docs = table(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"))
+    size = e.agg((F.max("vec_id") + 1).alias("size"))
+    docs = table(spark, d, "documents").join(F.broadcast(size), F.lit(True)).join(e, F.col("doc_id") % F.col("size") == F.col("vec_id")).drop("size")
     chunks = docs.select(F.col("doc_id").alias("chunk_pos"), "embedding")
     questions = table(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), "embedding")
     found = retrieval.top_k(chunks, questions, k=5 * K, metric="ip", decimals=6)
@@ -262,6 +273,37 @@ def answer_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("avg_words", F.round("avg_words", 6)).withColumn("avg_sources", F.round("avg_sources", 6))
 
 
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as gold; a quarter was never answered, a sixth failed, the others echo the question."""
+    b = table(spark, d, "benchmark").withColumn("id", F.col("item_id").cast("string"))
+    code = lambda n: F.concat(F.lit("src"), (F.col("item_id") % n).cast("string"))
+    gold = b.select("id", F.col("text").alias("question"), F.col("text").alias("gold_answer"), F.array(F.struct(code(7).alias("law_code"), code(7).alias("law_title"))).alias("gold_sources"))
+    source = F.struct(F.lit(1).alias("rank"), code(5).alias("law_code"), F.concat("id", F.lit(". člen")).alias("article_label"))
+    answered = b.filter("item_id % 4 <> 0").select("id", F.concat(F.lit("člen "), "text").alias("answer"), F.array(source).alias("sources"), F.when(F.col("item_id") % 6 == 0, "late").alias("error"))
+    return evaluate.predictions(gold, answered, "echo")
+
+
+def predictions_joined(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("prediction")
+    return _predictions(spark, d).select("id", "question", p["answer"].alias("answer"), F.size(p["sources"]).alias("n_sources"), p["error"].alias("error"))
+
+
+def prediction_table(spark: SparkSession, d: str) -> DataFrame:
+    return reports.prediction_table(_predictions(spark, d)).withColumn("has_preview", F.col("preview") != "").drop("preview")
+
+
+def most_common_laws(spark: SparkSession, d: str) -> DataFrame:
+    p = _predictions(spark, d)
+    gold, top = (reports.most_common_laws(p, of, 3).select(F.lit(of).alias("side"), "law_code", "n") for of in ("gold", "predicted"))
+    return gold.unionByName(top)
+
+
+def retrieval_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as queries, documents as chunks: the fields that evaluation reads, some of them not given."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_pos"), "text", F.concat(F.lit("Zakon: "), "text").alias("formatted_text"), F.concat(F.lit("M"), "doc_id").alias("chunk_id"), F.concat(F.lit("Zakon "), "source").alias("law_title"))
+    return retrieval.as_candidates(_top("cosine")(spark, d).join(texts, "chunk_pos"))
+
+
 QUERIES = {
     "vec_topk_inner_product": _top("ip"),
     "vec_topk_cosine": _top("cosine"),
@@ -299,6 +341,10 @@ QUERIES = {
         judge_rates,
         conversation_messages,
         answer_stats,
+        predictions_joined,
+        prediction_table,
+        most_common_laws,
+        retrieval_candidates,
     )
 }
 
@@ -349,7 +395,7 @@ def _ndcg_sql(metric: str) -> str:
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
 _RERANK = f"""WITH q AS (SELECT item_id AS query_id, b.text AS question, e.embedding FROM benchmark b JOIN embeddings e ON item_id = vec_id),
-    c AS (SELECT doc_id AS chunk_pos, 'Zakon ' || source AS law_title, doc_id || '. člen' AS article_label, d.text, e.embedding FROM documents d JOIN embeddings e ON doc_id = vec_id),
+    c AS (SELECT doc_id AS chunk_pos, 'Zakon ' || source AS law_title, doc_id || '. člen' AS article_label, d.text, e.embedding FROM documents d JOIN embeddings e ON doc_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id),
     s AS (SELECT query_id, question, chunk_pos, law_title, article_label, text, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS score FROM q, c),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos)::INTEGER AS retrieval_rank FROM s) WHERE retrieval_rank <= {5 * K}),
     w AS (SELECT *, {_WORDS.format("question")} AS a, {_WORDS.format("law_title || ': ' || text")} AS b FROM f),
@@ -369,6 +415,9 @@ def _tidy_sql(x: str) -> str:
     return _strip_sql(rf"regexp_replace({two}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+_PREDICTED = """WITH p AS (SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id % 7 AS gold_law, item_id % 4 <> 0 AND item_id % 6 <> 0 AS ok,
+    CASE WHEN ok THEN 'člen ' || text END AS answer, CASE WHEN ok THEN 1 ELSE 0 END::INTEGER AS n_sources, CASE WHEN ok THEN 'src' || item_id % 5 END AS law, CASE WHEN ok THEN item_id || '. člen' END AS label,
+    CASE WHEN item_id % 4 = 0 THEN 'no answer' WHEN item_id % 6 = 0 THEN 'late' END AS error FROM benchmark)"""
 _REPLIES = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'good' WHEN doc_id % 7 = 0 THEN 'missing citation_correct' WHEN doc_id % 11 = 0 THEN 'no JSON object' ELSE 'good' END AS state, quality = 1 AS ok, toxic = 1 AS bad FROM labels"""
 _PARSED = f"""SELECT doc_id, CASE WHEN state = 'good' THEN ok END AS legal_correct, CASE WHEN state = 'good' THEN ok END AS citation_correct, CASE WHEN state = 'good' THEN bad END AS hallucination,
     CASE WHEN state = 'good' THEN ok AND NOT bad END AS passed, CASE WHEN state = 'good' THEN 'd' || doc_id END AS rationale, CASE WHEN state <> 'good' THEN state END AS error FROM ({_REPLIES})"""
@@ -396,8 +445,17 @@ ORACLES = {
         SELECT doc_id, line::INTEGER AS line, length(value)::INTEGER AS n_chars,
             last_value(CASE WHEN length(value) < 40 AND length(value) > 0 THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS heading FROM l""",
     "article_segments": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-        SELECT doc_id AS id, (i - 1)::INTEGER AS article_idx, i::VARCHAR AS article_number, i || '. člen' AS article_label, NULL::VARCHAR AS article_heading,
-            {_tidy_sql("value")} AS article_body, NULL::VARCHAR AS chapter FROM l""",
+        SELECT doc_id AS id, (i - 1)::INTEGER AS article_idx, i::VARCHAR AS article_number, CASE WHEN i % 3 = 0 THEN 'Člen ' || i ELSE i || '. člen' END AS article_label,
+            CASE WHEN i % 5 = 0 THEN 'Naslov ' || i END AS article_heading, {_tidy_sql("value")} AS article_body, CASE WHEN i >= 11 THEN (i // 11) || '. poglavje' END AS chapter FROM l""",
+    "predictions_joined": _PREDICTED + " SELECT id, question, answer, n_sources, error FROM p",
+    "prediction_table": _PREDICTED
+    + f""" SELECT id, CASE WHEN answer IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '')) END::INTEGER AS answer_words, n_sources AS num_sources,
+        law AS top_pred_law, label AS top_pred_article, gold_law AS gold_laws, contains(lower(coalesce(answer, '')), 'ne vem') AS has_uncertainty, answer IS NOT NULL AS has_source_reference, answer IS NOT NULL AS has_preview FROM p""",
+    "most_common_laws": _PREDICTED
+    + """ SELECT * FROM (SELECT 'gold' AS side, gold_law AS law_code, count(*) AS n FROM p GROUP BY 2 ORDER BY n DESC, law_code LIMIT 3)
+        UNION ALL SELECT * FROM (SELECT 'predicted', law, count(*) AS n FROM p WHERE law IS NOT NULL GROUP BY 2 ORDER BY n DESC, law LIMIT 3)""",
+    "retrieval_candidates": f"""SELECT query_id, retrieval_rank, d.text, 'Zakon: ' || d.text AS formatted_text, score AS dist, 'M' || doc_id AS chunk_id, 'Zakon ' || source AS law_title, '' AS law_code, '' AS article_label, '' AS article_heading
+        FROM ({_top_sql("cosine", K)}) JOIN documents d ON doc_id = chunk_pos""",
     "ndcg_at_k": _ndcg_sql("cosine") + " SELECT query_id, k, round(ndcg, 6) AS ndcg FROM ndcg",
     "ndcg_summary": _ndcg_sql("cosine") + " SELECT k, round(avg(ndcg), 6) AS mean, round(stddev_pop(ndcg), 6) AS std, count(ndcg) AS n FROM ndcg GROUP BY k",
     "compare_metrics": f"""SELECT file, label, round(avg(mean), 6) AS mean_ndcg, count(*) AS n_k, true AS has_std FROM (

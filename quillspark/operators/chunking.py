@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import law_code, strip
-from quillspark.operators.segment import articles, has_no_articles, with_clean_text
+from quillspark.operators.segment import articles, with_clean_text
 from quillspark.operators.tagging import chunk_id, domain_tags, formatted_text
 from quillspark.profiles import Profile
 from quillspark.schemas import CHUNK_COLUMNS
@@ -132,15 +132,14 @@ def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, kee
     text. Empty chunks are left out, after their number was counted. Columns: the three ordinals and the chunk fields.
     """
     clean = with_clean_text(records, "text", profile, "_clean")
-    found = articles(clean, "_clean", profile).withColumn("_always", F.lit(False)).withColumn("_parts", split_column(F.col("article_body"), max_chars, profile))
-    if keep_nonparsed:
-        # A record without articles is one article without a number, cut by length alone.
-        bare = clean.filter(has_no_articles(F.col("_clean"), profile) & (F.col("_clean") != ""))
-        nothing = {c: F.lit(None).cast("string") for c in ("article_number", "article_label", "article_heading", "chapter")}
-        bare = bare.withColumns({"article_idx": F.lit(0), "article_start": F.lit(0), "article_body": F.col("_clean"), **nothing})
-        bare = bare.withColumn("_always", F.lit(True)).withColumn("_parts", split_column(F.col("_clean"), max_chars, None))
-        found = found.unionByName(bare)
-    parsed = found.drop("_clean")
+    found = articles(clean, "_clean", profile, keep_bare=keep_nonparsed)
+    bare = F.col("article_idx").isNull()
+    if keep_nonparsed:  # a record without articles is one without a number, cut by length alone
+        found = found.filter(~bare | (F.col("_clean") != ""))
+    by_marker = split_column(F.when(~bare, F.col("article_body")), max_chars, profile)
+    by_length = split_column(F.when(bare, F.col("_clean")), max_chars, None)
+    found = found.withColumn("_always", bare).withColumn("_parts", F.when(bare, by_length).otherwise(by_marker) if keep_nonparsed else by_marker)
+    parsed = found.withColumn("article_idx", F.coalesce("article_idx", F.lit(0))).drop("_clean", "_chapters")
     many = F.size("_parts") > 1
     each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode("_parts").alias("part_idx", "_text"))
     index = F.col("part_idx") + 1

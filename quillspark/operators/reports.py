@@ -82,6 +82,15 @@ def prediction_table(predictions: DataFrame) -> DataFrame:
     )
 
 
+def most_common_laws(predictions: DataFrame, of: str = "predicted", most: int = 10) -> DataFrame:
+    """law_code, n: the laws that stand first among the predicted sources, or all laws of the gold sources ("gold")."""
+    if of == "gold":
+        laws = predictions.select(F.explode("gold_sources").alias("s")).select("s.law_code")
+    else:
+        laws = predictions.select(F.get("prediction.sources", 0)["law_code"].alias("law_code"))
+    return laws.filter("law_code is not null").groupBy("law_code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "law_code").limit(most)
+
+
 def comparison_text(predictions: DataFrame) -> Column:
     """Question, gold answer and model answer of a prediction as a text block."""
     shown = lambda c: collapse_whitespace(F.coalesce(c, F.lit("")))

@@ -138,6 +138,19 @@ def rerank(scored: DataFrame, n: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def as_candidates(found: DataFrame) -> DataFrame:
+    """query_id and the eight fields that evaluation reads of a retrieved chunk, nearest first in each query's ranks.
+
+    A formatted text that is missing or empty is the text; a chunk without an id is named by its position; columns that
+    ``found`` does not have are empty.
+    """
+    own = lambda c: F.col(c) if c in found.columns else F.lit("")
+    text = F.coalesce(own("text"), F.lit(""))
+    name = F.col("chunk_id") if "chunk_id" in found.columns else F.col("chunk_pos").cast("string")
+    rest = [own(c).alias(c) for c in ("law_title", "law_code", "article_label", "article_heading")]
+    return found.select("query_id", "retrieval_rank", text.alias("text"), F.coalesce(F.nullif(own("formatted_text"), F.lit("")), text).alias("formatted_text"), F.col("score").alias("dist"), name.alias("chunk_id"), *rest)
+
+
 def chunks_with_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """The one-to-one join on chunk_pos; a row without partner on either side raises when the result is read."""
     both = chunks.withColumn("_c", F.lit(True)).join(embeddings.withColumn("_e", F.lit(True)), "chunk_pos", "full")

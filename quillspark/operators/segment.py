@@ -38,14 +38,6 @@ def headings(text: Column, patterns: tuple[str, ...], flags: str = MULTI) -> Col
     return F.array_sort(F.concat(*(of(k, p) for k, p in enumerate(patterns))))
 
 
-def has_no_articles(text: Column, profile: Profile) -> Column:
-    """Whether no article heading of any kind stands in ``text``."""
-    out = F.lit(True)
-    for p in (*profile.articles, *profile.roman_articles):
-        out = out & ~text.rlike(f"{MULTI}{p}")
-    return out
-
-
 def is_structural(line: Column, profile: Profile) -> Column:
     """Whether a line is nothing but a chapter heading or a numbered one."""
     out = F.lit(False)
@@ -55,8 +47,8 @@ def is_structural(line: Column, profile: Profile) -> Column:
     return out
 
 
-def with_articles(df: DataFrame, text: str, profile: Profile, name: str) -> DataFrame:
-    """Adds the articles of ``text`` as array<struct<start, number, block, rest, chapter>>, all inside the row.
+def with_articles(df: DataFrame, text: str, profile: Profile, name: str, chapters: str) -> DataFrame:
+    """Adds the articles of ``text`` as array<struct<start, number, block, rest>> and its chapter headings, all inside the row.
 
     Headings of all patterns meet by their start, where the first pattern counts; roman ones stand in where there are no
     others. An article goes to the next start, ``rest`` is what follows its heading; blank ones are left out.
@@ -66,29 +58,29 @@ def with_articles(df: DataFrame, text: str, profile: Profile, name: str) -> Data
     d = d.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(roman))
     d = d.withColumn("_found", F.filter("_found", lambda x, i: (i == 0) | (F.get("_found", i - 1)["start"] != x["start"])))
     marks = headings(F.col(text), profile.chapters, "(?Uud)") if profile.chapters else F.filter("_found", lambda x: F.lit(False))
-    d = d.withColumn("_chapters", F.when(F.size("_found") > 0, marks))
 
     def article(x: Column, i: Column) -> Column:
         end = F.coalesce(F.get("_found", i + 1)["start"], F.length(text))
         cut = lambda a: strip(F.substring(F.col(text), a + 1, F.greatest(end - a, F.lit(0))))
-        governing = F.try_element_at(F.filter("_chapters", lambda c: c["start"] <= x["start"]), F.lit(-1))
-        return F.struct(x["start"].alias("start"), x["number"].alias("number"), cut(x["start"]).alias("block"), cut(x["stop"]).alias("rest"), strip(governing["match"]).alias("chapter"))
+        return F.struct(x["start"].alias("start"), x["number"].alias("number"), cut(x["start"]).alias("block"), cut(x["stop"]).alias("rest"))
 
     sliced = F.filter(F.transform("_found", article), lambda x: x["block"] != "")
-    return d.withColumn(name, sliced).drop("_found", "_chapters")
+    return d.withColumn(chapters, F.when(F.size("_found") > 0, marks)).withColumn(name, sliced).drop("_found")
 
 
-def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
+def articles(df: DataFrame, text: str, profile: Profile, keep_bare: bool = False) -> DataFrame:
     """A row for each article of the column ``text``: article_idx, article_start, article_number, article_label,
     article_heading, article_body, chapter, beside all columns of ``df``. Expressions only.
 
     Text before the first article is left out; a first line in parentheses is the heading; structural headings in the
     body are dropped; the forward style keeps its first line if that has more than two words. Rows without articles
-    (or with a null text) give none.
+    (or with a null text) give none, or with ``keep_bare`` one that has no article_idx.
     """
-    d = with_articles(df, text, profile, "_articles")
+    d = with_articles(df, text, profile, "_articles", "_chapters")
     # The outer form, as the plain one would repeat the whole expression in a filter on its size at the scan.
-    d = d.select(*df.columns, F.posexplode_outer("_articles").alias("article_idx", "_a")).filter("_a is not null")
+    # Chapters pass the explosion as a column: a lambda that refers to them from outside would find them anew for each article.
+    d = d.select(*df.columns, "_chapters", F.posexplode_outer("_articles").alias("article_idx", "_a"))
+    d = d if keep_bare else d.filter("_a is not null")
     first = strip(F.get(lines(F.col("_a.block")), F.lit(0)))
     d = d.withColumn("_forward", F.lower(first).startswith("člen ")).withColumn("_long", word_count(first) > 2)
     shown = F.when(F.col("_forward") & F.col("_long"), F.col("_a.block")).otherwise(F.col("_a.rest"))
@@ -97,6 +89,7 @@ def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
     d = d.withColumn("_headed", F.coalesce(lead.rlike(r"\A\(.+\)\z"), F.lit(False)))
     body = F.filter("_lines", lambda x, i: ~((i == 0) & F.col("_headed")) & ~is_structural(x, profile))
     number = F.col("_a.number")
+    governing = F.try_element_at(F.filter("_chapters", lambda c: c["start"] <= F.col("_a.start")), F.lit(-1))
     return d.select(
         *df.columns,
         "article_idx",
@@ -105,7 +98,7 @@ def articles(df: DataFrame, text: str, profile: Profile) -> DataFrame:
         F.when(F.col("_forward"), F.concat(F.lit("Člen "), number)).otherwise(F.concat(number, F.lit(". člen"))).alias("article_label"),
         F.when(F.col("_headed"), strip(F.expr("substring(_lines[0], 2, length(_lines[0]) - 2)"))).alias("article_heading"),
         normalize_whitespace(F.array_join(body, "\n")).alias("article_body"),
-        F.col("_a.chapter").alias("chapter"),
+        strip(governing["match"]).alias("chapter"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import law_code
 from quillspark.operators import chunking, relevance, reports
 from quillspark.profiles import SLOVENIAN_LAW, Profile
+from quillspark.sources.readers import stored
 
 
 @dataclass
@@ -27,14 +28,14 @@ def build_index(records: DataFrame, profile: Profile = SLOVENIAN_LAW, strategy:
     """``records`` has record_pos and the seven record fields.
 
     Kept records without chunks, or with a chunk over the length limit, go to the quarantine with an error;
-    their chunks and tags are not counted.
+    their chunks and tags are not counted. The chunks are made once and stored, whatever is read of the result.
     """
     options = dict(relevance.STRATEGIES[strategy])
     parse_all = options.pop("keep_nonparsed", False) if keep_nonparsed is None else keep_nonparsed
     options.pop("keep_nonparsed", None)
     seen = relevance.with_reason(relevance.normalize_records(records), profile, min_keyword_matches=min_keyword_matches, **options)
     kept = relevance.kept(seen).withColumn("law_code", law_code(F.coalesce("naziv", F.lit(""))))
-    made = chunking.chunks(kept.drop("reason", "error", "law_code"), profile, max_chars, parse_all)
+    made = stored(chunking.chunks(kept.drop("reason", "error", "law_code"), profile, max_chars, parse_all))
     sizes = made.groupBy("record_pos").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"))
     per_record = kept.join(sizes, "record_pos", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     fault = F.when(F.col("n_chunks") == 0, "no chunks").when(F.col("longest") > chunking.LONGEST_CHUNK, "chunk too long")
@@ -51,3 +52,10 @@ def build_index(records: DataFrame, profile: Profile = SLOVENIAN_LAW, strategy:
         chunks_by_law=reports.counts(good, F.col("law_code"), "law_code"),
         tag_counts=reports.tag_counts(good),
     )
+
+
+def require_chunks(index: Index) -> Index:
+    """The index, or an error where no record gave a chunk."""
+    if index.chunks.isEmpty():
+        raise ValueError("no chunks were made: nothing to embed")
+    return index

@@ -115,7 +115,17 @@ def test_other_readers(spark, tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("# c\nexport QS_NEW='a=b'\nQS_OLD=x\nbroken\n")
     assert readers.load_env(str(tmp_path / ".env")) == {"QS_NEW": "a=b"}
     assert readers.chat_url("http://h/v1/") == readers.chat_url("http://h") == "http://h/v1/chat/completions" and readers.api_base("http://h/v1/chat/completions") == "http://h/v1"
-    assert readers.first_given(None, "", "x") == "x"
+    monkeypatch.setenv("QS_URL", "http://e")
+    names = {"base_url": "QS_URL", "model": "QS_NO_MODEL"}
+    (tmp_path / "boot.yaml").write_text("base_url: http://b\nmodel_path: m\n")
+    boot = str(tmp_path / "boot.yaml")
+    assert readers.model_endpoint("http://g", "x") == ("http://g", "x")
+    assert readers.model_endpoint(None, None, boot, names) == ("http://e", "m") and readers.model_endpoint(boot_file=boot) == ("http://b", "m")
+    with pytest.raises(FileNotFoundError):
+        readers.model_endpoint("http://g", boot_file=str(tmp_path / "none.yaml"))
+    (tmp_path / "s.yaml").write_text("reranking_model: r\nllm_top_p: 0.5\nrag_data_path: /x\n")
+    s = readers.load_settings(str(tmp_path / "s.yaml"))
+    assert (s.reranking_model, s.top_k_chunks, s.model, s.places) == ("r", 100, {"top_p": 0.5}, {"rag_data_path": "/x"})
     with pytest.raises(FileNotFoundError, match="b: "):
         readers.missing_paths({"a": str(tmp_path), "b": "/nowhere"})
     assert sinks.index_metric("cosine") == "ip"
@@ -145,3 +155,53 @@ def test_streaming_index(spark, tmp_path):
     assert run()
     (tmp_path / "in/b.json").write_text(json.dumps(row | {"id": 2}) + "\n")
     assert run() and sorted(r["record_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2]
+
+
+def test_faulty_lines_are_numbered_and_missing_keys_differ_from_null(spark, tmp_path):
+    from quillspark.schemas import RAW_RECORD
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\nnope\n{"id": 2, "naziv": null}\n{"id": \n')
+    bad = readers.faulty_lines(spark, str(tmp_path / "a.jsonl"), RAW_RECORD).orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in bad] == [(3, "nope"), (5, '{"id": ')] and bad[0]["file"].endswith("a.jsonl")
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n{"id": 2, "naziv": null}\n{"id": 3, "naziv": "x"}\n')
+    rows = readers.read_jsonl(spark, str(tmp_path / "b.jsonl"), RAW_RECORD, missing={"naziv": ""}).orderBy("id").collect()
+    assert [r["naziv"] for r in rows] == ["", None, "x"]
+
+
+def test_predictions_keep_every_item(spark):
+    from quillspark.plans import evaluate
+
+    gold = spark.createDataFrame([(k, f"q{k}", f"Q{k}", "g", [("L", "C")]) for k in range(4)], "item_pos int, id string, question string, gold_answer string, gold_sources array<struct<law_title: string, law_code: string>>")
+    answered = spark.createDataFrame([("q0", "a", [(1,)], None), ("q1", "lost", [(2,)], "Timeout: x")], "id string, answer string, sources array<struct<rank: int>>, error string")
+    rows = [(r["id"], r["prediction"]["answer"], len(r["prediction"]["sources"]), r["prediction"]["error"]) for r in evaluate.predictions(gold, answered, "m", limit=3).orderBy("id").collect()]
+    assert rows == [("q0", "a", 1, None), ("q1", None, 0, "Timeout: x"), ("q2", None, 0, "no answer")]
+
+
+def test_grading_tries_again_and_gives_zeros(spark, tmp_path):
+    from quillspark.operators import ndcg
+    from quillspark.plans import evaluate
+
+    log = str(tmp_path / "calls")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        with open(log) as f:
+            again = f.read().count(prompt + "\n")
+        if prompt == "down" or prompt == "late" and again < 3:
+            raise TimeoutError
+        return "no JSON" if prompt == "odd" and again < 2 else '{"scores": [4, 3]}'
+
+    prompts = spark.createDataFrame([(1, 0, "good"), (1, 1, "late"), (2, 0, "odd"), (2, 1, "down")], "query_id long, batch int, prompt string").coalesce(1)
+    grades = evaluate.graded(prompts, client, size=3, wait=0.01, at_once=2)
+    candidates = spark.createDataFrame([(q, k) for q in (1, 2) for k in range(1, 7)], "query_id long, cand_pos int")
+    got = {(r["query_id"], r["cand_pos"]): r["grade"] for r in ndcg.with_grades(candidates, grades).collect()}
+    assert [got[1, k] for k in range(1, 7)] == [4, 3, 0, 4, 3, 0] and [got[2, k] for k in range(1, 7)] == [4, 3, 0, 0, 0, 0]
+
+
+def test_an_index_without_chunks_is_an_error(spark):
+    from quillspark.plans import index
+
+    none = spark.createDataFrame([], "record_pos long, id long, naziv string, mopedId string, eva string, epa string, sop string, text string")
+    with pytest.raises(ValueError, match="no chunks"):
+        index.require_chunks(index.build_index(none))
