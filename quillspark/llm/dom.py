@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Callable
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -23,9 +25,10 @@ CLOSES: dict[str, tuple[frozenset, frozenset]] = {
 }
 #: Elements that an open paragraph cannot hold, and elements inside which an outer paragraph stays open.
 ENDS_P = BLOCK - {"option", "optgroup", "body", "html"}
+P = frozenset({"p"})
 KEEPS_P = frozenset({"td", "th", "table", "button", "object", "caption"})
 
-#: Elements open at once; deeper ones stay where the deepest is, so that no page can exhaust the stack.
+#: Levels of the tree; what is nested deeper lies flat in the deepest element, so that no page can exhaust the stack.
 MOST_DEPTH = 200
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
@@ -35,10 +38,10 @@ _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "raw", "children", "_attrs", "mark")
+    __slots__ = ("tag", "raw", "children", "_attrs", "mark", "plain")
 
     def __init__(self, tag: str, raw: str = "") -> None:
-        self.tag, self.raw, self.children, self._attrs, self.mark = tag, raw, [], None, None
+        self.tag, self.raw, self.children, self._attrs, self.mark, self.plain = tag, raw, [], None, None, False
 
     @property
     def attrs(self) -> dict[str, str]:
@@ -47,10 +50,32 @@ class Node:
         return self._attrs
 
 
-def parse(page: str) -> Node:
-    """The tree of ``page``; unclosed elements end where their parents do, stray end tags are ignored."""
+def parse(page: str, apart: Callable[[Node], bool] = lambda node: False) -> Node:
+    """The tree of ``page``; unclosed elements end where their parents do, stray end tags are ignored.
+
+    Below the last level only elements that are ``apart`` from their surroundings are nodes of their own, and blocks
+    leave a line break at either end.
+    """
     root = Node("#root")
-    stack, at, size = [root], 0, len(page)
+    stack, levels, at, size = [root], [0], 0, len(page)
+    opened: Counter = Counter()
+
+    def close(k: int) -> None:
+        for node in reversed(stack[k:]):
+            opened[node.tag] -= 1
+            if levels.pop() < 0 and node.tag in BLOCK:
+                node.children.append(Node("br"))
+        del stack[k:]
+
+    def close_nearest(ends: frozenset, stops: frozenset) -> None:
+        """Close the nearest open element of ``ends``, if none of ``stops`` is nearer."""
+        if any(opened[t] for t in ends):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in ends:
+                    return close(k)
+                if stack[k].tag in stops:
+                    return None
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -81,32 +106,28 @@ def parse(page: str) -> Node:
             continue
         tag = m[1].lower()
         if nxt == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            close_nearest(frozenset((tag,)), frozenset())
             continue
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in KEEPS_P:
-                    break
+            close_nearest(P, KEEPS_P)
         if tag in CLOSES:
-            ends, stops = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
+            close_nearest(*CLOSES[tag])
         node = Node(tag, m[2])
         stack[-1].children.append(node)
         if tag in RAW:
             e = _END_RAW[tag].search(page, at)
             node.children.append(page[at : e.start() if e else size])
             at = e.end() if e else size
-        elif tag not in VOID and len(stack) < MOST_DEPTH:
-            stack.append(node)  # even "<div/>" opens a div in HTML
+        elif tag not in VOID:  # even "<div/>" opens a div in HTML
+            level = abs(levels[-1]) + 1
+            if level > MOST_DEPTH + 1 or level == MOST_DEPTH + 1 and not apart(node):
+                level = -abs(levels[-1])  # flat: the element writes into the one around it
+                within = stack[-1].children
+                within.pop()
+                node.children = within
+                if tag in BLOCK:
+                    within.append(Node("br"))
+            stack.append(node)
+            levels.append(level)
+            opened[tag] += 1
     return root

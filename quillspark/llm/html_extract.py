@@ -2,13 +2,13 @@
 
 Pages of one host come from one generator. Each page becomes a condensed tree (runs of like siblings are
 one repeated node); trees are aligned by simple tree matching and merged into the host's template, node by
-node. A template node remembers how often each of its texts was seen (a few counters). A node whose text is the same
-on nearly all pages is part of the template; a node whose text varies is a slot, and slots are content.
+node. A second pass aligns every page with its host's template and counts, for each node, the pages that have each
+text there. A text that nearly all pages have at a node is part of the template; what varies is a slot, and slots are content.
 
 Extraction aligns a page with its host's template, drops lines that the page has in common with the template
 and nodes whose role is not content (menus, headers, footers, side bars, notices, adverts, forms, comments)
-and takes the main containers: all articles or main elements in page order, else the smallest element that
-holds most of the slots' text. Where more than half of the containers' text is the template's, the host
+and takes the main containers: all articles or main elements in page order, else the whole page, or without a template
+the smallest element that holds most of the text. Where more than half of the containers' text is the template's, the host
 repeats whole articles, and they keep it.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, staged, trimmed
+from quillspark.llm.common import partitions, spread_join, staged, trimmed
 from quillspark.llm.dom import BLOCK, Node, parse
 
-#: Counters of a template node; a text is constant from this share of at least so many pages on.
-COUNTERS, CONSTANT_SHARE, LEAST_PAGES = 4, 0.8, 4
+#: A text is constant from this share of at least so many pages on.
+CONSTANT_SHARE, LEAST_PAGES = 0.8, 4
 #: Templates of at most so many bytes together are broadcast; beyond that pages are joined with them.
 BROADCAST_BYTES = 4_000_000
-#: Hosts held by an inducing task before it hands on what it has.
-HOSTS_HELD = 2000
+#: Hosts, and counts of texts, held by a task before it hands on what it has.
+HOSTS_HELD, COUNTS_HELD = 2000, 500_000
 #: A container is the main one if it holds this share of the text that is left.
 MAIN_SHARE = 0.7
 #: Containers that would lose more than this share of their text to the template are articles that the host repeats.
@@ -46,6 +47,12 @@ DROPPED_WORDS = frozenset(
     "adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing "
     "social related recommended recommendations comment comments commentlist disqus reply replies respond login signin search pagination pager copyright toolbar skip paywall".split()
 )
+#: Words that may stand beside those without changing what a name says (fixed list).
+NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right upper lower header head primary secondary global local user users wp js id post posts article articles story stories news entry "
+    "content body text inner outer wrap wrapper container box block bar area section panel region row col column group list item items link links icon icons button buttons btn "
+    "title form field unit slot zone frame this more also sticky fixed float small large mobile desktop you us by of on for the to and".split()
+)
 CONTAINERS = frozenset({"html", "body", "main", "article", "#root"})
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names that say what an element has or lacks, not what it is.
@@ -64,7 +71,7 @@ def _holds_article(node: Node) -> bool:
 
 def is_boilerplate(node: Node, inside: bool) -> bool:
     """By tag, role, class and id; ``inside`` an article its own header counts as content."""
-    if node.tag in DROPPED_TAGS or node.tag == "header" and not inside and not _holds_article(node):
+    if node.tag in DROPPED_TAGS and not node.plain or node.tag == "header" and not inside and not _holds_article(node):
         return True
     if node.tag in ("html", "body", "#root", "main") or not node.raw:
         return False
@@ -76,10 +83,14 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     names = [x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not _ABOUT.match(x)]
     if node.tag == "article":  # an article is what one of its whole names says
         return any(x.lower() in DROPPED_WORDS or x.lower().startswith("comment") for x in names)
-    named = {w.lower() for x in names for w in _WORDS.findall(x)}
-    if not inside:
-        named = named | ({"nav"} if "header" in named else set())
-    return bool(named & DROPPED_WORDS) and not _holds_article(node)
+    dropped = DROPPED_WORDS if inside else DROPPED_WORDS | {"header"}
+    return any(_names(x, dropped) for x in names) and not _holds_article(node)
+
+
+def _names(name: str, dropped: frozenset) -> bool:
+    """Whether all words of a name say such a part or nothing: "social-links" does, "social-science" does not."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & dropped) and words <= dropped | NEUTRAL_WORDS
 
 
 def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list[str]:
@@ -124,33 +135,19 @@ def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list
 
 
 class Slot:
-    """A node of a condensed tree or template: label, text counters (hash to count), texts counted, children."""
+    """A node of a condensed tree or template: label, constant texts (of a template), children, nodes (of a page)."""
 
-    __slots__ = ("label", "texts", "n", "children", "nodes")
+    __slots__ = ("label", "texts", "children", "nodes")
 
-    def __init__(self, label: str, texts: dict | None = None, n: int = 0, children: list | None = None, nodes: list | None = None) -> None:
-        self.label, self.texts, self.n, self.children, self.nodes = label, texts or {}, n, children or [], nodes or []
+    def __init__(self, label: str, texts: set[int] | None = None, children: list | None = None, nodes: list | None = None) -> None:
+        self.label, self.texts, self.children, self.nodes = label, texts or set(), children or [], nodes or []
 
     def dump(self) -> list:
-        return [self.label, list(self.texts.items()), self.n, [c.dump() for c in self.children]]
+        return [self.label, sorted(self.texts), [c.dump() for c in self.children]]
 
     @classmethod
     def load(cls, x: list) -> Slot:
-        return cls(x[0], dict(map(tuple, x[1])), x[2], [cls.load(c) for c in x[3]])
-
-    @property
-    def constant(self) -> str | None:
-        """The hash of the text that nearly all pages have here."""
-        text = max(self.texts, key=self.texts.get, default=None)
-        return text if text and self.n >= LEAST_PAGES and self.texts[text] >= CONSTANT_SHARE * self.n else None
-
-
-def _fewer(texts: dict) -> dict:
-    """Frequent-item counters: what exceeds the number of counters is taken off all alike."""
-    if len(texts) > COUNTERS:
-        cut = sorted(texts.values(), reverse=True)[COUNTERS]
-        texts = {t: c - cut for t, c in texts.items() if c > cut}
-    return texts
+        return cls(x[0], set(x[1]), [cls.load(c) for c in x[2]])
 
 
 def matching(a: Slot, b: Slot) -> int:
@@ -185,16 +182,13 @@ def _align(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
 
 def merge(a: Slot, b: Slot) -> Slot:
     """Two aligned trees as one; children without partner stay, in order."""
-    texts = dict(a.texts)
-    for t, c in b.texts.items():
-        texts[t] = texts.get(t, 0) + c
     children, i, j = [], 0, 0
     for x, y in _align(a.children, b.children)[1] + [(len(a.children), len(b.children))]:
         children += a.children[i:x] + b.children[j:y]
         if x < len(a.children):
             children.append(merge(a.children[x], b.children[y]))
         i, j = x + 1, y + 1
-    return Slot(a.label, _fewer(texts), a.n + b.n, children, a.nodes + b.nodes)
+    return Slot(a.label, None, children, a.nodes + b.nodes)
 
 
 def _label(node: Node) -> str:
@@ -205,16 +199,14 @@ def _label(node: Node) -> str:
     return f"{node.tag}.{name}" if name != "#" else node.tag
 
 
-def _own_text(node: Node) -> str | None:
+def _own_text(node: Node) -> int | None:
     """A hash of the text right below ``node``."""
     own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
-    return xxhash.xxh64_hexdigest(own)[:12] if own else None
+    return xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63) if own else None
 
 
 def condense(node: Node) -> Slot:
-    """The tree of element nodes, neighbouring siblings of one label merged; a leaf's text is its own text."""
-    own = _own_text(node)
-    texts = {own: 1} if own else {}
+    """The tree of element nodes, neighbouring siblings of one label merged."""
     children: list[Slot] = []
     for c in node.children:
         if isinstance(c, Node) and c.tag not in ("script", "style", "head"):
@@ -223,19 +215,39 @@ def condense(node: Node) -> Slot:
                 children[-1] = merge(children[-1], s)
             else:
                 children.append(s)
-    return Slot(_label(node), texts, 1 if own else 0, children, [node])
+    return Slot(_label(node), None, children, [node])
+
+
+def aligned(page: Slot, template: Slot) -> Iterator[tuple[Slot, Slot]]:
+    """Pairs of page and template nodes."""
+    if page.label == template.label:
+        yield page, template
+        for i, j in _align(page.children, template.children)[1]:
+            yield from aligned(page.children[i], template.children[j])
 
 
 def mark(page: Slot, template: Slot) -> None:
-    """Set the mark of page nodes whose own text is the one that the template holds constant."""
-    if page.label != template.label:
-        return
-    if constant := template.constant:
-        for n in page.nodes:
-            if _own_text(n) == constant:
-                n.mark = "template"
-    for i, j in _align(page.children, template.children)[1]:
-        mark(page.children[i], template.children[j])
+    """Set the mark of page nodes whose own text is one that the template holds constant."""
+    for own, node in aligned(page, template):
+        if node.texts:
+            for n in own.nodes:
+                if _own_text(n) in node.texts:
+                    n.mark = "template"
+
+
+def texts_of(page: Slot, template: Slot) -> Iterator[tuple[Slot, set[int]]]:
+    """The different texts that a page has at each template node, where it has some."""
+    for own, node in aligned(page, template):
+        if texts := {t for t in map(_own_text, own.nodes) if t is not None}:
+            yield node, texts
+
+
+def numbered(template: Slot) -> list[Slot]:
+    """The nodes of a template in page order; a node's number is its place here."""
+    out = [template]
+    for c in template.children:
+        out += numbered(c)
+    return out
 
 
 def _containers(node: Node) -> list[Node]:
@@ -259,8 +271,8 @@ def _size(blocks: list[str]) -> int:
     return sum(map(len, blocks))
 
 
-def main_text(root: Node) -> str:
-    """The text of a marked page."""
+def main_text(root: Node, has_template: bool) -> str:
+    """The text of a marked page; without a template to tell, the smallest element that holds most of the text is taken."""
     found = _containers(root)
     held = [x for c in found for x in blocks_of(c, inside=True)]
     if held:
@@ -269,7 +281,7 @@ def main_text(root: Node) -> str:
     node = root
     blocks = blocks_of(node, use_marks=True)
     whole = _size(blocks)
-    while whole:
+    while whole and not has_template:
         down = None
         for c in node.children:
             if isinstance(c, Node) and c.tag in BLOCK and not is_boilerplate(c, False):
@@ -286,10 +298,29 @@ def main_text(root: Node) -> str:
 def extract(page: str | None, template: Slot | None) -> str:
     if not page:
         return ""
-    root = parse(page)
+    root = parse(page, is_apart)
     if template is not None:
         mark(condense(root), template)
-    return main_text(root)
+    has_template = template is not None and any(node.texts for node in numbered(template))
+    found = main_text(root, has_template)
+    if not found and open_forms(root):  # the page stands in a form as a whole
+        found = main_text(root, has_template)
+    return found
+
+
+def is_apart(node: Node) -> bool:
+    return is_boilerplate(node, True)
+
+
+def open_forms(node: Node) -> bool:
+    """Let forms count as plain containers; their controls don't."""
+    some = False
+    for c in node.children:
+        if isinstance(c, Node):
+            if c.tag == "form" and not c.plain:
+                c.plain = some = True
+            some = open_forms(c) or some
+    return some
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +330,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = page.as_py()
             if not text:
                 continue
-            tree, host = condense(parse(text)), host_of(url)
+            tree, host = condense(parse(text, is_apart)), host_of(url)
             held[host] = _bare(merge(held[host], tree) if host in held else tree)
             if len(held) >= HOSTS_HELD:
                 yield _handed(held)
@@ -343,34 +374,120 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     schema = "host string, template string"
     first = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(trimmed(_induce), schema)
     salted = first.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(max(1, int(parts**0.5)))))
-    once = salted.repartition(parts, "host", "salt").select("host", "template").sortWithinPartitions("host").mapInArrow(trimmed(_combine), schema)
-    return once.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(trimmed(_combine), schema)
+    # Sorted by the templates too, so that what merges with what does not hang on which task was first.
+    once = salted.repartition(parts, "host", "salt").select("host", "template").sortWithinPartitions("host", "template").mapInArrow(trimmed(_combine), schema)
+    return once.repartition(parts, "host").sortWithinPartitions("host", "template").mapInArrow(trimmed(_combine), schema)
+
+
+def _with_template(table, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, str | None, Slot | None]]]]:
+    """Batches of page_id, url, html (and template, without a table), and the host, page and template of each row."""
+    loaded: dict[str, Slot | None] = {}
+    for b in batches:
+        rows = []
+        for k, (url, page) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+            host = host_of(url)
+            if host not in loaded:
+                blob = table.value.get(host) if table is not None else b.column(3)[k].as_py()
+                if table is None and len(loaded) >= HOSTS_HELD:
+                    loaded.clear()
+                loaded[host] = Slot.load(json.loads(blob)) if blob else None
+            rows.append((host, page.as_py(), loaded[host]))
+        yield b, rows
+
+
+def _tally(table):
+    """host, node, text, n: the pages that have a text at a node of their host's template; those that have any, under a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        places: dict[int, tuple[Slot, dict[int, int]]] = {}
+
+        def handed() -> pa.RecordBatch:
+            cols = list(zip(*((*key, n) for key, n in held.items()))) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "node", "text", "n"])
+
+        for _, rows in _with_template(table, batches):
+            for host, page, template in rows:
+                if not page or template is None:
+                    continue
+                if id(template) not in places:
+                    places = {} if len(places) >= HOSTS_HELD else places
+                    places[id(template)] = template, {id(node): k for k, node in enumerate(numbered(template))}
+                place = places[id(template)][1]
+                for node, texts in texts_of(condense(parse(page, is_apart)), template):
+                    at = place[id(node)]
+                    held.update((host, at, t) for t in (None, *texts))
+            if len(held) >= COUNTS_HELD:
+                yield handed()
+                held.clear()
+        yield handed()
+
+    return run
+
+
+def is_constant(n: int, pages: int) -> bool:
+    return n >= LEAST_PAGES and n >= CONSTANT_SHARE * pages
+
+
+def _constants(counted: DataFrame) -> DataFrame:
+    """host, constants: the constant texts of each host's template nodes."""
+    counted = counted.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    # Of a node no more texts can be constant than a page has there, so few rows are left to meet the pages of their node.
+    counted = staged(counted, "counts")
+    pages = counted.filter("text is null").select("host", "node", F.col("n").alias("pages"))
+    fixed = counted.filter("text is not null").join(pages, ["host", "node"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    return fixed.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("constants"))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Templates with their constant texts."""
+    for b in batches:
+        done: dict[str, Slot] = {}
+        for host, blob, constants in zip(*(c.to_pylist() for c in b.columns)):
+            template = done[host] = Slot.load(json.loads(blob))
+            nodes = numbered(template)
+            for r in constants or []:
+                nodes[r["node"]].texts.add(r["text"])
+        yield _handed(done)
+
+
+def learned(pages: list[str]) -> Slot:
+    """The template of a few pages, without Spark."""
+    trees = [condense(parse(p, is_apart)) for p in pages]
+    template = trees[0]
+    for t in trees[1:]:
+        template = merge(template, t)
+    seen: dict[int, Counter] = {id(node): Counter() for node in numbered(_bare(template))}
+    for p in pages:
+        for node, texts in texts_of(condense(parse(p, is_apart)), template):
+            seen[id(node)].update((None, *texts))
+    for node in numbered(template):
+        own = seen[id(node)]
+        node.texts = {t for t, n in own.items() if t is not None and is_constant(n, own[None])}
+    return template
 
 
 def _extract(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Slot | None] = {}
-        last: tuple = (None, None)
-        for b in batches:
-            urls, texts = b.column(1).to_pylist(), []
-            given = b.column(3).to_pylist() if table is None else None
-            for k, (url, page) in enumerate(zip(urls, b.column(2))):
-                if table is not None:
-                    host = host_of(url)
-                    if host not in loaded:
-                        blob = table.value.get(host)
-                        loaded[host] = Slot.load(json.loads(blob)) if blob else None
-                    template = loaded[host]
-                else:
-                    if given[k] != last[0]:
-                        last = (given[k], Slot.load(json.loads(given[k])) if given[k] else None)
-                    template = last[1]
-                texts.append(extract(page.as_py(), template))
+        for b, rows in _with_template(table, batches):
+            texts = [extract(page, template) for _, page, template in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
+def _met(rows: DataFrame, templates: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the rows with the templates of their hosts: broadcast if they are small together, else joined."""
+    size = templates.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        table = rows.sparkSession.sparkContext.broadcast({r["host"]: r["template"] for r in templates.collect()})
+        return rows.mapInArrow(trimmed(run(table)), schema)
+    host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    joined = spread_join(rows.withColumn("host", F.coalesce(host, F.lit(""))), templates, "host", "url", "left", most=0)
+    return joined.select("page_id", "url", "html", "template").mapInArrow(trimmed(run(None)), schema)
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, url, text, n_chars (code points of text).
 
@@ -379,13 +496,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     malformed address belongs to the host ""; repeated rows give repeated rows; an empty table gives an empty
     result; other columns are ignored.
     """
-    spark = pages.sparkSession
-    templates = staged(induce(pages, url_col, html_col), "templates")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    size = templates.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        table = spark.sparkContext.broadcast({r["host"]: r["template"] for r in templates.collect()})
-        return rows.mapInArrow(trimmed(_extract(table)), TEXT)
-    host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    joined = rows.withColumn("host", F.coalesce(host, F.lit(""))).join(templates, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(trimmed(_extract(None)), TEXT)
+    templates = staged(induce(pages, url_col, html_col), "templates")
+    constants = _constants(_met(rows, templates, _tally, "host string, node int, text long, n long"))
+    settled = staged(templates.join(constants, "host", "left").mapInArrow(trimmed(_settle), "host string, template string"), "settled")
+    return _met(rows, settled, _extract, TEXT)

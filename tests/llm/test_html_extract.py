@@ -1,4 +1,5 @@
 import html as h
+import random
 
 from quillspark.llm import dom
 from quillspark.llm import html_extract as op
@@ -43,16 +44,57 @@ def test_deep_nesting_is_read():
     assert op.extract("<article>" + "<span>x " * 3000, None).split() == ["x"] * 3000
 
 
+def test_menus_below_the_last_level_are_left_out():
+    """However deep, roles count and blocks end lines."""
+    for n in (150, 198, 199, 200, 201, 400, 3000):
+        body = "<article>" + "<div>" * n + "<nav><b>MENU</b><div>x</div></nav><p>one</p><p>two <b>b</b></p><ul><li>x<li>y</ul><div class='ads'>buy</div>" + "</div>" * n + "<p>after</p></article>"
+        assert op.extract(body, None) == "one\ntwo b\nx\ny\nafter"
+
+
+def test_names_whose_other_words_matter():
+    for name in ("social-science", "cookie-recipes", "menu-of-the-king", "bannerman"):
+        assert text(f"<main><div class='{name}'><p>a</p></div></main>") == "a"
+    for name in ("social-links", "main-nav", "cookieBanner", "widget-area", "related-posts", "site-footer sidebar-left"):
+        assert text(f"<main><p>a</p><div class='{name}'><p>x</p></div></main>") == "a"
+
+
+def test_a_page_within_a_form():
+    assert text("<form action='x'><h1>T</h1><p>All of it stands here.</p><input><select><option>o</select></form>") == "T\nAll of it stands here."
+    assert text("<p>core</p><form><p>Your mail</p><input></form>") == "core"
+
+
+def test_the_template_decides_where_nothing_has_a_name(spark):
+    """Pages of bare divs: without the template the head and foot of the site stay; whatever the order, the result is the same."""
+    def make(k):
+        return page(f"<div><div>My site</div><div>All about stones</div></div><div><h2>Title {k}</h2><p>Words of {k} that differ.</p><p>{'Rare remark.' if k == 7 else f'Tail {k}.'}</p></div><div>All rights reserved</div>")
+
+    rows = [(k, f"http://h.x/{k}", make(k)) for k in range(40)] + [(100, "http://other.x/1", make(100))]
+    want = {k: f"Title {k}\nWords of {k} that differ.\n" + ("Rare remark." if k == 7 else f"Tail {k}.") for k in range(40)}
+    for seed, parts in ((1, 1), (2, 3), (3, 7)):
+        mixed = list(rows)
+        random.Random(seed).shuffle(mixed)
+        got = {r["page_id"]: r["text"] for r in op.extract_main_text(spark.createDataFrame(mixed, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert {k: got[k] for k in want} == want
+        assert "My site" in got[100]  # a host of one page has no template
+
+
+def test_constant_texts_are_counted_exactly(spark):
+    """79 and 80 of 100 pages have a text, in any order of merging."""
+    for n, constant in ((79, False), (80, True)):
+        rows = [(k, f"http://h.x/{k}", page(f"<div>{'Read our news' if k < n else f'Other {k}'}</div><div><h2>Title {k}</h2><p>Words of {k} that differ a lot from page to page.</p></div><div>All rights reserved</div>")) for k in range(100)]
+        random.Random(n).shuffle(rows)
+        got = op.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+        with_it = sum("Read our news" in r["text"] for r in got)
+        assert with_it == (0 if constant else n) and sum("Other" in r["text"] for r in got) == 100 - n
+
+
 def test_slots_of_a_template_are_content():
     def make(k):
         return page(f"<div class='top'>My site</div><div class='body'><h2>Title {k}</h2><p>Words of {k} that differ.</p><p>Always here.</p><p>Tail {k}.</p></div><div class='foot'>All rights reserved</div>")
 
-    tree = None
-    for k in range(8):
-        t = op.condense(dom.parse(make(k)))
-        tree = op._bare(t if tree is None else op.merge(tree, t))
-    tree = op.Slot.load(tree.dump())
-    assert op.extract(make(99), tree) == "Title 99\nWords of 99 that differ.\nAlways here.\nTail 99."
+    tree = op.Slot.load(op.learned([make(k) for k in range(8)]).dump())
+    assert op.extract(make(99), tree) == "Title 99\nWords of 99 that differ.\nTail 99."
+    assert op.extract(make(99), None) != op.extract(make(99), tree)
 
 
 def test_matching_keeps_order():
@@ -90,22 +132,14 @@ def test_odd_rows(spark, monkeypatch):
     assert op.extract_main_text(df.limit(0)).count() == 0
 
 
-def template_of(pages):
-    tree = None
-    for p in pages:
-        t = op.condense(dom.parse(p))
-        tree = op._bare(t if tree is None else op.merge(tree, t))
-    return tree
-
-
 def test_the_template_decides_inside_articles():
     def make(k):
         return page(f"<article><h1>Title {k}</h1><div class='box'>Get our letter every week</div><p>Words of {k} that differ from page to page.</p></article>")
 
-    tree = template_of(make(k) for k in range(8))
+    tree = op.learned([make(k) for k in range(8)])
     assert op.extract(make(99), tree) == "Title 99\nWords of 99 that differ from page to page."
     same = page("<article><h1>One</h1><p>An article that the host repeats.</p></article>")
-    assert op.extract(same, template_of([same] * 8)) == "One\nAn article that the host repeats."
+    assert op.extract(same, op.learned([same] * 8)) == "One\nAn article that the host repeats."
 
 
 def test_all_articles_stay_in_page_order():
@@ -116,7 +150,7 @@ def test_text_other_than_the_constant_one_stays():
     def make(k, lead="Nothing new today"):
         return page(f"<div class='lead'>{lead}</div><div class='body'><h2>T {k}</h2><p>Words of {k}.</p><p>More of {k}.</p></div>")
 
-    tree = template_of(make(k) for k in range(10))
+    tree = op.learned([make(k) for k in range(10)])
     assert op.extract(make(99), tree) == "T 99\nWords of 99.\nMore of 99."
     lead = "A long lead that stands on this page alone and tells what happened"
     assert op.extract(make(99, lead), tree) == f"{lead}\nT 99\nWords of 99.\nMore of 99."
