@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import LEAST_NORM, cosine_distance, dot, squared_l2
 
-#: Queries that go to every task at once; more are taken in blocks.
-QUERY_BLOCK = 4096
+#: Queries of at most so many rows are broadcast; more meet blocks of so many chunks by a shuffle.
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 16_384
 #: Ascending metrics.
 DISTANCES = {"cosine", "l2"}
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -45,18 +45,45 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * s
 
 
+def _best(metric: str, k: int, decimals: int, ids: np.ndarray, q: np.ndarray, pos: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The k best of the chunks for each query."""
+    s = np.round(_scores(metric, q, v), decimals) + 0.0
+    order = np.lexsort((np.broadcast_to(pos, s.shape), s if metric in DISTANCES else -s), axis=1)[:, :k]
+    cols = [pa.array(np.repeat(ids, order.shape[1])), pa.array(pos[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())]
+    return pa.RecordBatch.from_arrays(cols, names=["query_id", "chunk_pos", "score"])
+
+
 def _local_top(held, metric: str, k: int, decimals: int):
+    """Every Arrow batch of chunks against all queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            pos = b.column(0).to_numpy()
-            s = np.round(_scores(metric, q, _matrix(b.column(1))), decimals) + 0.0
-            order = np.lexsort((np.broadcast_to(pos, s.shape), s if metric in DISTANCES else -s), axis=1)[:, :k]
-            n = order.shape[1]
-            cols = [pa.array(np.repeat(ids, n)), pa.array(pos[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())]
-            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "chunk_pos", "score"])
+            if b.num_rows and len(ids):
+                yield _best(metric, k, decimals, ids, q, b.column(0).to_numpy(), _matrix(b.column(1)))
+
+    return run
+
+
+def _block_top(metric: str, k: int, decimals: int):
+    """Rows (block, query, id, embedding) come block by block, chunks before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, chunks = None, [], None
+        for b in batches:
+            kind = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)], axis=1)
+            cuts = np.flatnonzero((kind[1:] != kind[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kind)]):
+                if start == stop:
+                    continue
+                if kind[start, 0] != block:
+                    block, held, chunks = kind[start, 0], [], None
+                ids, v = b.column(2)[start:stop].to_numpy(), _matrix(b.column(3)[start:stop])
+                if not kind[start, 1]:
+                    held.append((ids, v))
+                elif held:
+                    chunks = chunks or tuple(map(np.concatenate, zip(*held)))
+                    yield _best(metric, k, decimals, ids, v, *chunks)
 
     return run
 
@@ -65,25 +92,29 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = 50, metric: str = "ip"
     """query_id, chunk_pos, score, retrieval_rank (from 1): the k best chunks of each query.
 
     ``chunks`` has chunk_pos and embedding, ``queries`` query_id and embedding, all of one dimension. Scores are
-    summed in double precision, rounded to ``decimals``; equal ones go by chunk_pos. Every Arrow batch is scored as one
-    matrix product against a block of queries and hands on its own best k, so a shuffle sees at most k rows
-    a query and batch.
+    summed in double precision, rounded to ``decimals``; equal ones go by chunk_pos. Few queries are broadcast, and
+    every Arrow batch of chunks is scored as one matrix product; many are sent to every block of chunks. Either way a
+    task hands on its own best k, so the last shuffle sees at most k rows a query and batch or block.
     """
     if metric not in {"ip", *DISTANCES}:
         raise ValueError(f"unknown metric: {metric}")
     spark = chunks.sparkSession
     rows = chunks.select(F.col("chunk_pos").cast("long"), F.col("embedding").cast("array<double>")).filter("chunk_pos is not null and embedding is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("query_id is not null and embedding is not null")
-    n = asked.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for part in range(parts):
-        own = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        t = own.toArrow()
+    found_schema = "query_id long, chunk_pos long, score double"
+    if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        t = asked.toArrow()
         ids = t.column(0).to_numpy()
         held = spark.sparkContext.broadcast((ids, _matrix(t.column(1).combine_chunks()) if len(ids) else np.zeros((0, 0))))
-        some = rows.mapInArrow(_local_top(held, metric, k, decimals), "query_id long, chunk_pos long, score double")
-        found = some if found is None else found.unionByName(some)
+        found = rows.mapInArrow(_local_top(held, metric, k, decimals), found_schema)
+    else:
+        blocks = max(1, -(-rows.count() // CHUNK_BLOCK))
+        block = F.pmod(F.xxhash64("chunk_pos"), F.lit(blocks)).cast("int")
+        data = rows.select(block.alias("block"), F.lit(False).alias("query"), F.col("chunk_pos").alias("id"), "embedding")
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), F.col("query_id").alias("id"), "embedding")
+        parts = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        met = data.unionByName(sent).repartitionById(parts, F.col("block") % parts).sortWithinPartitions("block", "query")
+        found = met.mapInArrow(_block_top(metric, k, decimals), found_schema)
     best = F.asc("score") if metric in DISTANCES else F.desc("score")
     order = W.partitionBy("query_id").orderBy(best, "chunk_pos")
     return found.withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= k)

@@ -42,6 +42,7 @@ def test_more_queries_than_a_block(vectors, monkeypatch):
     _, chunks, queries = vectors
     one = sorted(map(tuple, retrieval.top_k(chunks, queries, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 13)
     assert sorted(map(tuple, retrieval.top_k(chunks, queries, 3).collect())) == one
 
 
