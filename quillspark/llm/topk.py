@@ -35,8 +35,9 @@ SAMPLE, SAMPLE_SHARE, PIVOTS = 4096, 0.125, 256
 BLOCK, QUERY_BLOCK = 4096, 2048
 #: The radius of each net is that of the one before divided by this.
 BASE = 1.3
-#: Nodes of at most so many points, or whose children would hold fewer than FEW each, have no children.
-LEAF, FEW = 64, 8
+#: Nodes of at most LEAF points, or whose children would hold fewer than FEW each, have no children; in trees of queries
+#: the second numbers count, as a group of few queries has a bound of its own.
+LEAF, FEW = (64, 4), (8, 2)
 #: Stands for no score; smaller than all, and safe to negate.
 LOWEST = -(1 << 63) + 1
 #: Stands for a null id, which comes after all others.
@@ -95,9 +96,9 @@ class Node:
 
     __slots__ = ("at", "centre", "rows", "radius", "norm", "most", "children", "low", "centres", "radii", "norms", "mosts")
 
-    def __init__(self, points: np.ndarray, at: int, rows: np.ndarray, children: list[Node]) -> None:
+    def __init__(self, points: np.ndarray, at: int, rows: np.ndarray, children: list[Node], kind: int = 0) -> None:
         self.at, self.centre, self.rows = at, points[at], rows
-        self.children = children if len(rows) > LEAF and len(children) > 1 and len(rows) >= FEW * len(children) else []
+        self.children = children if len(rows) > LEAF[kind] and len(children) > 1 and len(rows) >= FEW[kind] * len(children) else []
         self.radius = float(distances(points[rows], self.centre).max())
         self.norm = float(np.sqrt(self.centre @ self.centre))
         self.most = float(np.sqrt((points[rows] ** 2).sum(axis=1).max()))
@@ -107,31 +108,32 @@ class Node:
             self.radii, self.norms, self.mosts = (np.array([getattr(c, x) for c in self.children]) for x in ("radius", "norm", "most"))
 
 
-def nets(points: np.ndarray) -> tuple[list[tuple[float, int, np.ndarray]], list[int]]:
+def nets(points: np.ndarray, kind: int = 0) -> tuple[list[tuple[float, int, np.ndarray]], list[int]]:
     """(radius, number of net points, nearest net point of every point) of each net, widest first, and the farthest-point order."""
     walk = Walk(points)
     radius = float(walk.gap.max())
     out = [(radius, 1, walk.owner.copy())]
     while radius > 0 and walk.gap.max() > 0:
         radius /= BASE
-        if not walk.cover(radius, max(1, len(points) // FEW)):
+        if not walk.cover(radius, max(1, len(points) // FEW[kind])):
             break
         if len(walk.chosen) > out[-1][1]:
             out.append((radius, len(walk.chosen), walk.owner.copy()))
     return out, walk.chosen
 
 
-def cover_tree(points: np.ndarray) -> Node:
-    levels, chosen = nets(points)
+def cover_tree(points: np.ndarray, kind: int = 0) -> Node:
+    """The tree over all levels of nets; ``kind`` is 1 for queries."""
+    levels, chosen = nets(points, kind)
     _, size, owner = levels[-1]
     order = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[order], np.arange(1, size))
-    below = [Node(points, chosen[c], rows, []) for c, rows in enumerate(np.split(order, cuts))]
+    below = [Node(points, chosen[c], rows, [], kind) for c, rows in enumerate(np.split(order, cuts))]
     for _, size, owner in reversed(levels[:-1]):
         families: list[list[Node]] = [[] for _ in range(size)]
         for n in below:
             families[owner[n.at]].append(n)  # a net point is its own nearest, so nets stay nested
-        below = [f[0] if len(f) == 1 else Node(points, chosen[c], np.concatenate([n.rows for n in f]), f) for c, f in enumerate(families)]
+        below = [f[0] if len(f) == 1 else Node(points, chosen[c], np.concatenate([n.rows for n in f]), f, kind) for c, f in enumerate(families)]
     return below[0]
 
 
@@ -172,7 +174,7 @@ class Best:
 
 def dual_search(queries: np.ndarray, best: Best, tree: Node, points: np.ndarray, uids: np.ndarray, ids: np.ndarray) -> None:
     """Walk the trees of queries and points together; pairs of nodes below the worst k-th score are left out."""
-    root = cover_tree(queries)
+    root = cover_tree(queries, 1)
 
     def refresh(q: Node) -> None:
         q.low = min(c.low for c in q.children) if q.children else best.low(q.rows)
