@@ -549,13 +549,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The row of smallest id of each component, with all columns of ``df``, whatever their names.
 
-    Rows are told apart by a key of their own: of rows that share the smallest id one stays, and a repeated id costs
-    no other text its row. Null ids come last. Rows without words (null, empty or blank texts) link with nothing
+    Rows are told apart by a key of their own: of rows that share the smallest id one stays (which, a hash of their
+    shingles decides), and a repeated id costs no other text its row. Null ids come last. Rows without words (null, empty or blank texts) link with nothing
     and all stay. An empty table gives an empty result.
     """
     table, key = keyed(df, id_col)
     sets, roots = _joined(table, id_col, text_col, shingle, percent, F.col(key), None)
-    sets = sets.filter("cls is not null").select("cls", "row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key").alias("place"))
+    sets = sets.filter("cls is not null").select("cls", "row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "cls", "row_key").alias("place"))
     first = sets.groupBy("cls").agg(F.min("place").alias("first")).join(roots, "cls")
     stays = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
     return without_keys(table, key, sets.select("row_key").join(stays, "row_key", "left_anti"), df.columns)
