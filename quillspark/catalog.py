@@ -223,6 +223,30 @@ def grading_prompts(spark: SparkSession, d: str) -> DataFrame:
     return prompts.grading_prompts(c)
 
 
+def normalized_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of each question as a list with ranks from its order, reduced to the fields that a judge sees."""
+    r = _retrieved(spark, d)
+    none = {c: F.lit(None).cast("string") for c in prompts.SOURCE_FIELDS if c not in r.columns}
+    r = r.withColumns(none)
+    held = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("place"), *prompts.SOURCE_FIELDS)))
+    listed = r.groupBy("query_id").agg(held.alias("held")).select("query_id", prompts.normalize_sources(F.col("held")).alias("sources"))
+    ranks = F.transform("sources", lambda x: F.struct(x["rank"].alias("rank"), x["cross_score"].alias("cross_score")))
+    both = listed.select("query_id", F.explode(F.arrays_zip(ranks.alias("r"), judging.compact_sources(F.col("sources")).alias("s"))).alias("x"))
+    return both.select("query_id", "x.r.rank", "x.r.cross_score", "x.s.*")
+
+
+def c_fields(df: DataFrame, column: str) -> list[str]:
+    return df.select(column).schema[0].dataType.elementType.names
+
+
+def judge_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What the judge is asked about each prediction, as far as all prediction fields are there."""
+    p = _predictions(spark, d)
+    full = lambda c: F.transform(c, lambda s: F.struct(*((s[f] if f in ("law_code", "article_label", "law_title") and f in c_fields(p, c) else F.lit(None).cast("string")).alias(f) for f in judging.COMPACT)))
+    p = p.withColumn("gold_sources", full("gold_sources")).withColumn("prediction", F.col("prediction").withField("sources", full("prediction.sources")))
+    return p.select("id", judging.judge_input(p).alias("request"))
+
+
 def embedded_documents(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in vectors of all documents, four components shown."""
     made = embedding.embed(table(spark, d, "documents").select("doc_id", "text"), T.embedding_text(F.col("text")))
@@ -334,6 +358,8 @@ QUERIES = {
         rerank_topn,
         rag_prompts,
         grading_prompts,
+        normalized_sources,
+        judge_requests,
         embedded_documents,
         positional_join,
         grading_batches,
@@ -418,6 +444,12 @@ def _tidy_sql(x: str) -> str:
 _PREDICTED = """WITH p AS (SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id % 7 AS gold_law, item_id % 4 <> 0 AND item_id % 6 <> 0 AS ok,
     CASE WHEN ok THEN 'člen ' || text END AS answer, CASE WHEN ok THEN 1 ELSE 0 END::INTEGER AS n_sources, CASE WHEN ok THEN 'src' || item_id % 5 END AS law, CASE WHEN ok THEN item_id || '. člen' END AS label,
     CASE WHEN item_id % 4 = 0 THEN 'no answer' WHEN item_id % 6 = 0 THEN 'late' END AS error FROM benchmark)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _REPLIES = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'good' WHEN doc_id % 7 = 0 THEN 'missing citation_correct' WHEN doc_id % 11 = 0 THEN 'no JSON object' ELSE 'good' END AS state, quality = 1 AS ok, toxic = 1 AS bad FROM labels"""
 _PARSED = f"""SELECT doc_id, CASE WHEN state = 'good' THEN ok END AS legal_correct, CASE WHEN state = 'good' THEN ok END AS citation_correct, CASE WHEN state = 'good' THEN bad END AS hallucination,
     CASE WHEN state = 'good' THEN ok AND NOT bad END AS passed, CASE WHEN state = 'good' THEN 'd' || doc_id END AS rationale, CASE WHEN state <> 'good' THEN state END AS error FROM ({_REPLIES})"""
@@ -466,6 +498,17 @@ ORACLES = {
     + f""", b AS (SELECT query_id, rank, '=== VIR [' || rank || '] ===' || chr(10) || 'ZAKON: ' || law_title || chr(10) || 'ČLEN: ' || article_label || chr(10) ||
             CASE WHEN rank % 2 = 0 THEN 'DEL ČLENA: 1/2' || chr(10) ELSE '' END || chr(10) || 'BESEDILO:' || chr(10) || {_strip_sql("text")} || chr(10) || chr(10) || '=== KONEC VIRA [' || rank || '] ===' AS block FROM r)
         SELECT query_id, '{prompts.CONTEXT_HEAD}' || string_agg(block, chr(10) || chr(10) ORDER BY rank) AS rag_prompt FROM b GROUP BY query_id""",
+    "normalized_sources": _RERANK + " SELECT query_id, rank, cross_score, law_title, NULL::VARCHAR AS law_code, article_label, NULL::VARCHAR AS paragraph_number, text FROM r",
+    "grading_prompts": _RERANK
+    + f""", j AS (SELECT query_id, question, count(*) AS n, string_agg('{{' || chr(10) || '  "index" : ' || rank || ',' || chr(10) || '  "law" : ' || to_json(law_title) || ',' || chr(10) || '  "code" : null,' || chr(10) ||
+            '  "article" : ' || to_json(article_label) || ',' || chr(10) || '  "heading" : "",' || chr(10) || '  "text" : ' || to_json(substr(text, 1, 2000)) || chr(10) || '}}', ', ' ORDER BY rank) AS body FROM r GROUP BY query_id, question)
+        SELECT query_id, n::INTEGER AS n_candidates, {_quoted(prompts.GRADING_HEAD)} || question || chr(10) || chr(10) || 'Kandidati:' || chr(10) || '[ ' || body || ' ]' || {_quoted(prompts.GRADING_SCALE)} ||
+            '- Število ocen mora biti TOČNO ' || n || '.' || {_quoted(prompts.GRADING_TAIL)} AS prompt FROM j""",
+    "judge_requests": _PREDICTED
+    + f""" SELECT id, {_quoted(judging.INSTRUCTION)} || '{{' || chr(10) || '  "id" : ' || to_json(id) || ',' || chr(10) || '  "question" : ' || to_json(question) || ',' || chr(10) || '  "gold_answer" : ' || to_json(question) || ',' || chr(10) ||
+            '  "gold_sources" : [ {{' || chr(10) || '    "law_title" : "' || gold_law || '",' || chr(10) || '    "law_code" : "' || gold_law || '",' || chr(10) || '    "article_label" : null,' || chr(10) || '    "paragraph_number" : null,' || chr(10) || '    "text" : null' || chr(10) || '  }} ],' || chr(10) ||
+            '  "model_answer" : ' || coalesce(to_json(answer)::VARCHAR, 'null') || ',' || chr(10) || '  "model_sources" : [ ' || CASE WHEN ok THEN '{{' || chr(10) || '    "law_title" : null,' || chr(10) || '    "law_code" : "' || law || '",' || chr(10) || '    "article_label" : "' || label || '",' || chr(10) ||
+            '    "paragraph_number" : null,' || chr(10) || '    "text" : null' || chr(10) || '  }} ' ELSE '' END || '],' || chr(10) || '  "prediction_error" : ' || coalesce('"' || error || '"', 'null') || chr(10) || '}}' AS request FROM p""",
     "positional_join": "SELECT label, count(*) AS n, sum(len(embedding))::BIGINT AS components FROM embeddings GROUP BY label",
     "grading_batches": f"""SELECT (retrieval_rank - 1) // 25 AS batch, count(*) AS n, max((retrieval_rank - 1) % 25 + 1) AS largest FROM ({_top_sql("cosine", 60)}) GROUP BY 1""",
     "parse_judge_replies": _PARSED,
