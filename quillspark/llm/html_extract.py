@@ -53,7 +53,6 @@ NEUTRAL_WORDS = frozenset(
     "content body text inner outer wrap wrapper container box block bar area section panel region row col column group list item items link links icon icons button buttons btn "
     "title form field unit slot zone frame this more also sticky fixed float small large mobile desktop you us by of on for the to and".split()
 )
-CONTAINERS = frozenset({"html", "body", "main", "article", "#root"})
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names that say what an element has or lacks, not what it is.
 _ABOUT = re.compile(r"(?:has|have|with|without|no|not|is|hide|show)[-_]", re.I)
