@@ -50,6 +50,11 @@ def ndcg_document(summary: DataFrame, **about) -> dict:
     return {**about, "average_results": {f"ndcg@{r['k']}": {"mean": r["mean"], "std": r["std"], "n": r["n"]} for r in rows}}
 
 
+def judge_document(summary: DataFrame, judge_model: str) -> dict:
+    """The summary document of a judge; rates that do not exist, as every call failed, are left out."""
+    return {"judge_model": judge_model, **{k: v for k, v in summary.first().asDict().items() if v is not None}}
+
+
 def write_query_artifacts(df: DataFrame, slug_name: str, path: str) -> None:
     """Per-query artefacts (prompts, grades) in a folder for each slug."""
     df.write.mode("overwrite").partitionBy(slug_name).json(path)
