@@ -6,6 +6,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -37,6 +38,12 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
+@lru_cache(maxsize=8192)
+def attributes(raw: str) -> dict[str, str]:
+    """Of an opening tag; not to be changed, as equal tags share them."""
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
+
+
 class Node:
     __slots__ = ("tag", "raw", "children", "_attrs", "mark", "plain")
 
@@ -46,7 +53,7 @@ class Node:
     @property
     def attrs(self) -> dict[str, str]:
         if self._attrs is None:
-            self._attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.raw)} if self.raw.strip(" /\n\t") else {}
+            self._attrs = attributes(self.raw)
         return self._attrs
 
 

@@ -19,6 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions, spread_join, staged, trimmed
-from quillspark.llm.dom import BLOCK, Node, parse
+from quillspark.llm.dom import BLOCK, Node, attributes, parse
 
 #: A text is constant from this share of at least so many pages on.
 CONSTANT_SHARE, LEAST_PAGES = 0.8, 4
@@ -86,6 +87,7 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     return any(_names(x, dropped) for x in names) and not _holds_article(node)
 
 
+@lru_cache(maxsize=8192)
 def _names(name: str, dropped: frozenset) -> bool:
     """Whether all words of a name say such a part or nothing: "social-links" does, "social-science" does not."""
     words = {w.lower() for w in _WORDS.findall(name)}
@@ -191,11 +193,14 @@ def merge(a: Slot, b: Slot) -> Slot:
 
 
 def _label(node: Node) -> str:
-    if not node.raw:
-        return node.tag
-    a = node.attrs
+    return _labelled(node.tag, node.raw) if node.raw else node.tag
+
+
+@lru_cache(maxsize=8192)
+def _labelled(tag: str, raw: str) -> str:
+    a = attributes(raw)
     name = re.sub(r"\d+", "", f"{a.get('class', '')}#{a.get('id', '')}")
-    return f"{node.tag}.{name}" if name != "#" else node.tag
+    return f"{tag}.{name}" if name != "#" else tag
 
 
 def _own_text(node: Node) -> int | None:
@@ -300,13 +305,18 @@ def extract(page: str | None, template: Slot | None) -> str:
     root = parse(page, is_apart)
     if template is not None:
         mark(condense(root), template)
-    has_template = template is not None and any(node.texts for node in numbered(template))
+    has_template = template is not None and _tells(template)
     found = main_text(root, has_template)
     if not found and open_forms(root):  # the page stands in a form as a whole
         found = main_text(root, has_template)
     return found
 
 
+def _tells(template: Slot) -> bool:
+    """Whether some text of a template is constant."""
+    return bool(template.texts) or any(map(_tells, template.children))
+
+
 def is_apart(node: Node) -> bool:
     return is_boilerplate(node, True)
 

@@ -55,12 +55,12 @@ SETS = "doc_id long, row_key long, n long, cls long, chk long"
 POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
 KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 17
 #: Ranges of shingles, at least; more follow the shuffle partitions. A class is named once in each range, so
 #: the bytes a shingle costs rise with the ranges until each holds one shingle of a class.
 LEAST_RANGES = 64
 #: Texts whose shingles are held at once.
-SLICE = 1000
+SLICE = 400
 
 
 class _Words(dict):
