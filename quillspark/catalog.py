@@ -147,12 +147,12 @@ def index_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_long_text(spark: SparkSession, d: str) -> DataFrame:
-    parts = chunking.split_column(T.normalize_whitespace(F.col("text")), chunking.MAX_CHARS, None)
+    parts = chunking.split_long(T.normalize_whitespace(F.col("text")), chunking.MAX_CHARS)
     return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
 
 
 def pack_units(spark: SparkSession, d: str) -> DataFrame:
-    parts = chunking.pack_column(F.split("text", "\n"), chunking.MAX_CHARS)
+    parts = chunking.pack(F.split("text", "\n"), chunking.MAX_CHARS)
     return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
 
 

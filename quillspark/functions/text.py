@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+#: White space of Unicode, with the four separators that scripting languages count too (fixed values).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without leading and trailing Unicode white space (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without leading and trailing Unicode white space (``trim`` alone takes blanks only)."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -32,8 +36,8 @@ def collapse_whitespace(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Array of lines; the end of the text does not start another."""
-    parts = F.split(c, LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    held = F.regexp_replace(c, rf"(?:{LINE_ENDS})\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(held, LINE_ENDS, -1))
 
 
 def word_count(c: Column) -> Column:

@@ -1,19 +1,14 @@
 """Chunks of bounded length: units are found by markers, packed greedily, and cut where they are too long.
 
-Cutting and packing go through a text step by step, so texts over the bound (and only those) pass through
-an Arrow function; everything else stays in native expressions.
+Cutting and packing go through a text step by step; both are folds over arrays, so everything stays in native expressions.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import law_code, strip
+from quillspark.functions.text import law_code, normalize_whitespace, spans, strip
 from quillspark.operators.segment import articles, with_clean_text
 from quillspark.operators.tagging import chunk_id, domain_tags, formatted_text
 from quillspark.profiles import Profile
@@ -25,104 +20,85 @@ LONGEST_CHUNK = 20_000
 SOURCE_TYPE = "COLESLAW"
 
 
-def tidy(s: str) -> str:
-    """``normalize_whitespace`` for the Arrow functions of this module."""
-    s = re.sub("[\u00a0 \t]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub("\n{3,}", "\n\n", s).strip()
+#: Where a long text may be cut: after a sentence or clause, or at a line end. Looking at one character first saves the rest.
+_BREAK = r"(?U)(?=[;:.\n])(?:[;:]\s+|(?<!\d)\.\s+|\n+)"
+_NONE = "array<string>"
 
 
-_BREAK = re.compile(r"[;:]\s+|(?<!\d)\.\s+|\n+")
+def _substring(text: Column, start: Column, stop: Column) -> Column:
+    return F.substring(text, start + 1, stop - start)
 
 
-def split_long(text: str, most: int) -> list[str]:
-    """Cut after the last sentence end in the upper half of each window, else at its last blank, else at its end.
+def split_long(text: Column, most: int) -> Column:
+    """Parts of a tidy text: cut after the last sentence end in the upper half of each window, else at its last blank, else at its end.
 
-    A rest shorter than a window is still cut at a break in its upper half.
+    A rest shorter than a window is still cut at a break in its upper half. The fold carries text and breaks in its
+    state, as a lambda that refers to them from outside would find them anew at each step.
     """
-    text = tidy(text)
-    size = len(text)
-    if size <= most:
-        return [text]
-    ends = [m.end() for m in _BREAK.finditer(text)]
-    out, at = [], 0
-    while at < size:
-        low, high = at + most // 2, min(at + most, size)
-        k = bisect_right(ends, high)
-        if k and ends[k - 1] >= low:
-            cut = ends[k - 1]
-        else:
-            blank = text.rfind(" ", low, high) if high < size else -1
-            cut = blank if blank > at else high
-        out.append(text[at:cut].strip())
-        at = max(cut, at + 1) if cut < size else size
-    return [x for x in out if x]
-
-
-def marked(text: str, pattern: str) -> tuple[str, list[str]]:
+    half = max(1, most // 2)
+    steps = F.sequence(F.lit(1), (F.length(text) / half).cast("int") + 2)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"), F.transform(spans(text, _BREAK), lambda s: s["stop"]).alias("ends"), text.alias("text"), F.length(text).alias("size"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at, size, whole = acc["at"], acc["size"], acc["text"]
+        low, high = at + most // 2, F.least(at + most, size)
+        end = F.array_max(F.filter(acc["ends"], lambda e: (e >= low) & (e <= high)))
+        back = F.instr(F.reverse(_substring(whole, low, high)), " ")
+        blank = F.when((high < size) & (back > 0) & (high - back > at), high - back)
+        cut = F.coalesce(end, blank, high)
+        part = F.concat(acc["out"], F.array(strip(_substring(whole, at, cut))))
+        further = F.struct(F.when(cut < size, F.greatest(cut, at + 1)).otherwise(size).alias("at"), part.alias("out"), acc["ends"].alias("ends"), whole.alias("text"), size.alias("size"))
+        return F.when(at >= size, acc).otherwise(further)
+
+    cut = F.aggregate(steps, start, step, lambda acc: F.filter(acc["out"], lambda x: x != ""))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)
+
+
+def marked(text: Column, pattern: str) -> tuple[Column, Column]:
     """What stands before the first marker, and the pieces that begin with one."""
-    starts = [m.start() for m in re.finditer(pattern, text)] if pattern else []
-    bounds = [*starts, len(text)]
-    return text[: bounds[0]], [text[a:b] for a, b in zip(bounds, bounds[1:])]
+    if not pattern:
+        return text, F.array().cast(_NONE)
+    gaps = F.split(text, f"(?Uud){pattern}", -1)
+    found = F.regexp_extract_all(text, F.lit(f"(?Uud){pattern}"), F.lit(0))
+    return F.get(gaps, F.lit(0)), F.zip_with(found, F.slice(gaps, F.lit(2), F.size(gaps)), lambda m, g: F.concat(m, F.coalesce(g, F.lit(""))))
 
 
-def units(body: str, profile: Profile) -> list[str]:
-    """Units of the first kind of marker that gives more than one: inner articles, paragraphs, list items."""
+def units(body: Column, profile: Profile) -> Column:
+    """Units of the first kind of marker that gives more than one: inner articles, paragraphs, list items; else none."""
+    filled = lambda c: F.filter(c, lambda x: x != "")
+    none = F.array().cast(_NONE)
     head, parts = marked(body, profile.internal_article)
-    if len(parts) > 1:
-        return [x for x in (head.strip(), *map(tidy, parts)) if x]
+    inner = F.when(F.size(parts) > 1, filled(F.concat(F.array(strip(head)), F.transform(parts, normalize_whitespace))))
     _, parts = marked(body, profile.paragraph)  # what stands before the first paragraph is lost
-    if len(kept := [x for x in map(tidy, parts) if x]) > 1:
-        return kept
+    paragraphs = filled(F.transform(parts, normalize_whitespace))
+    out = F.coalesce(inner, F.when(F.size(paragraphs) > 1, paragraphs))
     for pattern in (profile.numbered_item, profile.lettered_item):
         head, parts = marked(body, pattern)
-        if parts:
-            items = [tidy(x) for x in parts]
-            if head.strip():
-                items[0] = tidy(f"{head.strip()}\n{items[0]}")
-            return items if len([x for x in items if x]) > 1 else []
-    return []
+        lead = strip(head)
+        items = F.transform(parts, lambda x, i: F.when((i == 0) & (lead != ""), normalize_whitespace(F.concat(lead, F.lit("\n"), normalize_whitespace(x)))).otherwise(normalize_whitespace(x)))  # noqa: B023
+        out = F.coalesce(out, F.when(F.size(parts) > 0, F.when(F.size(filled(items)) > 1, items).otherwise(none)))
+    return F.coalesce(out, none)
 
 
-def pack(parts: list[str], most: int) -> list[str]:
+def pack(parts: Column, most: int) -> Column:
     """Neighbouring units joined by line feeds while they fit; a unit that is too long stands alone, cut."""
-    out: list[str] = []
-    held: list[str] = []
-    room = most
-    for unit in filter(None, map(tidy, parts)):
-        cost = len(unit) + bool(held)
-        if held and (cost > room or len(unit) > most):
-            out.append(tidy("\n".join(held)))
-            held, room, cost = [], most, len(unit)
-        if len(unit) > most:
-            out += split_long(unit, most)
-        else:
-            held.append(unit)
-            room -= cost
-    return [*out, tidy("\n".join(held))] if held else out
-
-
-def split_body(body: str, most: int, profile: Profile) -> list[str]:
-    body = tidy(body)
-    if len(body) <= most:
-        return [body]
-    found = units(body, profile)
-    return pack(found, most) if len(found) > 1 else split_long(body, most)
-
+    start = F.struct(F.array().cast(_NONE).alias("out"), F.lit("").alias("held"))
 
-def _arrow(function):
-    """Declared nondeterministic, so that no filter above makes it run twice."""
-    return F.pandas_udf(lambda s: pd.Series([None if x is None else function(x) for x in s], dtype=object), "array<string>").asNondeterministic()
+    def step(acc: Column, unit: Column) -> Column:
+        held, over = acc["held"], F.length(unit) > most
+        fits = (held != "") & ~over & (F.length(held) + 1 + F.length(unit) <= most)
+        out = F.when((held != "") & ~fits, F.concat(acc["out"], F.array(held))).otherwise(acc["out"])
+        out = F.when(over, F.concat(out, split_long(unit, most))).otherwise(out)
+        return F.struct(out.alias("out"), F.when(over, F.lit("")).when(fits, F.concat(held, F.lit("\n"), unit)).otherwise(unit).alias("held"))
 
+    tidy = F.filter(F.transform(parts, lambda x: normalize_whitespace(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    return F.aggregate(tidy, start, step, lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
 
-def split_column(text: Column, most: int, profile: Profile | None) -> Column:
-    """Parts of a tidy text; ``profile`` None cuts by length alone."""
-    over = F.length(text) > most
-    cut = _arrow((lambda s: split_long(s, most)) if profile is None else (lambda s: split_body(s, most, profile)))
-    return F.coalesce(cut(F.when(over, text)), F.array(text))
 
-
-def pack_column(parts: Column, most: int) -> Column:
-    return _arrow(lambda xs: pack([x or "" for x in xs], most))(parts)
+def split_body(body: Column, most: int, profile: Profile) -> Column:
+    """Parts of a tidy text by its markers, else by length."""
+    found = units(body, profile)
+    return F.when(F.length(body) <= most, F.array(body)).when(F.size(found) > 1, pack(found, most)).otherwise(split_long(body, most))
 
 
 def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, keep_nonparsed: bool = False) -> DataFrame:
@@ -136,12 +112,11 @@ def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, kee
     bare = F.col("article_idx").isNull()
     if keep_nonparsed:  # a record without articles is one without a number, cut by length alone
         found = found.filter(~bare | (F.col("_clean") != ""))
-    by_marker = split_column(F.when(~bare, F.col("article_body")), max_chars, profile)
-    by_length = split_column(F.when(bare, F.col("_clean")), max_chars, None)
-    found = found.withColumn("_always", bare).withColumn("_parts", F.when(bare, by_length).otherwise(by_marker) if keep_nonparsed else by_marker)
+    by_marker = split_body(F.col("article_body"), max_chars, profile)
+    found = found.withColumn("_always", bare).withColumn("_parts", F.when(bare, split_long(F.col("_clean"), max_chars)).otherwise(by_marker) if keep_nonparsed else by_marker)
     parsed = found.withColumn("article_idx", F.coalesce("article_idx", F.lit(0))).drop("_clean", "_chapters")
     many = F.size("_parts") > 1
-    each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode("_parts").alias("part_idx", "_text"))
+    each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode_outer("_parts").alias("part_idx", "_text"))
     index = F.col("part_idx") + 1
     each = each.withColumn("chunk_part", F.when(F.col("_many"), F.concat(index.cast("string"), F.lit("/"), F.col("_n").cast("string"))))
     each = each.withColumn("law_code", law_code(F.coalesce("naziv", F.lit(""))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import lines, normalize_whitespace, spans, strip, word_count
+from quillspark.functions.text import LINE_ENDS, lines, normalize_whitespace, spans, strip, word_count
 from quillspark.profiles import Profile
 
 MULTI = "(?miUud)"
@@ -81,7 +81,7 @@ def articles(df: DataFrame, text: str, profile: Profile, keep_bare: bool = False
     # Chapters pass the explosion as a column: a lambda that refers to them from outside would find them anew for each article.
     d = d.select(*df.columns, "_chapters", F.posexplode_outer("_articles").alias("article_idx", "_a"))
     d = d if keep_bare else d.filter("_a is not null")
-    first = strip(F.get(lines(F.col("_a.block")), F.lit(0)))
+    first = strip(F.get(F.split(F.col("_a.block"), LINE_ENDS, 2), F.lit(0)))
     d = d.withColumn("_forward", F.lower(first).startswith("člen ")).withColumn("_long", word_count(first) > 2)
     shown = F.when(F.col("_forward") & F.col("_long"), F.col("_a.block")).otherwise(F.col("_a.rest"))
     d = d.withColumn("_lines", F.filter(F.transform(lines(shown), strip), lambda x: x != ""))

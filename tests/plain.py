@@ -76,3 +76,27 @@ def acts(text, profile):
         chapter = next((label for at, _, label in reversed(chapters) if at <= start), None)
         out.append((number, f"Člen {number}" if forward else f"{number}. člen", heading, norm("\n".join(own)), chapter))
     return out
+
+
+def body_parts(body, most, profile):
+    """Parts of a tidy article body: by inner articles, paragraphs or list items, else by length."""
+
+    def pieces(pattern):
+        at = [m.start() for m in W(pattern).finditer(body)] + [len(body)]
+        return body[: at[0]].strip(), [norm(body[a:b]) for a, b in zip(at, at[1:])]
+
+    if len(body) <= most:
+        return [body]
+    head, parts = pieces(profile.internal_article)
+    found = [p for p in [head, *parts] if p] if len(parts) > 1 else []
+    if not found:
+        parts = [p for p in pieces(profile.paragraph)[1] if p]
+        found = parts if len(parts) > 1 else []
+    if not found:
+        for pattern in (profile.numbered_item, profile.lettered_item):
+            head, parts = pieces(pattern)
+            if parts:
+                parts[0] = norm(f"{head}\n{parts[0]}") if head else parts[0]
+                found = parts if sum(p != "" for p in parts) > 1 else []
+                break
+    return packed(found, most) if len(found) > 1 else long_parts(body, most)

@@ -1,9 +1,8 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-from plain import acts, long_parts, packed
+from plain import acts, body_parts, long_parts, norm, packed
+from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import chunking, segment
@@ -80,46 +79,57 @@ def test_leading_noise(spark):
     assert [r["clean"] for r in df.collect()] == list(rows.values())
 
 
-def test_paragraph_split_loses_what_stands_before():
-    body = "uvod " * 5 + "\n(1) " + "a " * 40 + "\n(2) " + "b " * 40
-    parts = chunking.split_body(body, 100, P)
-    assert parts[0].startswith("(1)") and all(len(x) <= 100 for x in parts)
+def parts_of(spark, column, values, kind="string"):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"k int, v {kind}").repartition(3)
+    return [r["x"] for r in df.select("k", column(F.col("v")).alias("x")).orderBy("k").collect()]
 
 
-def test_list_items_keep_what_stands_before():
-    body = "uvod:\n1. " + "a" * 60 + "\n2. " + "b" * 60
-    assert chunking.split_body(body, 100, P) == ["uvod:\n1. " + "a" * 60, "2. " + "b" * 60]
-    assert chunking.split_body("x\na) " + "a" * 60 + "\nb) " + "b" * 60, 100, P)[1].startswith("b)")
+def test_body_parts(spark):
+    """Paragraphs lose what stands before them, list items keep it, inner articles begin their parts."""
+    bodies = [
+        "uvod " * 5 + "\n(1) " + "a " * 40 + "\n(2) " + "b " * 40,
+        "uvod:\n1. " + "a" * 60 + "\n2. " + "b" * 60,
+        "x\na) " + "a" * 60 + "\nb) " + "b" * 60,
+        "head " * 10 + "\nArticle 1\n" + "x " * 30 + "\nArticle II\n" + "y " * 30,
+        "short",
+        "",
+    ]
+    bodies = [norm(b) for b in bodies]
+    got = parts_of(spark, lambda c: chunking.split_body(c, 100, P), bodies)
+    assert got[0][0].startswith("(1)") and got[1] == ["uvod:\n1. " + "a" * 60, "2. " + "b" * 60] and got[2][1].startswith("b)")
+    assert got[3][0].startswith("head") and any(p.startswith("Article II") for p in got[3]) and got[4:] == [["short"], [""]]
+    assert got == [body_parts(b, 100, P) for b in bodies] and all(len(x) <= 100 for p in got for x in p)
 
 
-def test_inner_articles():
-    body = "head " * 10 + "\nArticle 1\n" + "x " * 30 + "\nArticle II\n" + "y " * 30
-    parts = chunking.split_body(body, 80, P)
-    assert any(p.startswith("Article II") for p in parts) and parts[0].startswith("head")
+def random_texts(seed, n, pieces, most):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(pieces, k=rng.randint(0, most))) for _ in range(n)]
 
 
-def test_tail_is_cut_at_a_late_break_and_hard_cut():
-    assert chunking.split_long("x" * 250, 100) == ["x" * 100, "x" * 100, "x" * 50]
-    parts = chunking.split_long("a" * 60 + ". " + "b" * 45 + ". " + "c" * 20, 80)
-    assert parts == long_parts("a" * 60 + ". " + "b" * 45 + ". " + "c" * 20, 80)
+LETTERS = list("ab .;:\n1 \tč(") + ["aaaaaaaa", ". ", "bbbb ", "😀"]
 
 
-ALPHABET = st.text(alphabet="ab .;:\n1 \tč(", max_size=300)
+@pytest.mark.parametrize("most", [10, 30, 61])
+def test_long_split_equals_the_plain_version(spark, most):
+    texts = [norm(t) for t in random_texts(most, 400, LETTERS, 120)] + ["x" * 250, "a" * 60 + ". " + "b" * 45 + ". " + "c" * 20]
+    got = parts_of(spark, lambda c: chunking.split_long(c, most), texts)
+    for text, parts in zip(texts, got):
+        assert parts == [p for p in long_parts(text, most) if p or len(parts) == 1]
+        assert all(len(p) <= most for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
 
 
-@settings(max_examples=300, deadline=None)
-@given(ALPHABET, st.sampled_from([10, 30, 61]))
-def test_long_split_equals_the_plain_version(text, most):
-    parts = chunking.split_long(text, most)
-    assert parts == [p for p in long_parts(text, most) if p or len(parts) == 1]
-    assert all(len(p) <= most for p in parts)
-    assert "".join("".join(parts).split()) == "".join(text.split())
+@pytest.mark.parametrize("most", [20, 61])
+def test_packing_equals_the_plain_version(spark, most):
+    rng = random.Random(most)
+    lists = [random_texts(rng.random(), rng.randint(0, 8), LETTERS, 40) for _ in range(300)]
+    assert parts_of(spark, lambda c: chunking.pack(c, most), lists, "array<string>") == [packed(u, most) for u in lists]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(ALPHABET, max_size=8), st.sampled_from([20, 61]))
-def test_packing_equals_the_plain_version(units, most):
-    assert chunking.pack(units, most) == packed(units, most)
+def test_random_bodies_equal_the_plain_version(spark):
+    lines = ["(1) prvi odstavek", "(2) drugi je daljši od prvega", "1. točka", "2) točka z besedilom", "a) alineja", "č) še ena", "Article 3", "IV. člen – naslov", "navadno besedilo brez oznak.", "", "uvod:"]
+    rng = random.Random(9)
+    bodies = [norm("\n".join(rng.choices(lines, k=rng.randint(0, 12)))) for _ in range(400)]
+    assert parts_of(spark, lambda c: chunking.split_body(c, 60, P), bodies) == [body_parts(b, 60, P) for b in bodies]
 
 
 def test_spans_equal_finditer(spark):
