@@ -113,3 +113,11 @@ def test_subset_costs_choose_the_boundary():
         for b in range(1, 40):
             c = op.least_overlap(a, b, 85)
             assert 100 * c >= 85 * (a + b - c) and 100 * (c - 1) < 85 * (a + b - c + 1)
+
+
+def test_the_shipped_number_of_ranges(spark, monkeypatch):
+    """Other tests use fewer ranges for their small tables."""
+    monkeypatch.setattr(op, "LEAST_RANGES", 64)
+    rows = [(k, " ".join(f"w{(k // 3 * 50 + i) % 400}" for i in range(40 + k % 3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op.ngram_join(df).collect()} == brute.components(rows, 4, 85)
