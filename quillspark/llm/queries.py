@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, mixing, ngram_join, packing, pii, topk
+from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, merkle, mixing, ngram_join, packing, pii, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of all documents; some are checked with a character count that is one too high."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    forged = [F.col("n_chars") + 1 if k == 3 else c for k, c in enumerate(fields)]
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest(*forged))
+    made = merkle.manifest(table(spark, sf_dir, "documents"), merkle.leaf_digest(*fields), shown)
+    proof = merkle.digest(F.array_join(F.transform("path", lambda x: F.concat(x["left"], x["right"])), ""))
+    return made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk,
         op9_language_id,
         op10_exact_dedup,
+        op12_merkle_manifest,
     )
 }
 
@@ -123,4 +134,35 @@ ORACLES: dict[str, str] = {
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY length(t) DESC, doc_id NULLS LAST)
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (SELECT *, coalesce('=' || lang, '-') AS g, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                 range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::BIGINT, 1))::BIGINT)), lambda c, b: list_reduce(
+                 list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::BIGINT)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+        said AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                 coalesce(strlen(text) || ':' || text, '-') AS tail FROM f),
+        l AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS pos,
+                 sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                 sha256(head || coalesce(strlen((n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' ||
+                                         (n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS shown FROM said),
+        t(g, k, pos, d, m) AS (SELECT g, 0, pos, leaf, count(*) OVER (PARTITION BY g) FROM l UNION ALL
+                 SELECT g, any_value(k) + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (any_value(m) + 1) // 2 FROM t WHERE m > 1 GROUP BY g, pos // 2),
+        s AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS pos FROM t WHERE m = 1),
+        u(k, pos, d, m) AS (SELECT 0, pos, d, count(*) OVER () FROM s UNION ALL
+                 SELECT any_value(k) + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (any_value(m) + 1) // 2 FROM u WHERE m > 1 GROUP BY pos // 2),
+        up AS (SELECT g, k, pos, d, m FROM t UNION ALL SELECT '', k, pos, d, m FROM u),
+        h AS (SELECT g, max(k) AS tall FROM t GROUP BY g),
+        steps AS (SELECT g, k AS step, g AS of, k FROM h, LATERAL (SELECT unnest(range(tall)) AS k)
+                  UNION ALL SELECT g, tall + k, '', k FROM h, LATERAL (SELECT unnest(range((SELECT max(k) FROM u))) AS k)),
+        placed AS (SELECT l.g, doc_id, l.pos AS own, step, CASE WHEN of = '' THEN s.pos ELSE l.pos END // (1 << k) AS at, of, k
+                   FROM l JOIN steps USING (g) JOIN s USING (g)),
+        beside AS (SELECT p.g, p.own, p.step, p.at, up.d AS other FROM placed p LEFT JOIN up ON up.g = p.of AND up.k = p.k AND up.pos = xor(p.at, 1)),
+        fold(g, own, step, d) AS (SELECT g, pos, 0, shown FROM l UNION ALL
+                 SELECT f.g, f.own, f.step + 1, sha256(CASE WHEN b.at % 2 = 0 THEN f.d || coalesce(b.other, '') ELSE coalesce(b.other, '') || f.d END)
+                 FROM fold f JOIN beside b ON b.g = f.g AND b.own = f.own AND b.step = f.step),
+        proof AS (SELECT g, own, sha256(coalesce(string_agg(other, '' ORDER BY step), '')) AS p FROM beside GROUP BY g, own),
+        ended AS (SELECT g, own, max_by(d, step) AS d FROM fold GROUP BY g, own),
+        r AS (SELECT d AS root FROM u WHERE m = 1)
+        SELECT doc_id, leaf, s.d AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, e.d AS folded_root, e.d = root AS verified
+        FROM l JOIN s USING (g) CROSS JOIN r JOIN ended e ON e.g = l.g AND e.own = l.pos LEFT JOIN proof ON proof.g = l.g AND proof.own = l.pos
+    """,
 }
