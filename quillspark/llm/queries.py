@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, merkle, mixing, ngram_join, packing, pii, topk
+from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, merkle, mixing, ngram_join, packing, pieces, pii, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of all documents; some are checked with a character count that is one too high."""
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk,
         op9_language_id,
         op10_exact_dedup,
+        op11_sentencepiece,
         op12_merkle_manifest,
     )
 }
