@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, html_extract, langid, lm_score, merkle, mixing, ngram_join, packing, pieces, pii, topk
+from quillspark.llm import chat, collocations, exact_dedup, html_extract, langid, lm_score, merkle, mixing, ngram_join, packing, pieces, pii, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_dedup,
         op11_sentencepiece,
         op12_merkle_manifest,
+        op13_collocations,
     )
 }
 
@@ -171,4 +176,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, leaf, s.d AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, e.d AS folded_root, e.d = root AS verified
         FROM l JOIN s USING (g) CROSS JOIN r JOIN ended e ON e.g = l.g AND e.own = l.pos LEFT JOIN proof ON proof.g = l.g AND proof.own = l.pos
     """,
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, z, unnest(list_transform(range(1, len(w) - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' '))) AS gram FROM w, range(1, 4) AS s(z)),
+        f AS (SELECT lang, z, gram, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE z = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(gram, ' ') AS w FROM f WHERE z > 1 AND f >= 10),
+        cuts AS (SELECT lang, z, gram, w, f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, range(1, 3) AS s(k) WHERE k < z),
+        s AS (SELECT cuts.*, p.f AS l, q.f AS r, 1000000 * a * a // (p.f * q.f) AS score FROM cuts
+              JOIN f p ON p.lang = cuts.lang AND p.gram = x JOIN f q ON q.lang = cuts.lang AND q.gram = y),
+        b AS (SELECT lang, z, gram, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+        inside AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS gram, max(f) AS longer FROM c, range(1, 3) AS s(i) WHERE z = 3 GROUP BY ALL),
+        kept AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, gram) WHERE longer IS NULL OR 100 * longer < 50 * a),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM kept)
+        SELECT lang, rank, gram AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
