@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,13 +31,13 @@ CUTS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: Different pieces, and bytes of them, that a task sums up before it sends them on.
 HELD_PIECES, HELD_BYTES = 200_000, 1 << 25
 #: Memory of the embedded engine, beyond which it spills; bytes of pieces made into sequences at once; rows of a block at most.
-ENGINE_MEMORY, STEP_BYTES, BLOCK_ROWS = "192MB", 1 << 21, 250_000
+ENGINE_MEMORY, STEP_BYTES, BLOCK_ROWS = "320MB", 1 << 21, 250_000
 #: Parts that are asked for most are broadcast, at most so many.
 MOST_HOT = 10_000
 
 PIECE = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())])
 GRAM = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("m", pa.int64())])
-BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+BLOCK = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("grams", pa.binary()), ("m", pa.binary())])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +116,19 @@ def _grams(pieces: Iterable[pa.RecordBatch], longest: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(words_of.keys(), pa.string()), pa.array([""] * len(words_of), pa.string()), pa.array(words_of.values(), pa.int64())], schema=GRAM)
 
 
-def _block(bucket: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, GRAM, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for batch in pa.Table.from_batches(parts).combine_chunks().to_batches():
-            out.write_batch(batch)
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=BLOCK)
+def _block(bucket: int, lang: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Sequences of one lang, joined by line feeds (no sequence holds one) and compressed, with their weights."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    grams = t.column("gram").chunk(0)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), grams), "\n")
+    packed = [zstandard.compress(x) for x in (joined[0].as_buffer(), t.column("m").to_numpy())]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([lang]), *(pa.array([x], pa.binary()) for x in packed)], schema=BLOCK)
+
+
+def _unpacked(lang: str, grams: bytes, m: bytes) -> pa.RecordBatch:
+    weights = np.frombuffer(zstandard.decompress(m), "int64")
+    words = pc.split_pattern(pa.array([zstandard.decompress(grams)], pa.binary()).cast(pa.string()), "\n").flatten()
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(weights)), words, pa.array(weights)], schema=GRAM)
 
 
 def _gather(buckets: int, longest: int):
@@ -129,20 +137,22 @@ def _gather(buckets: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _engine() as one, _engine() as two:
             pieces = _query(one, PIECE, batches, "SELECT lang, piece, sum(m)::BIGINT AS m FROM incoming GROUP BY ALL", 2048)
-            sql = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, gram, sum(m)::BIGINT AS m FROM incoming GROUP BY ALL ORDER BY bucket"
+            sql = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, gram, sum(m)::BIGINT AS m FROM incoming GROUP BY ALL ORDER BY bucket, lang"
             held, now, rows = [], None, 0
             for b in _query(two, GRAM, _grams(pieces, longest), sql, 65_536):
-                own = b.column(0).to_numpy()
-                edges = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+                own, langs = b.column(0).to_numpy(), b.column(1).dictionary_encode()
+                codes = langs.indices.to_numpy()
+                edges = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (codes[1:] != codes[:-1]), True]) if len(own) else np.zeros(1, int)
                 for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    if held and (own[start] != now or rows >= BLOCK_ROWS):
-                        yield _block(now, held)
+                    key = int(own[start]), langs[start].as_py()
+                    if held and (key != now or rows >= BLOCK_ROWS):
+                        yield _block(*now, held)
                         held, rows = [], 0
-                    now = int(own[start])
+                    now = key
                     held.append(pa.RecordBatch.from_arrays([c.slice(start, stop - start) for c in b.columns[1:]], schema=GRAM))
                     rows += stop - start
             if held:
-                yield _block(now, held)
+                yield _block(*now, held)
 
     return run
 
@@ -151,7 +161,7 @@ def _count(least: int):
     """Blocks of a bucket to the sequences that occur ``least`` times or more, and to the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = (x for b in batches for block in b.column("block") for x in pa.ipc.open_stream(block.as_buffer()))
+        blocks = (_unpacked(lang.as_py(), grams.as_py(), m.as_py()) for b in batches for lang, grams, m in zip(*b.columns[1:]))
         with _engine() as con:
             sql = f"SELECT lang, gram, sum(m)::BIGINT AS m FROM incoming GROUP BY ALL HAVING sum(m) >= {least} OR gram = ''"
             for b in _query(con, GRAM, blocks, sql, 65_536):
@@ -165,7 +175,7 @@ def counted(df: DataFrame, longest: int, least: int, text_col: str = "text", lan
     n = partitions(df.sparkSession)
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     pieces = texts.mapInArrow(trimmed(_pieces), "lang string, piece string, m long").repartition(n, "lang", "piece")
-    blocks = pieces.mapInArrow(trimmed(_gather(n, longest)), "bucket int, block binary").repartitionById(n, F.col("bucket"))
+    blocks = pieces.mapInArrow(trimmed(_gather(n, longest)), "bucket int, lang string, grams binary, m binary").repartitionById(n, F.col("bucket"))
     return blocks.mapInArrow(trimmed(_count(least)), "lang string, gram string, f long")
 
 
