@@ -18,6 +18,7 @@ from quillspark.functions import vectors as V
 from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging
 from quillspark.plans import evaluate, index
 from quillspark.profiles import SLOVENIAN_LAW
+from quillspark.sources.readers import spread
 
 CORPUS = replace(
     SLOVENIAN_LAW,
@@ -134,7 +135,7 @@ def _acts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.articles(_acts(spark, d), "text", CORPUS).select("id", "article_idx", "article_number", "article_label", "article_heading", "article_body", "chapter")
+    return segment.articles(spread(_acts(spark, d), "id"), "text", CORPUS).select("id", "article_idx", "article_number", "article_label", "article_heading", "article_body", "chapter")
 
 
 def index_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -146,14 +147,22 @@ def index_counters(spark: SparkSession, d: str) -> DataFrame:
     return index.build_index(_acts(spark, d), CORPUS, min_keyword_matches=4).counters
 
 
+def chunks_by_law(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_index(_acts(spark, d), CORPUS, min_keyword_matches=4).chunks_by_law
+
+
+def chunks_by_tag(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_index(_acts(spark, d), CORPUS, min_keyword_matches=4).tag_counts
+
+
 def split_long_text(spark: SparkSession, d: str) -> DataFrame:
     parts = chunking.split_long(T.normalize_whitespace(F.col("text")), chunking.MAX_CHARS)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.posexplode(parts).alias("part", "text"))
 
 
 def pack_units(spark: SparkSession, d: str) -> DataFrame:
     parts = chunking.pack(F.split("text", "\n"), chunking.MAX_CHARS)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.posexplode(parts).alias("part", "text"))
 
 
 def _candidates(spark: SparkSession, d: str, metric: str) -> tuple[DataFrame, DataFrame]:
@@ -350,6 +359,8 @@ QUERIES = {
         article_segments,
         index_chunks,
         index_counters,
+        chunks_by_law,
+        chunks_by_tag,
         split_long_text,
         pack_units,
         ndcg_at_k,
@@ -397,13 +408,17 @@ _REASON = f"""SELECT id, CASE WHEN law_code IN ({_CODES}) THEN 'whitelist' WHEN
     law_code, {_HITS} AS text_hits FROM ({_RECORDS})"""
 
 
-def _tag_sql() -> str:
+def _tags_of(title: str, text: str) -> str:
     tests = []
     for tag in sorted(set(CORPUS.code_tags) | set(CORPUS.word_tags)):
         hits = [f"law_code IN ({', '.join(repr(c) for c in CORPUS.code_tags[tag])})"] if tag in CORPUS.code_tags else []
-        hits += [f"contains(lower(naziv || chr(10) || text), '{w}')" for w in CORPUS.word_tags.get(tag, ())]
+        hits += [f"contains(lower({title} || chr(10) || {text}), '{w}')" for w in CORPUS.word_tags.get(tag, ())]
         tests.append(f"CASE WHEN {' OR '.join(hits)} THEN '{tag}' END")
-    return f"SELECT id, list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL) AS domain_tags FROM ({_RECORDS})"
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+def _tag_sql() -> str:
+    return f"SELECT id, {_tags_of('naziv', 'text')} AS domain_tags FROM ({_RECORDS})"
 
 
 def _ndcg_sql(metric: str) -> str:
@@ -441,6 +456,35 @@ def _tidy_sql(x: str) -> str:
     return _strip_sql(rf"regexp_replace({two}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+def _cut_sql(texts: str, most: int) -> str:
+    """Common tables that cut the texts t of ``texts`` (id, t): parts has id, n (a number that rises), part.
+
+    Pieces of a text end where a match of its pattern ends, so running sums of their lengths give the breaks; a number takes its full stop with it.
+    """
+    half = most // 2
+    return rf"""long AS (SELECT id, t, length(t) AS size FROM ({texts}) WHERE length(t) > {most}),
+        pieces AS (SELECT id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[0-9]+\.|[;:.]{_BLANK}|\n+|[0-9]+|[;:.]|[^;:.\n0-9]+') AS x FROM long)),
+        ends AS (SELECT id, list(e) FILTER (regexp_matches(x, '^([;:.]{_BLANK}|\n+)$')) AS ends FROM
+                 (SELECT id, x, sum(length(x)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS e FROM pieces) GROUP BY id),
+        cuts(id, n, pos, cut) AS (SELECT id, -1, 0::BIGINT, 0::BIGINT FROM long UNION ALL
+                 SELECT id, n + 1, next, CASE WHEN e IS NOT NULL THEN e WHEN high < size AND back > 0 AND high - back > next THEN high - back ELSE high END
+                 FROM (SELECT id, n, next, high, size, list_max(list_filter(ends, lambda e: e >= next + {half} AND e <= high)) AS e,
+                              strpos(reverse(substr(t, (next + {half} + 1)::BIGINT, (high - next - {half})::BIGINT)), ' ') AS back
+                       FROM (SELECT c.id, n, greatest(cut, pos + (n >= 0)::BIGINT) AS next, least(greatest(cut, pos + (n >= 0)::BIGINT) + {most}, size) AS high, size, ends, t
+                             FROM cuts c JOIN long USING (id) LEFT JOIN ends USING (id) WHERE cut < size) x) y),
+        parts AS (SELECT id, n, part FROM (SELECT c.id, n, {_strip_sql("substr(t, (pos + 1)::BIGINT, (cut - pos)::BIGINT)")} AS part FROM cuts c JOIN long USING (id) WHERE n >= 0) WHERE part <> '')"""
+
+
+#: Chunks of the acts, whose articles are lines; a line holds no markers, so only its length cuts it.
+_CHUNKED = f"""WITH RECURSIVE lines AS (SELECT doc_id, 'Zakon ' || lang || ' (' || source || ')' AS naziv, source AS law_code, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    body AS MATERIALIZED (SELECT doc_id, naziv, law_code, i, {_tidy_sql("v")} AS t, CASE WHEN i % 3 = 0 THEN 'Člen ' || i ELSE i || '. člen' END AS label, CASE WHEN i % 5 = 0 THEN 'Naslov ' || i END AS heading,
+            CASE WHEN i >= 11 THEN (i // 11) || '. poglavje' END AS chapter FROM lines),
+    {_cut_sql("SELECT {'doc_id': doc_id, 'i': i} AS id, t FROM body", chunking.MAX_CHARS)},
+    cut AS (SELECT id.doc_id AS doc_id, id.i AS i, n, part FROM parts UNION ALL SELECT doc_id, i, 0, t FROM body WHERE length(t) <= {chunking.MAX_CHARS} AND t <> ''),
+    chunked AS (SELECT body.*, row_number() OVER w AS n, count(*) OVER (PARTITION BY doc_id, i) AS many, part FROM body JOIN cut USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id, i ORDER BY cut.n))"""
+_TAGGED = _tags_of("naziv", "part")
+
+
 _PREDICTED = """WITH p AS (SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id % 7 AS gold_law, item_id % 4 <> 0 AND item_id % 6 <> 0 AS ok,
     CASE WHEN ok THEN 'člen ' || text END AS answer, CASE WHEN ok THEN 1 ELSE 0 END::INTEGER AS n_sources, CASE WHEN ok THEN 'src' || item_id % 5 END AS law, CASE WHEN ok THEN item_id || '. člen' END AS label,
     CASE WHEN item_id % 4 = 0 THEN 'no answer' WHEN item_id % 6 = 0 THEN 'late' END AS error FROM benchmark)"""
@@ -479,6 +523,29 @@ ORACLES = {
     "article_segments": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
         SELECT doc_id AS id, (i - 1)::INTEGER AS article_idx, i::VARCHAR AS article_number, CASE WHEN i % 3 = 0 THEN 'Člen ' || i ELSE i || '. člen' END AS article_label,
             CASE WHEN i % 5 = 0 THEN 'Naslov ' || i END AS article_heading, {_tidy_sql("value")} AS article_body, CASE WHEN i >= 11 THEN (i // 11) || '. poglavje' END AS chapter FROM l""",
+    "split_long_text": f"""WITH RECURSIVE texts AS MATERIALIZED (SELECT doc_id AS id, {_tidy_sql("text")} AS t FROM documents), {_cut_sql("SELECT id, t FROM texts", chunking.MAX_CHARS)}
+        SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY n) - 1)::INTEGER AS part, part AS text
+        FROM (SELECT id, n, part FROM parts UNION ALL SELECT id, 0, t FROM texts WHERE length(t) <= {chunking.MAX_CHARS})""",
+    "pack_units": f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        units AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, u, length(u) AS size FROM (SELECT doc_id, i, {_tidy_sql("u")} AS u FROM lines) WHERE u <> ''),
+        held(doc_id, i, pack, room) AS (SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM units UNION ALL
+                 SELECT u.doc_id, u.i, pack + CASE WHEN size < room THEN 0 ELSE 1 END, CASE WHEN size > {chunking.MAX_CHARS} THEN 0 WHEN size < room THEN room - size - 1 ELSE {chunking.MAX_CHARS} - size END
+                 FROM held h JOIN units u ON u.doc_id = h.doc_id AND u.i = h.i + 1),
+        packs AS (SELECT doc_id, pack, string_agg(u, chr(10) ORDER BY i) AS t FROM held JOIN units USING (doc_id, i) GROUP BY doc_id, pack),
+        {_cut_sql("SELECT {'doc_id': doc_id, 'pack': pack} AS id, t FROM packs", chunking.MAX_CHARS)},
+        mixed AS (SELECT id.doc_id AS doc_id, id.pack AS pack, n, part FROM parts UNION ALL SELECT doc_id, pack, 0, t FROM packs WHERE length(t) <= {chunking.MAX_CHARS})
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pack, n) - 1)::INTEGER AS part, part AS text FROM mixed""",
+    "index_chunks": f"""{_CHUNKED} SELECT doc_id AS record_pos, (i - 1)::INTEGER AS article_idx, (n - 1)::INTEGER AS part_idx,
+            'M' || doc_id || '_A' || i || '_PFULL' || CASE WHEN many > 1 THEN '_S' || n ELSE '' END AS chunk_id, doc_id AS record_id, naziv AS law_title, law_code, 'M' || doc_id AS mopedId,
+            NULL::VARCHAR AS eva, NULL::VARCHAR AS epa, NULL::VARCHAR AS sop, chapter, i::VARCHAR AS article_number, label AS article_label, heading AS article_heading, NULL::VARCHAR AS paragraph_number,
+            CASE WHEN many > 1 THEN n || '/' || many END AS chunk_part, {_TAGGED} AS domain_tags, 'COLESLAW' AS source_type, part AS text,
+            concat_ws(' | ', 'Zakon: ' || naziv, 'Oznaka: ' || law_code, 'Poglavje: ' || chapter, 'Člen: ' || label, 'Naslov člena: ' || heading, CASE WHEN many > 1 THEN 'Del člena: ' || n || '/' || many END, 'Besedilo: ' || part) AS formatted_text
+        FROM chunked""",
+    "index_counters": f"""{_CHUNKED}, r AS (SELECT id, reason <> 'irrelevant' AS kept FROM ({_REASON})), m AS (SELECT id, kept, count(part) AS n FROM r LEFT JOIN chunked ON doc_id = id GROUP BY id, kept)
+        SELECT count(*) AS records_total, count(*) FILTER (kept) AS records_kept, count(*) FILTER (NOT kept) AS records_skipped, 0::BIGINT AS records_unreadable, count(*) FILTER (kept AND n > 0) AS records_with_chunks,
+            count(*) FILTER (kept AND n = 0) AS records_no_chunks, count(*) FILTER (kept AND n = 0) AS records_faulty, coalesce(sum(n) FILTER (kept), 0)::BIGINT AS chunks_total FROM m""",
+    "chunks_by_law": f"{_CHUNKED} SELECT law_code, count(*) AS n FROM chunked WHERE doc_id IN (SELECT id FROM ({_REASON}) WHERE reason <> 'irrelevant') GROUP BY law_code",
+    "chunks_by_tag": f"{_CHUNKED} SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGGED}) AS tag FROM chunked WHERE doc_id IN (SELECT id FROM ({_REASON}) WHERE reason <> 'irrelevant')) GROUP BY tag",
     "predictions_joined": _PREDICTED + " SELECT id, question, answer, n_sources, error FROM p",
     "prediction_table": _PREDICTED
     + f""" SELECT id, CASE WHEN answer IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(answer, '{_BLANK}'), lambda x: x <> '')) END::INTEGER AS answer_words, n_sources AS num_sources,

@@ -1,6 +1,7 @@
 """Chunks of bounded length: units are found by markers, packed greedily, and cut where they are too long.
 
-Cutting and packing go through a text step by step; both are folds over arrays, so everything stays in native expressions.
+Markers are found by expressions. Cutting and packing go through a text step by step; that is one pass of ``functions.scan`` over the
+texts that don't fit.
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import law_code, normalize_whitespace, spans, strip
+from quillspark.functions import scan
+from quillspark.functions.text import law_code, normalize_whitespace, strip
 from quillspark.operators.segment import articles, with_clean_text
 from quillspark.operators.tagging import chunk_id, domain_tags, formatted_text
 from quillspark.profiles import Profile
@@ -20,38 +22,12 @@ LONGEST_CHUNK = 20_000
 SOURCE_TYPE = "COLESLAW"
 
 
-#: Where a long text may be cut: after a sentence or clause, or at a line end. Looking at one character first saves the rest.
-_BREAK = r"(?U)(?=[;:.\n])(?:[;:]\s+|(?<!\d)\.\s+|\n+)"
 _NONE = "array<string>"
 
 
-def _substring(text: Column, start: Column, stop: Column) -> Column:
-    return F.substring(text, start + 1, stop - start)
-
-
 def split_long(text: Column, most: int) -> Column:
-    """Parts of a tidy text: cut after the last sentence end in the upper half of each window, else at its last blank, else at its end.
-
-    A rest shorter than a window is still cut at a break in its upper half. The fold carries text and breaks in its
-    state, as a lambda that refers to them from outside would find them anew at each step.
-    """
-    half = max(1, most // 2)
-    steps = F.sequence(F.lit(1), (F.length(text) / half).cast("int") + 2)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"), F.transform(spans(text, _BREAK), lambda s: s["stop"]).alias("ends"), text.alias("text"), F.length(text).alias("size"))
-
-    def step(acc: Column, _: Column) -> Column:
-        at, size, whole = acc["at"], acc["size"], acc["text"]
-        low, high = at + most // 2, F.least(at + most, size)
-        end = F.array_max(F.filter(acc["ends"], lambda e: (e >= low) & (e <= high)))
-        back = F.instr(F.reverse(_substring(whole, low, high)), " ")
-        blank = F.when((high < size) & (back > 0) & (high - back > at), high - back)
-        cut = F.coalesce(end, blank, high)
-        part = F.concat(acc["out"], F.array(strip(_substring(whole, at, cut))))
-        further = F.struct(F.when(cut < size, F.greatest(cut, at + 1)).otherwise(size).alias("at"), part.alias("out"), acc["ends"].alias("ends"), whole.alias("text"), size.alias("size"))
-        return F.when(at >= size, acc).otherwise(further)
-
-    cut = F.aggregate(steps, start, step, lambda acc: F.filter(acc["out"], lambda x: x != ""))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)
+    """Parts of a tidy text, see ``scan.long_parts``."""
+    return scan.long_parts(text, most)
 
 
 def marked(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -82,46 +58,41 @@ def units(body: Column, profile: Profile) -> Column:
 
 def pack(parts: Column, most: int) -> Column:
     """Neighbouring units joined by line feeds while they fit; a unit that is too long stands alone, cut."""
-    start = F.struct(F.array().cast(_NONE).alias("out"), F.lit("").alias("held"))
-
-    def step(acc: Column, unit: Column) -> Column:
-        held, over = acc["held"], F.length(unit) > most
-        fits = (held != "") & ~over & (F.length(held) + 1 + F.length(unit) <= most)
-        out = F.when((held != "") & ~fits, F.concat(acc["out"], F.array(held))).otherwise(acc["out"])
-        out = F.when(over, F.concat(out, split_long(unit, most))).otherwise(out)
-        return F.struct(out.alias("out"), F.when(over, F.lit("")).when(fits, F.concat(held, F.lit("\n"), unit)).otherwise(unit).alias("held"))
-
-    tidy = F.filter(F.transform(parts, lambda x: normalize_whitespace(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    return F.aggregate(tidy, start, step, lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
+    return scan.packed(F.filter(F.transform(parts, lambda x: normalize_whitespace(F.coalesce(x, F.lit("")))), lambda x: x != ""), most)
 
 
 def split_body(body: Column, most: int, profile: Profile) -> Column:
     """Parts of a tidy text by its markers, else by length."""
-    found = units(body, profile)
-    return F.when(F.length(body) <= most, F.array(body)).when(F.size(found) > 1, pack(found, most)).otherwise(split_long(body, most))
+    long = F.length(body) > most
+    found = units(F.when(long, body), profile)
+    several = F.size(found) > 1
+    return F.when(~long, F.array(body)).when(several, pack(F.when(several, found), most)).otherwise(split_long(F.when(~several, body), most))
 
 
-def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, keep_nonparsed: bool = False) -> DataFrame:
+def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, keep_nonparsed: bool = False, with_records: tuple[str, ...] | None = None) -> DataFrame:
     """Chunks of records (record_pos and the seven record fields), ordered by record_pos, article_idx, part_idx.
 
     Articles are split by ``split_body``; a record without articles gives, if ``keep_nonparsed``, parts of its whole
     text. Empty chunks are left out, after their number was counted. Columns: the three ordinals and the chunk fields.
+    ``with_records`` names columns of the records to be kept as well, and adds a row of article_idx -1 for each record itself.
     """
+    whole = F.lit(False) if with_records is None else F.col("article_idx") == -1
     clean = with_clean_text(records, "text", profile, "_clean")
-    found = articles(clean, "_clean", profile, keep_bare=keep_nonparsed)
+    found = articles(clean, "_clean", profile, keep_bare=keep_nonparsed, with_whole=with_records is not None)
     bare = F.col("article_idx").isNull()
     if keep_nonparsed:  # a record without articles is one without a number, cut by length alone
-        found = found.filter(~bare | (F.col("_clean") != ""))
+        found = found.filter(~bare | (F.col("whole_text") != ""))
     by_marker = split_body(F.col("article_body"), max_chars, profile)
-    found = found.withColumn("_always", bare).withColumn("_parts", F.when(bare, split_long(F.col("_clean"), max_chars)).otherwise(by_marker) if keep_nonparsed else by_marker)
-    parsed = found.withColumn("article_idx", F.coalesce("article_idx", F.lit(0))).drop("_clean", "_chapters")
+    found = found.withColumn("_always", bare).withColumn("_parts", F.when(bare, split_long(F.col("whole_text"), max_chars)).otherwise(by_marker) if keep_nonparsed else by_marker)
+    parsed = found.withColumn("article_idx", F.coalesce("article_idx", F.lit(0))).drop("_clean", "whole_text", "text")
     many = F.size("_parts") > 1
     each = parsed.select("*", many.alias("_many"), F.size("_parts").alias("_n"), F.posexplode_outer("_parts").alias("part_idx", "_text"))
     index = F.col("part_idx") + 1
     each = each.withColumn("chunk_part", F.when(F.col("_many"), F.concat(index.cast("string"), F.lit("/"), F.col("_n").cast("string"))))
     each = each.withColumn("law_code", law_code(F.coalesce("naziv", F.lit(""))))
-    none = F.lit(None).cast("string")
+    none, kept = F.lit(None).cast("string"), with_records or ()
     out = each.select(
+        *kept,
         "record_pos",
         "article_idx",
         "part_idx",
@@ -144,4 +115,4 @@ def chunks(records: DataFrame, profile: Profile, max_chars: int = MAX_CHARS, kee
         strip(F.make_valid_utf8("_text")).alias("text"),
         formatted_text(F.col("naziv"), F.col("law_code"), F.col("chapter"), F.col("article_label"), F.col("article_heading"), none, F.col("chunk_part"), F.col("_text")).alias("formatted_text"),
     )
-    return out.filter("text <> ''").select("record_pos", "article_idx", "part_idx", *CHUNK_COLUMNS)
+    return out.filter((F.col("text") != "") | whole).select("record_pos", "article_idx", "part_idx", *CHUNK_COLUMNS, *kept)

@@ -9,6 +9,7 @@ from quillspark.functions.text import keyword_hits, law_code
 from quillspark.profiles import Profile
 
 KEPT_REASONS = ("whitelist", "title_keyword", "text_keywords", "all_laws")
+DROPPED_REASONS = ("not_in_whitelist", "irrelevant")
 #: Parameters of the three ready-made strategies.
 STRATEGIES = {"normal": {}, "whitelist": {"strict_whitelist": True}, "all-laws": {"all_laws": True, "keep_nonparsed": True}}
 
@@ -19,18 +20,17 @@ def normalize_records(raw: DataFrame) -> DataFrame:
 
 
 def relevance_reason(title: Column, text: Column, profile: Profile, strict_whitelist: bool = False, min_keyword_matches: int = 2, all_laws: bool = False) -> Column:
-    """Why a record is kept or not; the cheap tests come first, and a branch is evaluated only if reached."""
+    """Why a record is kept or not; the cheap tests come first; the text of a record that its code decides is not searched."""
     if all_laws:
         return F.lit("all_laws")
     code = law_code(F.coalesce(title, F.lit("")))
     reason = F.when(code.isin(*profile.law_codes), "whitelist")
     if strict_whitelist:
         return reason.otherwise("not_in_whitelist")
-    return (
-        reason.when(keyword_hits(title, list(profile.title_keywords)) >= 1, "title_keyword")
-        .when(keyword_hits(text, list(profile.text_keywords)) >= min_keyword_matches, "text_keywords")
-        .otherwise("irrelevant")
-    )
+    titled = keyword_hits(title, list(profile.title_keywords)) >= 1
+    open_ = ~F.coalesce(code.isin(*profile.law_codes), F.lit(False))  # other texts are not searched
+    hits = keyword_hits(F.when(open_, text), list(profile.text_keywords))
+    return reason.when(titled, "title_keyword").when(hits >= min_keyword_matches, "text_keywords").otherwise("irrelevant")
 
 
 def with_reason(records: DataFrame, profile: Profile, title: str = "naziv", text: str = "text", **options) -> DataFrame:

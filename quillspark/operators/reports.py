@@ -13,18 +13,16 @@ UNCERTAIN = ("ne morem", "ni mogoče", "ni dovolj", "ni jasno", "ni podatka", "n
 SOURCE_WORDS = ("člen", "zakon", "uredba", "pravilnik")
 
 
-def record_counters(records: DataFrame, per_record: DataFrame) -> DataFrame:
-    """One row of counts; ``records`` has reason, ``per_record`` one row a kept record with n_chunks and error."""
-    a = records.agg(F.count(F.lit(1)).alias("records_total"), F.count_if(F.col("reason").isin("not_in_whitelist", "irrelevant")).alias("records_skipped"), F.count_if(F.col("error").isNotNull()).alias("records_unreadable"))
+def record_counters(kept: DataFrame, observed: dict[str, int]) -> DataFrame:
+    """One row of counts: those that were ``observed`` while the records were read, and what became of the ``kept`` ones (n_chunks, error)."""
     good = F.col("error").isNull()
-    b = per_record.agg(
-        F.count(F.lit(1)).alias("records_kept"),
+    return kept.agg(
+        *(F.lit(n).cast("long").alias(name) for name, n in observed.items()),
         F.count_if(good).alias("records_with_chunks"),
         F.count_if(F.col("n_chunks") == 0).alias("records_no_chunks"),
         F.count_if(~good).alias("records_faulty"),
         F.coalesce(F.sum(F.when(good, F.col("n_chunks"))), F.lit(0)).alias("chunks_total"),
     )
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def counts(df: DataFrame, key: Column, name: str, missing: str = "UNKNOWN") -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import LINE_ENDS, lines, normalize_whitespace, spans, strip, word_count
+from quillspark.functions import scan
+from quillspark.functions.text import LINE_ENDS, lines, normalize_whitespace, strip, word_count
 from quillspark.profiles import Profile
 
-MULTI = "(?miUud)"
-
 
 def with_clean_text(df: DataFrame, text: str, profile: Profile, name: str) -> DataFrame:
     """Adds the text of stripped lines; before the first article line, empty and noise lines are left out."""
-    is_article = lambda x: F.lit(False) if not profile.article_lines else x.rlike("|".join(f"(?:{MULTI}{p})" for p in profile.article_lines))
+
+    def is_article(x: Column) -> Column:
+        out = F.lit(False)
+        for p in profile.article_lines:  # a line is one line, so the pattern can only begin at its start
+            out = out | x.rlike(f"(?iUud){p}")
+        return out
 
     def noise(x: Column) -> Column:
         out = x == ""
@@ -28,14 +34,10 @@ def with_clean_text(df: DataFrame, text: str, profile: Profile, name: str) -> Da
     return d.withColumn(name, normalize_whitespace(F.array_join(rest, "\n"))).drop("_own", "_first")
 
 
-def headings(text: Column, patterns: tuple[str, ...], flags: str = MULTI) -> Column:
-    """All matches of ``patterns`` as array<struct<start, rank, stop, number, match>>, by start and then rank of the pattern."""
-
-    def of(rank: int, pattern: str) -> Column:
-        number = lambda m: F.regexp_extract(m, f"{flags}{pattern}", 1)
-        return F.transform(spans(text, f"{flags}{pattern}"), lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["stop"], number(s["match"]).alias("number"), s["match"]))
-
-    return F.array_sort(F.concat(*(of(k, p) for k, p in enumerate(patterns))))
+def headings(text: Column, profile: Profile) -> Column:
+    """All headings of a profile in one scan, as array<struct<start, stop, rank, number, match>>: articles, roman articles, then chapters by rank."""
+    lines = re.MULTILINE | re.IGNORECASE
+    return scan.matches(text, tuple((p, lines) for p in (*profile.articles, *profile.roman_articles)) + tuple((p, 0) for p in profile.chapters))
 
 
 def is_structural(line: Column, profile: Profile) -> Column:
@@ -53,34 +55,44 @@ def with_articles(df: DataFrame, text: str, profile: Profile, name: str, chapter
     Headings of all patterns meet by their start, where the first pattern counts; roman ones stand in where there are no
     others. An article goes to the next start, ``rest`` is what follows its heading; blank ones are left out.
     """
-    roman = headings(F.col(text), profile.roman_articles) if profile.roman_articles else F.col("_found")
-    d = df.withColumn("_found", headings(F.col(text), profile.articles))
-    d = d.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(roman))
+    usual, all_ = len(profile.articles), len(profile.articles) + len(profile.roman_articles)
+    of = lambda low, high: F.filter("_all", lambda x: (x["rank"] >= low) & (x["rank"] < high))
+    d = df.withColumn("_all", headings(F.col(text), profile))
+    d = d.withColumn("_found", F.when(F.exists("_all", lambda x: x["rank"] < usual), of(0, usual)).otherwise(of(usual, all_))).withColumn(chapters, of(all_, 1 << 30)).drop("_all")
     d = d.withColumn("_found", F.filter("_found", lambda x, i: (i == 0) | (F.get("_found", i - 1)["start"] != x["start"])))
-    marks = headings(F.col(text), profile.chapters, "(?Uud)") if profile.chapters else F.filter("_found", lambda x: F.lit(False))
+    d = d.withColumn("_blocks", scan.slices(F.col(text), F.transform("_found", lambda x: x["start"])))
 
-    def article(x: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("_found", i + 1)["start"], F.length(text))
-        cut = lambda a: strip(F.substring(F.col(text), a + 1, F.greatest(end - a, F.lit(0))))
-        return F.struct(x["start"].alias("start"), x["number"].alias("number"), cut(x["start"]).alias("block"), cut(x["stop"]).alias("rest"))
+    def article(x: Column, block: Column) -> Column:
+        rest = F.substring(block, x["stop"] - x["start"] + 1, F.length(block))
+        return F.struct(x["start"].alias("start"), x["number"].alias("number"), strip(block).alias("block"), strip(rest).alias("rest"))
 
-    sliced = F.filter(F.transform("_found", article), lambda x: x["block"] != "")
-    return d.withColumn(chapters, F.when(F.size("_found") > 0, marks)).withColumn(name, sliced).drop("_found")
+    sliced = F.filter(F.zip_with("_found", "_blocks", article), lambda x: x["block"] != "")
+    return d.withColumn(name, F.coalesce(sliced, F.array().cast("array<struct<start:int,number:string,block:string,rest:string>>"))).drop("_found", "_blocks")
 
 
-def articles(df: DataFrame, text: str, profile: Profile, keep_bare: bool = False) -> DataFrame:
+def articles(df: DataFrame, text: str, profile: Profile, keep_bare: bool = False, with_whole: bool = False) -> DataFrame:
     """A row for each article of the column ``text``: article_idx, article_start, article_number, article_label,
-    article_heading, article_body, chapter, beside all columns of ``df``. Expressions only.
+    article_heading, article_body, chapter, beside all columns of ``df``.
 
     Text before the first article is left out; a first line in parentheses is the heading; structural headings in the
     body are dropped; the forward style keeps its first line if that has more than two words. Rows without articles
-    (or with a null text) give none, or with ``keep_bare`` one that has no article_idx.
+    (or with a null text) give none, or with ``keep_bare`` one that has no article_idx but the text as whole_text, in place of ``text``. ``with_whole`` puts before the others
+    a row of article_idx -1 that stands for the row of ``df`` itself.
     """
     d = with_articles(df, text, profile, "_articles", "_chapters")
     # The outer form, as the plain one would repeat the whole expression in a filter on its size at the scan.
     # Chapters pass the explosion as a column: a lambda that refers to them from outside would find them anew for each article.
-    d = d.select(*df.columns, "_chapters", F.posexplode_outer("_articles").alias("article_idx", "_a"))
-    d = d if keep_bare else d.filter("_a is not null")
+    none = F.get(F.filter("_articles", lambda a: F.lit(False)), F.lit(0))
+    item = lambda k, a, whole: F.struct(k.cast("int").alias("article_idx"), a.alias("_a"), whole.cast("string").alias("whole_text"))
+    null = F.lit(None)
+    each = F.transform("_articles", lambda a, i: item(i, a, null))
+    if keep_bare:
+        each = F.when(F.size("_articles") > 0, each).otherwise(F.array(item(null, none, F.col(text))))
+    if with_whole:
+        each = F.concat(F.array(item(F.lit(-1), none, null)), each)
+    columns = [c for c in df.columns if c != text or not keep_bare]  # else each article would carry the whole text
+    d = d.select(*columns, "_chapters", F.explode_outer(each).alias("_x")).select(*columns, "_chapters", "_x.*")
+    d = d if keep_bare else d.filter("_a is not null" if not with_whole else "_a is not null or article_idx = -1")
     first = strip(F.get(F.split(F.col("_a.block"), LINE_ENDS, 2), F.lit(0)))
     d = d.withColumn("_forward", F.lower(first).startswith("člen ")).withColumn("_long", word_count(first) > 2)
     shown = F.when(F.col("_forward") & F.col("_long"), F.col("_a.block")).otherwise(F.col("_a.rest"))
@@ -91,7 +103,8 @@ def articles(df: DataFrame, text: str, profile: Profile, keep_bare: bool = False
     number = F.col("_a.number")
     governing = F.try_element_at(F.filter("_chapters", lambda c: c["start"] <= F.col("_a.start")), F.lit(-1))
     return d.select(
-        *df.columns,
+        *columns,
+        *(["whole_text"] if keep_bare else []),
         "article_idx",
         F.col("_a.start").alias("article_start"),
         number.alias("article_number"),

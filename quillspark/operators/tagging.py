@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.needles import groups_found
 from quillspark.profiles import Profile
 
 
 def domain_tags(code: Column, title: Column, text: Column, profile: Profile) -> Column:
     """Sorted distinct tags, by law code or by words in title and text without regard to case."""
-    hay = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
-    tests = []
-    for tag in sorted(set(profile.code_tags) | set(profile.word_tags)):
-        hit = F.lit(False)
-        if tag in profile.code_tags:
-            hit = hit | F.coalesce(code.isin(*profile.code_tags[tag]), F.lit(False))
-        for word in profile.word_tags.get(tag, ()):
-            hit = hit | F.contains(hay, F.lit(word.lower()))
-        tests.append(F.when(hit, F.lit(tag)))
-    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    hay = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    by_code = [F.when(F.coalesce(code.isin(*codes), F.lit(False)), F.lit(tag)) for tag, codes in sorted(profile.code_tags.items()) if codes]
+    of_code = F.array_compact(F.array(*by_code)) if by_code else F.array().cast("array<string>")
+    return F.array_sort(F.array_union(of_code, groups_found(hay, profile.word_tags)))
 
 
 def formatted_text(title: Column, code: Column, chapter: Column, label: Column, heading: Column, paragraph: Column, part: Column, text: Column) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import law_code
 from quillspark.operators import chunking, relevance, reports
 from quillspark.profiles import SLOVENIAN_LAW, Profile
-from quillspark.sources.readers import stored
+from quillspark.schemas import CHUNK_COLUMNS
+from quillspark.sources.readers import spread
+from quillspark.sources.store import stored
 
 
 @dataclass
@@ -28,27 +29,39 @@ def build_index(records: DataFrame, profile: Profile = SLOVENIAN_LAW, strategy:
     """``records`` has record_pos and the seven record fields.
 
     Kept records without chunks, or with a chunk over the length limit, go to the quarantine with an error;
-    their chunks and tags are not counted. The chunks are made once and stored, whatever is read of the result.
+    their chunks and tags are not counted. The records are read once: one pass writes their chunks and a row for each
+    record, and is watched for the counts that a pass can tell; all else comes from what it wrote.
     """
     options = dict(relevance.STRATEGIES[strategy])
     parse_all = options.pop("keep_nonparsed", False) if keep_nonparsed is None else keep_nonparsed
     options.pop("keep_nonparsed", None)
-    seen = relevance.with_reason(relevance.normalize_records(records), profile, min_keyword_matches=min_keyword_matches, **options)
-    kept = relevance.kept(seen).withColumn("law_code", law_code(F.coalesce("naziv", F.lit(""))))
-    made = stored(chunking.chunks(kept.drop("reason", "error", "law_code"), profile, max_chars, parse_all))
-    sizes = made.groupBy("record_pos").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"))
-    per_record = kept.join(sizes, "record_pos", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    seen = relevance.with_reason(relevance.normalize_records(spread(records, "record_pos")), profile, min_keyword_matches=min_keyword_matches, **options)
+    is_kept = F.col("reason").isin(*relevance.KEPT_REASONS)
+    searched = seen.withColumn("text", F.when(is_kept, F.col("text")))  # others leave their record row alone
+    rows = chunking.chunks(searched, profile, max_chars, parse_all, with_records=("reason", "error")).withColumn("n_chars", F.length("text"))
+    whole = F.col("article_idx") == -1
+    watch = Observation()
+    rows = rows.observe(
+        watch,
+        F.count_if(whole).alias("records_total"),
+        F.count_if(whole & is_kept).alias("records_kept"),
+        F.count_if(whole & F.col("reason").isin(*relevance.DROPPED_REASONS)).alias("records_skipped"),
+        F.count_if(whole & F.col("error").isNotNull()).alias("records_unreadable"),
+    )
+    run = stored(rows, "run")
+    about = F.struct(F.col("record_id").alias("id"), F.col("law_title").alias("naziv"), "law_code", "reason", "error")
+    made = run.groupBy("record_pos").agg(F.max(F.when(whole, about)).alias("r"), F.count_if(~whole).alias("n_chunks"), F.max("n_chars").alias("longest"))
     fault = F.when(F.col("n_chunks") == 0, "no chunks").when(F.col("longest") > chunking.LONGEST_CHUNK, "chunk too long")
-    per_record = per_record.withColumn("error", fault)
-    good = made.join(per_record.filter("error is not null").select("record_pos"), "record_pos", "left_anti")
-    unreadable = seen.filter("error is not null").select("record_pos", "id", "naziv", "error")
-    quarantine = per_record.filter("error is not null").select("record_pos", "id", "naziv", "error").unionByName(unreadable)
+    each = made.select("record_pos", "r.*", "n_chunks", "longest").withColumn("kept", is_kept)
+    each = stored(each.withColumn("error", F.coalesce("error", F.when(F.col("kept"), fault))), "outcome")
+    faulty = each.filter("error is not null")
+    good = run.filter(~whole).join(faulty.select("record_pos"), "record_pos", "left_anti").select("record_pos", "article_idx", "part_idx", *CHUNK_COLUMNS)
     return Index(
         chunks=good,
-        quarantine=quarantine,
-        counters=reports.record_counters(seen, per_record),
-        filter_reasons=reports.counts(seen.filter("reason is not null"), F.col("reason"), "reason"),
-        records_by_law=reports.counts(kept, F.col("law_code"), "law_code"),
+        quarantine=faulty.select("record_pos", "id", "naziv", "error"),
+        counters=reports.record_counters(each.filter("kept"), watch.get),
+        filter_reasons=reports.counts(each.filter("reason is not null"), F.col("reason"), "reason"),
+        records_by_law=reports.counts(each.filter("kept"), F.col("law_code"), "law_code"),
         chunks_by_law=reports.counts(good, F.col("law_code"), "law_code"),
         tag_counts=reports.tag_counts(good),
     )

@@ -1,102 +1,64 @@
-"""Plain restatements of segmentation and chunking, written from the survey, to compare with."""
+"""Properties that cut and packed texts have, whatever way they were made, and a tidy form to compare with."""
 
 import re
 
-W = re.compile
 
-
-def norm(t):
+def tidy(t):
     t = re.sub(r"\r\n?", "\n", t)
-    t = re.sub(r"[  \t]+", " ", t)
+    t = re.sub("[\u00a0 \t]+", " ", t)
     return re.sub(r"\n\n\n+", "\n\n", t).strip()
 
 
-def long_parts(text, most):
-    text = norm(text)
-    if len(text) <= most:
-        return [text]
-    stops = {m.end() for m in W(r"[;:]\s+|(?<!\d)\.\s+|\n+").finditer(text)}
-    parts, i = [], 0
-    while i < len(text):
-        window = range(min(i + most, len(text)), i + most // 2 - 1, -1)
-        j = next((k for k in window if k in stops), None)
-        if j is None:
-            j = min(i + most, len(text))
-            if j < len(text):
-                blanks = [k for k in range(i + most // 2, j) if text[k] == " " and k > i]
-                j = blanks[-1] if blanks else j
-        parts.append(text[i:j].strip())
-        if j >= len(text):
-            break
-        i = max(j, i + 1)
-    return [p for p in parts if p]
+def solid(t):
+    return "".join(t.split())
 
 
-def packed(units, most):
-    groups, out = [[]], []
-    for u in (norm(u) for u in units):
-        if not u:
-            continue
-        if len(u) > most:
-            groups += [[u], []]
-        elif groups[-1] and len("\n".join([*groups[-1], u])) > most:
-            groups.append([u])
-        else:
-            groups[-1].append(u)
-    for g in groups:
-        if len(g) == 1 and len(g[0]) > most:
-            out += long_parts(g[0], most)
-        elif g:
-            out.append(norm("\n".join(g)))
-    return out
+#: What may stand at the end of a part that was cut at a break, as seen with the white space that follows.
+BREAK_BEFORE = re.compile(r"(?:[;:]\s+|(?<!\d)\.\s+|\n+)\Z")
 
 
-def acts(text, profile):
-    """(number, label, heading, body, chapter) of each article, line by line and from the survey's words."""
-    starts = {}
-    for group in (profile.articles, profile.roman_articles):
-        for pattern in reversed(group):
-            starts |= {m.start(): (m.end(), m[1]) for m in W(pattern, re.M | re.I).finditer(text)}
-        if starts:
-            break
-    chapters = sorted((m.start(), k, m[0].strip()) for k, p in enumerate(profile.chapters) for m in W(p).finditer(text))
-    structural = [W(p) for p in (*profile.chapters, profile.numbered_heading)]
-    order, out = sorted(starts), []
-    for start, end in zip(order, order[1:] + [len(text)]):
-        stop, number = starts[start]
-        block = text[start:end].strip()
-        if not block:
+def check_parts(text, parts, most):
+    """Parts hold all of the text, none is too long or blank, and each cut lies at the furthest break, else blank, that its window has."""
+    assert solid("".join(parts)) == solid(text)
+    if len(text) <= most:
+        assert parts == [text]
+        return
+    assert all(p == p.strip() and 0 < len(p) <= most for p in parts)
+    at = 0
+    for k, part in enumerate(parts):
+        lead = len(text[at:]) - len(text[at:].lstrip())
+        assert text[at + lead :].startswith(part)
+        end = at + lead + len(part)  # white space up to the next part belongs to the cut
+        rest = len(text) if k + 1 == len(parts) else end + len(text[end:]) - len(text[end:].lstrip())
+        high = min(at + most, len(text))
+        window = range(at + most // 2, high + 1)
+        breaks = [c for c in window if BREAK_BEFORE.search(text[:c]) and not (c < len(text) and BREAK_BEFORE.search(text[: c + 1]) and text[c].isspace())]
+        if breaks:
+            assert end <= breaks[-1] <= rest, (text, parts, k)
+            at = breaks[-1]
             continue
-        first = block.splitlines()[0].strip()
-        forward = first.lower().startswith("člen ")
-        body = (block if forward and len(first.split()) > 2 else text[stop:end]).strip()
-        own = [x.strip() for x in body.splitlines() if x.strip()]
-        heading = own[0][1:-1].strip() if own and W(r"\(.+\)").fullmatch(own[0]) else None
-        own = [x for x in own[heading is not None :] if not any(rx.fullmatch(x) for rx in structural)]
-        chapter = next((label for at, _, label in reversed(chapters) if at <= start), None)
-        out.append((number, f"Člen {number}" if forward else f"{number}. člen", heading, norm("\n".join(own)), chapter))
-    return out
+        blanks = [c for c in window if at < c < high and text[c] == " "]
+        cut = blanks[-1] if blanks and high < len(text) else high
+        assert end <= cut <= max(rest, cut if cut == len(text) else rest), (text, parts, k)
+        at = cut
 
 
-def body_parts(body, most, profile):
-    """Parts of a tidy article body: by inner articles, paragraphs or list items, else by length."""
-
-    def pieces(pattern):
-        at = [m.start() for m in W(pattern).finditer(body)] + [len(body)]
-        return body[: at[0]].strip(), [norm(body[a:b]) for a, b in zip(at, at[1:])]
-
-    if len(body) <= most:
-        return [body]
-    head, parts = pieces(profile.internal_article)
-    found = [p for p in [head, *parts] if p] if len(parts) > 1 else []
-    if not found:
-        parts = [p for p in pieces(profile.paragraph)[1] if p]
-        found = parts if len(parts) > 1 else []
-    if not found:
-        for pattern in (profile.numbered_item, profile.lettered_item):
-            head, parts = pieces(pattern)
-            if parts:
-                parts[0] = norm(f"{head}\n{parts[0]}") if head else parts[0]
-                found = parts if sum(p != "" for p in parts) > 1 else []
-                break
-    return packed(found, most) if len(found) > 1 else long_parts(body, most)
+def check_packs(units, parts, most):
+    """Whole units joined by line feeds, in order; no two neighbours would have fitted; long units stand alone, cut."""
+    left, fitting = [u for u in map(tidy, units) if u], []
+    parts = list(parts)
+    while left:
+        if len(left[0]) > most:
+            own, seen = [], ""
+            while seen != solid(left[0]):
+                own.append(parts.pop(0))
+                seen += solid(own[-1])
+            check_parts(left.pop(0), own, most)
+            fitting = []
+            continue
+        taken, size = [], -1
+        while left and len(left[0]) <= most and size + 1 + len(left[0]) <= most:
+            size += 1 + len(left[0])
+            taken.append(left.pop(0))
+        assert parts.pop(0) == "\n".join(taken)
+    assert not parts and not fitting

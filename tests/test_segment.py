@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from plain import acts, body_parts, long_parts, norm, packed
+from plain import check_packs, check_parts, solid, tidy
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -53,17 +53,45 @@ def test_headings_of_two_patterns_that_overlap(read):
     assert [(x["article_number"], x["article_label"], x["article_body"]) for x in a] == [("1", "1. člen", ""), ("5", "Člen 5", "x")]
 
 
+def test_one_block_of_each_kind(read):
+    """Every kind of line once, with what comes of it."""
+    a = read("PRVI DEL\nuvod\n 1. člen \r\n(Namen)\r\n\r\nprvo\r\nČlen 2 je nov\ndrugo\nI. SPLOŠNE DOLOČBE\n3. člen ostane\n1. Dobiček je razlika\n(a) b (c)\ntretje\x85konec\n12\nčlen 9\nx")
+    keys = ("article_number", "article_label", "article_heading", "article_body", "chapter")
+    assert [tuple(x[k] for k in keys) for x in a] == [
+        ("1", "1. člen", "Namen", "prvo", "PRVI DEL"),
+        ("2", "Člen 2", None, "Člen 2 je nov\ndrugo", "PRVI DEL"),
+        ("3", "3. člen", None, "ostane\n(a) b (c)\ntretje\nkonec\n12", "I. SPLOŠNE DOLOČBE"),
+        ("9", "Člen 9", None, "x", "I. SPLOŠNE DOLOČBE"),
+    ]
+
+
+def test_three_kinds_of_chapters_and_roman_articles(read):
+    a = read("I. SPLOŠNE DOLOČBE\nI. člen\na\nII. DEL, 2/3\nii. člen\nb\n3. Oddelek o davkih\nIII. člen\nc\ndrugi del\nIV. člen\nd")
+    assert [(x["article_number"], x["chapter"], x["article_body"]) for x in a] == [("I", "I. SPLOŠNE DOLOČBE", "a"), ("ii", "II. DEL, 2/3", "b"), ("III", "3. Oddelek o davkih", "c"), ("IV", "drugi del", "d")]
+
+
 PIECES = ["1. člen", "2. ČLEN", "Člen 3", "Člen 4 je nov", "IV. člen", "(Namen)", "(a) b (c)", "I. SPLOŠNE DOLOČBE", "2. poglavje o davkih", "PRVI DEL", "1. Dobiček je razlika", "besedilo odstavka.", "", "  ", "12", "člen", "\x85"]
+STRUCTURAL = {"I. SPLOŠNE DOLOČBE", "2. poglavje o davkih", "PRVI DEL", "1. Dobiček je razlika"}
 
 
-def test_random_acts_equal_the_plain_version(spark):
+def test_random_acts_keep_their_lines(spark):
+    """Starts rise, numbers are those of the headings, bodies hold lines of the act but no structural one, chapters stand before."""
     rng = random.Random(11)
     texts = [rng.choice(["", "\n", " "]) + rng.choice(["\n", "\r\n"]).join(rng.choices(PIECES, k=rng.randint(0, 14))) for _ in range(400)] + [None, ""]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "pos int, t string").repartition(4)
     got: dict = {}
     for r in segment.articles(df, "t", P).orderBy("pos", "article_idx").collect():
-        got.setdefault(r["pos"], []).append((r["article_number"], r["article_label"], r["article_heading"], r["article_body"], r["chapter"]))
-    assert {k: v for k, t in enumerate(texts) if (v := acts(t or "", P))} == got
+        got.setdefault(r["pos"], []).append(r)
+    for k, text in enumerate(texts):
+        rows, held = got.get(k, []), [x.strip() for x in (text or "").splitlines()]
+        arabic = any(x in ("1. člen", "2. ČLEN", "Člen 3", "Člen 4 je nov") for x in held)
+        numbers = {"1. člen": "1", "2. ČLEN": "2", "Člen 3": "3", "Člen 4 je nov": "4"} if arabic else {"IV. člen": "IV"}
+        if "člen" not in held and "\x85" not in (text or ""):  # that line may make a heading with its neighbours
+            assert [r["article_number"] for r in rows] == [numbers[x] for x in held if x in numbers], text
+        assert [r["article_start"] for r in rows] == sorted({r["article_start"] for r in rows})
+        for r in rows if "člen" not in held else []:
+            assert not STRUCTURAL & set(r["article_body"].splitlines()) and set(r["article_body"].splitlines()) <= {*held, ""}
+            assert r["chapter"] is None or solid(r["chapter"]) in solid(text[: r["article_start"]])
 
 
 def test_structural_lines_and_heading_misfire(read):
@@ -94,11 +122,13 @@ def test_body_parts(spark):
         "short",
         "",
     ]
-    bodies = [norm(b) for b in bodies]
+    bodies = [tidy(b) for b in bodies]
     got = parts_of(spark, lambda c: chunking.split_body(c, 100, P), bodies)
     assert got[0][0].startswith("(1)") and got[1] == ["uvod:\n1. " + "a" * 60, "2. " + "b" * 60] and got[2][1].startswith("b)")
     assert got[3][0].startswith("head") and any(p.startswith("Article II") for p in got[3]) and got[4:] == [["short"], [""]]
-    assert got == [body_parts(b, 100, P) for b in bodies] and all(len(x) <= 100 for p in got for x in p)
+    assert [len(p) for p in got] == [2, 2, 2, 3, 1, 1] and all(len(x) <= 100 for p in got for x in p)
+    assert solid("".join(got[0])) == solid(bodies[0][bodies[0].index("(1)") :])  # paragraphs lose what stands before them
+    assert all(solid("".join(p)) == solid(b) for p, b in zip(got[1:], bodies[1:]))
 
 
 def random_texts(seed, n, pieces, most):
@@ -110,26 +140,60 @@ LETTERS = list("ab .;:\n1 \tč(") + ["aaaaaaaa", ". ", "bbbb ", "😀"]
 
 
 @pytest.mark.parametrize("most", [10, 30, 61])
-def test_long_split_equals_the_plain_version(spark, most):
-    texts = [norm(t) for t in random_texts(most, 400, LETTERS, 120)] + ["x" * 250, "a" * 60 + ". " + "b" * 45 + ". " + "c" * 20]
+def test_cuts_lie_where_they_should(spark, most):
+    texts = [tidy(t) for t in random_texts(most, 400, LETTERS, 120)] + ["x" * 250, "a" * 60 + ". " + "b" * 45 + ". " + "c" * 20]
     got = parts_of(spark, lambda c: chunking.split_long(c, most), texts)
     for text, parts in zip(texts, got):
-        assert parts == [p for p in long_parts(text, most) if p or len(parts) == 1]
-        assert all(len(p) <= most for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
+        check_parts(text, parts, most)
+
+
+def test_cuts_by_hand(spark):
+    texts = ["aaaa bbbb cccc dddd", "aaaaaaa. bb; cc ddd", "a. 1. bbbbbbbbbbbbbb", "abcdefghijklmnopqrstu", "aaaaaa\nbbbbbb", "aaa;\n\nbbbbbbbbbbb", None]
+    assert parts_of(spark, lambda c: chunking.split_long(c, 10), texts) == [
+        ["aaaa bbbb", "cccc dddd"],
+        ["aaaaaaa.", "bb; cc ddd"],
+        ["a. 1.", "bbbbbbbbb", "bbbbb"],
+        ["abcdefghij", "klmnopqrst", "u"],
+        ["aaaaaa", "bbbbbb"],
+        ["aaa;", "bbbbbbbbbb", "b"],
+        None,
+    ]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (1, 1, 4):
+        df = spark.createDataFrame([("Stavek je tu. " * (27_000 * n),)], "t string")
+        start = time.time()
+        parts = df.select(chunking.split_long(F.col("t"), 1500).alias("p")).first()["p"]
+        took.append(time.time() - start)
+    assert len(parts) > 1000 and took[2] < 3 + 6 * took[1]
 
 
 @pytest.mark.parametrize("most", [20, 61])
-def test_packing_equals_the_plain_version(spark, most):
+def test_packs_are_whole_and_full(spark, most):
     rng = random.Random(most)
     lists = [random_texts(rng.random(), rng.randint(0, 8), LETTERS, 40) for _ in range(300)]
-    assert parts_of(spark, lambda c: chunking.pack(c, most), lists, "array<string>") == [packed(u, most) for u in lists]
+    for units, parts in zip(lists, parts_of(spark, lambda c: chunking.pack(c, most), lists, "array<string>")):
+        check_packs(units, parts, most)
 
 
-def test_random_bodies_equal_the_plain_version(spark):
+def test_random_bodies_fit_and_begin_at_markers(spark):
     lines = ["(1) prvi odstavek", "(2) drugi je daljši od prvega", "1. točka", "2) točka z besedilom", "a) alineja", "č) še ena", "Article 3", "IV. člen – naslov", "navadno besedilo brez oznak.", "", "uvod:"]
     rng = random.Random(9)
-    bodies = [norm("\n".join(rng.choices(lines, k=rng.randint(0, 12)))) for _ in range(400)]
-    assert parts_of(spark, lambda c: chunking.split_body(c, 60, P), bodies) == [body_parts(b, 60, P) for b in bodies]
+    bodies = [tidy("\n".join(rng.choices(lines, k=rng.randint(0, 12)))) for _ in range(400)]
+    for body, parts in zip(bodies, parts_of(spark, lambda c: chunking.split_body(c, 60, P), bodies)):
+        assert all(len(p) <= 60 for p in parts)
+        if len(body) <= 60:
+            assert parts == [body]
+        elif (inner := sum(x in ("Article 3", "IV. člen – naslov") for x in body.splitlines())) > 1:
+            assert solid("".join(parts)) == solid(body)
+        elif sum(x.startswith("(") for x in body.splitlines()) > 1:
+            assert parts[0].startswith("(") and solid("".join(parts)) == solid(body[body.index("(") :]), inner
+        else:
+            assert solid("".join(parts)) == solid(body)
 
 
 def test_spans_equal_finditer(spark):
@@ -177,3 +241,39 @@ def test_index_flow(spark):
     assert {r["reason"] for r in strict.filter_reasons.collect()} == {"whitelist", "not_in_whitelist"}
     every = build_index(df, strategy="all-laws")
     assert every.quarantine.count() == 0 and every.counters.first()["records_with_chunks"] == 5
+
+
+def test_needles_in_one_pass(spark):
+    """Hits count different keywords; a thousand needles cost little more than ten."""
+    import time
+
+    from quillspark.functions import needles
+
+    rows = ["Davek in davčni organ", "xDAVEKx", "nič", "", None]
+    hits = parts_of(spark, lambda c: T.keyword_hits(c, ["davek", "DAVEK", "davčni", "organ", ""]), rows)
+    assert hits == [5, 3, 1, 1, None]
+    assert parts_of(spark, lambda c: needles.groups_found(c, {"b": ("davek", "x"), "a": ("ORGAN",), "c": ()}), rows) == [["a", "b"], ["b"], [], [], None]
+    texts = spark.createDataFrame([(" ".join(f"beseda{(i * 7919 + j) % 997}" for j in range(300)),) for i in range(3000)], "t string").repartition(4).cache()
+    took = {}
+    for n in (10, 1000, 10, 1000):
+        start = time.time()
+        texts.select(F.sum(T.keyword_hits(F.col("t"), [f"beseda{k}x" for k in range(n)]))).collect()
+        took[n] = time.time() - start
+    assert took[1000] < 2 * took[10] + 0.5
+
+
+def test_indexing_reads_the_records_once(spark):
+    from quillspark.plans.index import build_index
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    df = records(spark, ["1. člen\ndavek", "nič", "2. člen\nx"])
+    made = build_index(df.mapInArrow(counted, df.schema))
+    for part in (made.chunks, made.quarantine, made.counters, made.filter_reasons, made.records_by_law, made.chunks_by_law, made.tag_counts):
+        part.collect()
+    assert reads.value == 3
