@@ -54,6 +54,8 @@ NEUTRAL_WORDS = frozenset(
     "content body text inner outer wrap wrapper container box block bar area section panel region row col column group list item items link links icon icons button buttons btn "
     "title form field unit slot zone frame this more also sticky fixed float small large mobile desktop you us by of on for the to and".split()
 )
+#: Of those, words that tell such a part beside any other word, if it holds the smaller share of the text (fixed list).
+TELLING_WORDS = frozenset("comment comments commentlist disqus cookie cookies gdpr consent newsletter subscribe signup paywall adsense advertisement sponsored breadcrumb breadcrumbs pagination".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names that say what an element has or lacks, not what it is.
 _ABOUT = re.compile(r"(?:has|have|with|without|no|not|is|hide|show)[-_]", re.I)
@@ -69,22 +71,50 @@ def _holds_article(node: Node) -> bool:
     return any(isinstance(c, Node) and (c.tag in ("article", "main") or _holds_article(c)) for c in node.children)
 
 
-def is_boilerplate(node: Node, inside: bool) -> bool:
-    """By tag, role, class and id; ``inside`` an article its own header counts as content."""
-    if node.tag in DROPPED_TAGS and not node.plain or node.tag == "header" and not inside and not _holds_article(node):
-        return True
+class Whole:
+    """The element that a part is judged within, with the size of its text once that is asked for."""
+
+    __slots__ = ("node", "_size")
+
+    def __init__(self, node: Node) -> None:
+        self.node, self._size = node, -1
+
+    @property
+    def size(self) -> int:
+        if self._size < 0:
+            self._size = _length(self.node)
+        return self._size
+
+
+def _length(node: Node) -> int:
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.tag in ("script", "style", "head") else _length(c) for c in node.children)
+
+
+def is_boilerplate(node: Node, inside: bool, whole: Whole | None = None, lenient: bool = False) -> bool:
+    """By tag, role, class and id; ``inside`` an article its own header counts as content. ``lenient`` lets be what holds an article."""
+    if node.tag in DROPPED_TAGS and not node.plain or node.tag == "header" and not inside:
+        return not (lenient and node.tag in ("header", "aside") and _holds_article(node))
     if node.tag in ("html", "body", "#root", "main") or not node.raw:
         return False
     a = node.attrs
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    if a.get("role", "").lower() in DROPPED_ROLES and not _holds_article(node):
-        return True
+    if a.get("role", "").lower() in DROPPED_ROLES:
+        return not (lenient and _holds_article(node))
     names = [x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not _ABOUT.match(x)]
     if node.tag == "article":  # an article is what one of its whole names says
-        return any(x.lower() in DROPPED_WORDS or x.lower().startswith("comment") for x in names)
+        return any(x.lower() in DROPPED_WORDS and not lenient or x.lower().startswith("comment") for x in names)
     dropped = DROPPED_WORDS if inside else DROPPED_WORDS | {"header"}
-    return any(_names(x, dropped) for x in names) and not _holds_article(node)
+    if any(_names(x, dropped) for x in names):
+        return not (lenient and _holds_article(node))
+    if whole is not None and any(_tells_of(x) for x in names):
+        return 2 * _length(node) < whole.size and not (lenient and _holds_article(node))
+    return False
+
+
+@lru_cache(maxsize=8192)
+def _tells_of(name: str) -> bool:
+    return any(w.lower() in TELLING_WORDS for w in _WORDS.findall(name))
 
 
 @lru_cache(maxsize=8192)
@@ -102,6 +132,7 @@ def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list
     out: list[str] = []
     line: list[str] = []
     varies = False
+    whole = Whole(node)
 
     def flush() -> None:
         nonlocal varies
@@ -119,7 +150,7 @@ def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list
                 line.append(html.unescape(c) if "&" in c else c)
                 varies = varies or n.mark != "template" and not c.isspace()
                 continue
-            if is_boilerplate(c, inside):
+            if is_boilerplate(c, inside, whole):
                 if c.tag in BLOCK:
                     flush()
                 continue
@@ -136,39 +167,47 @@ def blocks_of(node: Node, inside: bool = False, use_marks: bool = False) -> list
 
 
 class Slot:
-    """A node of a condensed tree or template: label, constant texts (of a template), children, nodes (of a page)."""
+    """A node of a condensed tree or template: label, constant texts (of a template), children, nodes (of a page).
 
-    __slots__ = ("label", "texts", "children", "nodes")
+    ``seen`` counts the pages that have the node, ``missed`` bounds those that had it before it was last pruned.
+    """
+
+    __slots__ = ("label", "texts", "children", "nodes", "seen", "missed")
 
-    def __init__(self, label: str, texts: set[int] | None = None, children: list | None = None, nodes: list | None = None) -> None:
-        self.label, self.texts, self.children, self.nodes = label, texts or set(), children or [], nodes or []
+    def __init__(self, label: str, texts: set[int] | None = None, children: list | None = None, nodes: list | None = None, seen: int = 1, missed: int = 0) -> None:
+        self.label, self.texts, self.children, self.nodes, self.seen, self.missed = label, texts or set(), children or [], nodes or [], seen, missed
 
     def dump(self) -> list:
-        return [self.label, sorted(self.texts), [c.dump() for c in self.children]]
+        return [self.label, sorted(self.texts), [c.dump() for c in self.children], self.seen, self.missed]
 
     @classmethod
     def load(cls, x: list) -> Slot:
-        return cls(x[0], set(x[1]), [cls.load(c) for c in x[2]])
+        return cls(x[0], set(x[1]), [cls.load(c) for c in x[2]], None, x[3], x[4])
 
 
-def matching(a: Slot, b: Slot) -> int:
+def matching(a: Slot, b: Slot, known: dict | None = None) -> int:
     """Simple tree matching: the most node pairs of two trees that keep labels, order and ancestry."""
-    return 0 if a.label != b.label else 1 + _align(a.children, b.children)[0]
+    return 0 if a.label != b.label else 1 + _align(a.children, b.children, {} if known is None else known)[0]
+
+
+def _align(a: list[Slot], b: list[Slot], known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The best order-keeping pairing of two child lists, and its weight; ``known`` keeps it for whoever asks again."""
+    if not a or not b:
+        return 0, []
+    key = id(a), id(b)
+    if key not in known:
+        known[key] = _aligned_lists(a, b, known)
+    return known[key]
 
 
-def _align(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
-    """The best order-keeping pairing of two child lists, and its weight."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head].label == b[head].label and (len(a) == len(b)):
-        head += 1
-    if head == len(a) == len(b):  # same labels throughout: pairing all in order is best
-        return sum(matching(x, y) for x, y in zip(a, b)), [(i, i) for i in range(len(a))]
+def _aligned_lists(a: list[Slot], b: list[Slot], known: dict) -> tuple[int, list[tuple[int, int]]]:
+    if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b)):  # pairing all in order is best
+        return sum(matching(x, y, known) for x, y in zip(a, b)), [(i, i) for i in range(len(a))]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    weight = {}
     for i, x in enumerate(a):
+        row, above = best[i + 1], best[i]
         for j, y in enumerate(b):
-            w = weight[i, j] = matching(x, y)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+            row[j + 1] = max(above[j + 1], row[j], above[j] + matching(x, y, known) if x.label == y.label else 0)
     pairs, i, j = [], len(a), len(b)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -181,15 +220,50 @@ def _align(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1], pairs[::-1]
 
 
-def merge(a: Slot, b: Slot) -> Slot:
-    """Two aligned trees as one; children without partner stay, in order."""
+def merge(a: Slot, b: Slot, known: dict | None = None, one_page: bool = False, late: tuple[int, int] = (0, 0)) -> Slot:
+    """Two aligned trees as one; children without partner stay, in order. Parts of ``one_page`` count it once.
+
+    ``late`` says how often nodes of a alone, and of b alone, may have been on pages of the other side that forgot them.
+    """
+    known = {} if known is None else known
     children, i, j = [], 0, 0
-    for x, y in _align(a.children, b.children)[1] + [(len(a.children), len(b.children))]:
-        children += a.children[i:x] + b.children[j:y]
+    for x, y in _align(a.children, b.children, known)[1] + [(len(a.children), len(b.children))]:
+        children += [_late(c, late[0]) for c in a.children[i:x]] + [_late(c, late[1]) for c in b.children[j:y]]
         if x < len(a.children):
-            children.append(merge(a.children[x], b.children[y]))
+            children.append(merge(a.children[x], b.children[y], known, one_page, late))
         i, j = x + 1, y + 1
-    return Slot(a.label, None, children, a.nodes + b.nodes)
+    return Slot(a.label, None, children, a.nodes + b.nodes, 1 if one_page else a.seen + b.seen, a.missed + b.missed)
+
+
+def _late(node: Slot, pages: int) -> Slot:
+    if pages:
+        node.missed += pages
+        for c in node.children:
+            _late(c, pages)
+    return node
+
+
+#: Nodes that are on fewer than this share of a host's pages leave its template while it grows.
+PRUNED_SHARE = 0.05
+
+
+def grown(template: Slot, other: Slot) -> Slot:
+    """A template with a page or another template merged into it, without nodes that are on few pages.
+
+    A count is off by at most PRUNED_SHARE of the pages before the node last came in, so a node on more than that share
+    of all pages always stays, and one that is not seen again soon goes: however many different nodes
+    the pages have, 1 / PRUNED_SHARE times those of a page are held at most, and those of the last pages.
+    """
+    pages = template.seen + other.seen
+    out = merge(template, other, None, False, (int(PRUNED_SHARE * other.seen) if other.seen > 1 else 0, int(PRUNED_SHARE * template.seen)))
+    _prune(out, PRUNED_SHARE * pages)
+    return out
+
+
+def _prune(node: Slot, least: float) -> None:
+    node.children = [c for c in node.children if c.seen + c.missed >= least]
+    for c in node.children:
+        _prune(c, least)
 
 
 def _label(node: Node) -> str:
@@ -199,7 +273,9 @@ def _label(node: Node) -> str:
 @lru_cache(maxsize=8192)
 def _labelled(tag: str, raw: str) -> str:
     a = attributes(raw)
-    name = re.sub(r"\d+", "", f"{a.get('class', '')}#{a.get('id', '')}")
+    # Words with digits inside are generated names; those at the end of a word are numbers.
+    kept = lambda x: " ".join(re.sub(r"\d+$", "", w) for w in x.split() if not re.search(r"\d[^\d]", w))
+    name = f"{kept(a.get('class', ''))}#{kept(a.get('id', ''))}"
     return f"{tag}.{name}" if name != "#" else tag
 
 
@@ -216,18 +292,19 @@ def condense(node: Node) -> Slot:
         if isinstance(c, Node) and c.tag not in ("script", "style", "head"):
             s = condense(c)
             if children and children[-1].label == s.label:
-                children[-1] = merge(children[-1], s)
+                children[-1] = merge(children[-1], s, one_page=True)
             else:
                 children.append(s)
     return Slot(_label(node), None, children, [node])
 
 
-def aligned(page: Slot, template: Slot) -> Iterator[tuple[Slot, Slot]]:
+def aligned(page: Slot, template: Slot, known: dict | None = None) -> Iterator[tuple[Slot, Slot]]:
     """Pairs of page and template nodes."""
+    known = {} if known is None else known
     if page.label == template.label:
         yield page, template
-        for i, j in _align(page.children, template.children)[1]:
-            yield from aligned(page.children[i], template.children[j])
+        for i, j in _align(page.children, template.children, known)[1]:
+            yield from aligned(page.children[i], template.children[j], known)
 
 
 def mark(page: Slot, template: Slot) -> None:
@@ -254,13 +331,14 @@ def numbered(template: Slot) -> list[Slot]:
     return out
 
 
-def _containers(node: Node) -> list[Node]:
-    """Topmost articles, else mains, that are not boilerplate themselves."""
+def _containers(node: Node, lenient: bool = False) -> list[Node]:
+    """Topmost articles, else mains, that are not boilerplate themselves nor stand in it; ``lenient`` also those that do, but for comments."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
+    whole = Whole(node)
 
     def walk(n: Node, above: frozenset) -> None:
         for c in n.children:
-            if not isinstance(c, Node) or is_boilerplate(c, False) and not _holds_article(c):
+            if not isinstance(c, Node) or is_boilerplate(c, False, whole, lenient):
                 continue
             tag = "article" if c.tag == "article" or c.attrs.get("itemprop", "").lower() == "articlebody" else "main" if c.tag == "main" or c.attrs.get("role", "").lower() == "main" else ""
             if tag and tag not in above:
@@ -278,6 +356,8 @@ def _size(blocks: list[str]) -> int:
 def main_text(root: Node, has_template: bool) -> str:
     """The text of a marked page; without a template to tell, the smallest element that holds most of the text is taken."""
     found = _containers(root)
+    if not found and (hidden := _containers(root, lenient=True)):  # all stand in parts named like boilerplate: what the page is about, if they say more than the rest
+        found = hidden if _size([x for c in hidden for x in blocks_of(c, inside=True)]) > _size(blocks_of(root)) else []
     held = [x for c in found for x in blocks_of(c, inside=True)]
     if held:
         varying = [x for c in found for x in blocks_of(c, inside=True, use_marks=True)]
@@ -288,7 +368,7 @@ def main_text(root: Node, has_template: bool) -> str:
     while whole and not has_template:
         down = None
         for c in node.children:
-            if isinstance(c, Node) and c.tag in BLOCK and not is_boilerplate(c, False):
+            if isinstance(c, Node) and c.tag in BLOCK and not is_boilerplate(c, False, Whole(node)):
                 b = blocks_of(c, use_marks=True)
                 if _size(b) >= MAIN_SHARE * whole and any(isinstance(x, Node) and x.tag in BLOCK for x in c.children):
                     down = c, b
@@ -340,7 +420,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             tree, host = condense(parse(text, is_apart)), host_of(url)
-            held[host] = _bare(merge(held[host], tree) if host in held else tree)
+            held[host] = _bare(grown(held[host], tree) if host in held else tree)
             if len(held) >= HOSTS_HELD:
                 yield _handed(held)
                 held = {}
@@ -366,7 +446,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             own = Slot.load(json.loads(t))
             if h == host:
-                total = merge(total, own)
+                total = grown(total, own)
                 continue
             if host is not None:
                 done[host] = total
@@ -466,7 +546,7 @@ def learned(pages: list[str]) -> Slot:
     trees = [condense(parse(p, is_apart)) for p in pages]
     template = trees[0]
     for t in trees[1:]:
-        template = merge(template, t)
+        template = grown(template, t)
     seen: dict[int, Counter] = {id(node): Counter() for node in numbered(_bare(template))}
     for p in pages:
         for node, texts in texts_of(condense(parse(p, is_apart)), template):

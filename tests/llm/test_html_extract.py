@@ -155,3 +155,69 @@ def test_text_other_than_the_constant_one_stays():
     lead = "A long lead that stands on this page alone and tells what happened"
     assert op.extract(make(99, lead), tree) == f"{lead}\nT 99\nWords of 99.\nMore of 99."
     assert op.extract(make(99, "Nothing new today<b>but this</b>"), tree).startswith("Nothing new todaybut this")
+
+
+def test_an_article_is_never_lost_by_its_class():
+    assert text("<header>Site</header><article class='news alert'><h1>T</h1><p>The whole story.</p></article><footer>x</footer>") == "T\nThe whole story."
+    assert text("<aside class='sidebar'><p>s</p></aside><div class='sidebar content'><article><p>The whole story stands here.</p></article></div>") == "The whole story stands here."
+
+
+def test_articles_in_other_parts_are_not_the_page_s():
+    own = "<article><h1>T</h1><p>Own text.</p></article>"
+    for other in ("<aside><article><p>Foreign and much longer than the own text.</p></article></aside>", "<section class='related'><article><h2>Teaser</h2></article></section>", "<section id='comments'><article><p>I disagree.</p></article></section>", "<div role='complementary'><article>x</article></div>"):
+        assert text(own + other) == text(other + own) == "T\nOwn text."
+
+
+def test_telling_words_beside_others():
+    for name in ("reader-comments", "comment-thread", "disqus_thread", "cookie-message", "newsletter-cta", "js-cookieBar"):
+        assert text(f"<article><p>Own text of some length.</p><div class='{name}'><p>x</p></div></article>") == "Own text of some length."
+    assert text("<article><div class='cookie-kitchen'><p>Butter, sugar and flour.</p></div><p>Bake.</p></article>") == "Butter, sugar and flour.\nBake."
+
+
+def brute_matching(a, b):
+    """The most pairs, by trying every order-keeping choice of children."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), brute_matching(x[0], y[0]) + best(x[1:], y[1:]) if x[0].label == y[0].label else 0)
+
+    return 1 + best(a.children, b.children)
+
+
+def test_matching_equals_brute_force():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return op.Slot(rng.choice("ab"), None, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        assert op.matching(a, b) == brute_matching(a, b)
+
+
+def test_a_host_of_generated_layouts_stays_small():
+    """However many different blocks come and go, the template keeps what is common and little else."""
+    import time
+
+    def layout(k):
+        rng = random.Random(k)
+        blocks = "".join(f"<div class='{''.join(rng.choices('bcdfghjklm', k=9))}'><p>w{k}</p></div>" for _ in range(10))
+        return page(f"<div class='head'><p>Site</p></div>{blocks}<div class='foot'><p>Rights</p></div>")
+
+    def nodes(t):
+        return 1 + sum(map(nodes, t.children))
+
+    took, sizes, template = [], [], None
+    for k in range(1200):
+        start = time.process_time()
+        tree = op._bare(op.condense(op.parse(layout(k), op.is_apart)))
+        template = op.grown(template, tree) if template else tree
+        took.append(time.process_time() - start)
+        sizes.append(nodes(template))
+    assert max(sizes) < 40 * 30 and sizes[-1] < 1.5 * max(sizes[:400])
+    assert sum(took[-300:]) < 3 * sum(took[300:600]) + 0.5
+    labels = [c.label for c in op.numbered(template)]
+    assert "div.head" in " ".join(labels) and "div.foot" in " ".join(labels)
