@@ -8,6 +8,7 @@ articles, titles and chapters before their lines. ``CORPUS`` holds words of thes
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging
-from quillspark.plans import evaluate, index
+from quillspark.plans import evaluate, index, journal
 from quillspark.profiles import SLOVENIAN_LAW
+from quillspark.sources import store
 from quillspark.sources.readers import spread
+from quillspark.streaming import history
 
 CORPUS = replace(
     SLOVENIAN_LAW,
@@ -337,6 +340,38 @@ def retrieval_candidates(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.as_candidates(_top("cosine")(spark, d).join(texts, "chunk_pos"))
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{store.shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+
+
+def conversation_history_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations replayed as a stream in three batches; what each history is in the end, as lines. Every ninth turn but the first failed."""
+    folder = _own_folder(spark, "replay")
+    turns = table(spark, d, "conversations").withColumn("turn", F.col("turn").cast("int"))
+    failed = F.when((F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 9 == 0), "HTTP 500")
+    turns = turns.select("conv_id", "turn", "role", "text", failed.alias("error"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", history.PROVIDER)
+    try:
+        for part in ("turn < 2", "turn >= 2 and turn < 4", "turn >= 4"):  # each is met by a query of its own, which goes on from the checkpoint
+            turns.filter(part).write.mode("append").parquet(f"{folder}/in")
+            history.run_to_end(history.history_stream(spark.readStream.schema(history.TURN).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/mark")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    done = history.histories(spark.read.schema(history.KEPT).parquet(f"{folder}/out"))
+    return done.select("conv_id", F.size("history").alias("n_messages"), F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("messages"))
+
+
+def journaled_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's reply (its length, in place of a model) as a journal holds it; a second run over the same journal makes no call."""
+    path = _own_folder(spark, "journal")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("request"))
+    answer = lambda text: str(len(text))
+    journal.ask_all(asked.filter("item_id % 3 <> 0"), "id", "request", answer, path, buckets=8)
+    found, called = journal.ask_all(asked, "id", "request", answer, path, buckets=8)
+    return found.withColumn("called_again", F.lit(called).cast("long"))
+
+
 QUERIES = {
     "vec_topk_inner_product": _top("ip"),
     "vec_topk_cosine": _top("cosine"),
@@ -382,6 +417,8 @@ QUERIES = {
         prediction_table,
         most_common_laws,
         retrieval_candidates,
+        conversation_history_stream,
+        journaled_replies,
     )
 }
 
@@ -586,6 +623,9 @@ ORACLES = {
         h AS (SELECT c.conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations c JOIN last USING (conv_id) WHERE turn < t AND (role <> 'assistant' OR text <> '') GROUP BY c.conv_id)
         SELECT conv_id, (3 + coalesce(n, 0))::INTEGER AS n_messages, 'system: Bodi natančen.' || chr(10) || coalesce(said || chr(10), '') || 'system: Brez virov.' || chr(10) || 'user: ' || substr(replace({_strip_sql("question")}, 'passage:', ''), 1, 800) AS messages
         FROM last LEFT JOIN h USING (conv_id)""",
+    "conversation_history_stream": """SELECT conv_id, count(*)::INTEGER AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations
+        WHERE (turn = 0 OR (conv_id + turn) % 9 <> 0) AND (role <> 'assistant' OR text <> '') GROUP BY conv_id""",
+    "journaled_replies": "SELECT item_id::VARCHAR AS id, length(text)::VARCHAR AS reply, NULL::VARCHAR AS call_error, (SELECT count(*) FROM benchmark WHERE item_id % 3 = 0) AS called_again FROM benchmark",
     "answer_stats": r"""WITH a AS (SELECT text, lower(text) AS l, list_filter(regexp_split_to_array(text, '[\s\x0B\x{85}\x{A0}]+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant')
         SELECT count(*) AS total, count(*) FILTER (text <> '') AS with_answer, count(*) FILTER (text = '') AS without_answer, 0::BIGINT AS with_error,
             count(*) FILTER (contains(l, 'nicht ') OR contains(l, 'not ')) AS uncertain, count(*) FILTER (contains(l, 'the ') OR contains(l, 'der ') OR contains(l, 'que ')) AS names_source,

@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 from quillspark.operators import judging, ndcg
 
 
-def call_model(requests: DataFrame, column: str, client: Callable[[str], str], out: str = "reply", fail_fast: bool = False, tries: int = 1, wait: float = 1.0, at_once: int = 1) -> DataFrame:
-    """Adds the reply of ``client`` to each request and call_error, null where the call went well.
-
-    A call is tried ``tries`` times, after waits that double from ``wait`` seconds; a task has ``at_once`` calls open.
-    """
+def tried(client: Callable[[str], str], fail_fast: bool = False, tries: int = 1, wait: float = 1.0) -> Callable[[str], tuple[str | None, str | None]]:
+    """``client`` as a function that gives a reply or an error, after ``tries`` calls with waits that double from ``wait`` seconds."""
 
     def ask(text: str) -> tuple[str | None, str | None]:
         for left in reversed(range(tries)):
@@ -32,6 +29,16 @@ def call_model(requests: DataFrame, column: str, client: Callable[[str], str], o
                 else:
                     return None, f"{type(e).__name__}: {e}"
 
+    return ask
+
+
+def call_model(requests: DataFrame, column: str, client: Callable[[str], str], out: str = "reply", fail_fast: bool = False, tries: int = 1, wait: float = 1.0, at_once: int = 1) -> DataFrame:
+    """Adds the reply of ``client`` to each request and call_error, null where the call went well; see ``tried``.
+
+    A task has ``at_once`` calls open. Where a run is long or may break, ``journal.ask_all`` writes each reply as it comes.
+    """
+    ask = tried(client, fail_fast, tries, wait)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(at_once) as pool:
             for texts in batches:
