@@ -41,7 +41,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     known = F.col("id").isNotNull().cast("int")
     bounds = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
     low, high, depth = bounds["low"] or 0, bounds["high"] or 0, 1
-    while low >> (DIGIT_BITS * depth) != high >> (DIGIT_BITS * depth):
+    while depth * DIGIT_BITS < 64 and low >> (DIGIT_BITS * depth) != high >> (DIGIT_BITS * depth):
         depth += 1
     # Columns that key each level of the trie, finest first; each is found from the one before.
     levels = [["g", "known", "p"]] * depth
@@ -69,7 +69,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
         parents = before.withColumnRenamed("p", "up")
         before = up.join(parents, over).select(*names, (F.col("first") + F.col("_own")).alias("first"))
     table = rows.withColumn("known", known).withColumn("p", F.shiftright(F.coalesce("id", F.lit(0).cast("long")), DIGIT_BITS)).withColumn("head", F.hex(F.substring("leaf", 1, bytes_)))
-    joined = table.join(before, [F.col(k).eqNullSafe(before[k]) if k == "id" else table[k] == before[k] for k in keys]).select(*(table[c] for c in table.columns), before["first"])
+    joined = table.join(before, [table[k].eqNullSafe(before[k]) if k == "id" else table[k] == before[k] for k in keys]).select(*(table[c] for c in table.columns), before["first"])
     run = W.partitionBy(*keys).orderBy("id", "leaf", "shown").rowsBetween(W.unboundedPreceding, -1)
     return joined.select("g", "id", "leaf", "shown", "n", (F.col("first") + F.coalesce(F.sum("n").over(run), F.lit(0))).alias("first"))
 
