@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging
+from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging, vector_index
 from quillspark.plans import evaluate, index, journal
 from quillspark.profiles import SLOVENIAN_LAW
 from quillspark.sources import store
@@ -362,6 +362,21 @@ def conversation_history_stream(spark: SparkSession, d: str) -> DataFrame:
     return done.select("conv_id", F.size("history").alias("n_messages"), F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("messages"))
 
 
+def _indexed(metric: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """All vectors as questions to a stored index of them, some thousands at a time."""
+        chunks, questions = _vectors(spark, d)
+        made = vector_index.build(chunks, _own_folder(spark, "vectors"), metric)
+        parts = max(1, -(-questions.count() // (retrieval.QUERY_BLOCK // 2)))
+        out = None
+        for k in range(parts):
+            found, _ = vector_index.search(made, questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), K, 6)
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    return run
+
+
 def journaled_replies(spark: SparkSession, d: str) -> DataFrame:
     """Each question's reply (its length, in place of a model) as a journal holds it; a second run over the same journal makes no call."""
     path = _own_folder(spark, "journal")
@@ -376,6 +391,8 @@ QUERIES = {
     "vec_topk_inner_product": _top("ip"),
     "vec_topk_cosine": _top("cosine"),
     "vec_topk_l2": _top("l2"),
+    "vec_index_cosine": _indexed("cosine"),
+    "vec_index_l2": _indexed("l2"),
 } | {
     f.__name__: f
     for f in (
@@ -537,6 +554,7 @@ _PARSED = f"""SELECT doc_id, CASE WHEN state = 'good' THEN ok END AS legal_corre
 
 ORACLES = {
     **{name: _top_sql(metric, K) for name, metric in (("vec_topk_inner_product", "ip"), ("vec_topk_cosine", "cosine"), ("vec_topk_l2", "l2"))},
+    **{f"vec_index_{metric}": _top_sql(metric, K) for metric in ("cosine", "l2")},
     "vec_normalize": """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
         m AS (SELECT vec_id, norm, list_transform(e, lambda x: x / norm) AS u FROM n)
         SELECT vec_id, round(norm, 5) AS norm, round(sqrt(list_dot_product(u, u)), 5) AS norm_after, round(u[1], 5) + 0.0 AS first FROM m""",

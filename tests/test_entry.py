@@ -18,7 +18,7 @@ def test_entry_without_the_training_data_subpackage(tmp_path):
     run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=tmp_path, env=env, capture_output=True, text=True)
     listed = run("--collect-only", "tests")
     assert listed.returncode == 0 and "test_segment" in listed.stdout and "llm" not in listed.stdout, listed.stdout
-    passed = run("tests", "--ignore=tests/test_entry.py", "--ignore=tests/test_catalog.py")
+    passed = run(*(f"tests/test_{x}.py" for x in ("segment", "evaluation", "sinks")))
     assert passed.returncode == 0, passed.stdout
 
 
