@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import result_file_name
 from quillspark.operators import judging
 from quillspark.plans import answer
-from quillspark.sources import sinks
+from quillspark.sources import readers, sinks
 
 
 def test_store_prunes_by_law(spark, tmp_path):
@@ -48,3 +49,25 @@ def test_artefacts_and_names(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["?!|", "Kaj je DDV?|"]
     names = spark.range(1).select(result_file_name(F.lit("BAAI/bge-m3")), result_file_name(F.lit("a/b"), F.lit("c-d"))).first()
     assert tuple(names) == ("BAAI_bge_m3__no_reranker.json", "a_b__reranker_c_d.json")
+
+
+def test_a_fault_names_its_file_and_line_across_blocks(spark, tmp_path):
+    """Two files, each read in many blocks; the fault stands far inside the second, after blank lines."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [json.dumps({"id": k, "text": "x" * 200}) for k in range(3000)]
+    (folder / "a.jsonl").write_text("\n".join(lines))
+    (folder / "b.jsonl").write_text("\n".join([*lines[:1500], "", "", *lines[1500:2000], '{"id": 7, "text": ', *lines[2000:]]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "64k")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        with pytest.raises(Exception, match=r"b\.jsonl, line 2003: not JSON: \{.id.: 7"):
+            readers.read_jsonl(spark, str(folder), "id long, text string", numbered=True).write.format("noop").mode("overwrite").save()
+        assert readers.read_jsonl(spark, str(folder / "a.jsonl"), "id long, text string", position="at", numbered=True).orderBy("at").select("id").collect() == [(k,) for k in range(3000)]
+        assert [(r["file"][-7:], r["line"]) for r in readers.faulty_lines(spark, str(folder), "id long, text string").collect()] == [("b.jsonl", 2003)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
