@@ -19,7 +19,7 @@ from quillspark.functions import vectors as V
 from quillspark.operators import chunking, compare, embedding, judging, ndcg, prompts, relevance, reports, retrieval, segment, tagging, vector_index
 from quillspark.plans import evaluate, index, journal
 from quillspark.profiles import SLOVENIAN_LAW
-from quillspark.sources import store
+from quillspark.sources import store, token_stream
 from quillspark.sources.readers import spread
 from quillspark.streaming import history
 
@@ -377,6 +377,21 @@ def _indexed(metric: str):
     return run
 
 
+def token_stream_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn logged as a token stream, seven characters a chunk, and put together again; every tenth never ended, every thirteenth broke off in its last chunk."""
+    folder = _own_folder(spark, "tokens")
+    c = table(spark, d, "conversations").filter("text <> ''").withColumn("reply", F.concat("conv_id", F.lit("-"), "turn"))
+    n = F.ceil(F.length("text") / 7).cast("int")
+    key = F.col("conv_id") * 31 + F.col("turn")
+    broke, ended = key % 13 == 0, key % 10 != 0
+    piece = lambda i: F.concat(F.lit("data: "), F.to_json(F.struct(F.col("reply").alias("id"), F.array(F.struct(F.struct(F.substring("text", i * 7 + 1, F.lit(7)).alias("content")).alias("delta"))).alias("choices"))))
+    lines = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(broke & (i == n - 1), F.lit('data: {"id"')).otherwise(piece(i)))
+    first = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("reply").alias("id"), F.array().cast("array<string>").alias("choices"))))
+    text = F.array_join(F.concat(F.array(first), lines, F.when(ended, F.array(F.lit("data: [DONE]"))).otherwise(F.array().cast("array<string>"))), "\n\n")
+    c.select(text.alias("value")).write.text(folder)
+    return token_stream.replies(token_stream.read(spark, folder))
+
+
 def journaled_replies(spark: SparkSession, d: str) -> DataFrame:
     """Each question's reply (its length, in place of a model) as a journal holds it; a second run over the same journal makes no call."""
     path = _own_folder(spark, "journal")
@@ -436,6 +451,7 @@ QUERIES = {
         retrieval_candidates,
         conversation_history_stream,
         journaled_replies,
+        token_stream_replies,
     )
 }
 
@@ -643,6 +659,8 @@ ORACLES = {
         FROM last LEFT JOIN h USING (conv_id)""",
     "conversation_history_stream": """SELECT conv_id, count(*)::INTEGER AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations
         WHERE (turn = 0 OR (conv_id + turn) % 9 <> 0) AND (role <> 'assistant' OR text <> '') GROUP BY conv_id""",
+    "token_stream_replies": """SELECT conv_id || '-' || turn AS reply, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN substr(text, 1, ((length(text) - 1) // 7 * 7)) ELSE text END AS answer,
+        CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'broken' WHEN (conv_id * 31 + turn) % 10 <> 0 THEN 'finished' ELSE 'unfinished' END AS state FROM conversations WHERE text <> ''""",
     "journaled_replies": "SELECT item_id::VARCHAR AS id, length(text)::VARCHAR AS reply, NULL::VARCHAR AS call_error, (SELECT count(*) FROM benchmark WHERE item_id % 3 = 0) AS called_again FROM benchmark",
     "answer_stats": r"""WITH a AS (SELECT text, lower(text) AS l, list_filter(regexp_split_to_array(text, '[\s\x0B\x{85}\x{A0}]+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant')
         SELECT count(*) AS total, count(*) FILTER (text <> '') AS with_answer, count(*) FILTER (text = '') AS without_answer, 0::BIGINT AS with_error,
