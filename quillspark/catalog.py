@@ -260,9 +260,10 @@ def judge_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedded_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Stand-in vectors of all documents, four components shown."""
-    made = embedding.embed(table(spark, d, "documents").select("doc_id", "text"), T.embedding_text(F.col("text")))
-    return made.select("doc_id", F.size("embedding").alias("dimension"), *(F.round(F.element_at("embedding", k + 1).cast("double"), 5).alias(f"v{k}") for k in range(4)))
+    """Stand-in vectors of all documents at their own length: four components and the sum of all squares."""
+    made = embedding.embed(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), T.embedding_text(F.col("text")), normalize=False)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return made.select("doc_id", F.size("embedding").alias("dimension"), squares.alias("squares"), *(F.element_at("embedding", k + 1).cast("double").alias(f"v{k}") for k in range(4)))
 
 
 def positional_join(spark: SparkSession, d: str) -> DataFrame:
@@ -659,6 +660,11 @@ ORACLES = {
         FROM last LEFT JOIN h USING (conv_id)""",
     "conversation_history_stream": """SELECT conv_id, count(*)::INTEGER AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations
         WHERE (turn = 0 OR (conv_id + turn) % 9 <> 0) AND (role <> 'assistant' OR text <> '') GROUP BY conv_id""",
+    "embedded_documents": f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower('passage: ' || text), '{_BLANK}'), lambda x: x <> '')) AS w FROM documents),
+        h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w), v AS (SELECT doc_id, h % 64 AS k, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY 1, 2)
+        SELECT doc_id, 64::INTEGER AS dimension, sum(x * x) AS squares, """
+    + ", ".join(f"coalesce(sum(x) FILTER (k = {k}), 0.0)::DOUBLE + 0.0 AS v{k}" for k in range(4))
+    + " FROM v GROUP BY doc_id",
     "token_stream_replies": """SELECT conv_id || '-' || turn AS reply, CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN substr(text, 1, ((length(text) - 1) // 7 * 7)) ELSE text END AS answer,
         CASE WHEN (conv_id * 31 + turn) % 13 = 0 THEN 'broken' WHEN (conv_id * 31 + turn) % 10 <> 0 THEN 'finished' ELSE 'unfinished' END AS state FROM conversations WHERE text <> ''""",
     "journaled_replies": "SELECT item_id::VARCHAR AS id, length(text)::VARCHAR AS reply, NULL::VARCHAR AS call_error, (SELECT count(*) FROM benchmark WHERE item_id % 3 = 0) AS called_again FROM benchmark",

@@ -118,3 +118,43 @@ def test_grades_of_batches(spark):
     d = spark.createDataFrame(rows, "query_id long, batch int, reply string").withColumn("scores", ndcg.parse_scores(F.col("reply")))
     got = sorted(tuple(r) for r in ndcg.batch_grades(d, 3).collect())
     assert got == [(1, 1, 4), (1, 2, 0), (1, 3, 3), (1, 4, 1), (1, 5, 2), (1, 6, 3)]
+
+
+def test_one_model_a_worker_in_row_order(spark, tmp_path):
+    """Loads are noted in files, as workers are other processes; calls get texts of like length, rows keep their order."""
+    import os
+
+    import numpy as np
+
+    notes, calls = str(tmp_path / "loads"), str(tmp_path / "calls")
+    os.makedirs(notes)
+    os.makedirs(calls)
+
+    def load():
+        open(f"{notes}/{os.getpid()}-{os.urandom(4).hex()}", "w").close()
+
+        def model(texts):
+            with open(f"{calls}/{os.urandom(8).hex()}", "w") as f:
+                f.write(f"{len(texts)} {max(map(len, texts)) - min(map(len, texts))}")
+            return np.array([[len(t), sum(map(ord, t)) % 1000] for t in texts], dtype=np.float32)
+
+        return model
+
+    rows = [(k, "x" * (k * 37 % 101) + str(k) if k % 10 else ("" if k % 20 else None)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for _ in range(2):  # the second run finds the models of the first
+            got = embedding.embed(df, F.col("t"), normalize=False, loader=load, model=str(tmp_path), batch=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r["embedding"] == ([float(len(r["t"])), float(sum(map(ord, r["t"])) % 1000)] if r["t"] else [0.0, 0.0]) for r in got) and len(got) == 1000
+    pids = [x.split("-")[0] for x in os.listdir(notes)]
+    assert 0 < len(pids) == len(set(pids))
+    sizes = []
+    for x in os.listdir(calls):
+        with open(f"{calls}/{x}") as f:
+            sizes.append(tuple(map(int, f.read().split())))
+    assert sum(n == 16 for n, _ in sizes) > 0.7 * len(sizes)  # though Arrow batches have 7 rows
+    assert sorted(d for _, d in sizes)[len(sizes) // 2] < 40
+
