@@ -131,16 +131,36 @@ def without_keys(table: DataFrame, key: str, gone: DataFrame, columns: list[str]
 SALTS = 32
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: str, salt_by: str, how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: str | list[str], salt_by: str, how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
     """``rows`` joined with the one row that ``table`` has for their key, which very many rows may share.
 
     A table of at most ``most`` rows is broadcast; a larger one meets the rows by key and a salt drawn from ``salt_by``.
     """
+    keys = [on] if isinstance(on, str) else on
     if table.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(table), on, how)
+        return rows.join(F.broadcast(table), keys, how)
     salt = fresh(rows, "__salt")
     salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [on, salt], how).drop(salt)
+    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [*keys, salt], how).drop(salt)
+
+
+#: Rows of one key that may meet in one task.
+ALIKE = 10_000
+
+
+def counted_join(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str, count: str, how: str = "inner", most: int = ALIKE) -> DataFrame:
+    """``rows`` joined (inner or left) with the one row that ``table`` has for their key, where ``count`` tells about how many rows have it.
+
+    Keys of more than ``most`` rows are few beside the rows and meet them by ``spread_join``; all others meet by
+    key. Rows with a null in their key match nothing and are not shuffled. Both are read more than once: store them before.
+    """
+    flag, whole = fresh(rows, "__many"), F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    met = spread_join(rows.filter(whole), table.filter(F.col(count) > most).withColumn(flag, F.lit(True)), on, salt_by, "left")
+    few = met.filter(F.col(flag).isNull()).select(*rows.columns).join(table.filter(F.col(count) <= most), on, how)
+    out = met.filter(flag).drop(flag).unionByName(few)
+    return out.unionByName(rows.filter(~whole), allowMissingColumns=True) if how == "left" else out
 
 
 def trimmed(run):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed, partitions, staged, trimmed, without_keys
+from quillspark.llm.common import counted_join, keyed, partitions, staged, trimmed, without_keys
 
 FAN_IN = 4
 #: Characters that do not count when texts are compared.
@@ -94,8 +94,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         digit = lambda c: F.floor(c / unit).cast("int") % FAN_IN  # noqa: B023, E731
         met = entries.withColumn("slot", (F.col("slot") + (digit(share) - digit(F.col("slot"))) * unit).cast("int"))
         entries = _sorted(met.repartitionById(slots, F.col("slot"))).mapInArrow(trimmed(_merge), ENTRY)
-    kept = entries.filter("n > 1").select(*DIGEST, F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    joined = hashed.join(kept, list(DIGEST), "left")
+    kept = staged(entries.filter("n > 1").select(*DIGEST, F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size")), "kept")
+    joined = counted_join(hashed, kept, list(DIGEST), "uid", "group_size", "left")
     alone = F.col("keep_uid").isNull()
     return joined.select(
         "doc_id",
