@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed, partitions, spread_join, staged, trimmed, without_keys
+from quillspark.llm.common import counted_join, keyed, partitions, spread_join, staged, trimmed, without_keys
 from quillspark.llm.components import connected_components
 from quillspark.llm.passing import mixed
 
@@ -56,9 +56,9 @@ POSTED = "part int, cls binary, n binary, tok binary, level binary, who binary"
 KEPT = "cls long, n long, tok binary"
 EDGE = "a long, b long, sure boolean"
 WORDS_KEPT = 1 << 17
-#: Ranges of shingles, at least; more follow the shuffle partitions. A class is named once in each range, so
+#: Ranges of shingles, at least; more follow the shuffle partitions and the number of shingles. A class is named once in each range, so
 #: the bytes a shingle costs rise with the ranges until each holds one shingle of a class.
-LEAST_RANGES = 64
+LEAST_RANGES, SHINGLES_A_RANGE = 64, 4_000_000
 #: Texts whose shingles are held at once.
 SLICE = 400
 
@@ -513,11 +513,12 @@ def _joined(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: in
     """The rows (doc_id, row_key, n, cls), and the classes with their root: cls, root."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key.alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ranges = max(LEAST_RANGES, partitions(spark))
     for seed in range(SEED, SEED + 20):
         sets = staged(rows.mapInArrow(trimmed(_sets(shingle, seed)), SETS), "sets")
         if sets.filter("cls is not null").groupBy("cls").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x <> y").isEmpty():
             break
+    # A task holds a range whole, so ranges grow with the shingles.
+    ranges = max(LEAST_RANGES, partitions(spark), (sets.agg(F.sum("n")).first()[0] or 0) // SHINGLES_A_RANGE)
     kept = _kept_sets(rows, sets, shingle, percent, seed, ranges)
     if most is None:
         small = F.least("n", F.lit(2 * MOST_LIGHT))
@@ -539,10 +540,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     largest light set in place of the cost model, which changes the way only.
     """
     sets, roots = _joined(df, id_col, text_col, shingle, percent, F.lit(None).cast("long"), most_light)
-    named = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")).join(roots, "cls")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least, "root").select("cls", "component")
-    out = sets.select("doc_id", "n", "cls").join(named, "cls", "left")
+    named = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("alike"))
+    named = staged(named.join(roots, "cls"), "named")
+    least = staged(named.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("m")), "least")
+    # A class and a component may hold a third of all rows.
+    named = staged(counted_join(named, least, ["root"], "cls", "m").select("cls", "component", "alike"), "components")
+    out = counted_join(sets.select("doc_id", "n", "cls"), named, ["cls"], "doc_id", "alike", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
