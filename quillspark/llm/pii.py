@@ -10,7 +10,12 @@ whole corpus, words outside the patterns' spans alike for both; p(e | t) is draw
 worth. An e-mail address stands for its domain too, so that what gives an organisation away counts as well. A term
 at or above a threshold, seen with the entity in at least two documents of different text (copies are one) and
 more often than chance would do for any of the corpus' terms, is added as a span of kind "term" wherever it
-stands in the corpus, with the entity or without. Generalising a text replaces its spans by the name of their kind.
+stands in the corpus, with the entity or without.
+
+Pairs are made sparingly, and none is left out. Entities of the very same documents are alike for every term, so one
+stands for all of them; so does one term for those of the same documents. What two documents must show is
+never paired in the largest document of an entity: the others name the candidates, which are then looked up
+there. A directory of very many addresses costs its length, not its square. Generalising a text replaces its spans by the name of their kind.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, keyed, staged, trimmed
+from quillspark.llm.common import counted_join, fresh, keyed, spread_join, staged, trimmed
 from quillspark.llm.passing import Passing
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,6 +135,11 @@ def text_hash(text: str) -> int:
     return _signed(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
 
+def body_hash(text: str) -> int:
+    """Equal for equal texts, which have the same entities and terms."""
+    return _signed(text.encode("utf-8", "surrogatepass"))
+
+
 class _Terms(dict):
     """Term hashes of raw words (0 for none), dropped when there are too many."""
 
@@ -161,20 +171,21 @@ def _distinct(words: list[str], terms: _Terms) -> np.ndarray:
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, text hash for each document and entity in it."""
+    """entity, text hash and hash of the bare text for each document and entity in it."""
     for b in batches:
-        entity, where = [], []
+        entity, where, body = [], [], []
         for value in b.column(0):
             text = value.as_py() or ""
             if spans := base_spans(text):
                 held = entities_of(text, spans)
                 entity += held
                 where += [text_hash(text)] * len(held)
-        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(where, pa.int64())], names=["entity", "place"])
+                body += [body_hash(text)] * len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (entity, where, body)], names=["entity", "place", "body"])
 
 
 def _together(passing: _Among):
-    """Text hash, entities that may pass and all terms of each document that has such entities."""
+    """Both hashes, entities that may pass and all terms of each document that has such entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()
@@ -186,10 +197,24 @@ def _together(passing: _Among):
                     held = np.array(entities_of(text, spans), dtype=np.int64)
                     held = held[passing(held)]
                     if len(held):
-                        rows.append((text_hash(text), held, _distinct(words_outside(text, spans), terms)))
-            cols = list(zip(*rows)) or [()] * 3
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["place", "entities", "terms"])
+                        rows.append((text_hash(text), body_hash(text), held, _distinct(words_outside(text, spans), terms)))
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["place", "body", "entities", "terms"])
+
+    return run
+
+
+def _narrowed(passing: _Among):
+    """The documents of ``_together``, numbered, with the terms that may pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = TaskContext.get().partitionId() << 36
+        for b in batches:
+            terms = [x.values.to_numpy() for x in b.column(2)]
+            terms = pa.array([t[passing(t)] for t in terms], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(doc, doc + len(b))), b.column(0), b.column(1), terms], names=["doc", "place", "entities", "terms"])
+            doc += len(b)
 
     return run
 
@@ -301,6 +326,39 @@ def _supported(df: DataFrame, keys: list[str], support: int, count: str) -> Data
     return out.filter(F.col("places") >= support).select(*keys, count)
 
 
+#: What tells apart the documents of two keys: their number, the least and the greatest text, the sum of the texts' hashes.
+DOCUMENTS = ("n_docs", "p0", "p1", "bodies")
+
+
+def _documents(df: DataFrame, key: str) -> DataFrame:
+    """``key`` with its ``DOCUMENTS``; ``df`` has a row for each document and key in it."""
+    n = F.count(F.lit(1)).alias("n_docs")
+    return df.groupBy(key).agg(n, F.min("place").alias("p0"), F.max("place").alias("p1"), F.sum(F.col("body").cast("decimal(20,0)")).alias("bodies"))
+
+
+def _leads(df: DataFrame, key: str) -> DataFrame:
+    """The least of the keys of the very same documents, for each such set of documents."""
+    return df.groupBy(*DOCUMENTS).agg(F.min(key).alias(key))
+
+
+def _pairs(docs: DataFrame, support: int) -> DataFrame:
+    """entity, term, place of all pairs that may be seen at ``support`` places; ``docs`` are numbered and stored.
+
+    A pair of two documents is in another document than the largest of its entity: those name it, and are few.
+    """
+    if support < 2:
+        return docs.select("place", "terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"), "place")
+    weight = F.size("entities").cast("long") * F.size("terms")
+    each = docs.select("doc", F.explode("entities").alias("entity"), F.struct(weight.alias("weight"), "doc", "place").alias("home"))
+    homes = staged(each.groupBy("entity").agg(F.max("home").alias("home")), "homes")
+    away = spread_join(each.select("doc", "entity"), homes, "entity", "doc").filter("doc <> home.doc")
+    away = staged(away.select("doc", "entity", F.col("home.doc").alias("home_doc"), F.col("home.place").alias("home_place")), "away")
+    named = away.join(docs.select("doc", "place", "terms"), "doc").select("entity", F.explode("terms").alias("term"), "place", "home_doc", "home_place")
+    wanted = named.groupBy("entity", "term").agg(F.min("home_doc").alias("doc"), F.min("home_place").alias("place"))
+    at_home = wanted.join(docs.select("doc", F.explode("terms").alias("term")), ["doc", "term"])
+    return named.select("entity", "term", "place").unionByName(at_home.select("entity", "term", "place"))
+
+
 def disclosure(n_both: Column, n_term: Column, n_entity: Column, n_docs: int, smoothing: float) -> Column:
     """PMI(e; t) / IC(e); 0 for an entity that all documents have."""
     p = n_entity / F.lit(float(n_docs))
@@ -312,16 +370,24 @@ def disclosing_terms(texts: DataFrame, threshold: float, support: int, smoothing
     """The hashes of the terms of ``texts`` (one column) that give an entity away."""
     n_docs = max(2, texts.count())
     # An entity of fewer different texts than the support has no term that reaches it.
-    entities = staged(_supported(texts.mapInArrow(trimmed(_entities), "entity long, place long"), ["entity"], support, "n_entity"), "entities")
-    together = staged(texts.mapInArrow(trimmed(_together(_Among(entities.select("entity")))), "place long, entities array<long>, terms array<long>"), "together")
-    pairs = together.select("place", "terms", F.explode("entities").alias("entity")).select("place", "entity", F.explode("terms").alias("term"))
-    pairs = _supported(pairs, ["entity", "term"], support, "n_both").join(entities, "entity")
+    held = texts.mapInArrow(trimmed(_entities), "entity long, place long, body long")
+    entities = _documents(held, "entity").filter("p0 <> p1" if support > 1 else "true")
+    if support > 2:
+        entities = entities.join(_supported(held, ["entity"], support, "n").select("entity"), "entity", "left_semi")
+    entities = staged(_leads(entities, "entity").select("entity", F.col("n_docs").alias("n_entity")), "entities")
+    together = staged(texts.mapInArrow(trimmed(_together(_Among(entities.select("entity")))), "place long, body long, entities array<long>, terms array<long>"), "together")
     # The documents with entities alone bound a term's share from above: what falls below the threshold there needs no count.
-    seen = staged(together.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_seen")), "seen")
+    seen = staged(_documents(together.select("place", "body", F.explode("terms").alias("term")), "term"), "seen")
     n_terms = seen.count()
     told = lambda n_term: disclosure(F.col("n_both"), F.col(n_term), F.col("n_entity"), n_docs, smoothing) >= threshold
     chance = F.col("n_both") * -F.log(F.col("n_entity") / F.lit(float(n_docs))) > float(np.log(max(1, n_terms)))
-    pairs = staged(pairs.filter(chance).join(seen, "term").filter(told("n_seen")), "pairs")
+    leads = staged(_leads(seen.filter("p0 <> p1" if support > 1 else "true"), "term"), "leads")
+    docs = staged(together.drop("body").mapInArrow(trimmed(_narrowed(_Among(leads.select("term")))), "doc long, place long, entities array<long>, terms array<long>"), "narrowed")
+    # One lead of a term may meet entities without number; leads of many documents are spread.
+    pairs = spread_join(_supported(_pairs(docs, support), ["entity", "term"], support, "n_both"), entities, "entity", "term").filter(chance)
+    pairs = counted_join(staged(pairs, "likely"), leads.withColumn("n_seen", F.col("n_docs")), ["term"], "entity", "n_seen")
+    pairs = pairs.filter(told("n_seen"))
+    pairs = staged(pairs.withColumnRenamed("term", "lead").join(seen, list(DOCUMENTS)), "pairs")
     passing = _Among(pairs.select("term").distinct())
     in_corpus = texts.mapInArrow(trimmed(_document_counts(passing)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     return pairs.join(in_corpus, "term").filter(told("n_term")).select("term").distinct()
@@ -340,7 +406,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.col(key_col) if key_col else F.lit(None).cast("long")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, key.alias("row_key"))
     found = staged(rows.mapInArrow(trimmed(_find(_Among(disclosing))), SCHEMA), "spans")
-    hits = found.filter(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(disclosing, "term")
+    hits = found.filter(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*")
+    hits = spread_join(hits, disclosing, "term", "uid")
     each = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
     out = found.drop("found").join(each, "uid", "left")
     added = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["stop"].cast("string"))), ",")

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import brute
 from hypothesis import given, settings
@@ -142,3 +143,32 @@ def test_disclosing_terms_against_brute_force(spark, small):
         op._Among = held
     clean = {r["doc_id"]: r["text"] for r in op.sanitise(df).collect()}
     assert clean[10_300] == "[TERM] alone" and clean[None] == "[TERM] alone" and clean[10_301] is None
+
+
+def test_directories_of_very_many_addresses(spark):
+    """Two texts with 10,000 addresses each, a third of them in a text of their own too: no product of a text's entities and terms."""
+    address = lambda k: f"{op.term_of(f'q{k}x')}@h{k}.example.org"
+    rows = [(d, f"list {d} " + " ".join(f"Name{k}z {address(k)}" for k in range(10_000))) for d in (1, 2)]
+    rows += [(10 + k, f"letter {k} from Name{k}z at {address(k)} and Other{k}y") for k in range(0, 10_000, 3)]
+    rows += [(20_000 + k, f"nothing about anyone in number {k}") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    start = time.time()
+    got = {r["doc_id"]: r["n_term"] for r in op.find_personal_data(df).filter("doc_id < 20000").collect()}
+    assert time.time() - start < 90
+    # The names and the word "list", which only the two texts have.
+    assert got[1] == got[2] == 10_001 and all(got[10 + k] == 1 for k in range(0, 10_000, 3))
+
+
+def test_pairs_equal_all_pairs(spark):
+    """Documents of shared and own entities and terms: the pairs of two places are those of the whole product."""
+    rng = random.Random(4)
+    docs = [(d, rng.randrange(25), rng.sample(range(12), rng.randint(1, 9)), rng.sample(range(100, 130), rng.randint(0, 20))) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc long, place long, entities array<long>, terms array<long>").repartition(3)
+    for support in (1, 2, 3):
+        places: dict = {}
+        for _, p, held, terms in docs:
+            for pair in ((e, t) for e in held for t in terms):
+                places.setdefault(pair, []).append(p)
+        want = {pair: len(p) for pair, p in places.items() if len(set(p)) >= support}
+        got = op._supported(op._pairs(op.staged(df, "docs"), support), ["entity", "term"], support, "n").collect()
+        assert {(r["entity"], r["term"]): r["n"] for r in got} == want
