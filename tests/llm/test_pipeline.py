@@ -115,6 +115,6 @@ def test_entry_lists_the_pipeline(spark, sf):
     import __spark_entry__ as e
 
     q = e.queries()
-    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert set(e.oracle_sql()) <= set(q)
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None
