@@ -119,7 +119,8 @@ def _visit(held, metric: str, k: int, decimals: int):
             edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
             for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if (own := of.get(int(block[start]))) is not None:
-                    yield retrieval._best(metric, k, decimals, ids[own], q[own], b.column(1)[start:stop].to_numpy(), retrieval._matrix(b.column(2)[start:stop]))
+                    chunks = retrieval._Chunks(metric, b.column(1)[start:stop].to_numpy(), retrieval._rows(b.column(2)[start:stop]))
+                    yield from retrieval._best(metric, k, decimals, ids[own], q[own], chunks)
 
     return run
 

@@ -46,6 +46,48 @@ def test_more_queries_than_a_block(vectors, monkeypatch):
     assert sorted(map(tuple, retrieval.top_k(chunks, queries, 3).collect())) == one
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_a_task_holds_a_tile_of_products(metric):
+    """2000 queries by a batch of 10,000 chunks are 160 MB of products, which no task may hold."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    q, v = rng.normal(size=(2000, 16)) + 3, rng.normal(size=(10_000, 16)) + 3
+    v[5000:] = v[:5000]  # equal scores, which go by position
+    v[7], v[8] = np.nan, 1e30
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(v))], names=["chunk_pos", "embedding"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(retrieval._local_top(SimpleNamespace(value=(np.arange(2000), q)), metric, 5, 6)([batch.slice(0, 6000), batch.slice(6000)])).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for i in (0, 511, 512, 1999):
+        n = np.maximum(np.linalg.norm(v, axis=1), 1e-10) * np.linalg.norm(q[i])
+        s = np.round({"ip": v @ q[i], "cosine": 1 - v @ q[i] / n, "l2": ((v - q[i]) ** 2).sum(axis=1)}[metric], 6)
+        order = np.lexsort((np.arange(10_000), np.where(np.isnan(s), -np.inf, -s) if metric == "ip" else s))[:5]
+        own = got[got["query_id"] == i].sort_values(["score", "chunk_pos"], ascending=[metric != "ip", True], na_position="first" if metric == "ip" else "last")[:5]
+        assert own["chunk_pos"].tolist() == order.tolist()
+
+
+def test_more_queries_than_are_broadcast_meet_in_cells(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(9000, 8)).astype(np.float32)
+    v[:3000] = v[0]  # a very common vector
+    chunks = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "chunk_pos long, embedding array<float>").repartition(6)
+    found = retrieval.top_k(chunks, chunks.withColumnRenamed("chunk_pos", "query_id"), 4, "l2", 6)
+    got = {}
+    for r in found.filter("query_id % 1000 = 5").orderBy("query_id", "retrieval_rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_pos"], r["retrieval_rank"]))
+    assert found.count() == 4 * 9000
+    d = v.astype(float)
+    for i in range(5, 9000, 1000):
+        s = np.round(((d - d[i]) ** 2).sum(axis=1), 6)
+        assert got[i] == [(int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(9000), s))[:4])]
+
+
 def test_unknown_metric(vectors):
     with pytest.raises(ValueError):
         retrieval.top_k(vectors[1], vectors[2], metric="dot")
