@@ -34,3 +34,13 @@ def test_split_and_pack_queries_have_the_properties_of_cuts(spark, sf):
                 check_parts(tidy(text), got[k], 1500)
             else:
                 check_packs(text.split("\n"), got.get(k, []), 1500)
+
+
+@pytest.mark.parametrize("name", ["article_segments", "index_chunks", "index_counters", "chunks_by_law", "chunks_by_tag"])
+def test_lines_that_are_headings_count_alike_in_sql(spark, tmp_path, name):
+    """Invented prose has lines such as "Osmi del ...", which the rules of the acts read as headings."""
+    odd = ["Osmi del doque bo", "osmi delček je", "IV. SPLOŠNE DOLOČBE", "3. oddelek", "7. Naslov brez pike", "7. Naslov s piko.", "(1) v oklepaju)", "( naslov )", "", "That Einv cióne éleau ouel shing the und"]
+    texts = ["\n".join(["a"] * k + odd + [f"b{k} " * 600] * 12 + odd[:1]) for k in range(9)]
+    spark.createDataFrame([(k, x, "de", f"src{k % 4}", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = compare.rows_of(catalog.QUERIES[name](spark, str(tmp_path)))
+    assert got == compare.oracle_rows(compare.connect(str(tmp_path)), catalog.ORACLES[name])
