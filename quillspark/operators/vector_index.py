@@ -175,3 +175,14 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 50, decimals: int =
     order = W.partitionBy("query_id").orderBy("score", "chunk_pos")
     done = (rest if whole else found.unionByName(rest)).withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= k)
     return done, {"pairs": bounds.count(), "visited": n_first + n_rest}
+
+
+def search_all(index: VectorIndex, queries: DataFrame, k: int = 50, decimals: int = 9) -> DataFrame:
+    """What ``search`` finds, for any number of questions: these meet the stored blocks in cells, and nothing of them passes the driver.
+
+    In a cell, questions visit blocks by their bounds, and leave out those that cannot hold one of the best.
+    """
+    v = F.col("embedding").cast("array<double>").alias("embedding")
+    asked = queries.select(F.lit(0).cast("long").alias("part"), F.col("query_id").cast("long").alias("query_id"), v).filter("query_id is not null and embedding is not null")
+    rows = index.rows.select(F.col("block").alias("part"), "chunk_pos", "embedding")
+    return retrieval.ranked(retrieval.meet_in_cells(rows, asked, k, index.metric, decimals, tiled=True), k, index.metric)

@@ -44,3 +44,11 @@ def test_few_rows_ties_and_nulls(spark, tmp_path):
         vector_index.build(chunks, str(tmp_path / "j"), "dot")
     empty = vector_index.build(chunks.filter("chunk_pos > 9"), str(tmp_path / "e"), "l2")
     assert vector_index.search(empty, questions, 10)[0].count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_more_questions_than_a_search_takes_meet_the_blocks_in_cells(spark, tmp_path, metric):
+    chunks = clustered(spark, n=5000)
+    questions = chunks.withColumnRenamed("chunk_pos", "query_id")
+    found = vector_index.search_all(vector_index.build(chunks, str(tmp_path / "i"), metric), questions, 5, 6)
+    assert rows(found) == rows(retrieval.top_k(chunks, questions, 5, metric, 6))
