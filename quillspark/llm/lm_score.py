@@ -11,8 +11,8 @@ the score of a document is the mean over its tokens of target loss minus backgro
 
 The counts grow with the corpus and are never gathered: documents send their bigrams and histories to ranges of
 hashes, a range counts its own exactly and returns to each document what these cost it. As -log p is a sum of a bigram's
-part and a history's part, nothing else has to meet. Frequent words and bigrams, which nearly every document has, are
-found on a bounded sample, counted in one pass over all documents and then scored where the document is.
+part and a history's part, nothing else has to meet. Frequent words, those that a hundredth of all documents has, follow
+from exact numbers of documents. They and frequent bigrams are counted in one pass and then scored where the document is.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from quillspark.llm.passing import Passing, mixed
 
 #: Weight of p0 in the bigram model (M), and of each word in p0 (U).
 PAIR_PRIOR, WORD_PRIOR = 2.0, 0.5
-#: Documents looked at (about) for frequent words and bigrams, and the share of them that has one.
-SAMPLE, COMMON = 1000, 0.01
+#: A frequent word is in one of COMMON documents, and in LEAST; a table of fewer than SAMPLE documents counts as one of so many.
+SAMPLE, COMMON, LEAST = 1000, 100, 8
+#: Sums by word or bigram that a task gathers before it adds them up.
+HELD = 1 << 20
 #: Ranges at least; more follow the shuffle partitions and the number of tokens.
 LEAST_RANGES, TOKENS_A_RANGE = 64, 2_000_000
 #: Texts whose words are held at once, and the words that keep their hash.
@@ -127,23 +129,84 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, SLICE)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+def _texts(who: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and in how many texts each is; ``who``, the text of each key, ascends."""
+    order = np.argsort(keys, kind="stable")
+    keys, who = keys[order], who[order]
+    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    own = new | np.r_[True, who[1:] != who[:-1]][: len(keys)]
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(np.r_[0, np.cumsum(own)][np.r_[first, len(keys)]])
+
+
+class _Tally:
+    """Sums by key. What is gathered is added up when ``full``."""
+
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        self.size += len(key)
+
+    def full(self) -> bool:
+        """Whether the sums take half of the room even when added up."""
+        return self.size >= HELD and len(self.sums()[0]) > HELD // 2
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            key, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            self.parts = [(key[first], np.diff(np.r_[0, np.cumsum(n)][np.r_[first, len(key)]]))]
+            self.size = len(first)
+        return self.parts[0]
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.sums()
+        self.parts, self.size = [], 0
+        return out
+
+    def lower(self) -> None:
+        """Take as much from all sums as leaves a quarter of the room in use: large ones stay, a little too low (Misra and Gries)."""
+        key, n = self.taken()
+        n = n - np.partition(n, -HELD // 4 - 1)[-HELD // 4 - 1]
+        self.add(key[n > 0], n[n > 0])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each word is, exact when summed, and each bigram that is half as common in the task's texts as a frequent one."""
+    words, of_words, of_pairs, texts = _Words(), _Tally(), _Tally(), 0
+
+    def table(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
     for b in _slices(batches):
         ids, n = tokens(b.column("text").to_pylist(), words)
         who = np.repeat(np.arange(len(n)), n)
-        for kind, own in ((WORD, ids), (PAIR, pair_keys(histories(ids, n), ids))):
-            w, key, _, at = _distinct(who, own & (TOP - np.uint64(1)))
-            key, count = np.unique(own[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.astype(np.int64)), pa.array(count)], names=["kind", "key", "n"])
+        texts += len(n)
+        of_words.add(*_texts(who, ids))
+        if of_words.full():
+            yield table(WORD, *of_words.taken())
+        of_pairs.add(*_texts(who, pair_keys(histories(ids, n), ids)))
+        if of_pairs.full():
+            of_pairs.lower()
+    yield table(WORD, *of_words.taken())
+    key, n = of_pairs.taken()
+    many = (n >= 2) & (n * 2 * COMMON >= texts)
+    yield table(PAIR, key[many], n[many])
 
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent words and bigrams: no more than a hundredth of the sample's documents has places for them."""
-    every = max(1, rows.count() // SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("uid", "text", F.lit(13)), F.lit(every)) == 0).select("text")
-    found = sample.mapInArrow(trimmed(_sampled), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    found = found.filter(F.col("n") >= max(8, int(COMMON * SAMPLE))).toArrow()
+    """Sorted frequent words and bigrams: no more than a hundredth of the documents has places for them.
+
+    Words are exactly those of enough documents, as they get a prior of their own. Bigrams only get another route: one that
+    is rare in many tasks may be left out.
+    """
+    documents = max(SAMPLE, rows.count())
+    found = rows.select("text").mapInArrow(trimmed(_documents), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = found.filter((F.col("n") >= LEAST) & (F.col("n") * COMMON >= documents)).toArrow()
     kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().astype(np.uint64)
     return tuple(np.sort(key[kind == k]) for k in (WORD, PAIR))
 

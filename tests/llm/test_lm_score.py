@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import lm_score as op
@@ -69,6 +70,49 @@ def test_matches_brute_force(spark, odd, nothing, monkeypatch, sample):
         assert op.cross_entropy_difference(nothing, good).count() == 0
 
 
+def bordering():
+    """3000 texts: words a0 to a29 are in 30 each, b0 to b29 in 29, every tenth text starts alike."""
+    texts = [["x y"] if k % 10 == 0 else [] for k in range(3000)]
+    for j in range(30):
+        for k in range(30):
+            texts[(j * 7 + k * 97) % 3000].append(f"a{j}")
+            if k < 29:
+                texts[(j * 11 + k * 89 + 5) % 3000].append(f"b{j}")
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_frequent_words_are_those_of_all_documents(spark, monkeypatch):
+    """Words in exactly a hundredth of the documents have a prior of their own, those in one document less have none."""
+    monkeypatch.setattr(op, "LEAST_RANGES", 8)
+    rows = bordering()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    named = {"x", "y"} | {f"a{j}" for j in range(30)}
+    words, pairs = op.frequent(df.selectExpr("doc_id as uid", "text"))
+    key = lambda w: op._Words()[w.encode()]
+    assert words.tolist() == sorted(key(w) for w in named)
+    assert op.pair_keys(*(np.array([key(w)], dtype=np.uint64) for w in "xy"))[0] in pairs
+    ids = set(range(0, 3000, 3))
+    good = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    close(op.cross_entropy_difference(df, good).collect(), brute(rows, ids, named))
+
+
+def test_numbers_of_texts_hold_with_little_room(monkeypatch):
+    """Words are given out in part sums, bigrams are lowered; no word is lost, nor a bigram of a tenth of the texts."""
+    monkeypatch.setattr(op, "HELD", 400)
+    monkeypatch.setattr(op, "SLICE", 50)
+    texts = [f"{t} rare{k}" for k, t in bordering()] + [None, "", " "]
+    want, got, pairs = Counter(w for t in texts for w in set((t or "").split())), Counter(), set()
+    parts = list(op._documents(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])))
+    for kind, key, n in ((r["kind"], r["key"], r["n"]) for b in parts for r in b.to_pylist()):
+        if kind == op.WORD:
+            got[key] += n
+        else:
+            pairs.add(key)
+    assert len(parts) > 3 and got == Counter({op._Words()[w.encode()]: n for w, n in want.items()})
+    x, y = (np.array([op._Words()[w]], dtype=np.uint64) for w in (b"x", b"y"))
+    assert int(op.pair_keys(x, y)[0]) in pairs and len(pairs) < 100
+
+
 def test_target_like_documents_score_lower(spark, small):
     english, other = small.filter("lang = 'en'"), small.filter("lang <> 'en'")
     scores = {r["doc_id"]: r["score"] for r in op.cross_entropy_difference(small, english.select("doc_id")).collect()}
