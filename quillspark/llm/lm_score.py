@@ -11,8 +11,8 @@ the score of a document is the mean over its tokens of target loss minus backgro
 
 The counts grow with the corpus and are never gathered: documents send their bigrams and histories to ranges of
 hashes, a range counts its own exactly and returns to each document what these cost it. As -log p is a sum of a bigram's
-part and a history's part, nothing else has to meet. Frequent words, those that a hundredth of all documents has, follow
-from exact numbers of documents. They and frequent bigrams are counted in one pass and then scored where the document is.
+part and a history's part, nothing else has to meet. Frequent words and bigrams, those that a hundredth of all documents
+has, follow from exact numbers of documents. They are counted in one pass and then scored where the document is.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from quillspark.llm.passing import Passing, mixed
 
 #: Weight of p0 in the bigram model (M), and of each word in p0 (U).
 PAIR_PRIOR, WORD_PRIOR = 2.0, 0.5
-#: A frequent word is in one of COMMON documents, and in LEAST; a table of fewer than SAMPLE documents counts as one of so many.
+#: A frequent word or bigram is in one of COMMON documents, and in LEAST; a table of fewer than SAMPLE documents counts as one of so many.
 SAMPLE, COMMON, LEAST = 1000, 100, 8
 #: Sums by word or bigram that a task gathers before it adds them up.
-HELD = 1 << 20
+HELD = 1 << 21
 #: Ranges at least; more follow the shuffle partitions and the number of tokens.
 LEAST_RANGES, TOKENS_A_RANGE = 64, 2_000_000
 #: Texts whose words are held at once, and the words that keep their hash.
@@ -46,7 +46,7 @@ TOP = np.uint64(1) << KEY_BITS
 START = np.uint64(0x5157)
 #: Registers (a power of two) of the sketch that counts the vocabulary, within about one per cent.
 REGISTER_BITS = 14
-WORD, HISTORY, PAIR, TOTAL, REGISTER = range(5)
+WORD, HISTORY, PAIR, TOTAL, TEXTS, REGISTER = range(6)
 COUNTED = "kind int, key long, n_all long, n_target long"
 POSTED = "part int, uid binary, flag binary, per binary, key binary, k binary, prior binary"
 SUMS = "part int, uid binary, n binary, target binary, background binary"
@@ -143,7 +143,7 @@ class _Tally:
     """Sums by key. What is gathered is added up when ``full``."""
 
     def __init__(self) -> None:
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.lost = [], 0, 0
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((key, n))
@@ -169,14 +169,20 @@ class _Tally:
         return out
 
     def lower(self) -> None:
-        """Take as much from all sums as leaves a quarter of the room in use: large ones stay, a little too low (Misra and Gries)."""
+        """Take as much from all sums as leaves a quarter of the room in use: large ones stay, too low by ``lost`` at most (Misra and Gries)."""
         key, n = self.taken()
-        n = n - np.partition(n, -HELD // 4 - 1)[-HELD // 4 - 1]
-        self.add(key[n > 0], n[n > 0])
+        cut = np.partition(n, -HELD // 4 - 1)[-HELD // 4 - 1]
+        self.lost += cut
+        self.add(key[n > cut], n[n > cut] - cut)
+
+
+def is_frequent(texts, documents):
+    """Whether what is in so many texts is frequent; of numbers, arrays and columns."""
+    return (texts >= LEAST) & (texts * COMMON >= documents) & (texts * COMMON >= SAMPLE)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each word is, exact when summed, and each bigram that is half as common in the task's texts as a frequent one."""
+    """In how many texts each word is, exact when summed, and bigrams half as common in the task's texts as a frequent one (at most so many texts)."""
     words, of_words, of_pairs, texts = _Words(), _Tally(), _Tally(), 0
 
     def table(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -194,29 +200,29 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_pairs.lower()
     yield table(WORD, *of_words.taken())
     key, n = of_pairs.taken()
-    many = (n >= 2) & (n * 2 * COMMON >= texts)
+    n = n + of_pairs.lost
+    many = n * 2 * COMMON >= texts
     yield table(PAIR, key[many], n[many])
 
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent words and bigrams: no more than a hundredth of the documents has places for them.
+    """Sorted frequent words, and bigrams that may be: no more than a hundredth, or half of it, of the documents has places for them.
 
-    Words are exactly those of enough documents, as they get a prior of their own. Bigrams only get another route: one that
-    is rare in many tasks may be left out.
+    A frequent bigram loses less than half of its texts to tasks that don't name it; which ones are frequent is told by ``_corpus``.
     """
-    documents = max(SAMPLE, rows.count())
+    documents = rows.count()
     found = rows.select("text").mapInArrow(trimmed(_documents), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    found = found.filter((F.col("n") >= LEAST) & (F.col("n") * COMMON >= documents)).toArrow()
+    found = found.filter(is_frequent(F.col("n") * F.when(F.col("kind") == PAIR, 2).otherwise(1), documents)).toArrow()
     kind, key = found.column("kind").to_numpy(), found.column("key").to_numpy().astype(np.uint64)
     return tuple(np.sort(key[kind == k]) for k in (WORD, PAIR))
 
 
 def _count(often):
-    """Counts of frequent words, histories and bigrams, of tokens and texts, and the registers of the vocabulary."""
+    """Counts of frequent words, histories and bigrams, of tokens and texts, texts of bigrams and all, and the registers of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (hot_words, hot_pairs) = _Words(), often.value
-        total = [np.zeros((2, size + 1), dtype=np.int64) for size in (len(hot_words), len(hot_words), len(hot_pairs), 1)]
+        total = [np.zeros((2, size + 1), dtype=np.int64) for size in (len(hot_words), len(hot_words), len(hot_pairs), 1, len(hot_pairs))]
         registers = np.zeros(1 << REGISTER_BITS, dtype=np.int64)
 
         def table(kind: int, key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -226,9 +232,13 @@ def _count(often):
             ids, n = tokens(b.column("text").to_pylist(), words)
             own = b.column("flag").to_numpy(zero_copy_only=False)
             flag, prev = np.repeat(own, n), histories(ids, n)
-            for t, at in zip(total, (_place(ids, hot_words), _place(prev, hot_words), _place(pair_keys(prev, ids), hot_pairs))):
+            pairs = _place(pair_keys(prev, ids), hot_pairs)
+            for t, at in zip(total, (_place(ids, hot_words), _place(prev, hot_words), pairs)):
                 for row, where in ((0, at), (1, at[flag])):
                     t[row] += np.bincount(where, minlength=t.shape[1])
+            at, texts = _texts(np.repeat(np.arange(len(n)), n)[pairs > 0], pairs[pairs > 0])
+            total[TEXTS][0, at] += texts
+            total[TEXTS][0, 0] += len(n)
             total[TOTAL] += np.array([[len(ids), (n > 0).sum()], [flag.sum(), (n[own] > 0).sum()]])
             sketch(registers, ids)
         yield table(REGISTER, np.arange(len(registers)), np.array([registers, registers]))
@@ -381,14 +391,16 @@ def _flagged(table: DataFrame, key: str, id_col: str, text_col: str, target: Dat
 def _corpus(counted: DataFrame, hot_words: np.ndarray, hot_pairs: np.ndarray) -> tuple[Corpus, int]:
     """The model's shared part, and the number of tokens."""
     registers = np.zeros(1 << REGISTER_BITS, dtype=np.int64)
-    counts = [np.zeros((2, size + 1)) for size in (len(hot_words), len(hot_words), len(hot_pairs), 1)]
+    counts = [np.zeros((2, size + 1)) for size in (len(hot_words), len(hot_words), len(hot_pairs), 1, len(hot_pairs))]
     for r in counted.groupBy("kind", "key").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t"), F.max("n_all").alias("most")).collect():
         if r["kind"] == REGISTER:
             registers[r["key"]] = r["most"]
         else:
             counts[r["kind"]][:, r["key"]] = r["a"], r["t"]
     vocabulary = sketched(registers)
-    word, history, pair, total = counts
+    word, history, pair, total, texts = counts
+    keep = is_frequent(texts[0], texts[0, 0])
+    hot_pairs, pair = hot_pairs[keep[1:]], pair[:, np.r_[True, keep[1:]]]
     n_tokens = total[:, 0]
     scale = np.array([n_tokens[1] / n_tokens[0] if n_tokens[1] else 1.0, 1.0])
     rare = max(1, vocabulary - len(hot_words))

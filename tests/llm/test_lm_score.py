@@ -110,7 +110,20 @@ def test_numbers_of_texts_hold_with_little_room(monkeypatch):
             pairs.add(key)
     assert len(parts) > 3 and got == Counter({op._Words()[w.encode()]: n for w, n in want.items()})
     x, y = (np.array([op._Words()[w]], dtype=np.uint64) for w in (b"x", b"y"))
-    assert int(op.pair_keys(x, y)[0]) in pairs and len(pairs) < 100
+    assert int(op.pair_keys(x, y)[0]) in pairs and len(pairs) <= 400
+
+
+def test_frequent_bigrams_are_the_same_in_any_tasks(spark):
+    rows = [(k, f"{t} m{k % 97} n{k % 97}{' u v' * (k < 30)}{' s t' * (k < 29)}") for k, t in bordering()]
+    texts = Counter(p for _, t in rows for ws in [t.split()] for p in set(zip([None, *ws], ws)))
+    key = lambda w: op.START if w is None else np.uint64(op._Words()[w.encode()])
+    want = sorted(int(op.pair_keys(*(np.array([key(w)], dtype=np.uint64) for w in p))[0]) for p, n in texts.items() if n >= 30)
+    assert len(want) > 97
+    for tasks in (1, 150):
+        df = spark.createDataFrame(rows, "uid long, text string").selectExpr("*", "false as flag").repartition(tasks)
+        often = op.frequent(df)
+        counted = df.mapInArrow(op._count(spark.sparkContext.broadcast(often)), op.COUNTED)
+        assert op._corpus(counted, *often)[0].hot_pairs.tolist() == want
 
 
 def test_target_like_documents_score_lower(spark, small):
