@@ -44,3 +44,13 @@ def test_lines_that_are_headings_count_alike_in_sql(spark, tmp_path, name):
     spark.createDataFrame([(k, x, "de", f"src{k % 4}", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     got = compare.rows_of(catalog.QUERIES[name](spark, str(tmp_path)))
     assert got == compare.oracle_rows(compare.connect(str(tmp_path)), catalog.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["ndcg_at_k", "ndcg_summary", "compare_metrics"])
+def test_scores_half_way_between_hundredths_tie_alike_in_sql(spark, tmp_path, name):
+    """A cosine distance of 0.565 (or a squared distance of 1.005) has a hundredfold just below the half."""
+    distances = [0.0, 0.565, 0.567, 0.563, 0.5025, 0.5045, 0.5005, 0.575, 0.285, 0.289]
+    rows = [(k, [1 - x, (1 - (1 - x) ** 2) ** 0.5], k * 7 % 10) for k, x in enumerate(distances)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = compare.rows_of(catalog.QUERIES[name](spark, str(tmp_path)))
+    assert got == compare.oracle_rows(compare.connect(str(tmp_path)), catalog.ORACLES[name])
