@@ -322,3 +322,36 @@ def test_lines_end_as_before(spark):
 
     assert [r[1] for r in got] == [t.splitlines() for t in texts]
     assert [r[2] for r in got] == [re.sub("\n{3,}", "\n\n", re.sub("[\u00a0 \t]+", " ", re.sub("\r\n?", "\n", t))).strip() for t in texts]
+
+
+def test_acts_of_many_lines_take_time_in_proportion(spark):
+    """Each line is looked at a few times, whatever the number of lines: the lead of an act, its articles and their bodies."""
+    import time
+
+    from quillspark.plans.index import build_index
+
+    took = []
+    for n in (100, 100, 400):
+        text = "\n".join(["ZAKON"] + ["Uvodna vrstica."] * n + [f"{k}. člen\n(Naslov)\nBesedilo {k}." for k in range(n)] + ["vrstica"] * n)
+        start = time.time()
+        got = build_index(records(spark, [text] * 4)).chunks.count()
+        took.append(time.time() - start)
+    assert got >= 4 * 400 and took[2] < 5 + 2 * took[1]
+
+
+def test_counts_alone_need_no_texts(spark, monkeypatch):
+    """Counters and counts are those of the whole index, and the texts of the chunks are neither made nor written."""
+    from quillspark.plans import index
+
+    written = []
+    monkeypatch.setattr(index, "stored", lambda df, name, keep=index.stored: written.append((name, set(df.columns))) or keep(df, name))
+    df = records(spark, ["1. člen\ndavek\n2. člen\nx", "nič", "3. člen\n" + "obresti " * 400, "1. člen\n" + "y" * 25_000])
+    whole = index.build_index(df)
+    for columns, fields in (((), ["counters"]), (["law_code"], ["counters", "chunks_by_law"]), (("domain_tags",), ["counters", "tag_counts"])):
+        made = index.build_index(df, columns=columns)
+        for field in fields:
+            assert sorted(map(tuple, getattr(made, field).collect())) == sorted(map(tuple, getattr(whole, field).collect()))
+        assert made.chunks.columns == ["record_pos", "article_idx", "part_idx", *columns]
+        assert (made.chunks_by_law is None, made.tag_counts is None) == ("law_code" not in columns, "domain_tags" not in columns)
+    runs = [held for name, held in written if name == "run"]
+    assert {"text", "formatted_text"} <= runs[0] and all(not {"text", "formatted_text"} & held for held in runs[1:])
